@@ -162,10 +162,11 @@ def utilization_profile(
     def time_share(name: str, column: str) -> Column:
         return rounded(F.sum(of(name, column)) / F.sum(of(name, "n")), 4)
 
-    # Sample variance from the sums; noise can push a constant series below zero.
+    # Sample variance from the sums; noise can push a constant series below zero, and
+    # a single sample has none.
     mem_n, mem_sum = F.sum(of("mem", "n")), F.sum(of("mem", "sum"))
     mem_variance = F.greatest(
-        (F.sum(of("mem", "squares")) - mem_sum * mem_sum / mem_n) / (mem_n - 1), F.lit(0.0)
+        (F.sum(of("mem", "squares")) - mem_sum * mem_sum / mem_n) / F.nullif(mem_n - 1, F.lit(0)), F.lit(0.0)
     )
     moments = (
         histogram.groupBy(*keys)
@@ -338,10 +339,10 @@ def utilization_summary(classified: DataFrame) -> DataFrame:
     )
 
 
-def driver_worker_imbalance(metrics: DataFrame) -> DataFrame:
-    """Clusters whose driver and workers are loaded very differently."""
+def driver_worker_pairs(metrics: DataFrame) -> DataFrame:
+    """Driver and worker load side by side, for clusters that have both."""
     of = lambda part, c: F.max(F.when(F.col("component") == part, F.col(c)))
-    pairs = (
+    return (
         metrics.groupBy("cluster_id")
         .agg(
             F.max("cluster_name").alias("cluster_name"),
@@ -353,13 +354,18 @@ def driver_worker_imbalance(metrics: DataFrame) -> DataFrame:
         )
         .filter(F.col("driver_cpu").isNotNull() & F.col("worker_cpu").isNotNull())
     )
+
+
+def driver_worker_imbalance(metrics: DataFrame) -> DataFrame:
+    """Clusters whose driver and workers are loaded very differently."""
     issue = (
         F.when((F.col("driver_cpu") > 0.7) & (F.col("worker_cpu") < 0.3), "driver_cpu_bottleneck")
         .when((F.col("driver_mem") > 0.8) & (F.col("worker_mem") < 0.5), "driver_memory_bottleneck")
         .when((F.col("worker_cpu") > 0.8) & (F.col("driver_cpu") < 0.2), "workers_saturated_driver_idle")
     )
     return (
-        pairs.withColumn("issue", issue)
+        driver_worker_pairs(metrics)
+        .withColumn("issue", issue)
         .filter(F.col("issue").isNotNull())
         .select(
             "cluster_id",

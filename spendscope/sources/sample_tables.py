@@ -57,8 +57,8 @@ SELECT 'wh-' || CAST(user_id % 25 AS VARCHAR(9)) AS warehouse_id, CASE event_typ
 """,
     "query_history": """
 SELECT o_orderkey AS statement_id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN 'user-' || CAST(o_custkey % 60 AS VARCHAR(9)) END AS executed_by, CASE WHEN o_custkey % 10 <> 0 THEN 'wh-' || CAST(o_custkey % 13 * 2 AS VARCHAR(9)) END AS warehouse_id, CASE WHEN o_orderkey % 8 < 5 THEN 'SELECT' WHEN o_orderkey % 8 = 5 THEN 'INSERT' WHEN o_orderkey % 8 = 6 THEN 'MERGE' ELSE 'SHOW' END AS statement_type,
- CASE o_orderkey % 4 WHEN 0 THEN 'select  * from t' WHEN 1 THEN 'SELECT a FROM t WHERE b = 1' WHEN 2 THEN 'SELECT a FROM t JOIN b JOIN c JOIN d JOIN e JOIN f WHERE x = 1' ELSE 'SELECT a FROM t' END AS statement_text, CAST(o_totalprice * 100 AS BIGINT) AS read_rows, o_orderkey % 1000 AS read_files, CAST(o_totalprice AS BIGINT) AS total_task_duration_ms, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (o_orderkey * 7 % 43200) AS start_time,
- CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_totalprice * 100 AS BIGINT) * (o_custkey % 13) * 10 ELSE 0 END AS spilled_local_bytes, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_totalprice * 2000 AS BIGINT) ELSE 0 END AS shuffle_read_bytes FROM {orders}
+ CASE o_orderkey % 4 WHEN 0 THEN 'select  * from t' WHEN 1 THEN 'SELECT a FROM t WHERE b = 1' WHEN 2 THEN 'SELECT a FROM t JOIN b JOIN c JOIN d JOIN e JOIN f WHERE x = 1' ELSE 'SELECT a FROM t' END AS statement_text, CAST(FLOOR(o_totalprice * 100) AS BIGINT) AS read_rows, o_orderkey % 1000 AS read_files, CAST(FLOOR(o_totalprice) AS BIGINT) AS total_task_duration_ms, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (o_orderkey * 7 % 43200) AS start_time,
+ CASE WHEN o_orderkey % 9 = 0 THEN CAST(FLOOR(o_totalprice * 100) AS BIGINT) * (o_custkey % 13) * 10 ELSE 0 END AS spilled_local_bytes, CASE WHEN o_orderkey % 5 = 0 THEN CAST(FLOOR(o_totalprice * 2000) AS BIGINT) ELSE 0 END AS shuffle_read_bytes FROM {orders}
 """,
     "jobs": """
 SELECT 'job-' || CAST(c_custkey AS VARCHAR(9)) AS job_id, c_custkey % 3 AS workspace_id, c_name AS name, c_name AS creator_user_name, TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * v.n AS change_time FROM {customer} CROSS JOIN (VALUES (0),(1)) v(n) WHERE c_custkey < 40
