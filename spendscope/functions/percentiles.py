@@ -31,18 +31,21 @@ def exact_percentiles(
     histogram: DataFrame,
     keys: Sequence[str],
     fractions: Mapping[str, Sequence[float]],
+    carry: Sequence[str] = (),
     max_groups: int | None = None,
 ) -> DataFrame:
     """Percentiles with linear interpolation, one column ``<metric>_p<percent>`` each.
 
     ``values`` has the keys, ``metric``, ``value`` and ``bucket``; ``histogram`` has the
-    keys, ``metric``, ``bucket`` and the count ``n``. ``max_groups`` bounds the number of
-    key combinations, if the caller knows a bound.
+    keys, ``metric``, ``bucket``, the count ``n`` and the ``carry`` columns, which hold
+    one value per key and are passed on. ``max_groups`` bounds the number of key
+    combinations, if the caller knows a bound.
     """
     group = [*keys, "metric"]
     earlier = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = histogram.select(
         *group,
+        *carry,
         "bucket",
         "n",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
@@ -57,32 +60,26 @@ def exact_percentiles(
         .withColumn("low", F.floor("position"))
         .withColumn("high", F.ceil("position"))
         .filter(_covers("before", "n", "low") | _covers("before", "n", "high"))
-        .select(*group, "bucket", "before", "fraction", "position", "low", "high")
+        .drop("n", "size")
     )
-    # Two ranks per fraction, so at most that many buckets per group.
+    # A fraction lies between two ranks, so in two buckets at most.
     points = sum(len(p) for p in fractions.values())
     max_ranks = None if max_groups is None else max_groups * points * 2
 
-    buckets = bounded(ranks.select(*group, "bucket", "before").distinct(), max_ranks)
+    # One row per distinct value in a wanted bucket, for each fraction it serves.
     counted = (
-        values.join(buckets, [*group, "bucket"])
-        .groupBy(*group, "bucket", "before", "value")
+        values.join(bounded(ranks, max_ranks), [*group, "bucket"])
+        .groupBy(*group, *carry, "bucket", "before", "fraction", "position", "low", "high", "value")
         .agg(F.count("*").alias("n"))
     )
     smaller = (
-        Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ordered = counted.select(
-        *group,
-        "bucket",
-        "value",
-        "n",
-        (F.col("before") + F.coalesce(F.sum("n").over(smaller), F.lit(0))).alias("first_rank"),
+        Window.partitionBy(*group, "bucket", "fraction")
+        .orderBy("value")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     at_ranks = (
-        ordered.join(bounded(ranks.drop("before"), max_ranks), [*group, "bucket"])
-        .filter(_covers("first_rank", "n", "low") | _covers("first_rank", "n", "high"))
-        .groupBy(*group, "fraction")
+        counted.withColumn("first_rank", F.col("before") + F.coalesce(F.sum("n").over(smaller), F.lit(0)))
+        .groupBy(*group, *carry, "fraction")
         .agg(
             F.max(F.when(_covers("first_rank", "n", "low"), F.col("value"))).alias("low_value"),
             F.max(F.when(_covers("first_rank", "n", "high"), F.col("value"))).alias("high_value"),
@@ -90,7 +87,7 @@ def exact_percentiles(
         )
     )
     between = F.col("low_value") + (F.col("high_value") - F.col("low_value")) * F.col("share")
-    return at_ranks.groupBy(*keys).agg(
+    return at_ranks.groupBy(*keys, *carry).agg(
         *[
             F.max(F.when((F.col("metric") == metric) & (F.col("fraction") == p), between)).alias(
                 f"{metric}_p{round(p * 100)}"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_job_cluster, total
+from ..functions.percentiles import bounded
 from .versions import latest_clusters
 
 # ---- fixed values -------------------------------------------------------------
@@ -100,7 +101,7 @@ def cluster_issues(clusters: DataFrame, cluster_costs: DataFrame) -> DataFrame:
     named = (
         latest_clusters(clusters)
         .filter(~is_job_cluster(F.col("cluster_name"), ignore_case=True))
-        .join(costs, "cluster_id", "left")
+        .join(bounded(costs, TOP_CLUSTERS), "cluster_id", "left")
         .withColumn("cost", F.coalesce("cost", F.lit(0.0)))
         .withColumn("owner", F.coalesce(F.nullif("cost_owner", F.lit("")), "owned_by"))
     )

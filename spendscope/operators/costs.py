@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio, rounded, total
+from ..functions.percentiles import bounded
 from ..sources.registry import AnalysisWindow
+from .usage import TOP_ITEMS
+from .versions import latest_clusters
 
 # ---- fixed values -------------------------------------------------------------
 DAYS_PER_MONTH = 30
@@ -26,40 +29,47 @@ def monthly_projection(totals: DataFrame, window: AnalysisWindow) -> DataFrame:
     )
 
 
-def resource_names(
-    jobs: DataFrame, cluster_costs: DataFrame, clusters: DataFrame, warehouses: DataFrame
+def name_top_items(
+    top: DataFrame,
+    jobs: DataFrame,
+    cluster_costs: DataFrame,
+    clusters: DataFrame,
+    warehouses: DataFrame,
 ) -> DataFrame:
-    """Names by dimension and key; a configured cluster name wins over one from costs."""
-    named = lambda df, key, name: df.filter(
-        F.col(key).isNotNull() & F.col(name).isNotNull() & (F.col(name) != "")
-    )
+    """Top lists with names; a configured cluster name wins over one from costs.
+
+    The top lists hold a few rows per dimension, so the names are cut down to those
+    first.
+    """
+
+    def wanted(df: DataFrame, dim: str, key: str) -> DataFrame:
+        ids = top.filter(F.col("dim") == dim).select(F.col("id").alias(key))
+        return df.join(bounded(ids, TOP_ITEMS), key, "left_semi")
+
+    def named(df: DataFrame, key: str, name: str, source: int) -> DataFrame:
+        given = F.col(name).isNotNull() & (F.col(name) != "")
+        return df.filter(given).select(F.col(key).alias("id"), F.col(name).alias("name"), F.lit(source).alias("source"))
+
     # Of several names of a job, that of the last row by cost counts.
     by_job = (
-        named(jobs, "job_id", "job_name")
-        .groupBy(F.col("job_id").cast("string").alias("key"))
+        wanted(jobs, "job", "job_id")
+        .filter(F.col("job_name").isNotNull() & (F.col("job_name") != ""))
+        .groupBy("job_id")
         .agg(F.max_by("job_name", "job_rank").alias("name"))
+        .select(F.lit("job").alias("dim"), F.col("job_id").alias("id"), "name")
     )
-    config = named(clusters, "cluster_id", "cluster_name").select(
-        F.col("cluster_id").alias("key"), F.col("cluster_name").alias("config_name")
+    by_cluster = (
+        named(latest_clusters(wanted(clusters, "cluster", "cluster_id")), "cluster_id", "cluster_name", 1)
+        .unionByName(named(wanted(cluster_costs, "cluster", "cluster_id"), "cluster_id", "cluster_name", 2))
+        .groupBy("id")
+        .agg(F.min_by("name", "source").alias("name"))
+        .select(F.lit("cluster").alias("dim"), "id", "name")
     )
-    cost = named(cluster_costs, "cluster_id", "cluster_name").select(
-        F.col("cluster_id").alias("key"), F.col("cluster_name").alias("cost_name")
-    )
-    by_cluster = config.join(cost, "key", "full_outer").select(
-        "key", F.coalesce("config_name", "cost_name").alias("name")
-    )
-    by_warehouse = named(warehouses, "warehouse_id", "warehouse_name").select(
-        F.col("warehouse_id").alias("key"), F.col("warehouse_name").alias("name")
-    )
-    parts = {"job": by_job, "cluster": by_cluster, "warehouse": by_warehouse}
-    tagged = [df.select(F.lit(dim).alias("dim"), "key", "name") for dim, df in parts.items()]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-
-
-def name_top_items(top: DataFrame, names: DataFrame) -> DataFrame:
-    """Top lists with names. The top lists hold a few rows per dimension."""
-    wanted = names.withColumnRenamed("key", "id")
-    return top.join(wanted, ["dim", "id"], "left").select("dim", "rank", "id", "name", "dbus", "cost")
+    by_warehouse = named(
+        wanted(warehouses, "warehouse", "warehouse_id"), "warehouse_id", "warehouse_name", 1
+    ).select(F.lit("warehouse").alias("dim"), "id", "name")
+    names = by_job.unionByName(by_cluster).unionByName(by_warehouse)
+    return top.join(names, ["dim", "id"], "left").select("dim", "rank", "id", "name", "dbus", "cost")
 
 
 def expected_savings(warehouse_issues: DataFrame) -> DataFrame:

@@ -248,12 +248,15 @@ def job_totals(jobs: DataFrame, issues: DataFrame) -> DataFrame:
     """One row: cost, cost of failed runs, and jobs with inefficiencies."""
     inefficient = F.col("type").isin(*EFFICIENCY_ISSUES)
     found = issues.agg(
-        total("estimated_savings").alias("wasted"),
-        F.count_distinct(F.when(inefficient, F.col("resource_id"))).alias("found"),
-    )
+        F.struct(
+            total("estimated_savings").alias("wasted"),
+            F.count_distinct(F.when(inefficient, F.col("resource_id"))).alias("jobs"),
+        )
+    ).scalar()
     return jobs.agg(
-        F.count("*").alias("job_count"),
-        rounded(total("total_cost"), 2).alias("total_job_cost"),
-        rounded(F.first(found.select("wasted").scalar()), 2).alias("total_wasted_on_failures"),
-        F.first(found.select("found").scalar()).alias("jobs_with_issues"),
+        F.count("*").alias("job_count"), rounded(total("total_cost"), 2).alias("total_job_cost")
+    ).select(
+        "*",
+        rounded(found["wasted"], 2).alias("total_wasted_on_failures"),
+        found["jobs"].alias("jobs_with_issues"),
     )

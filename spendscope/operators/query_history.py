@@ -190,9 +190,8 @@ def shuffle_by_warehouse(heavy: DataFrame) -> DataFrame:
 
 def query_totals(stats: DataFrame, counts: DataFrame) -> DataFrame:
     """One row: queries of the listed users and pattern counts."""
-    of = lambda p: F.coalesce(
-        counts.agg(F.sum(F.when(F.col("pattern") == p, F.col("count")))).scalar(), F.lit(0)
-    ).alias(p)
+    of = lambda p: F.coalesce(F.sum(F.when(F.col("pattern") == p, F.col("count"))), F.lit(0))
+    found = counts.agg(F.struct(*[of(p).alias(p) for p in PATTERN_SEVERITY])).scalar()
     return stats.agg(F.coalesce(F.sum("query_count"), F.lit(0)).alias("query_count")).select(
-        "query_count", *[of(p) for p in PATTERN_SEVERITY]
+        "query_count", *[found[p].alias(p) for p in PATTERN_SEVERITY]
     )

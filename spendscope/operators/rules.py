@@ -678,10 +678,9 @@ def severity_rank(severity: Column) -> Column:
     return rank
 
 
-def ranked(recommendations: DataFrame) -> DataFrame:
-    """Severest first, then by savings; ``rank`` is the place in that order."""
-    order = Window.orderBy(
+def in_order(recommendations: DataFrame) -> DataFrame:
+    """Severest first, then by savings."""
+    return recommendations.orderBy(
         severity_rank(F.col("severity")), F.col("estimated_savings").desc(), "rule_order", "seq", "id",
         F.col("resource_id").asc_nulls_first(),
     )
-    return recommendations.withColumn("rank", F.row_number().over(order))

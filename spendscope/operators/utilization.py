@@ -8,11 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import in_period, is_classic, rounded, settled, since, total, total_if
+from ..functions.expressions import (
+    availability,
+    in_period,
+    is_classic,
+    rounded,
+    settled,
+    since,
+    total,
+    total_if,
+    uses_spot,
+)
 from ..functions.percentiles import bounded, bucket_of, exact_percentiles
 from ..sources.registry import AnalysisWindow
 from .pricing import usage_in_period
-from .versions import cluster_capacity, latest_clusters
+from .versions import latest_clusters, latest_version
 
 
 # ---- fixed values -------------------------------------------------------------
@@ -156,70 +166,89 @@ def utilization_profile(
         F.count_if(very_hot).alias("very_hot"),
     )
 
-    def of(name: str, column: str) -> Column:
-        return F.when(metric == name, F.col(column))
+    # The moments are sums over a group's buckets, of which there are few.
+    whole = Window.partitionBy(*keys)
+
+    def over(function, name: str, column: str) -> Column:
+        return function(F.when(metric == name, F.col(column))).over(whole)
 
     def time_share(name: str, column: str) -> Column:
-        return rounded(F.sum(of(name, column)) / F.sum(of(name, "n")), 4)
+        return rounded(over(F.sum, name, column) / over(F.sum, name, "n"), 4)
 
     # Sample variance from the sums; noise can push a constant series below zero, and
     # a single sample has none.
-    mem_n, mem_sum = F.sum(of("mem", "n")), F.sum(of("mem", "sum"))
+    mem_n, mem_sum = over(F.sum, "mem", "n"), over(F.sum, "mem", "sum")
     mem_variance = F.greatest(
-        (F.sum(of("mem", "squares")) - mem_sum * mem_sum / mem_n) / F.nullif(mem_n - 1, F.lit(0)), F.lit(0.0)
-    )
-    moments = (
-        histogram.groupBy(*keys)
-        .agg(
-            F.sum(of("cpu", "n")).alias("sample_count"),
-            rounded(F.max(of("mem", "max")) / 100, 4).alias("mem_max"),
-            rounded(F.sqrt(mem_variance) / 100, 4).alias("mem_stddev"),
-            time_share("io_wait", "hot").alias("io_wait_time_above_20pct"),
-            rounded(F.max(of("swap", "max")) / 100, 4).alias("swap_max"),
-            time_share("swap", "hot").alias("swap_time_fraction"),
-            time_share("cpu", "hot").alias("cpu_time_above_80pct"),
-            time_share("cpu", "very_hot").alias("cpu_time_above_90pct"),
-            time_share("mem", "hot").alias("mem_time_above_90pct"),
-            time_share("mem", "very_hot").alias("mem_time_above_95pct"),
-        )
-        .filter(F.col("sample_count") >= MIN_SAMPLES)
-    )
-    max_groups = None if max_clusters is None else max_clusters * COMPONENTS
+        (over(F.sum, "mem", "squares") - mem_sum * mem_sum / mem_n) / F.nullif(mem_n - 1, F.lit(0)),
+        F.lit(0.0),
+    )
+    moments = {
+        "sample_count": mem_n,
+        "mem_max": rounded(over(F.max, "mem", "max") / 100, 4),
+        "mem_stddev": rounded(F.sqrt(mem_variance) / 100, 4),
+        "io_wait_time_above_20pct": time_share("io_wait", "hot"),
+        "swap_max": rounded(over(F.max, "swap", "max") / 100, 4),
+        "swap_time_fraction": time_share("swap", "hot"),
+        "cpu_time_above_80pct": time_share("cpu", "hot"),
+        "cpu_time_above_90pct": time_share("cpu", "very_hot"),
+        "mem_time_above_90pct": time_share("mem", "hot"),
+        "mem_time_above_95pct": time_share("mem", "very_hot"),
+    }
+    profiled = histogram.select(
+        *keys, "metric", "bucket", "n", *[m.alias(name) for name, m in moments.items()]
+    ).filter(F.col("sample_count") >= MIN_SAMPLES)
     percentiles = exact_percentiles(
-        values.filter(metric != "swap"), histogram.select(*keys, "metric", "bucket", "n"),
-        keys, PERCENTILES, max_groups,
+        values,
+        profiled,
+        keys,
+        PERCENTILES,
+        carry=list(moments),
+        max_groups=None if max_clusters is None else max_clusters * COMPONENTS,
     )
     scaled = [
         rounded(F.col(f"{m}_p{round(p * 100)}") / 100, 4).alias(f"{m}_p{round(p * 100)}")
         for m, points in PERCENTILES.items()
         for p in points
     ]
-    return moments.join(percentiles.select(*keys, *scaled), keys)
+    return percentiles.select(*keys, *moments, *scaled)
 
 
 def cluster_metrics(
     node_timeline: DataFrame,
-    usage: DataFrame,
+    targets: DataFrame,
     clusters: DataFrame,
     window: AnalysisWindow,
     top_n: int = TOP_TARGETS,
     limits: Thresholds = Thresholds(),
 ) -> DataFrame:
-    """Profile of the costliest clusters with their configuration, ranked by DBU."""
-    targets = target_clusters(usage, window, top_n)
+    """Profile of the target clusters with their configuration, ranked by DBU.
+
+    The profile has a row or two per target, so it is sent to the cluster versions,
+    and only versions of those clusters are compared.
+    """
+    keys = ["cluster_id", "component"]
     profile = utilization_profile(node_samples(node_timeline, targets, window, top_n), limits, top_n)
-    known = clusters.join(bounded(targets.select("cluster_id"), top_n), "cluster_id", "left_semi")
-    by_dbus = Window.orderBy(F.col("total_dbus").desc(), "cluster_id", "component")
+    known = clusters.join(bounded(profile, top_n * COMPONENTS), "cluster_id")
+    capacity = latest_version(known, keys, "change_time", [F.col("cluster_name"), F.col("owned_by")])
+    by_dbus = Window.orderBy(F.col("total_dbus").desc(), *keys)
     # At most two rows per target reach this window.
     return (
-        profile.join(cluster_capacity(known), "cluster_id")
-        .join(bounded(targets, top_n), "cluster_id")
-        .withColumn(
-            "node_type",
-            F.when(F.col("component") == "driver", F.col("driver_node_type")).otherwise(F.col("worker_node_type")),
+        capacity.join(bounded(targets, top_n), "cluster_id")
+        .select(
+            *profile.columns,
+            F.coalesce("cluster_name", F.lit("Unknown")).alias("cluster_name"),
+            "total_dbus",
+            "job_id",
+            F.when(F.col("component") == "driver", F.col("driver_node_type"))
+            .otherwise(F.col("worker_node_type"))
+            .alias("node_type"),
+            "min_autoscale_workers",
+            "max_autoscale_workers",
+            "cluster_source",
+            availability().alias("availability"),
+            uses_spot().alias("uses_spot"),
         )
         .withColumn("metric_rank", F.row_number().over(by_dbus))
-        .drop("driver_node_type", "worker_node_type")
     )
 
 
@@ -309,18 +338,22 @@ def classify(metrics: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame
 
 def cluster_status(classified: DataFrame) -> DataFrame:
     """One status per cluster: that of the workers, or the driver's where there are none."""
+    worker = F.col("component") == "worker"
     return classified.groupBy("cluster_id").agg(
         F.max("cluster_name").alias("cluster_name"),
         F.max("total_dbus").alias("total_dbus"),
         F.max_by("overall_status", "component").alias("overall_status"),
         F.max_by("suggested_action", "component").alias("suggested_action"),
+        F.bool_or(worker & F.col("io_bound")).alias("workers_io_bound"),
+        F.bool_or(worker & (F.col("mem_spike_risk") == "high")).alias("workers_spike"),
+        F.bool_or(worker & F.col("swap_issue")).alias("workers_swap"),
     )
 
 
-def utilization_summary(classified: DataFrame) -> DataFrame:
+def utilization_summary(statuses: DataFrame) -> DataFrame:
     """One row of counts and DBUs by status."""
     status = F.col("overall_status")
-    by_cluster = cluster_status(classified).agg(
+    return statuses.agg(
         F.count("*").alias("total_clusters_analyzed"),
         F.count_if(status == OVER).alias("over_provisioned_count"),
         F.count_if(status == UNDER).alias("under_provisioned_count"),
@@ -328,14 +361,9 @@ def utilization_summary(classified: DataFrame) -> DataFrame:
         rounded(total_if(status == OVER, "total_dbus"), 2).alias("over_provisioned_dbus"),
         rounded(total_if(status == UNDER, "total_dbus"), 2).alias("under_provisioned_dbus"),
         rounded(total_if(status == OVER, "total_dbus") * DOWNSIZE_SHARE, 2).alias("potential_savings_dbus"),
-    )
-    workers = classified.filter(F.col("component") == "worker").agg(
-        F.count_if(F.col("io_bound")).alias("io_bound_clusters"),
-        F.count_if(F.col("mem_spike_risk") == "high").alias("high_memory_spike_clusters"),
-        F.count_if(F.col("swap_issue")).alias("swap_issue_clusters"),
-    )
-    return by_cluster.select(
-        "*", *[workers.select(c).scalar().alias(c) for c in workers.columns]
+        F.count_if("workers_io_bound").alias("io_bound_clusters"),
+        F.count_if("workers_spike").alias("high_memory_spike_clusters"),
+        F.count_if("workers_swap").alias("swap_issue_clusters"),
     )
 
 
@@ -520,18 +548,12 @@ def autoscale_verdicts(stats: DataFrame) -> DataFrame:
     return stats.withColumn("verdict", verdict).withColumn("wasted_dbus_estimate", settled(waste))
 
 
-def utilization_coverage(
-    usage: DataFrame, metrics: DataFrame, window: AnalysisWindow, top_n: int = TOP_TARGETS
-) -> DataFrame:
+def utilization_coverage(targets: DataFrame, metrics: DataFrame) -> DataFrame:
     """Target clusters and whether node metrics exist for them."""
     sampled = metrics.groupBy("cluster_id").agg(F.sum("sample_count").alias("sample_count"))
-    return (
-        target_clusters(usage, window, top_n)
-        .join(sampled, "cluster_id", "left")
-        .select(
-            "cluster_id",
-            "total_dbus",
-            F.coalesce("sample_count", F.lit(0)).alias("sample_count"),
-            F.col("sample_count").isNotNull().alias("available"),
-        )
+    return targets.join(sampled, "cluster_id", "left").select(
+        "cluster_id",
+        "total_dbus",
+        F.coalesce("sample_count", F.lit(0)).alias("sample_count"),
+        F.col("sample_count").isNotNull().alias("available"),
     )

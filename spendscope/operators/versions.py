@@ -54,21 +54,6 @@ def cluster_listing(clusters: DataFrame) -> DataFrame:
     )
 
 
-def cluster_capacity(clusters: DataFrame) -> DataFrame:
-    """Latest name, node types, worker range and capacity type of every cluster."""
-    return latest_clusters(clusters).select(
-        "cluster_id",
-        F.coalesce("cluster_name", F.lit("Unknown")).alias("cluster_name"),
-        "driver_node_type",
-        "worker_node_type",
-        "min_autoscale_workers",
-        "max_autoscale_workers",
-        "cluster_source",
-        availability().alias("availability"),
-        uses_spot().alias("uses_spot"),
-    )
-
-
 def job_cluster_capacity(clusters: DataFrame) -> DataFrame:
     """Capacity type of the clusters that job runs started.
 

@@ -95,9 +95,18 @@ def by_cost(merged: DataFrame) -> DataFrame:
 
 
 def recent_events(events: DataFrame, window: AnalysisWindow, limit: int = TOP_EVENTS) -> DataFrame:
-    """The latest events of the period."""
+    """The latest events of the period.
+
+    Counts per hour tell how far back to read, so that the sort does not take
+    ``limit`` rows from every input partition.
+    """
+    in_window = events.filter(in_period_times(F.col("event_time"), window))
+    hours = in_window.groupBy(F.date_trunc("hour", "event_time").alias("hour")).agg(F.count("*").alias("n"))
+    # One row per hour of the period reaches this window.
+    later = Window.orderBy(F.col("hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    needed = hours.withColumn("later", F.coalesce(F.sum("n").over(later), F.lit(0))).filter(F.col("later") < limit)
     return (
-        events.filter(in_period_times(F.col("event_time"), window))
+        in_window.filter(F.col("event_time") >= needed.agg(F.min("hour")).scalar())
         .orderBy(F.col("event_time").desc(), "warehouse_id", "event_type", "cluster_count")
         .limit(limit)
     )

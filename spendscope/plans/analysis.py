@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ..operators import clusters, costs, jobs, pricing, query_history, rules, usage, utilization, versions, warehouses
+from ..operators import clusters, costs, jobs, pricing, query_history, rules, usage, utilization, warehouses
 from ..session import cut_lineage
 from ..sources.registry import AnalysisWindow, SourceTables
 from . import report
@@ -120,25 +120,24 @@ class Analysis:
         return self.tables.get_or_empty("node_timeline")
 
     @cached_property
-    def metrics(self) -> DataFrame:
-        return self._keep(
-            utilization.classify(
-                utilization.cluster_metrics(
-                    self.node_timeline, self.tables["usage"], self.tables["clusters"],
-                    self.window, self.top_n, self.limits,
-                ),
-                self.limits,
-            )
-        )
+    def targets(self) -> DataFrame:
+        return self._keep(utilization.target_clusters(self.tables["usage"], self.window, self.top_n))
 
     @cached_property
-    def utilization_summary(self) -> DataFrame:
-        return self._keep(utilization.utilization_summary(self.metrics))
+    def metrics(self) -> DataFrame:
+        profiled = utilization.cluster_metrics(
+            self.node_timeline, self.targets, self.tables["clusters"], self.window, self.top_n, self.limits
+        )
+        return self._keep(utilization.classify(profiled, self.limits))
 
     @cached_property
     def cluster_status(self) -> DataFrame:
         return utilization.cluster_status(self.metrics)
 
+    @cached_property
+    def utilization_summary(self) -> DataFrame:
+        return self._keep(utilization.utilization_summary(self.cluster_status))
+
     @cached_property
     def imbalance(self) -> DataFrame:
         return utilization.driver_worker_imbalance(self.metrics)
@@ -217,10 +216,9 @@ class Analysis:
     # ---- named top lists ------------------------------------------------------
     @cached_property
     def named_top(self) -> DataFrame:
-        names = costs.resource_names(
-            self.jobs, self.cluster_costs, versions.latest_clusters(self.tables["clusters"]), self.warehouses
+        return costs.name_top_items(
+            self.top, self.jobs, self.cluster_costs, self.tables["clusters"], self.warehouses
         )
-        return costs.name_top_items(self.top, names)
 
     # ---- recommendations ------------------------------------------------------
     @cached_property
@@ -263,8 +261,8 @@ class Analysis:
 
     @cached_property
     def recommendations(self) -> DataFrame:
-        """Distinct worthwhile recommendations with their rank."""
-        return self._keep(rules.ranked(rules.worthwhile(rules.keep_first(self.candidates))))
+        """Distinct worthwhile recommendations, the severest first."""
+        return self._keep(rules.in_order(rules.worthwhile(rules.keep_first(self.candidates))))
 
     # ---- report ---------------------------------------------------------------
     @cached_property

@@ -164,7 +164,6 @@ def roadmap(recommendations: DataFrame) -> DataFrame:
     for severity, number in PHASES.items():
         phase = F.when(F.col("severity") == severity, number).otherwise(phase)
     return recommendations.select(
-        "rank",
         "id",
         "resource_id",
         "severity",

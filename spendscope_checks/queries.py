@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,9 @@ from spendscope.functions import expressions as ex
 from spendscope.operators import clusters, costs, jobs, pricing, query_history, rules, usage, utilization, versions, warehouses
 from spendscope.plans import report
 from spendscope.plans.analysis import Analysis
+from spendscope.session import configure
 from spendscope.sources import profile, sinks
+from spendscope.sources.registry import SourceTables
 from spendscope.sources.sample_tables import SAMPLE_WINDOW, contracted_prices, sample_tables
 
 # Every cluster of the sample data, for the operators that are not about the top list.
@@ -54,22 +55,29 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[column(f) for f in df.schema.fields])
 
 
-@cache
-def _shared_analysis(app_id: str, sf_dir: str) -> Analysis:
-    spark = SparkSession.getActiveSession()
-    return Analysis(sample_tables(spark, sf_dir), SAMPLE_WINDOW, reuse=True)
+_tables: dict[tuple[str, str], SourceTables] = {}
+_analyses: dict[tuple[str, str], Analysis] = {}
 
 
 def run(name: str, spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
-    """Run one query; shared results are computed once per session unless ``fresh``."""
+    """Run one query.
+
+    Table definitions are kept per session. So are the results that shared queries
+    read, unless ``fresh``, which computes everything for this query alone.
+    """
     build, shared = _REGISTRY[name]
-    tables = sample_tables(spark, sf_dir)
+    session = (spark.sparkContext.applicationId, sf_dir)
+    configure(spark)
+    if session not in _tables:
+        _tables[session] = sample_tables(spark, sf_dir)
     if not shared:
-        analysis = Analysis(tables, SAMPLE_WINDOW)
+        analysis = Analysis(_tables[session], SAMPLE_WINDOW)
     elif fresh:
-        analysis = Analysis(tables, SAMPLE_WINDOW, reuse=True)
+        analysis = Analysis(_tables[session], SAMPLE_WINDOW, reuse=True)
     else:
-        analysis = _shared_analysis(spark.sparkContext.applicationId, sf_dir)
+        if session not in _analyses:
+            _analyses[session] = Analysis(_tables[session], SAMPLE_WINDOW, reuse=True)
+        analysis = _analyses[session]
     return flat(build(analysis))
 
 
@@ -114,7 +122,7 @@ def _(a):
 @query("s4_missing_node_timeline")
 def _(a):
     less = Analysis(a.tables.without("node_timeline"), a.window)
-    return utilization.utilization_coverage(less.tables["usage"], less.metrics, less.window)
+    return utilization.utilization_coverage(less.targets, less.metrics)
 
 
 @query("s5_source_profile")
@@ -229,8 +237,7 @@ def _(a):
 
 @query("j4_samples_of_top_clusters")
 def _(a):
-    targets = utilization.target_clusters(a.tables["usage"], a.window)
-    return utilization.node_samples(a.tables["node_timeline"], targets, a.window)
+    return utilization.node_samples(a.tables["node_timeline"], a.targets, a.window)
 
 
 @query("j5_idle_costs_and_names")
@@ -395,7 +402,7 @@ def _(a):
 
 @query("a14_target_clusters")
 def _(a):
-    return utilization.target_clusters(a.tables["usage"], a.window)
+    return a.targets
 
 
 @query("a15_idle_clusters")
@@ -451,7 +458,9 @@ def _(a):
 
 @query("a23_cluster_status")
 def _(a):
-    return utilization.cluster_status(_all_metrics(a))
+    return utilization.cluster_status(_all_metrics(a)).select(
+        "cluster_id", "cluster_name", "total_dbus", "overall_status", "suggested_action"
+    )
 
 
 @query("a24_query_activity")
@@ -543,7 +552,9 @@ def _(a):
 
 @query("t10_ranked_recommendations", shared=True)
 def _(a):
-    return rules.ranked(rules.keep_first(a.candidates)).select("rank", "id", "resource_id", "severity", "estimated_savings")
+    return rules.in_order(rules.keep_first(a.candidates)).select(
+        rules.severity_rank(F.col("severity")).alias("severity_rank"), "estimated_savings", "id", "resource_id"
+    )
 
 
 @query("t11_cluster_listing")
@@ -784,7 +795,7 @@ _rule(
 
 @query("r25_recommendations", shared=True)
 def _(a):
-    return a.recommendations.select("rank", *REC_COLUMNS)
+    return a.recommendations.select(*REC_COLUMNS)
 
 
 # ---- report tables ------------------------------------------------------------

@@ -635,9 +635,7 @@ SELECT * FROM guarded QUALIFY row_number() OVER (PARTITION BY id ORDER BY rule_o
 PARTS["first_by_resource"] = """
 SELECT * FROM guarded QUALIFY row_number() OVER (
  PARTITION BY rule, COALESCE(resource_id, id) ORDER BY rule_order, seq, resource_id NULLS FIRST) = 1"""
-_RANK = """row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END,
- estimated_savings DESC, rule_order, seq, id, resource_id NULLS FIRST) AS rank"""
-PARTS["final_recs"] = f"SELECT {_RANK}, * FROM first_by_resource WHERE estimated_savings >= 1.0"
+PARTS["final_recs"] = "SELECT * FROM first_by_resource WHERE estimated_savings >= 1.0"
 
 # ---- report -------------------------------------------------------------------
 PARTS["summary_row"] = """
@@ -785,7 +783,9 @@ ORDER BY job_id, period_start_time DESC""",
     "t8_idle_by_dbus": "SELECT cluster_id, total_dbus FROM idle_top",
     "t9_high_cost_jobs": """SELECT job_id, COALESCE(job_name, job_id) AS job_name, total_cost, total_dbus, run_count, avg_duration_seconds,
  cost_per_run FROM job_rows WHERE total_cost > 10 ORDER BY total_cost DESC""",
-    "t10_ranked_recommendations": f"SELECT {_RANK}, id, resource_id, severity, estimated_savings FROM first_by_resource",
+    "t10_ranked_recommendations": """SELECT CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS severity_rank,
+ estimated_savings, id, resource_id FROM first_by_resource
+ORDER BY 1, estimated_savings DESC, rule_order, seq, id, resource_id NULLS FIRST""",
     "t11_cluster_listing": """SELECT cluster_id, cluster_name, owned_by, CAST(NULL AS TIMESTAMP) AS create_time,
  CAST(NULL AS TIMESTAMP) AS delete_time, CAST(NULL AS VARCHAR) AS driver_node_type, CAST(NULL AS VARCHAR) AS worker_node_type,
  worker_count, min_autoscale_workers, max_autoscale_workers, auto_termination_minutes, CAST(NULL AS BOOLEAN) AS enable_elastic_disk,
@@ -863,7 +863,7 @@ FROM query_history GROUP BY 1""",
     ),
     "r23_governance": _rules("implement_tagging", "weekend_waste"),
     "r24_layout_and_monitoring": _rules("delta_optimization", "cost_monitoring"),
-    "r25_recommendations": f"SELECT rank, {REC} FROM final_recs",
+    "r25_recommendations": f"SELECT {REC} FROM final_recs",
     "p1_executive_summary": "SELECT * FROM summary_row",
     "p2_assessment": """SELECT savings_percentage, annual_savings, CASE WHEN savings_percentage >= 40 THEN 'F'
  WHEN savings_percentage >= 30 THEN 'D' WHEN savings_percentage >= 20 THEN 'C' WHEN savings_percentage >= 10 THEN 'B' ELSE 'A' END AS grade,
@@ -890,7 +890,7 @@ FROM (SELECT ROUND((SELECT total_cost FROM cost_totals) - SUM(cost), 6) AS cost
     "p6_status_distribution": f"""SELECT overall_status, COUNT(*) AS clusters,
  {r2('COUNT(*) / (SELECT COUNT(*) FROM top_cluster_status) * 100', 1)} AS percent, ROUND(SUM(total_dbus), 2) AS dbus
 FROM top_cluster_status GROUP BY 1""",
-    "p7_roadmap": r"""SELECT rank, id, resource_id, severity, estimated_savings, ROUND(estimated_savings * 12, 6) AS annual_savings, effort,
+    "p7_roadmap": r"""SELECT id, resource_id, severity, estimated_savings, ROUND(estimated_savings * 12, 6) AS annual_savings, effort,
  ROUND(minutes, 6) AS effort_minutes, ROUND(estimated_savings / minutes, 6) AS savings_per_minute,
  CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 END AS phase
 FROM (SELECT *, CASE
