@@ -102,29 +102,26 @@ def newest_first(priced: DataFrame) -> DataFrame:
     )
 
 
-COST_FACT_KEYS = (
-    "billing_origin_product",
-    "sku_name",
-    "workspace_id",
-    "cluster_id",
-    "job_id",
-    "warehouse_id",
-    "run_as_user",
-    "is_serverless",
-)
-
-
-def cost_facts(priced: DataFrame) -> DataFrame:
-    """Priced usage summed over time; every cost result is derived from it."""
-    return priced.groupBy(*COST_FACT_KEYS).agg(
-        total("usage_quantity").alias("dbus"), total("dollar_cost").alias("cost")
+def cost_lines(priced: DataFrame) -> DataFrame:
+    """Priced usage reduced to what the cost results need."""
+    return priced.select(
+        "billing_origin_product",
+        "sku_name",
+        "workspace_id",
+        "cluster_id",
+        "job_id",
+        "warehouse_id",
+        "run_as_user",
+        F.coalesce("is_serverless", F.lit(False)).alias("serverless"),
+        F.col("usage_quantity").alias("dbus"),
+        F.col("dollar_cost").alias("cost"),
     )
 
 
-def cost_totals(facts: DataFrame) -> DataFrame:
+def cost_totals(lines: DataFrame) -> DataFrame:
     """One row: DBUs and cost, in all and for serverless and classic compute."""
-    serverless = F.coalesce(F.col("is_serverless"), F.lit(False))
-    return facts.agg(
+    serverless = F.col("serverless")
+    return lines.agg(
         total("dbus").alias("total_dbus"),
         total("cost").alias("total_cost"),
         total_if(serverless, "cost").alias("serverless_cost"),

@@ -31,39 +31,63 @@ DIMENSIONS = {
 ALWAYS_KNOWN = ("product", "sku", "workspace")
 
 
-def cost_by_dimension(facts: DataFrame) -> DataFrame:
-    """Cost by each dimension, as (dim, key, dbus, cost, serverless_cost, classic_cost)."""
+def cost_by_dimension(lines: DataFrame) -> DataFrame:
+    """Cost by each dimension, as (dim, key, dbus, cost, serverless_cost, classic_cost,
+    serverless_dbus).
+
+    One pass over the lines for all dimensions. Every task first sums up its own lines
+    per key, so only these sums are shuffled, and a key with very many lines is no
+    different from others.
+    """
     dims = list(DIMENSIONS)
-    keyed = facts.select(
+    keyed = lines.select(
         *[
             (known(F.col(c)) if d in ALWAYS_KNOWN else F.col(c).cast("string")).alias(d)
             for d, c in DIMENSIONS.items()
         ],
         "dbus",
         "cost",
-        F.coalesce("is_serverless", F.lit(False)).alias("serverless"),
+        "serverless",
     )
     sums = keyed.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims]).agg(
         total("dbus").alias("dbus"),
         total("cost").alias("cost"),
         total_if(F.col("serverless"), "cost").alias("serverless_cost"),
         total_if(~F.col("serverless"), "cost").alias("classic_cost"),
+        total_if(F.col("serverless"), "dbus").alias("serverless_dbus"),
         F.grouping_id().alias("grouping"),
     )
     # grouping_id has one bit per dimension, first one highest, cleared where it is the key.
     everything = 2 ** len(dims) - 1
-    dim, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    dim = F.lit(None).cast("string")
     for i, d in enumerate(dims):
-        is_key = F.col("grouping") == everything - 2 ** (len(dims) - 1 - i)
-        dim = F.when(is_key, F.lit(d)).otherwise(dim)
-        key = F.when(is_key, F.col(d)).otherwise(key)
+        dim = F.when(F.col("grouping") == everything - 2 ** (len(dims) - 1 - i), F.lit(d)).otherwise(dim)
+    # Columns that are not the key of a row are NULL in it.
     rollup = sums.select(
-        dim.alias("dim"), key.alias("key"), "dbus", "cost", "serverless_cost", "classic_cost"
+        dim.alias("dim"),
+        F.coalesce(*dims).alias("key"),
+        "dbus",
+        "cost",
+        "serverless_cost",
+        "classic_cost",
+        "serverless_dbus",
     )
     named = F.col("key").isNotNull() & (F.col("key") != "")
     return rollup.filter(named & ~((F.col("dim") == "user") & (F.col("key") == "UNKNOWN")))
 
 
+def totals_of(rollup: DataFrame) -> DataFrame:
+    """The totals, from the products: every line belongs to one."""
+    return rollup.filter(F.col("dim") == "product").agg(
+        total("dbus").alias("total_dbus"),
+        total("cost").alias("total_cost"),
+        total("serverless_cost").alias("serverless_cost"),
+        total("classic_cost").alias("classic_cost"),
+        total("serverless_dbus").alias("serverless_dbus"),
+        total(F.col("dbus") - F.col("serverless_dbus")).alias("classic_dbus"),
+    )
+
+
 def top_items(rollup: DataFrame, limit: int = TOP_ITEMS) -> DataFrame:
     """The costliest keys of each dimension but the workspace."""
     by_cost = Window.partitionBy("dim").orderBy(F.col("cost").desc(), "key")

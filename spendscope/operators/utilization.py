@@ -102,12 +102,18 @@ COMPONENTS = 2
 
 
 def target_clusters(usage: DataFrame, window: AnalysisWindow, top_n: int = TOP_TARGETS) -> DataFrame:
-    """Costliest clusters by DBU that do not run serverless; at most ``top_n`` rows."""
+    """Costliest clusters by DBU that do not run serverless; at most ``top_n`` rows.
+
+    The job id is a key of the first sum, as the minimum of a string would make Spark
+    sort all usage.
+    """
     return (
         usage_in_period(usage, window.metrics_window())
         .filter(F.col("cluster_id").isNotNull() & is_classic(F.col("is_serverless")))
+        .groupBy("cluster_id", "job_id")
+        .agg(F.sum("usage_quantity").alias("dbus"))
         .groupBy("cluster_id")
-        .agg(total("usage_quantity").alias("dbus"), F.min("job_id").alias("job_id"))
+        .agg(total("dbus").alias("dbus"), F.min("job_id").alias("job_id"))
         .filter(F.col("dbus") > TARGET_MIN_DBUS)
         .select("cluster_id", rounded(F.col("dbus"), 3).alias("total_dbus"), "job_id")
         .orderBy(F.col("total_dbus").desc(), "cluster_id")

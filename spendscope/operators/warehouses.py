@@ -73,6 +73,17 @@ def warehouse_cost_rollup(costs: DataFrame) -> DataFrame:
     )
 
 
+def warehouse_costs_of(rollup: DataFrame) -> DataFrame:
+    """The same per warehouse, out of the cost by dimension."""
+    return rollup.filter(F.col("dim") == "warehouse").select(
+        F.col("key").alias("warehouse_id"),
+        F.col("dbus").alias("total_dbus"),
+        F.col("cost").alias("total_cost"),
+        "serverless_cost",
+        "classic_cost",
+    )
+
+
 def merge_costs(configs: DataFrame, rollup: DataFrame) -> DataFrame:
     """Configurations with costs; warehouses that only have costs are kept too."""
     known = configs.withColumn("_known", F.lit(True))

@@ -48,17 +48,15 @@ class Analysis:
         """Cluster and job costs always use list prices."""
         return pricing.list_priced_usage(self.tables, self.window)
 
-    @cached_property
-    def facts(self) -> DataFrame:
-        return self._keep(pricing.cost_facts(self.priced))
-
     @cached_property
     def totals(self) -> DataFrame:
-        return self._keep(pricing.cost_totals(self.facts))
+        if self.reuse:
+            return self._keep(usage.totals_of(self.rollup))
+        return pricing.cost_totals(pricing.cost_lines(self.priced))
 
     @cached_property
     def rollup(self) -> DataFrame:
-        return self._keep(usage.cost_by_dimension(self.facts))
+        return self._keep(usage.cost_by_dimension(pricing.cost_lines(self.priced)))
 
     @cached_property
     def top(self) -> DataFrame:
@@ -166,7 +164,10 @@ class Analysis:
 
     @cached_property
     def warehouses(self) -> DataFrame:
-        rollup = warehouses.warehouse_cost_rollup(warehouses.warehouse_costs(self.priced))
+        if self.reuse:
+            rollup = warehouses.warehouse_costs_of(self.rollup)
+        else:
+            rollup = warehouses.warehouse_cost_rollup(warehouses.warehouse_costs(self.priced))
         return self._keep(warehouses.merge_costs(self.warehouse_configs, rollup))
 
     @cached_property

@@ -29,6 +29,8 @@ def local_session(cores: int | str = "*", app: str = "spendscope") -> SparkSessi
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Query plans name no Python call sites; noting them slows plan building down.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

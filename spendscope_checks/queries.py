@@ -312,7 +312,7 @@ def _(a):
 
 @query("a3_cost_by_dimension")
 def _(a):
-    return a.rollup
+    return a.rollup.drop("serverless_dbus")
 
 
 @query("a4_tag_usage")
