@@ -1,0 +1,17 @@
+"""Join sides of a known size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side with at most this many rows, by construction, may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
+    """Mark a side for broadcast if its row bound allows that.
+
+    Without a mark Spark decides by the measured size of the side.
+    """
+    return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df

@@ -13,13 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A side with at most this many rows, by construction, may be broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Mark a side for broadcast if its row bound allows that."""
-    return F.broadcast(df) if max_rows is not None and max_rows <= BROADCAST_ROWS else df
+from .joins import bounded
 
 
 def bucket_of(value: Column, width: float) -> Column:

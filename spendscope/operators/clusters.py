@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_job_cluster, total
-from ..functions.percentiles import bounded
+from ..functions.joins import bounded
 from .versions import latest_clusters
 
 # ---- fixed values -------------------------------------------------------------
@@ -35,15 +35,22 @@ def clusters_with_names(per_cluster: DataFrame, clusters: DataFrame) -> DataFram
     )
 
 
+def cluster_costs_of(rollup: DataFrame) -> DataFrame:
+    """The same as ``cluster_usage_cost``, out of the cost by dimension."""
+    return rollup.filter(F.col("dim") == "cluster").select(
+        F.col("key").alias("cluster_id"), F.col("dbus").alias("total_dbus"), F.col("cost").alias("total_cost")
+    )
+
+
 def interactive_cluster_costs(
-    priced: DataFrame, clusters: DataFrame, limit: int = TOP_CLUSTERS
+    per_cluster: DataFrame, clusters: DataFrame, limit: int = TOP_CLUSTERS
 ) -> DataFrame:
     """Costliest clusters that no job run started.
 
     Usage is summed before the join, so the join sees one row per cluster.
     """
     return (
-        clusters_with_names(cluster_usage_cost(priced), clusters)
+        clusters_with_names(per_cluster, clusters)
         .filter(~is_job_cluster(F.col("cluster_name")))
         .orderBy(F.col("total_cost").desc(), "cluster_id")
         .limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio, rounded, total
-from ..functions.percentiles import bounded
+from ..functions.joins import bounded
 from ..sources.registry import AnalysisWindow
 from .usage import TOP_ITEMS
 from .versions import latest_clusters

@@ -61,13 +61,11 @@ def with_job_names(per_run: DataFrame, tables: SourceTables) -> DataFrame:
     )
 
 
-def job_costs(
-    priced: DataFrame, tables: SourceTables, limit: int = TOP_JOBS, with_jobs: bool = True
-) -> DataFrame:
+def job_costs(priced: DataFrame, tables: SourceTables, limit: int = TOP_JOBS) -> DataFrame:
     """Costliest (job, SKU, compute type) rows, with spot share and run count."""
     capacity = job_cluster_capacity(tables["clusters"]).select("cluster_id", "uses_spot")
     per_run = job_usage(priced).join(capacity, "cluster_id", "left")
-    named = with_job_names(per_run, tables if with_jobs else tables.without("jobs"))
+    named = with_job_names(per_run, tables)
     spot = F.coalesce(F.col("uses_spot"), F.lit(False))
     return (
         named.groupBy("job_id", "job_name", "owner", "sku_name", "is_serverless")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import in_period, known, ratio, rounded, total, total_if
@@ -17,7 +17,7 @@ WEEKEND_DAYS = (1, 7)
 TOP_ITEMS = 10
 # -------------------------------------------------------------------------------
 
-# Dimension name -> column of the cost facts. Rows without a value count as UNKNOWN
+# Dimension name -> column of the cost lines. Rows without a value count as UNKNOWN
 # in the first three and are left out of the others.
 DIMENSIONS = {
     "product": "billing_origin_product",
@@ -99,13 +99,17 @@ def top_items(rollup: DataFrame, limit: int = TOP_ITEMS) -> DataFrame:
     )
 
 
+def _tag_status() -> Column:
+    untagged = F.col("custom_tags").isNull() | (F.size("custom_tags") == 0)
+    return F.when(untagged, "untagged").otherwise("tagged").alias("tag_status")
+
+
 def tag_usage(usage: DataFrame, window: AnalysisWindow) -> DataFrame:
     """DBUs, clusters and jobs of tagged and of untagged usage, priced or not."""
-    untagged = F.col("custom_tags").isNull() | (F.size("custom_tags") == 0)
     per_resource = (
         usage.filter(in_period(F.col("usage_date"), window))
         .groupBy(
-            F.when(untagged, "untagged").otherwise("tagged").alias("tag_status"),
+            _tag_status(),
             F.col("usage_metadata.cluster_id").alias("cluster_id"),
             F.col("usage_metadata.job_id").alias("job_id"),
         )
@@ -118,10 +122,19 @@ def tag_usage(usage: DataFrame, window: AnalysisWindow) -> DataFrame:
     )
 
 
-def tag_coverage(by_status: DataFrame) -> DataFrame:
+def daily_usage(usage: DataFrame, window: AnalysisWindow) -> DataFrame:
+    """DBUs per day and tag status, priced or not."""
+    return (
+        usage.filter(in_period(F.col("usage_date"), window))
+        .groupBy("usage_date", _tag_status())
+        .agg(total("usage_quantity").alias("total_dbus"))
+    )
+
+
+def tag_coverage(tagged_usage: DataFrame) -> DataFrame:
     """One row: tagged and untagged DBUs, and whether the gap is worth closing."""
     tagged = F.col("tag_status") == "tagged"
-    sums = by_status.agg(
+    sums = tagged_usage.agg(
         total_if(tagged, "total_dbus").alias("tagged_dbus"),
         total_if(~tagged, "total_dbus").alias("untagged_dbus"),
     )
@@ -133,17 +146,12 @@ def tag_coverage(by_status: DataFrame) -> DataFrame:
     )
 
 
-def weekday_usage(usage: DataFrame, window: AnalysisWindow) -> DataFrame:
-    """DBUs by day of the week (1 is Sunday), priced or not."""
-    days = (
-        usage.filter(in_period(F.col("usage_date"), window) & F.col("usage_date").isNotNull())
-        .groupBy("usage_date")
-        .agg(total("usage_quantity").alias("dbus"))
-    )
+def weekday_usage(daily: DataFrame) -> DataFrame:
+    """DBUs by day of the week (1 is Sunday)."""
     day_name = F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), F.col("day_of_week"))
     return (
-        days.groupBy(F.dayofweek("usage_date").alias("day_of_week"))
-        .agg(total("dbus").alias("total_dbus"))
+        daily.groupBy(F.dayofweek("usage_date").alias("day_of_week"))
+        .agg(total("total_dbus").alias("total_dbus"))
         .select("day_of_week", day_name.alias("day_name"), "total_dbus")
     )
 

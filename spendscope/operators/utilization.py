@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import (
     availability,
-    in_period,
     is_classic,
     rounded,
     settled,
@@ -19,7 +18,8 @@ from ..functions.expressions import (
     total_if,
     uses_spot,
 )
-from ..functions.percentiles import bounded, bucket_of, exact_percentiles
+from ..functions.joins import bounded
+from ..functions.percentiles import bucket_of, exact_percentiles
 from ..sources.registry import AnalysisWindow
 from .pricing import usage_in_period
 from .versions import latest_clusters, latest_version
@@ -101,17 +101,18 @@ BUCKET_WIDTH = 0.1
 COMPONENTS = 2
 
 
-def target_clusters(usage: DataFrame, window: AnalysisWindow, top_n: int = TOP_TARGETS) -> DataFrame:
-    """Costliest clusters by DBU that do not run serverless; at most ``top_n`` rows.
+def cluster_usage(usage: DataFrame, window: AnalysisWindow) -> DataFrame:
+    """DBUs per cluster, job and compute type over the days of the node metrics."""
+    lines = usage_in_period(usage, window.metrics_window()).filter(F.col("cluster_id").isNotNull())
+    return lines.groupBy("cluster_id", "job_id", is_classic(F.col("is_serverless")).alias("classic")).agg(
+        total("usage_quantity").alias("dbus")
+    )
 
-    The job id is a key of the first sum, as the minimum of a string would make Spark
-    sort all usage.
-    """
+
+def target_clusters(per_cluster: DataFrame, top_n: int = TOP_TARGETS) -> DataFrame:
+    """Costliest clusters by DBU that do not run serverless; at most ``top_n`` rows."""
     return (
-        usage_in_period(usage, window.metrics_window())
-        .filter(F.col("cluster_id").isNotNull() & is_classic(F.col("is_serverless")))
-        .groupBy("cluster_id", "job_id")
-        .agg(F.sum("usage_quantity").alias("dbus"))
+        per_cluster.filter("classic")
         .groupBy("cluster_id")
         .agg(total("dbus").alias("dbus"), F.min("job_id").alias("job_id"))
         .filter(F.col("dbus") > TARGET_MIN_DBUS)
@@ -121,6 +122,10 @@ def target_clusters(usage: DataFrame, window: AnalysisWindow, top_n: int = TOP_T
     )
 
 
+def cluster_dbus(per_cluster: DataFrame) -> DataFrame:
+    return per_cluster.groupBy("cluster_id").agg(total("dbus").alias("total_dbus"))
+
+
 def node_samples(
     node_timeline: DataFrame, targets: DataFrame, window: AnalysisWindow, top_n: int = TOP_TARGETS
 ) -> DataFrame:
@@ -414,34 +419,37 @@ def driver_worker_imbalance(metrics: DataFrame) -> DataFrame:
     )
 
 
-def cluster_dbus(usage: DataFrame, window: AnalysisWindow) -> DataFrame:
+def worker_hours(node_timeline: DataFrame, window: AnalysisWindow) -> DataFrame:
+    """Workers and their load per cluster and hour."""
+    cpu = F.coalesce("cpu_user_percent", F.lit(0.0)) + F.coalesce("cpu_system_percent", F.lit(0.0))
     return (
-        usage.filter(
-            in_period(F.col("usage_date"), window.metrics_window())
-            & F.col("usage_metadata.cluster_id").isNotNull()
+        node_timeline.filter(since(F.col("start_time"), window.metrics_start) & ~F.col("driver"))
+        .groupBy(
+            "cluster_id",
+            F.to_date("start_time").alias("usage_date"),
+            F.hour("start_time").alias("usage_hour"),
+        )
+        .agg(
+            F.count_distinct("instance_id").alias("active_workers"),
+            F.sum(cpu).alias("cpu_sum"),
+            F.max(cpu).alias("cpu_max"),
+            F.count_if(cpu < IDLE_CPU_PCT).alias("idle_samples"),
+            F.count("*").alias("samples"),
         )
-        .groupBy(F.col("usage_metadata.cluster_id").alias("cluster_id"))
-        .agg(total("usage_quantity").alias("total_dbus"))
     )
 
 
 def idle_clusters(
-    node_timeline: DataFrame,
-    usage: DataFrame,
-    clusters: DataFrame,
-    window: AnalysisWindow,
-    limit: int | None = TOP_IDLE,
+    hours: DataFrame, per_cluster: DataFrame, clusters: DataFrame, limit: int | None = TOP_IDLE
 ) -> DataFrame:
     """Clusters whose workers do next to nothing for most of the time."""
-    cpu = F.coalesce("cpu_user_percent", F.lit(0.0)) + F.coalesce("cpu_system_percent", F.lit(0.0))
     load = (
-        node_timeline.filter(since(F.col("start_time"), window.metrics_start) & ~F.col("driver"))
-        .groupBy("cluster_id")
+        hours.groupBy("cluster_id")
         .agg(
-            F.avg(cpu).alias("avg_cpu"),
-            F.max(cpu).alias("max_cpu"),
-            (F.count_if(cpu < IDLE_CPU_PCT) / F.count("*")).alias("idle_share"),
-            F.count("*").alias("sample_count"),
+            (F.sum("cpu_sum") / F.sum("samples")).alias("avg_cpu"),
+            F.max("cpu_max").alias("max_cpu"),
+            (F.sum("idle_samples") / F.sum("samples")).alias("idle_share"),
+            F.sum("samples").alias("sample_count"),
         )
         .filter(
             (F.col("sample_count") >= IDLE_MIN_SAMPLES)
@@ -451,7 +459,7 @@ def idle_clusters(
     )
     names = latest_clusters(clusters).select("cluster_id", "cluster_name")
     idle = (
-        load.join(cluster_dbus(usage, window), "cluster_id", "left")
+        load.join(cluster_dbus(per_cluster), "cluster_id", "left")
         .join(names, "cluster_id", "left")
         .orderBy(F.col("total_dbus").desc_nulls_last(), "cluster_id")
     )
@@ -470,19 +478,6 @@ def idle_clusters(
     )
 
 
-def hourly_workers(node_timeline: DataFrame, window: AnalysisWindow) -> DataFrame:
-    """Distinct workers per cluster and hour."""
-    return (
-        node_timeline.filter(since(F.col("start_time"), window.metrics_start) & ~F.col("driver"))
-        .groupBy(
-            "cluster_id",
-            F.to_date("start_time").alias("usage_date"),
-            F.hour("start_time").alias("usage_hour"),
-        )
-        .agg(F.count_distinct("instance_id").alias("active_workers"))
-    )
-
-
 def autoscaling_clusters(clusters: DataFrame) -> DataFrame:
     """Clusters whose latest configuration leaves room to scale."""
     return (
@@ -493,18 +488,14 @@ def autoscaling_clusters(clusters: DataFrame) -> DataFrame:
 
 
 def autoscale_stats(
-    hourly: DataFrame,
-    clusters: DataFrame,
-    usage: DataFrame,
-    window: AnalysisWindow,
-    limit: int | None = TOP_SCALING,
+    hours: DataFrame, per_cluster: DataFrame, clusters: DataFrame, limit: int | None = TOP_SCALING
 ) -> DataFrame:
     """Observed against configured workers, for the costliest autoscaling clusters.
 
     Hours are summed up per cluster before the configuration joins.
     """
     observed = (
-        hourly.groupBy("cluster_id")
+        hours.groupBy("cluster_id")
         .agg(
             F.avg("active_workers").alias("avg_workers"),
             F.min("active_workers").alias("min_observed_workers"),
@@ -516,7 +507,7 @@ def autoscale_stats(
     )
     stats = (
         observed.join(autoscaling_clusters(clusters), "cluster_id")
-        .join(cluster_dbus(usage, window), "cluster_id", "left")
+        .join(cluster_dbus(per_cluster), "cluster_id", "left")
         .orderBy(F.col("total_dbus").desc_nulls_last(), "cluster_id")
     )
     if limit is not None:

@@ -15,9 +15,10 @@ from . import report
 class Analysis:
     """Lazy results over the bound sources.
 
-    With ``reuse`` the results that many others read are computed once and stored
-    (see ``cut_lineage``). All of them are small: a row per resource, or a top list.
-    Without it every result is one plain plan over the sources.
+    With ``reuse`` the results that several others read are computed once and stored
+    (see ``cut_lineage``): usage is then read four times, node metrics three times for
+    the whole report. What is stored is sums per resource, per cluster and hour, or top
+    lists. Without ``reuse`` every result is one plain plan over the sources.
     """
 
     def __init__(
@@ -66,13 +67,17 @@ class Analysis:
     def projection(self) -> DataFrame:
         return costs.monthly_projection(self.totals, self.window)
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        return self._keep(usage.daily_usage(self.tables["usage"], self.window))
+
     @cached_property
     def tag_coverage(self) -> DataFrame:
-        return self._keep(usage.tag_coverage(usage.tag_usage(self.tables["usage"], self.window)))
+        return usage.tag_coverage(self.daily)
 
     @cached_property
     def by_day(self) -> DataFrame:
-        return self._keep(usage.weekday_usage(self.tables["usage"], self.window))
+        return usage.weekday_usage(self.daily)
 
     @cached_property
     def weekend(self) -> DataFrame:
@@ -81,7 +86,11 @@ class Analysis:
     # ---- clusters and jobs ----------------------------------------------------
     @cached_property
     def cluster_costs(self) -> DataFrame:
-        return self._keep(clusters.interactive_cluster_costs(self.list_priced, self.tables["clusters"]))
+        if self.reuse and not self.tables.has("account_prices"):
+            per_cluster = clusters.cluster_costs_of(self.rollup)
+        else:
+            per_cluster = clusters.cluster_usage_cost(self.list_priced)
+        return self._keep(clusters.interactive_cluster_costs(per_cluster, self.tables["clusters"]))
 
     @cached_property
     def cluster_issues(self) -> DataFrame:
@@ -117,9 +126,13 @@ class Analysis:
         """Node metrics; without them the utilization results have no rows."""
         return self.tables.get_or_empty("node_timeline")
 
+    @cached_property
+    def cluster_usage(self) -> DataFrame:
+        return self._keep(utilization.cluster_usage(self.tables["usage"], self.window))
+
     @cached_property
     def targets(self) -> DataFrame:
-        return self._keep(utilization.target_clusters(self.tables["usage"], self.window, self.top_n))
+        return self._keep(utilization.target_clusters(self.cluster_usage, self.top_n))
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -140,22 +153,20 @@ class Analysis:
     def imbalance(self) -> DataFrame:
         return utilization.driver_worker_imbalance(self.metrics)
 
+    @cached_property
+    def worker_hours(self) -> DataFrame:
+        return self._keep(utilization.worker_hours(self.node_timeline, self.window))
+
     @cached_property
     def idle_clusters(self) -> DataFrame:
         return self._keep(
-            utilization.idle_clusters(
-                self.node_timeline, self.tables["usage"], self.tables["clusters"], self.window
-            )
+            utilization.idle_clusters(self.worker_hours, self.cluster_usage, self.tables["clusters"])
         )
 
     @cached_property
     def autoscale(self) -> DataFrame:
-        hourly = utilization.hourly_workers(self.node_timeline, self.window)
-        return self._keep(
-            utilization.autoscale_verdicts(
-                utilization.autoscale_stats(hourly, self.tables["clusters"], self.tables["usage"], self.window)
-            )
-        )
+        stats = utilization.autoscale_stats(self.worker_hours, self.cluster_usage, self.tables["clusters"])
+        return self._keep(utilization.autoscale_verdicts(stats))
 
     # ---- warehouses -----------------------------------------------------------
     @cached_property

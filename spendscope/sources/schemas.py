@@ -72,7 +72,3 @@ SOURCE_DDL = {
 def schema_of(name: str) -> StructType:
     """The declared schema; parsing DDL needs a running session."""
     return StructType.fromDDL(SOURCE_DDL[name])
-
-
-# Sources an analysis can do without; the operators say what they return then.
-OPTIONAL_SOURCES = ("account_prices", "jobs", "node_timeline")

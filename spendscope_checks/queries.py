@@ -210,8 +210,7 @@ def _(a):
 
 @query("f10_starter_exclusion")
 def _(a):
-    name, cost = F.col("warehouse_name"), F.col("total_cost")
-    return a.warehouses.filter(~ex.is_starter(name)).select("warehouse_id", "warehouse_name", "total_cost")
+    return a.warehouses.filter(~ex.is_starter(F.col("warehouse_name"))).select("warehouse_id", "warehouse_name", "total_cost")
 
 
 # ---- joins --------------------------------------------------------------------
@@ -242,15 +241,12 @@ def _(a):
 
 @query("j5_idle_costs_and_names")
 def _(a):
-    return utilization.idle_clusters(
-        a.tables["node_timeline"], a.tables["usage"], a.tables["clusters"], a.window, limit=None
-    )
+    return utilization.idle_clusters(a.worker_hours, a.cluster_usage, a.tables["clusters"], limit=None)
 
 
 @query("j6_autoscale_costs")
 def _(a):
-    hourly = utilization.hourly_workers(a.tables["node_timeline"], a.window)
-    return utilization.autoscale_stats(hourly, a.tables["clusters"], a.tables["usage"], a.window, limit=None)
+    return utilization.autoscale_stats(a.worker_hours, a.cluster_usage, a.tables["clusters"], limit=None)
 
 
 @query("j7_latest_state_anti_join")
@@ -412,13 +408,12 @@ def _(a):
 
 @query("a16_hourly_workers")
 def _(a):
-    return utilization.hourly_workers(a.tables["node_timeline"], a.window)
+    return a.worker_hours.select("cluster_id", "usage_date", "usage_hour", "active_workers")
 
 
 @query("a17_autoscale_stats")
 def _(a):
-    hourly = utilization.hourly_workers(a.tables["node_timeline"], a.window)
-    return utilization.autoscale_stats(hourly, a.tables["clusters"], a.tables["usage"], a.window)
+    return utilization.autoscale_stats(a.worker_hours, a.cluster_usage, a.tables["clusters"])
 
 
 @query("a18_user_stats")
@@ -701,10 +696,7 @@ def _(a):
 
 @query("c9_autoscale_verdict")
 def _(a):
-    hourly = utilization.hourly_workers(a.tables["node_timeline"], a.window)
-    stats = utilization.autoscale_stats(
-        hourly, a.tables["clusters"], a.tables["usage"], a.window, limit=None
-    )
+    stats = utilization.autoscale_stats(a.worker_hours, a.cluster_usage, a.tables["clusters"], limit=None)
     return utilization.autoscale_verdicts(stats).select("cluster_id", "verdict", "total_dbus", "wasted_dbus_estimate")
 
 

@@ -152,7 +152,8 @@ def test_weekend_waste_limits(frame, weekend, weekday, waste):
 
 
 def test_weekdays_are_named_from_sunday(make, window):
-    by_day = usage.weekday_usage(make("usage", [line(date(2025, 12, 7), "A", "SQL", 1)]), window).first()
+    daily = usage.daily_usage(make("usage", [line(date(2025, 12, 7), "A", "SQL", 1)]), window)
+    by_day = usage.weekday_usage(daily).first()
     assert (by_day.day_of_week, by_day.day_name) == (1, "Sunday")
 
 

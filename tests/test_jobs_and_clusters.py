@@ -120,7 +120,7 @@ def test_job_clusters_are_left_out_of_interactive_costs(frame, make):
         {"cluster_id": "a", "cluster_name": "job-1-run-2", "change_time": datetime(2024, 1, 1)},
         {"cluster_id": "a", "cluster_name": "renamed", "change_time": datetime(2024, 1, 2)},
         {"cluster_id": "b", "cluster_name": "job-1-run-2", "change_time": datetime(2024, 1, 1)}])
-    rows = clusters.interactive_cluster_costs(priced, configs).collect()
+    rows = clusters.interactive_cluster_costs(clusters.cluster_usage_cost(priced), configs).collect()
     assert [(r.cluster_id, r.cluster_name, r.total_cost) for r in rows] == [("a", "renamed", 2.0), ("unknown", None, 1.5)]
 
 

@@ -146,7 +146,9 @@ def test_idle_needs_enough_samples(make):
 
     nodes = make("node_timeline", [
         *samples("idle", 60, 4.9), *samples("brief", 59, 0.0), *samples("busy", 60, 5.0), *samples("driver", 90, 0.0, True)])
-    found = ut.idle_clusters(nodes, make("usage", []), make("clusters", []), SAMPLE_WINDOW).collect()
+    hours = ut.worker_hours(nodes, SAMPLE_WINDOW)
+    none = ut.cluster_usage(make("usage", []), SAMPLE_WINDOW)
+    found = ut.idle_clusters(hours, none, make("clusters", [])).collect()
     assert [(r.cluster_id, r.cluster_name, r.pct_time_idle, r.total_dbus) for r in found] == [("idle", "idle", 100.0, 0.0)]
 
 
@@ -162,8 +164,9 @@ def test_old_versions_do_not_repeat_clusters(make):
          "change_time": datetime(2024, 1, 1 + v)}
         for v in range(3)
     ]
-    hourly = ut.hourly_workers(make("node_timeline", nodes), SAMPLE_WINDOW)
-    rows = ut.autoscale_stats(hourly, make("clusters", versions), make("usage", []), SAMPLE_WINDOW).collect()
+    hours = ut.worker_hours(make("node_timeline", nodes), SAMPLE_WINDOW)
+    none = ut.cluster_usage(make("usage", []), SAMPLE_WINDOW)
+    rows = ut.autoscale_stats(hours, none, make("clusters", versions)).collect()
     assert [(r.cluster_name, r.sample_hours, r.avg_workers, r.max_autoscale_workers) for r in rows] == [("v2", 12, 2.0, 6)]
 
 
