@@ -71,21 +71,20 @@ def exact_percentiles(
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    at_ranks = (
-        counted.withColumn("first_rank", F.col("before") + F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-        .groupBy(*group, *carry, "fraction")
-        .agg(
-            F.max(F.when(_covers("first_rank", "n", "low"), F.col("value"))).alias("low_value"),
-            F.max(F.when(_covers("first_rank", "n", "high"), F.col("value"))).alias("high_value"),
-            F.max(F.col("position") - F.col("low")).alias("share"),
-        )
+    ranked = counted.withColumn(
+        "first_rank", F.col("before") + F.coalesce(F.sum("n").over(smaller), F.lit(0))
     )
-    between = F.col("low_value") + (F.col("high_value") - F.col("low_value")) * F.col("share")
-    return at_ranks.groupBy(*keys, *carry).agg(
+
+    def at(metric: str, fraction: float) -> Column:
+        here = (F.col("metric") == metric) & (F.col("fraction") == fraction)
+        low = F.max(F.when(here & _covers("first_rank", "n", "low"), F.col("value")))
+        high = F.max(F.when(here & _covers("first_rank", "n", "high"), F.col("value")))
+        share = F.max(F.when(here, F.col("position") - F.col("low")))
+        return low + (high - low) * share
+
+    return ranked.groupBy(*keys, *carry).agg(
         *[
-            F.max(F.when((F.col("metric") == metric) & (F.col("fraction") == p), between)).alias(
-                f"{metric}_p{round(p * 100)}"
-            )
+            at(metric, p).alias(f"{metric}_p{round(p * 100)}")
             for metric, points in fractions.items()
             for p in points
         ]
