@@ -1,12 +1,13 @@
 """The source tables, derived from the TPC-H-like test data.
 
-``VIEWS`` is flat SQL that Spark and DuckDB both accept unchanged, so that the
-correctness check and the engine start from the same rows. ``sample_tables`` wraps
+``VIEWS`` is flat SQL that Spark and DuckDB both accept, so that the correctness check
+and the engine start from the same rows. ``sample_tables`` wraps
 the flat views into the nested shapes of the real sources.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +37,18 @@ SELECT DATE '2024-01-01' + CAST(l_orderkey % 30 AS INT) AS usage_date,
  CASE WHEN l_linestatus = 'O' OR l_returnflag = 'A' THEN 0 ELSE 1 END AS tag_count FROM {lineitem}
 """,
     "list_prices": """
-SELECT 'SKU_' || CAST(p_partkey AS VARCHAR(9)) AS sku_name, CASE v.n WHEN 0 THEN TIMESTAMP '2023-01-01 00:00:00' ELSE TIMESTAMP '2024-01-16 00:00:00' END AS price_start_time, CASE v.n WHEN 0 THEN TIMESTAMP '2024-01-16 00:00:00' END AS price_end_time, (p_size + 5*v.n)/100.0 AS price FROM {part} CROSS JOIN (VALUES (0),(1)) v(n) WHERE p_partkey < 24
+SELECT 'SKU_' || CAST(p_partkey AS VARCHAR(9)) AS sku_name, CASE n WHEN 0 THEN TIMESTAMP '2023-01-01 00:00:00' ELSE TIMESTAMP '2024-01-16 00:00:00' END AS price_start_time, CASE n WHEN 0 THEN TIMESTAMP '2024-01-16 00:00:00' END AS price_end_time, (p_size + 5*n)/100.0 AS price FROM {part_versions} WHERE p_partkey < 24
 """,
     "clusters": """
-SELECT 'cluster-' || CAST(s_suppkey AS VARCHAR(9)) AS cluster_id, CASE WHEN s_suppkey % 5 = 0 THEN 'job-' || CAST(s_suppkey AS VARCHAR(9)) || '-run-1' ELSE s_name END AS cluster_name, s_name AS owned_by, TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * v.n AS change_time,
- CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 25 END AS worker_count, CASE WHEN s_suppkey % 4 <> 0 THEN 1 + s_suppkey % 4 - v.n*(s_suppkey % 2) END AS min_autoscale_workers, CASE WHEN s_suppkey % 4 <> 0 THEN CASE WHEN s_suppkey % 12 = 5 OR s_suppkey % 24 = 1 THEN 3 ELSE 3 + s_suppkey % 12 END END AS max_autoscale_workers,
- CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 30 END AS auto_termination_minutes, CASE s_suppkey % 3 WHEN 0 THEN 'SPOT' WHEN 1 THEN 'ON_DEMAND' END AS aws_availability, CASE WHEN s_suppkey % 6 = 2 THEN 'SPOT_AZURE' END AS azure_availability FROM {supplier} CROSS JOIN (VALUES (0),(1)) v(n)
+SELECT 'cluster-' || CAST(s_suppkey AS VARCHAR(9)) AS cluster_id, CASE WHEN s_suppkey % 5 = 0 THEN 'job-' || CAST(s_suppkey AS VARCHAR(9)) || '-run-1' ELSE s_name END AS cluster_name, s_name AS owned_by, TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * n AS change_time,
+ CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 25 END AS worker_count, CASE WHEN s_suppkey % 4 <> 0 THEN 1 + s_suppkey % 4 - n*(s_suppkey % 2) END AS min_autoscale_workers, CASE WHEN s_suppkey % 4 <> 0 THEN CASE WHEN s_suppkey % 12 = 5 OR s_suppkey % 24 = 1 THEN 3 ELSE 3 + s_suppkey % 12 END END AS max_autoscale_workers,
+ CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 30 END AS auto_termination_minutes, CASE s_suppkey % 3 WHEN 0 THEN 'SPOT' WHEN 1 THEN 'ON_DEMAND' END AS aws_availability, CASE WHEN s_suppkey % 6 = 2 THEN 'SPOT_AZURE' END AS azure_availability FROM {supplier_versions}
 """,
     "node_timeline": """
-SELECT 'cluster-' || CAST(user_id AS VARCHAR(9)) AS cluster_id, 'i-' || CAST(v.n AS VARCHAR(9)) AS instance_id, v.n = 0 AS driver, ts AS start_time,
- CASE WHEN v.n = 0 THEN (CASE WHEN value > 75 THEN 75 ELSE value END) * ((user_id + 1) % 3) / 1.7 WHEN user_id % 10 = 7 THEN 45 + value % 20 ELSE (CASE WHEN value > 60 THEN 60 ELSE value END) * (user_id % 4) / 2.5 END AS cpu_user_percent, value % 3 AS cpu_system_percent, value % (CASE WHEN user_id % 6 = 0 THEN 40 ELSE 10 END) AS cpu_wait_percent,
- CASE WHEN v.n = 0 THEN 60 + value % 40 WHEN user_id % 10 = 7 THEN 72 + value % 10 ELSE LEAST(100.0, (user_id % 5) * 12 + value % (10 + 14 * (user_id % 5))) END AS mem_used_percent, CASE WHEN user_id % 11 = 0 THEN value % 3 ELSE 0 END AS mem_swap_percent
- FROM {events} CROSS JOIN (VALUES (0),(1),(2),(3)) v(n) WHERE v.n <= 1 + user_id % 3
+SELECT 'cluster-' || CAST(user_id AS VARCHAR(9)) AS cluster_id, 'i-' || CAST(n AS VARCHAR(9)) AS instance_id, n = 0 AS driver, ts AS start_time,
+ CASE WHEN n = 0 THEN (CASE WHEN value > 75 THEN 75 ELSE value END) * ((user_id + 1) % 3) / 1.7 WHEN user_id % 10 = 7 THEN 45 + value % 20 ELSE (CASE WHEN value > 60 THEN 60 ELSE value END) * (user_id % 4) / 2.5 END AS cpu_user_percent, value % 3 AS cpu_system_percent, value % (CASE WHEN user_id % 6 = 0 THEN 40 ELSE 10 END) AS cpu_wait_percent,
+ CASE WHEN n = 0 THEN 60 + value % 40 WHEN user_id % 10 = 7 THEN 72 + value % 10 ELSE LEAST(100.0, (user_id % 5) * 12 + value % (10 + 14 * (user_id % 5))) END AS mem_used_percent, CASE WHEN user_id % 11 = 0 THEN value % 3 ELSE 0 END AS mem_swap_percent
+ FROM {event_nodes} WHERE n <= 1 + user_id % 3
 """,
     "warehouses": """
 SELECT 'wh-' || CAST(n_nationkey AS VARCHAR(9)) AS warehouse_id, CASE WHEN n_nationkey = 3 THEN 'Starter Warehouse' ELSE n_name END AS warehouse_name, CASE n_nationkey % 3 WHEN 0 THEN 'CLASSIC' WHEN 1 THEN 'PRO' ELSE 'SERVERLESS' END AS warehouse_type, CASE n_nationkey % 5 WHEN 0 THEN 'Small' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Large' WHEN 3 THEN '2X-Large' ELSE '3X-Large' END AS warehouse_size, 1 + n_nationkey % 3 AS min_clusters, 3 + n_nationkey % 3 AS max_clusters, CASE n_nationkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN 45 ELSE 120 END AS auto_stop_minutes FROM {nation}
@@ -61,21 +62,44 @@ SELECT o_orderkey AS statement_id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED
  CASE WHEN o_orderkey % 9 = 0 THEN CAST(FLOOR(o_totalprice * 100) AS BIGINT) * (o_custkey % 13) * 10 ELSE 0 END AS spilled_local_bytes, CASE WHEN o_orderkey % 5 = 0 THEN CAST(FLOOR(o_totalprice * 2000) AS BIGINT) ELSE 0 END AS shuffle_read_bytes FROM {orders}
 """,
     "jobs": """
-SELECT 'job-' || CAST(c_custkey AS VARCHAR(9)) AS job_id, c_custkey % 3 AS workspace_id, c_name AS name, c_name AS creator_user_name, TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * v.n AS change_time FROM {customer} CROSS JOIN (VALUES (0),(1)) v(n) WHERE c_custkey < 40
+SELECT 'job-' || CAST(c_custkey AS VARCHAR(9)) AS job_id, c_custkey % 3 AS workspace_id, c_name AS name, c_name AS creator_user_name, TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * n AS change_time FROM {customer_versions} WHERE c_custkey < 40
 """,
     "job_run_timeline": """
 SELECT 'job-' || CAST(o_custkey % 40 AS VARCHAR(9)) AS job_id, o_orderkey AS run_id, CASE WHEN o_orderkey % 17 = 3 THEN NULL WHEN o_orderkey % (4 + o_custkey % 40) = 0 THEN 'FAILED' WHEN o_orderkey % 53 = 5 THEN 'TIMEDOUT' WHEN o_orderkey % 59 = 5 THEN 'CANCELED' WHEN o_orderkey % 61 = 5 THEN 'SKIPPED' ELSE 'SUCCESS' END AS result_state, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (o_orderkey * 7 % 43200) AS period_start_time, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (o_orderkey * 7 % 43200) + INTERVAL '1' SECOND * (CASE WHEN o_custkey % 4 = 0 THEN 30 + o_orderkey % 20 ELSE o_orderkey % 2000 END) AS period_end_time FROM {orders}
 """,
 }
 
-BASE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+PLAIN_TABLES = ("nation", "orders", "lineitem", "events")
+# Tables whose rows appear several times, numbered ``n`` from 0.
+NUMBERED_TABLES = {
+    "part_versions": ("part", 2),
+    "supplier_versions": ("supplier", 2),
+    "customer_versions": ("customer", 2),
+    "event_nodes": ("events", 4),
+}
+
+
+def view_sql(name: str, table: Callable[[str], str], numbers: Callable[[int], str]) -> str:
+    """The text of a view, given how an engine names a table and unnests 0 to n - 1."""
+    sources = {t: table(t) for t in PLAIN_TABLES}
+    for numbered, (t, times) in NUMBERED_TABLES.items():
+        sources[numbered] = f"(SELECT *, {numbers(times)} AS n FROM {table(t)})"
+    return VIEWS[name].format(**sources).strip()
 
 
 def sample_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
     """All sources but ``account_prices``, over the parquet files in ``sf_dir``."""
     configure(spark)
-    files = {name: f"parquet.`{sf_dir}/{name}.parquet`" for name in BASE_TABLES}
-    flat = {name: spark.sql(sql.format(**files)) for name, sql in VIEWS.items()}
+    flat = {
+        name: spark.sql(
+            view_sql(
+                name,
+                table=lambda t: f"parquet.`{sf_dir}/{t}.parquet`",
+                numbers=lambda times: f"explode(sequence(0, {times - 1}))",
+            )
+        )
+        for name in VIEWS
+    }
     return SourceTables(spark, {name: _conform(name, nest(flat[name])) for name, nest in _NEST.items()})
 
 

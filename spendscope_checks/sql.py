@@ -12,7 +12,7 @@ from spendscope.operators.rules import RULES
 from spendscope.operators.utilization import (
     ACTIONS, IO_SUFFIX, ON_SPOT_SUFFIX, SPIKE_SUFFIX, SWAP_PREFIX, TRY_SPOT_SUFFIX,
 )
-from spendscope.sources.sample_tables import BASE_TABLES, VIEWS
+from spendscope.sources.sample_tables import VIEWS, view_sql
 
 START, END = "DATE '2024-01-01'", "DATE '2024-01-30'"
 START_TS, END_TS = "TIMESTAMP '2024-01-01 00:00:00'", "TIMESTAMP '2024-01-30 00:00:00'"
@@ -32,7 +32,7 @@ def money(x: str) -> str:
 
 
 PARTS: dict[str, str] = {
-    name: sql.format(**{t: t for t in BASE_TABLES}).strip() for name, sql in VIEWS.items()
+    name: view_sql(name, table=str, numbers=lambda times: f"unnest(range({times}))") for name in VIEWS
 }
 
 # ---- usage --------------------------------------------------------------------

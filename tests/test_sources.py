@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from spendscope.plans.analysis import Analysis
 from spendscope.sources import profile, sinks
@@ -29,6 +30,21 @@ def test_wider_and_decimal_tables_are_fine(spark, sample):
     assert Analysis(tables, SAMPLE_WINDOW).totals.first() == Analysis(sample, SAMPLE_WINDOW).totals.first()
 
 
+def test_zoned_time_stamps_are_fine(sample):
+    """Sources may hold time stamps with a zone; the session zone is UTC."""
+    zoned = lambda df: df.select(*[
+        F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else f.name
+        for f in df.schema.fields])
+    tables = sample
+    for name in ("usage", "list_prices", "warehouse_events", "query_history", "job_run_timeline"):
+        tables = tables.with_table(name, zoned(tables[name]))
+    a, b = Analysis(tables, SAMPLE_WINDOW), Analysis(sample, SAMPLE_WINDOW)
+    for name in ("totals", "run_metrics", "user_stats"):
+        assert sorted(map(str, getattr(a, name).collect())) == sorted(map(str, getattr(b, name).collect())), name
+    for name in ("long_running", "upscaled"):
+        assert getattr(a, name).drop("event_time").collect() == getattr(b, name).drop("event_time").collect(), name
+
+
 def test_missing_sources(sample):
     less = sample.without("jobs", "node_timeline")
     assert not less.has("jobs")
