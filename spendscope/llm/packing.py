@@ -29,7 +29,7 @@ OPEN_SEQUENCES = 64
 SMALLEST_CUT = 16
 END_ID = 2
 MERGED = 256
-# Words whose ids a Python worker remembers.
+# Words and parts of words whose ids a Python worker remembers.
 CACHED_WORDS = 1 << 20
 
 
@@ -107,33 +107,97 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=4)
-def _remembered(path: str) -> dict[bytes, bytes]:
-    return {}
+# Marks that end a word's last piece, whatever follows them; an apostrophe may open a piece.
+_MARKS = bytes(sorted(set(range(0x21, 0x7F)) - {ord("'")} - set(b"0123456789") - {*range(65, 91), *range(97, 123)}))
+_JOINED = 1024
 
 
-def token_ids(texts: list[bytes], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text by a tokenizer that drops white space between words.
+class WordIds:
+    """Ids of words by a tokenizer that drops white space between words and marks their ends.
 
-    Its normalisation and its splitting never reach over ASCII white space, so the ids of a
-    text are those of its words, one after the other; each word is encoded once.
+    Its normalisation and its splitting never reach over ASCII white space, nor from a letter to
+    the marks behind it, so the ids of a text are those of such parts, one after the other. Each
+    is encoded once; the first CACHED_WORDS words and parts are remembered.
     """
-    known, tokenizer = _remembered(path), _tokenizer(path)
-    for text in texts:
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        once = {}
-        if new:
-            encoded = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            once = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, encoded)}
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _split(word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(_MARKS)
+        if core.isalnum():  # of ASCII only
+            return core.lower(), word[len(core) :]
+        if core and core.decode()[-1].isalpha():
+            return core, word[len(core) :]
+        return word, b""
+
+    def _alone(self, part: bytes) -> bytes:
+        encoded = self.tokenizer.encode_batch_fast([part.decode()], add_special_tokens=False)
+        return np.array(encoded[0].ids, np.uint32).tobytes()
+
+    def _encoded(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Parts of letters only are one piece each; many are encoded in one go and cut at their ends."""
+        letters, found = [], {}
+        for part in parts:
+            if part.isalpha() or part.decode().isalpha():
+                letters.append(part)
+            else:
+                found[part] = self._alone(part)
+        for k in range(0, len(letters), _JOINED):
+            some = letters[k : k + _JOINED]
+            text = b" ".join(some).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(some):
+                data, ends = ids.tobytes(), (4 * cuts).tolist()
+                found.update((p, data[a:b]) for p, a, b in zip(some, [0, *ends], ends))
+            else:
+                found.update((part, self._alone(part)) for part in some)
+        return found
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        split = [self._split(word) for word in words]
+        parts = dict.fromkeys(part for pair in split for part in pair if part and part not in self.parts)
+        found = self._encoded(list(parts))
+        if len(self.parts) < CACHED_WORDS:
+            self.parts.update(found)
+        known = self.parts
+        return {
+            word: b"".join([found[p] if p in found else known[p] for p in pair if p]) for word, pair in zip(words, split)
+        }
+
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text; about a megabyte of texts is looked up at a time."""
+        at = 0
+        while at < len(texts):
+            words, size = [], 0
+            while at < len(texts) and size < 1 << 20:
+                words.append(texts[at].split())
+                size += len(texts[at])
+                at += 1
+            known = self.words
+            new = self._new(list(set().union(*words).difference(known)))
             if len(known) < CACHED_WORDS:
-                known.update(once)
-                once = {}
-        if once:
-            joined = b"".join([once[w] if w in once else known[w] for w in words])
-        else:
-            joined = b"".join([known[w] for w in words])
-        yield np.frombuffer(joined, np.uint32)
+                known.update(new)
+                new = {}
+            for ws in words:
+                if new:
+                    joined = b"".join([new[w] if w in new else known[w] for w in ws])
+                else:
+                    joined = b"".join(map(known.__getitem__, ws))
+                yield np.frombuffer(joined, np.uint32)
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker."""
+    return WordIds(path)
 
 
 _ROWS = (
@@ -173,7 +237,7 @@ def _pack_texts(batches: Iterable[pa.RecordBatch], path: str, end_id: int, lengt
     packer, done = Packer(length, windows), 0
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        for doc_id, ids in zip(batch.column(0).to_pylist(), token_ids(texts, path)):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), word_ids(path).ids(texts)):
             ids = np.append(ids, np.uint32(end_id))
             packer.add(Piece(doc_id, 0, len(ids), ids))
         yield _rows(packer.emitted, _first_id(0, task) + done, task, False)

@@ -29,6 +29,7 @@ from spendscope.llm.textwords import (
     planes,
     rolling_hashes,
     sorted_groups,
+    task_count,
     text_slices,
     unplanes,
     window_owners,
@@ -42,8 +43,9 @@ SHINGLE_WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 # Rows that one task gathers before it hands them on.
 FLUSH_ROWS = 1 << 20
-# Bytes of text whose shingles meet in one task.
-BUCKET_BYTES = 16 << 20
+# Bytes of text whose shingles are compared at once, and those that a task compares one after the other.
+BUCKET_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
 # Classes whose sets are compared in one task; larger blocks are cut into pairs of such parts.
 BLOCK_CLASSES = 4096
 FANOUT = 8
@@ -394,10 +396,6 @@ def _blocks(candidates: DataFrame) -> DataFrame:
     )
 
 
-def task_count(spark, size: int, per_task: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_task))
-
-
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -422,15 +420,15 @@ def jaccard_components(
     rows = cut_lineage(
         known.mapInArrow(partial(_classes, words=words), "row long, n_shingles long, class_key long")
     )
-    buckets = task_count(spark, size, BUCKET_BYTES)
+    tasks, buckets = task_count(spark, size, TASK_BYTES), task_count(spark, size, BUCKET_BYTES)
     shards = known.mapInArrow(partial(_shards, words=words, buckets=buckets), _SHARD)
     shared = (
-        shards.repartition(buckets, "bucket")
+        shards.repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(partial(_shared, buckets=buckets), _SHARED)
     )
     candidates = cut_lineage(
-        shared.repartition(buckets, "bucket")
+        shared.repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(partial(_candidates, numerator=numerator, denominator=denominator), _CANDIDATE)
     )
@@ -439,7 +437,7 @@ def jaccard_components(
         _blocks(candidates)
         .join(candidates.select("class_key", "n_shingles", "shingles"), "class_key")
         .select(*where, "part", "class_key", "n_shingles", "shingles")
-        .repartition(buckets, *where)
+        .repartition(tasks, *where)
         .sortWithinPartitions(*where)
         .mapInArrow(partial(_block_links, numerator=numerator, denominator=denominator), "a long, b long")
     )

@@ -53,7 +53,77 @@ SELECT doc_id, n::BIGINT AS n_words, removed::BIGINT AS n_removed,
   sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
 """
 
+ARCHIVES = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(p.h, 1 + 5 * (i // 4), 5))::INT >> (5 * (3 - i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN d ON d.h = p.h
+"""
+
+# In double precision, as the sums run in another order, a cosine within rounding of the threshold could differ.
+VECTORS = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+    AND list_contains(list_transform(embedding, lambda x: x <> 0), true)
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.9
+), nodes AS (SELECT vec_id AS node FROM embeddings), {_REACHED}
+SELECT n.node AS vec_id, (SELECT count(*) FROM links WHERE a = n.node) AS n_links, min(r.other) AS component_id,
+  n.node = min(r.other) AS kept
+FROM nodes n JOIN reached r ON r.node = n.node GROUP BY n.node
+"""
+
+SEARCH = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), stats AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM words),
+tf AS (
+  SELECT doc_id, len(w) AS length, t AS term, count(*)::DOUBLE AS tf
+  FROM (SELECT doc_id, w, unnest(w) AS t FROM words) GROUP BY ALL
+), df AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS weight FROM tf, stats GROUP BY term),
+scores AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+    round(sum(weight * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * d.length / mean))), 6) AS score
+  FROM tf q JOIN tf d ON q.term = d.term JOIN df ON df.term = q.term, stats
+  WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, d.doc_id
+)
+SELECT query_id, row_number() OVER best AS rank, doc_id, score FROM scores
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY rank <= 10
+"""
+
+# A turn adds its marks, two line ends and a mark for each "<" that a "|" or a backslash follows.
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL
+  SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), s AS (
+  SELECT *, length('<|im_start|><|im_end|>') + 2 + length(role) + length(text)
+    + len(regexp_extract_all(role, '<[|\\]')) + len(regexp_extract_all(text, '<[|\\]')) AS size FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_archive_conversion": ARCHIVES,
+    "op4_vector_dedup": VECTORS,
     "op5_jaccard_join": JACCARD,
+    "op6_bm25_search": SEARCH,
+    "op8_chat_format": CHAT,
     "op10_substring_dedup": SUBSTRINGS,
 }

@@ -12,6 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -176,3 +177,8 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: int = 1) -> Iterator[
                 held, key, start = [], here, row
     if held:
         yield key, pa.Table.from_batches(held)
+
+
+def task_count(spark: SparkSession, size: int, each: int) -> int:
+    """How many tasks to deal ``size`` bytes to, at about ``each`` at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))

@@ -24,6 +24,7 @@ from spendscope.llm.textwords import (
     planes,
     rolling_hashes,
     sorted_groups,
+    task_count,
     text_slices,
     unplanes,
     window_owners,
@@ -33,7 +34,9 @@ from spendscope.llm.textwords import (
 
 WINDOW_WORDS = 50
 FLUSH_ROWS = 1 << 21
-BUCKET_BYTES = 16 << 20
+# Bytes of text whose windows are compared at once, and those that a task compares one after the other.
+BUCKET_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
 
 # Buckets below the number of buckets hold (document, hash) that are still to be compared,
 # the ones from there on hold found repeats, by document.
@@ -140,14 +143,15 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, length: int =
     texts = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     texts = texts.where("row is not null and text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    spark = docs.sparkSession
+    tasks, buckets = task_count(spark, size, TASK_BYTES), task_count(spark, size, BUCKET_BYTES)
     shards = texts.mapInArrow(partial(_shards, length=length, buckets=buckets), _SHARD)
     found = (
-        shards.repartition(buckets, "bucket")
+        shards.repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(partial(_repeats, buckets=buckets), _SHARD)
     )
-    dealt = found.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = found.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_by_document, "row long, hashes binary")
 
 
