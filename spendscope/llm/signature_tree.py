@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from spendscope.llm.components import components
 from spendscope.llm.textwords import (
     by_bucket,
+    from_small_index,
     mixed,
     planes,
     rolling_hashes,
+    small_index,
     sorted_groups,
     task_count,
     text_slices,
@@ -41,8 +43,11 @@ from spendscope.session import cut_lineage
 SHINGLE_WORDS = 5
 # Links need NUMERATOR * union <= DENOMINATOR * intersection.
 NUMERATOR, DENOMINATOR = 3, 4
-# Rows that one task gathers before it hands them on.
-FLUSH_ROWS = 1 << 20
+# Shingles that one task gathers before it hands them on.
+FLUSH_ROWS = 1 << 19
+# Sizes are those of sets of 64-bit hashes. Members of two sets are compared by 48 of these bits:
+# enough between two texts, and what goes through the shuffle is a third smaller.
+DROPPED_BITS = 16
 # Bytes of text whose shingles are compared at once, and those that a task compares one after the other.
 BUCKET_BYTES = 4 << 20
 TASK_BYTES = 16 << 20
@@ -94,7 +99,7 @@ def _shards(batches: Iterable[pa.RecordBatch], words: int, buckets: int) -> Iter
     """Shingles by bucket, packed: each class once for each task's share of the texts."""
 
     def packed() -> pa.RecordBatch:
-        shingles = np.concatenate(sets)
+        shingles = np.concatenate(sets) >> np.uint64(DROPPED_BITS)
         owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
         rows = []
         for bucket, at in by_bucket(shingles, buckets):
@@ -104,8 +109,8 @@ def _shards(batches: Iterable[pa.RecordBatch], words: int, buckets: int) -> Iter
                     bucket,
                     np.array(list(held), np.int64)[own].tobytes(),
                     np.array([len(sets[k]) for k in own], np.int32).tobytes(),
-                    local.astype(np.uint32).tobytes(),
-                    planes(shingles[at]),
+                    small_index(local, len(own)),
+                    planes(shingles[at] // np.uint64(buckets)),  # the bucket is the remainder
                 )
             )
         return pa.RecordBatch.from_pylist(
@@ -140,13 +145,14 @@ _SHARED = "bucket int, classes binary, sizes binary, owner binary, shingles bina
 
 def _shared(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The shingles that several classes have, dealt anew by class."""
-    for _, table in sorted_groups(batches):
+    for (bucket,), table in sorted_groups(batches):
         classes, sizes, shingles = [], [], []
         for row in table.to_pylist():
-            local = np.frombuffer(row["owner"], np.uint32)
-            classes.append(np.frombuffer(row["classes"], np.int64)[local])
+            own = np.frombuffer(row["classes"], np.int64)
+            local = from_small_index(row["owner"], len(own))
+            classes.append(own[local])
             sizes.append(np.frombuffer(row["sizes"], np.int32)[local])
-            shingles.append(unplanes(row["shingles"]))
+            shingles.append(unplanes(row["shingles"]) * np.uint64(buckets) + np.uint64(bucket))
         key, size, value = np.concatenate(classes), np.concatenate(sizes), np.concatenate(shingles)
         order = np.argsort(value, kind="stable")
         key, size, value = key[order], size[order], value[order]
@@ -170,9 +176,10 @@ def _shared(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
                     "bucket": bucket,
                     "classes": own.tobytes(),
                     "sizes": size[at][first].tobytes(),
-                    "owner": local.astype(np.uint32).tobytes(),
-                    "shingles": value[at].tobytes(),
-                    "spread": np.minimum(spread[at], np.iinfo(np.uint32).max).astype(np.uint32).tobytes(),
+                    "owner": small_index(local, len(own)),
+                    "shingles": planes(value[at]),
+                    # Only the order matters, and that all tasks see the same number.
+                    "spread": np.minimum(spread[at], np.iinfo(np.uint16).max).astype(np.uint16).tobytes(),
                 }
             )
         yield pa.RecordBatch.from_pylist(rows, _schema(_SHARED))
@@ -190,11 +197,12 @@ def _candidates(batches: Iterable[pa.RecordBatch], numerator: int, denominator:
     for _, table in sorted_groups(batches):
         key, size, value, spread = [], [], [], []
         for row in table.to_pylist():
-            local = np.frombuffer(row["owner"], np.uint32)
-            key.append(np.frombuffer(row["classes"], np.int64)[local])
+            own = np.frombuffer(row["classes"], np.int64)
+            local = from_small_index(row["owner"], len(own))
+            key.append(own[local])
             size.append(np.frombuffer(row["sizes"], np.int32)[local])
-            value.append(np.frombuffer(row["shingles"], np.uint64))
-            spread.append(np.frombuffer(row["spread"], np.uint32))
+            value.append(unplanes(row["shingles"]))
+            spread.append(np.frombuffer(row["spread"], np.uint16))
         key, size, value, spread = map(np.concatenate, (key, size, value, spread))
         order = np.lexsort((value, spread, key))
         key, size, value, spread = key[order], size[order].astype(np.int64), value[order], spread[order]
@@ -223,7 +231,7 @@ class SignatureTree:
         order = sorted(range(len(sets)), key=lambda k: (int(sets[k][0]), int(sizes[k]), int(keys[k])))
         self.keys, self.sizes = keys[order], sizes[order]
         self.sets = [sets[k] for k in order]
-        shift = np.uint64(64 - bits.bit_length() + 1)
+        shift = np.uint64(64 - DROPPED_BITS - bits.bit_length() + 1)
         marks = np.zeros((len(sets), bits), bool)
         for row, one in zip(marks, self.sets):
             row[one >> shift] = True
@@ -411,7 +419,8 @@ def jaccard_components(
     denominator * intersection >= numerator * union. A null or wordless text has an empty set and
     links with nothing. Rows that repeat an id are rows of their own. A row without an id keeps
     its n_shingles, has a null component and is linked with nothing. Other columns don't matter.
-    Shingles are told apart by 64-bit hashes.
+    Shingles of one text
+    are told apart by 64-bit hashes, those of two texts by 48 of their bits.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))

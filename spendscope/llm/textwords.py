@@ -62,8 +62,8 @@ class _Powers:
 _FORWARD, _BACKWARD = _Powers(_BASE), _Powers(_INVERSE)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[Slice]:
-    """Batches of (id, text) as slices; a null text is an empty one. Ids must not be null."""
+def text_slices(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[Slice]:
+    """Batches of (id, text) as slices of ``most`` texts at most; a null text is an empty one. Ids must not be null."""
     for batch in batches:
         text = pc.fill_null(batch.column(1), "").cast(pa.large_string())
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -73,7 +73,7 @@ def text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[Slice]:
         first = 0
         while first < len(text):
             last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
-            last = min(max(last, first + 1), len(text))
+            last = min(max(last, first + 1), first + most, len(text))
             here = offsets[first : last + 1]
             yield Slice(ids[first:last], whole[here[0] : here[-1]], here - here[0])
             first = last
@@ -137,6 +137,19 @@ def window_owners(bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return first, owner
 
 
+def small_index(values: np.ndarray, size: int) -> bytes:
+    """Numbers below ``size`` in as few bytes as it allows."""
+    return values.astype(_index_type(size)).tobytes()
+
+
+def from_small_index(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, _index_type(size))
+
+
+def _index_type(size: int) -> type:
+    return np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def planes(values: np.ndarray) -> bytes:
     """64-bit values byte by byte: all lowest bytes, ..., all highest ones. Sorted values shrink so."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()

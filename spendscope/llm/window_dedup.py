@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from spendscope.llm.textwords import (
     Slice,
     by_bucket,
+    from_small_index,
     planes,
     rolling_hashes,
+    small_index,
     sorted_groups,
     task_count,
     text_slices,
@@ -33,10 +35,14 @@ from spendscope.llm.textwords import (
 )
 
 WINDOW_WORDS = 50
-FLUSH_ROWS = 1 << 21
+# Texts and windows that a task compares before it hands them on.
+FLUSH_TEXTS = 256
+FLUSH_ROWS = 1 << 18
 # Bytes of text whose windows are compared at once, and those that a task compares one after the other.
 BUCKET_BYTES = 4 << 20
 TASK_BYTES = 16 << 20
+# Rows that are cut at once.
+CUT_ROWS = 512
 
 # Buckets below the number of buckets hold (document, hash) that are still to be compared,
 # the ones from there on hold found repeats, by document.
@@ -45,29 +51,29 @@ _FIELDS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("owner", pa
 
 
 def _packed(docs: np.ndarray, hashes: np.ndarray, keys: np.ndarray, buckets: int, first: int) -> list[dict]:
+    """Rows of a bucket each; where the hashes are the keys, the bucket is their remainder and is left out of them."""
     rows = []
     for bucket, at in by_bucket(keys, buckets):
         at = at[np.argsort(hashes[at], kind="stable")]
         own, local = np.unique(docs[at], return_inverse=True)
-        small = np.uint16 if len(own) <= 1 << 16 else np.uint32
+        kept = hashes[at] if first else hashes[at] // np.uint64(buckets)
         rows.append(
             {
                 "bucket": first + bucket,
                 "docs": own.tobytes(),
-                "owner": local.astype(small).tobytes(),
-                "hashes": planes(hashes[at]),
+                "owner": small_index(local, len(own)),
+                "hashes": planes(kept),
             }
         )
     return rows
 
 
-def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(rows: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     docs, hashes = [], []
     for row in rows:
         own, values = np.frombuffer(row["docs"], np.int64), unplanes(row["hashes"])
-        small = np.uint16 if len(own) <= 1 << 16 else np.uint32
-        docs.append(own[np.frombuffer(row["owner"], small)])
-        hashes.append(values)
+        docs.append(own[from_small_index(row["owner"], len(own))])
+        hashes.append(values if row["bucket"] >= buckets else values * np.uint64(buckets) + np.uint64(row["bucket"]))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
@@ -88,7 +94,7 @@ def _doc_keys(docs: np.ndarray) -> np.ndarray:
 
 def _shards(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = 0
+    texts = rows = 0
 
     def flushed() -> pa.RecordBatch:
         docs, hashes, least = _least_first(*(np.concatenate(x) for x in zip(*held)))
@@ -97,16 +103,19 @@ def _shards(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> Ite
         out += _packed(*repeat, _doc_keys(repeat[0]), buckets, buckets)
         return pa.RecordBatch.from_pylist(out, _FIELDS)
 
-    for part in text_slices(batches):
+    for part in text_slices(batches, FLUSH_TEXTS):
+        if held and texts + len(part.ids) > FLUSH_TEXTS:
+            yield flushed()
+            held, texts, rows = [], 0, 0
         starts, ends, bounds = word_spans(part)
         windows = rolling_hashes(word_hashes(part, starts, ends, lower=False), length)
         first, owner = window_owners(bounds, length)
         if len(first):
             held.append((part.ids[owner], windows[first]))
-            rows += len(first)
+            texts, rows = texts + len(part.ids), rows + len(first)
         if rows >= FLUSH_ROWS:
             yield flushed()
-            held, rows = [], 0
+            held, texts, rows = [], 0, 0
     if held:
         yield flushed()
 
@@ -117,15 +126,15 @@ def _repeats(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
         if bucket >= buckets:
             yield from table.to_batches()
             continue
-        docs, hashes, least = _least_first(*_unpacked(table.to_pylist()))
+        docs, hashes, least = _least_first(*_unpacked(table.to_pylist(), buckets))
         docs, hashes = docs[~least], hashes[~least]
         if len(docs):
             yield pa.RecordBatch.from_pylist(_packed(docs, hashes, _doc_keys(docs), buckets, buckets), _FIELDS)
 
 
-def _by_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_document(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for _, table in sorted_groups(batches):
-        docs, hashes, _ = _least_first(*_unpacked(table.to_pylist()))
+        docs, hashes, _ = _least_first(*_unpacked(table.to_pylist(), buckets))
         order = np.argsort(docs, kind="stable")
         docs, hashes = docs[order], hashes[order]
         cuts = np.r_[np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]), len(docs)]
@@ -152,7 +161,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, length: int =
         .mapInArrow(partial(_repeats, buckets=buckets), _SHARD)
     )
     dealt = found.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_by_document, "row long, hashes binary")
+    return dealt.mapInArrow(partial(_by_document, buckets=buckets), "row long, hashes binary")
 
 
 def removed_words(words: list[bytes], hashes: np.ndarray, length: int) -> np.ndarray:
@@ -171,7 +180,7 @@ def removed_words(words: list[bytes], hashes: np.ndarray, length: int) -> np.nda
 
 def _cut(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Adds the results to the rows; the first two columns are the text and its hashes."""
-    for batch in batches:
+    for batch in (b.slice(at, CUT_ROWS) for b in batches for at in range(0, b.num_rows, CUT_ROWS)):
         n_words, n_removed, spans, kept = [], [], [], []
         for text, data in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
             words = (text or b"").split()
