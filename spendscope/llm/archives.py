@@ -153,7 +153,9 @@ def write_archive(records: DataFrame, folder: str, end: str = _END, most: int =
     """Rows of one string (or binary) column as files of records, gzipped, ``most`` of them in each at most."""
     name = records.columns[0]
     writer = records.select(F.col(name).cast("string").alias("value")).write
-    writer.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", most).text(folder)
+    # The fastest level takes a third of the time of the default one, and a few parts in a hundred more room.
+    writer = writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    writer.option("lineSep", end).option("maxRecordsPerFile", most).text(folder)
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
