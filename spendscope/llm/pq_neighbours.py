@@ -41,6 +41,8 @@ ROUNDS = 8
 # Members of a list that a task compares with as large a share of its visitors.
 PART = 2048
 _VISITORS = 256
+# For rounding in coded distances.
+_MARGIN = 1e-3
 
 
 @dataclass(frozen=True)
@@ -169,7 +171,10 @@ def _compare(
         codes = np.frombuffer(b"".join(r["codes"] for r in members), np.uint8).reshape(len(members), -1)
         error = np.array([r["error"] for r in members])
         key, copies, size = (np.array([r[c] for r in members], np.int64) for c in ("key", "copies", "size"))
-        probes = [frozenset(r["probes"]) for r in members]
+        visited = np.zeros((len(members), len(quantiser.centres)), bool)
+        for row, r in zip(visited, members):
+            row[r["probes"]] = True
+        furthest = ((limit + error + _MARGIN) ** 2).astype(np.float32)[None]
         counts = np.zeros(len(members), np.int64)
         out: list[tuple[int, int, int]] = []
         for k in range(0, len(visitors), _VISITORS):
@@ -177,27 +182,35 @@ def _compare(
             there = _matrix([r["vector"] for r in some], dtype).astype(float)
             their_unit = _units(there)
             rest = their_unit - quantiser.centres[at_list]
-            squares = np.zeros((len(some), len(members)))
+            # Single precision is off by far less than the margin below.
+            squares = np.zeros((len(some), len(members)), np.float32)
             for j, (s, book) in enumerate(zip(quantiser.subspaces, quantiser.codebooks)):
-                looked_up = ((rest[:, s][:, None] - book[None]) ** 2).sum(2)
-                squares += looked_up[:, codes[:, j]]
+                looked_up = ((rest[:, s][:, None] - book[None]) ** 2).sum(2).astype(np.float32)
+                squares += np.take(looked_up, codes[:, j], axis=1)
             their_key = np.array([r["key"] for r in some], np.int64)
             their_size = np.array([r["size"] for r in some], np.int64)
-            near = np.sqrt(squares) <= limit + error[None] + 1e-6
+            near = squares <= furthest
             near &= (their_key[:, None] != key[None]) & (their_size[:, None] == size[None])
             u, v = np.nonzero(near)
-            linked = np.zeros_like(near)
+            cosine = np.zeros(len(u))
             for lo in range(0, len(u), 1 << 16):
-                p, q = u[lo : lo + (1 << 16)], v[lo : lo + (1 << 16)]
-                linked[p, q] = np.einsum("ij,ij->i", their_unit[p], unit[q]) >= threshold
+                part = slice(lo, lo + (1 << 16))
+                cosine[part] = np.einsum("ij,ij->i", their_unit[u[part]], unit[v[part]])
+            u, v = u[cosine >= threshold], v[cosine >= threshold]
+            if not len(u):
+                continue
+            # Only rows and columns with links matter from here on.
+            rows_in, u = np.unique(u, return_inverse=True)
+            columns_in, v = np.unique(v, return_inverse=True)
+            linked = np.zeros((len(rows_in), len(columns_in)), bool)
+            linked[u, v] = True
             # A member that does not visit the visitor's list learns of the link here.
-            homes = [r["home"] for r in some]
-            missed = linked & np.array([[h not in p for p in probes] for h in homes])
-            their_copies = np.array([r["copies"] for r in some], np.int64)
-            found = linked @ copies
-            counts += their_copies @ missed
-            out += [(0, a, n) for a, n in zip(their_key.tolist(), found.tolist()) if n]
-            out += [(1, a, b) for a, b in _component_links(linked, their_key, key)]
+            homes = np.array([r["home"] for r in some])[rows_in]
+            missed = linked & ~visited[columns_in][:, homes].T
+            their_copies = np.array([r["copies"] for r in some], np.int64)[rows_in]
+            counts[columns_in] += their_copies @ missed
+            out += [(0, a, n) for a, n in zip(their_key[rows_in].tolist(), (linked @ copies[columns_in]).tolist())]
+            out += [(1, a, b) for a, b in _component_links(linked, their_key[rows_in], key[columns_in])]
         out += [(0, a, n) for a, n in zip(key.tolist(), counts.tolist()) if n]
         kind, a, b = zip(*out) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays(
