@@ -22,15 +22,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendscope.llm.textwords import Slice, task_count, text_slices, word_hashes, word_spans
+from spendscope.llm.textwords import (
+    Slice,
+    from_small_index,
+    small_index,
+    task_count,
+    text_slices,
+    word_hashes,
+    word_spans,
+)
 from spendscope.session import cut_lineage
 
 K1, B = 1.2, 0.75
 TOP = 10
 # Scores are equal when they are at this many digits; the smaller id is then the better one.
 DIGITS = 6
-SHARD_DOCS = 1 << 14
-SHARD_POSTINGS = 1 << 22
+SHARD_DOCS = 1 << 13
+SHARD_POSTINGS = 1 << 21
 BLOCK = 32
 # Terms that at least this part of a shard's documents hold are kept by document.
 FREQUENT = 0.25
@@ -51,8 +59,12 @@ def _term_counts(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return owner[at], terms[at], np.diff(np.r_[at, len(terms)]), np.diff(bounds)
 
 
-_SHARD = "shard long, docs binary, lengths binary, terms binary, firsts binary, postings binary, counts binary"
-_SHARD_FIELDS = pa.schema([("shard", pa.int64())] + [(f.split()[0], pa.binary()) for f in _SHARD.split(", ")[1:]])
+_SHARD_COLUMNS = (
+    [("shard", "long"), ("most", "long")]
+    + [(c, "binary") for c in ("docs", "lengths", "terms", "firsts", "postings", "counts")]
+)
+_SHARD = ", ".join(f"{c} {kind}" for c, kind in _SHARD_COLUMNS)
+_SHARD_FIELDS = pa.schema([(c, pa.binary() if kind == "binary" else pa.int64()) for c, kind in _SHARD_COLUMNS])
 
 
 def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +86,9 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "lengths": np.concatenate([h[4] for h in held]).astype(np.int64).tobytes(),
             "terms": terms[at].tobytes(),
             "firsts": np.r_[at, len(terms)].astype(np.int64).tobytes(),
-            "postings": owner.astype(np.int32).tobytes(),
-            "counts": counts.astype(np.int32).tobytes(),
+            "postings": small_index(owner, len(ids)),
+            "most": int(counts.max(initial=0)),
+            "counts": small_index(counts, int(counts.max(initial=0)) + 1),
         }
         return pa.RecordBatch.from_pylist([row], _SHARD_FIELDS)
 
@@ -115,8 +128,8 @@ class Shard:
         self.docs = np.frombuffer(row["docs"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.int64)
         firsts = np.frombuffer(row["firsts"], np.int64)
-        postings = np.frombuffer(row["postings"], np.int32)
-        counts = np.frombuffer(row["counts"], np.int32).astype(float)
+        postings = from_small_index(row["postings"], len(self.docs)).astype(np.int32)
+        counts = from_small_index(row["counts"], row["most"] + 1).astype(float)
         lengths = np.frombuffer(row["lengths"], np.int64)
         norm = K1 * (1 - B + B * lengths / mean_length)
         scores = counts * (K1 + 1) / (counts + norm[postings])
@@ -132,7 +145,7 @@ class Shard:
             self.by_doc[k, postings[at]] = scores[at]
         self.firsts, self.postings, self.scores = firsts, postings, scores
         # For each term, the blocks with postings, where these begin, and the largest score of each.
-        term = np.repeat(np.arange(len(self.terms)), sizes)
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes)
         block = postings // BLOCK
         new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(postings) else np.zeros(0, bool)
         self.entry_first = np.flatnonzero(new)
@@ -212,10 +225,10 @@ _HIT = "query long, doc_id long, score double"
 def _search(batches: Iterable[pa.RecordBatch], mean_length: float, top: int) -> Iterator[pa.RecordBatch]:
     """A shard's row, then the queries, shard after shard."""
     shard: Shard | None = None
-    for batch in batches:
+    for batch in (b.slice(at, QUERIES_AT_ONCE) for b in batches for at in range(0, b.num_rows, QUERIES_AT_ONCE)):
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
         for row in [*batch.to_pylist(), None]:
-            if held and (row is None or row["docs"] is not None or len(held) == QUERIES_AT_ONCE):
+            if held and (row is None or row["docs"] is not None):
                 found = search(shard, [(t, w) for _, t, w in held], top)
                 sizes = [len(ids) for ids, _ in found]
                 yield pa.RecordBatch.from_arrays(
@@ -278,7 +291,7 @@ def top_documents(
     if not numbers:
         return spark.createDataFrame([], "query_id long, rank long, doc_id long, score double")
     index = shards.select("*", *(F.lit(None).cast(t).alias(c) for c, t in _QUERY_COLUMNS))
-    none = [F.lit(None).cast("binary").alias(f.split()[0]) for f in _SHARD.split(", ")[1:]]
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in _SHARD_COLUMNS[1:]]
     everywhere = weighted.select(F.explode(F.array(*map(F.lit, numbers))).alias("shard"), *none, *(c for c, _ in _QUERY_COLUMNS))
     dealt = index.unionAll(everywhere).repartition(task_count(spark, len(numbers), 1), "shard")
     ordered = dealt.sortWithinPartitions("shard", F.col("docs").isNull(), "query")

@@ -29,8 +29,11 @@ OPEN_SEQUENCES = 64
 SMALLEST_CUT = 16
 END_ID = 2
 MERGED = 256
-# Words and parts of words whose ids a Python worker remembers.
-CACHED_WORDS = 1 << 20
+# Words, and parts of words, whose ids a Python worker remembers.
+CACHED_WORDS = 3 << 18
+CACHED_PARTS = 1 << 19
+# Rows that are tokenized at once.
+ROWS = 512
 
 
 class Piece(NamedTuple):
@@ -117,7 +120,7 @@ class WordIds:
 
     Its normalisation and its splitting never reach over ASCII white space, nor from a letter to
     the marks behind it, so the ids of a text are those of such parts, one after the other. Each
-    is encoded once; the first CACHED_WORDS words and parts are remembered.
+    is encoded once; the first ones are remembered.
     """
 
     def __init__(self, path: str):
@@ -132,7 +135,8 @@ class WordIds:
     def _split(word: bytes) -> tuple[bytes, bytes]:
         core = word.rstrip(_MARKS)
         if core.isalnum():  # of ASCII only
-            return core.lower(), word[len(core) :]
+            low = core.lower()
+            return word if low == word else low, word[len(core) :]
         if core and core.decode()[-1].isalpha():
             return core, word[len(core) :]
         return word, b""
@@ -165,7 +169,7 @@ class WordIds:
         split = [self._split(word) for word in words]
         parts = dict.fromkeys(part for pair in split for part in pair if part and part not in self.parts)
         found = self._encoded(list(parts))
-        if len(self.parts) < CACHED_WORDS:
+        if len(self.parts) < CACHED_PARTS:
             self.parts.update(found)
         known = self.parts
         return {
@@ -235,7 +239,7 @@ def _first_id(round_: int, task: int) -> int:
 def _pack_texts(batches: Iterable[pa.RecordBatch], path: str, end_id: int, length: int, windows: int):
     task = TaskContext.get().partitionId()
     packer, done = Packer(length, windows), 0
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         for doc_id, ids in zip(batch.column(0).to_pylist(), word_ids(path).ids(texts)):
             ids = np.append(ids, np.uint32(end_id))

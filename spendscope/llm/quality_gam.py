@@ -244,8 +244,8 @@ def held_out(id_col: str) -> Column:
 
 
 def _texts(batch: pa.RecordBatch) -> np.ndarray:
-    texts = batch.column(0).cast(pa.binary()).to_pylist()
-    return np.array([text_features(t or b"") for t in texts], float).reshape(len(texts), len(FEATURES))
+    texts = (x.as_py() or b"" for x in batch.column(0).cast(pa.binary()))
+    return np.array([text_features(t) for t in texts], float).reshape(batch.num_rows, len(FEATURES))
 
 
 def _training_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,7 @@ def _counter(path: str) -> PieceCounter:
 def _counted(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counter = _counter(path)
-        counts = [counter.count(text or "") for text in batch.column(1).to_pylist()]
+        counts = [counter.count(text.as_py() or "") for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["row", "n_tokens"])
 
 
