@@ -15,6 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,25 +227,18 @@ def cut_repeats(
 
 
 def with_cut_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeats cut out of the texts; texts without any stay as they are."""
+    """``docs`` with the repeats cut out of the texts; texts without any stay as they are, and so do all other columns."""
     found = repeated_windows(docs, id_col, text_col)
-    joined = docs.join(found.withColumnRenamed("row", "_row"), docs[id_col] == F.col("_row"), "left")
-    fields = {f.name: f.dataType for f in docs.schema.fields}
-    others = [f"{name} {kind.simpleString()}" for name, kind in fields.items()]
+    joined = docs.join(found, docs[id_col].cast("long") == found["row"], "left")
+    names = docs.columns
+    at = names.index(text_col)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in _cut(batches, WINDOW_WORDS):
-            texts = [
-                kept if removed else text
-                for text, kept, removed in zip(
-                    out.column(text_col).to_pylist(),
-                    out.column("kept_text").to_pylist(),
-                    out.column("n_removed").to_pylist(),
-                )
-            ]
-            columns = [pa.array(texts, pa.string()) if n == text_col else out.column(n) for n in fields]
-            yield pa.RecordBatch.from_arrays(columns, list(fields))
-
-    rows = joined.select(F.col(text_col).alias("_text"), "hashes", *(docs[name] for name in fields))
-    return rows.mapInArrow(cut, ", ".join(others))
-
+        for out in _cut(batches, WINDOW_WORDS):  # the columns of docs, then the four results
+            columns = list(out.columns)
+            removed, kept = columns[-3], columns[-1]
+            columns[at] = pc.if_else(pc.greater(removed, 0), kept, columns[at])
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+
+    rows = joined.select(docs[text_col].alias("_text"), found["hashes"], *(docs[name] for name in names))
+    return rows.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
