@@ -228,10 +228,13 @@ def cut_repeats(
 
 def with_cut_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeats cut out of the texts; texts without any stay as they are, and so do all other columns."""
-    found = repeated_windows(docs, id_col, text_col)
-    joined = docs.join(found, docs[id_col].cast("long") == found["row"], "left")
     names = docs.columns
     at = names.index(text_col)
+    own = "_" * (1 + max(map(len, names)))  # longer than any name, so another one
+    found = repeated_windows(docs, id_col, text_col).select(
+        F.col("row").alias(f"{own}row"), F.col("hashes").alias(f"{own}hashes")
+    )
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col(f"{own}row"), "left")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in _cut(batches, WINDOW_WORDS):  # the columns of docs, then the four results
@@ -240,5 +243,5 @@ def with_cut_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             columns[at] = pc.if_else(pc.greater(removed, 0), kept, columns[at])
             yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
-    rows = joined.select(docs[text_col].alias("_text"), found["hashes"], *(docs[name] for name in names))
+    rows = joined.select(F.col(text_col).alias(f"{own}text"), f"{own}hashes", *names)
     return rows.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
