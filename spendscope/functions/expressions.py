@@ -82,8 +82,9 @@ def user_display(user: Column) -> Column:
     return F.substring_index(user, "@", 1)
 
 
-def short_id(prefix: str, resource_id: Column, length: int) -> Column:
-    return F.concat(F.lit(prefix + "_"), F.substring(resource_id, 1, length))
+def row_id(prefix: str, resource_id: Column) -> Column:
+    """An id of a recommendation: whole, so that no two resources share one."""
+    return F.concat(F.lit(prefix + "_"), resource_id)
 
 
 def effort_minutes(effort: Column) -> Column:

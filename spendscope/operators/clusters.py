@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_job_cluster, total
-from ..functions.joins import bounded
 from .versions import latest_clusters
 
 # ---- fixed values -------------------------------------------------------------
-TOP_CLUSTERS = 50
 VERY_LARGE_WORKERS = 20
 LARGE_WORKERS = 10
 HIGH_MIN_WORKERS = 2
@@ -42,19 +40,12 @@ def cluster_costs_of(rollup: DataFrame) -> DataFrame:
     )
 
 
-def interactive_cluster_costs(
-    per_cluster: DataFrame, clusters: DataFrame, limit: int = TOP_CLUSTERS
-) -> DataFrame:
-    """Costliest clusters that no job run started.
+def interactive_cluster_costs(per_cluster: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Cost of the clusters that no job run started.
 
     Usage is summed before the join, so the join sees one row per cluster.
     """
-    return (
-        clusters_with_names(per_cluster, clusters)
-        .filter(~is_job_cluster(F.col("cluster_name")))
-        .orderBy(F.col("total_cost").desc(), "cluster_id")
-        .limit(limit)
-    )
+    return clusters_with_names(per_cluster, clusters).filter(~is_job_cluster(F.col("cluster_name")))
 
 
 def issue(
@@ -100,7 +91,7 @@ def raise_issues(df: DataFrame, issues: list[Column], *keep: str) -> DataFrame:
 def cluster_issues(clusters: DataFrame, cluster_costs: DataFrame) -> DataFrame:
     """Configuration findings of clusters that no job run started.
 
-    ``cluster_costs`` is the list of costliest clusters; others count as free.
+    Clusters without a row in ``cluster_costs`` had no usage and count as free.
     """
     costs = cluster_costs.select(
         "cluster_id", F.col("owner").alias("cost_owner"), F.col("total_cost").alias("cost")
@@ -108,7 +99,7 @@ def cluster_issues(clusters: DataFrame, cluster_costs: DataFrame) -> DataFrame:
     named = (
         latest_clusters(clusters)
         .filter(~is_job_cluster(F.col("cluster_name"), ignore_case=True))
-        .join(bounded(costs, TOP_CLUSTERS), "cluster_id", "left")
+        .join(costs, "cluster_id", "left")
         .withColumn("cost", F.coalesce("cost", F.lit(0.0)))
         .withColumn("owner", F.coalesce(F.nullif("cost_owner", F.lit("")), "owned_by"))
     )

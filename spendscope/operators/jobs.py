@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import moment, ratio, rounded, total, total_if, whole_units
+from ..functions.ranking import with_place
 from ..sources.registry import AnalysisWindow, SourceTables
 from .clusters import issue, raise_issues
 from .versions import job_cluster_capacity, latest_jobs
 
 # ---- fixed values -------------------------------------------------------------
-TOP_JOBS = 100
 FAILED_STATES = ("FAILED", "TIMEDOUT", "CANCELED")
 SHORT_RUN_SECONDS = 60
 SHORT_RUN_MIN_COST = 1
@@ -61,8 +61,8 @@ def with_job_names(per_run: DataFrame, tables: SourceTables) -> DataFrame:
     )
 
 
-def job_costs(priced: DataFrame, tables: SourceTables, limit: int = TOP_JOBS) -> DataFrame:
-    """Costliest (job, SKU, compute type) rows, with spot share and run count."""
+def job_costs(priced: DataFrame, tables: SourceTables) -> DataFrame:
+    """Cost of each (job, SKU, compute type), with spot share and run count."""
     capacity = job_cluster_capacity(tables["clusters"]).select("cluster_id", "uses_spot")
     per_run = job_usage(priced).join(capacity, "cluster_id", "left")
     named = with_job_names(per_run, tables)
@@ -79,15 +79,6 @@ def job_costs(priced: DataFrame, tables: SourceTables, limit: int = TOP_JOBS) ->
             F.min("first_run").alias("first_run"),
             F.max("last_run").alias("last_run"),
         )
-        .orderBy(
-            F.col("total_cost").desc(),
-            "job_id",
-            "sku_name",
-            F.col("is_serverless").asc_nulls_first(),
-            F.col("job_name").asc_nulls_first(),
-            F.col("owner").asc_nulls_first(),
-        )
-        .limit(limit)
     )
 
 
@@ -136,14 +127,11 @@ def failure_percent(success: str = "success_count", failure: str = "failure_coun
 def job_efficiency(costs: DataFrame, metrics: DataFrame) -> DataFrame:
     """Job costs with run metrics; jobs without runs get zeros.
 
-    ``job_rank`` is the place in the list by cost.
+    ``job_rank`` is the place of the row by cost.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    by_cost = Window.orderBy(
-        F.col("total_cost").desc(), "job_id", "sku_name", F.col("is_serverless").asc_nulls_first()
-    )
-    # At most TOP_JOBS rows reach this window.
-    ranked = costs.withColumn("job_rank", F.row_number().over(by_cost))
+    first = [F.col(c).asc_nulls_first() for c in ("is_serverless", "job_name", "owner")]
+    ranked = with_place(costs, "job_rank", "total_cost", "job_id", "sku_name", *first)
     joined = ranked.join(metrics, "job_id", "left")
     average = zero("avg_duration")
     return joined.select(
@@ -226,19 +214,15 @@ def job_issues(jobs: DataFrame) -> DataFrame:
 
 
 def high_cost_jobs(jobs: DataFrame) -> DataFrame:
-    return (
-        jobs.filter(F.col("total_cost") > HIGH_COST)
-        .select(
-            "job_id",
-            F.coalesce("job_name", "job_id").alias("job_name"),
-            "total_cost",
-            "total_dbus",
-            "run_count",
-            "avg_duration_seconds",
-            "cost_per_run",
-            "job_rank",
-        )
-        .orderBy(F.col("total_cost").desc(), "job_rank")
+    return jobs.filter(F.col("total_cost") > HIGH_COST).select(
+        "job_id",
+        F.coalesce("job_name", "job_id").alias("job_name"),
+        "total_cost",
+        "total_dbus",
+        "run_count",
+        "avg_duration_seconds",
+        "cost_per_run",
+        "job_rank",
     )
 
 

@@ -18,11 +18,9 @@ from ..functions.expressions import (
 from ..sources.registry import AnalysisWindow
 
 # ---- fixed values -------------------------------------------------------------
-TOP_USERS = 50
 TOP_QUERIES = 10
 LONG_QUERY_MS = 5000
 COSTLY_STATEMENTS = ("SELECT", "INSERT", "MERGE", "UPDATE", "DELETE", "CREATE", "COPY")
-PATTERN_SAMPLE = 500
 EXCESSIVE_JOINS = 5
 LARGE_RESULT_ROWS = 10_000_000
 PATTERN_SEVERITY = {
@@ -32,7 +30,6 @@ PATTERN_SEVERITY = {
     "large_result_sets": "medium",
 }
 UPSIZE_SPILL_GB = 1
-SHUFFLE_CANDIDATES = 20
 SHUFFLE_MIN_GB = 0.1
 TOP_SHUFFLE = 10
 PREVIEW_CHARS = 200
@@ -43,8 +40,8 @@ def in_window(history: DataFrame, window: AnalysisWindow) -> DataFrame:
     return history.filter(in_period_times(F.col("start_time"), window))
 
 
-def user_stats(history: DataFrame, window: AnalysisWindow, limit: int = TOP_USERS) -> DataFrame:
-    """Queries, rows, files and durations of the busiest users."""
+def user_stats(history: DataFrame, window: AnalysisWindow) -> DataFrame:
+    """Queries, rows, files and durations of each user."""
     return (
         in_window(history, window)
         .filter(F.col("executed_by").isNotNull())
@@ -56,8 +53,6 @@ def user_stats(history: DataFrame, window: AnalysisWindow, limit: int = TOP_USER
             F.sum("total_task_duration_ms").alias("ms"),
             F.avg("total_task_duration_ms").alias("avg_ms"),
         )
-        .orderBy(F.col("ms").desc_nulls_last(), "user")
-        .limit(limit)
         .select(
             "user",
             "query_count",
@@ -69,26 +64,22 @@ def user_stats(history: DataFrame, window: AnalysisWindow, limit: int = TOP_USER
     )
 
 
-def longest_queries(history: DataFrame, window: AnalysisWindow, limit: int = TOP_QUERIES) -> DataFrame:
-    """The longest statements that move or read data."""
-    return (
-        in_window(history, window)
-        .filter(
-            (F.col("total_task_duration_ms") > LONG_QUERY_MS)
-            & F.col("statement_type").isin(*COSTLY_STATEMENTS)
-        )
-        .orderBy(F.col("total_task_duration_ms").desc(), "statement_id")
-        .limit(limit)
-        .select(
-            "statement_id",
-            F.col("executed_by").alias("user"),
-            F.col("compute.warehouse_id").alias("warehouse_id"),
-            "statement_type",
-            "read_rows",
-            "read_files",
-            seconds(F.col("total_task_duration_ms")).alias("duration_seconds"),
-            "start_time",
-        )
+def longest_queries(history: DataFrame, window: AnalysisWindow, limit: int | None = TOP_QUERIES) -> DataFrame:
+    """The longest statements that move or read data; without a limit, all that are long, in any order."""
+    found = in_window(history, window).filter(
+        (F.col("total_task_duration_ms") > LONG_QUERY_MS) & F.col("statement_type").isin(*COSTLY_STATEMENTS)
+    )
+    if limit is not None:
+        found = found.orderBy(F.col("total_task_duration_ms").desc(), "statement_id").limit(limit)
+    return found.select(
+        "statement_id",
+        F.col("executed_by").alias("user"),
+        F.col("compute.warehouse_id").alias("warehouse_id"),
+        "statement_type",
+        "read_rows",
+        "read_files",
+        seconds(F.col("total_task_duration_ms")).alias("duration_seconds"),
+        "start_time",
     )
 
 
@@ -104,21 +95,18 @@ def text_flags(queries: DataFrame, max_joins: int = EXCESSIVE_JOINS) -> DataFram
     )
 
 
-def pattern_counts(
-    history: DataFrame, window: AnalysisWindow, sample: int = PATTERN_SAMPLE, max_joins: int = EXCESSIVE_JOINS
-) -> DataFrame:
-    """How many of the longest SELECTs show each pattern, as (pattern, count)."""
-    longest = (
-        in_window(history, window)
-        .filter(F.col("statement_type") == "SELECT")
-        .select("statement_id", "statement_text", "read_rows", "total_task_duration_ms")
-        .orderBy(F.col("total_task_duration_ms").desc_nulls_last(), "statement_id")
-        .limit(sample)
+def select_totals(history: DataFrame, window: AnalysisWindow, max_joins: int = EXCESSIVE_JOINS) -> DataFrame:
+    """One row: the SELECTs of the period, and how many of them show each pattern."""
+    selects = in_window(history, window).filter(F.col("statement_type") == "SELECT")
+    return text_flags(selects.select("statement_text", "read_rows"), max_joins).agg(
+        F.count("*").alias("select_count"), *[F.count_if(F.col(p)).alias(p) for p in PATTERN_SEVERITY]
     )
-    counts = text_flags(longest, max_joins).agg(
-        *[F.count_if(F.col(p)).alias(p) for p in PATTERN_SEVERITY]
-    )
-    return counts.unpivot([], list(PATTERN_SEVERITY), "pattern", "count").filter(F.col("count") > 0)
+
+
+def pattern_counts(totals: DataFrame) -> DataFrame:
+    """The patterns that SELECTs show, as (pattern, count)."""
+    counts = totals.unpivot([], list(PATTERN_SEVERITY), "pattern", "count")
+    return counts.filter(F.col("count") > 0)
 
 
 def pattern_findings(counts: DataFrame) -> DataFrame:
@@ -157,15 +145,9 @@ def spill_summary(spill: DataFrame) -> DataFrame:
 
 
 def shuffle_heavy(history: DataFrame, window: AnalysisWindow) -> DataFrame:
-    """Queries that shuffle most, with a rank; at most SHUFFLE_CANDIDATES rows."""
+    """Queries that shuffle much."""
     gb = gigabytes(F.col("shuffle_read_bytes"))
-    worst = (
-        in_window(history, window)
-        .filter(F.col("shuffle_read_bytes") > 0)
-        .orderBy(F.col("shuffle_read_bytes").desc(), "statement_id")
-        .limit(SHUFFLE_CANDIDATES)
-    )
-    return worst.filter(gb > SHUFFLE_MIN_GB).select(
+    return in_window(history, window).filter((F.col("shuffle_read_bytes") > 0) & (gb > SHUFFLE_MIN_GB)).select(
         F.col("compute.warehouse_id").alias("warehouse_id"),
         "statement_id",
         F.col("executed_by").alias("user"),
@@ -188,10 +170,10 @@ def shuffle_by_warehouse(heavy: DataFrame) -> DataFrame:
     )
 
 
-def query_totals(stats: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: queries of the listed users and pattern counts."""
-    of = lambda p: F.coalesce(F.sum(F.when(F.col("pattern") == p, F.col("count"))), F.lit(0))
-    found = counts.agg(F.struct(*[of(p).alias(p) for p in PATTERN_SEVERITY])).scalar()
+def query_totals(stats: DataFrame, selects: DataFrame) -> DataFrame:
+    """One row: queries of all users, SELECTs, and how many of these show each pattern."""
+    columns = ["select_count", *PATTERN_SEVERITY]
+    found = selects.select(F.struct(*columns)).scalar()
     return stats.agg(F.coalesce(F.sum("query_count"), F.lit(0)).alias("query_count")).select(
-        "query_count", *[found[p].alias(p) for p in PATTERN_SEVERITY]
+        "query_count", *[found[c].alias(c) for c in columns]
     )

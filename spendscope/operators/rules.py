@@ -12,7 +12,7 @@ from ..functions.expressions import (
     is_starter,
     ratio,
     rounded,
-    short_id,
+    row_id,
     total,
     total_if,
 )
@@ -137,7 +137,7 @@ def auto_termination(cluster_issues: DataFrame) -> DataFrame:
     return recommend(
         cluster_issues.filter(F.col("type") == "no_autotermination"),
         "auto_term",
-        id=short_id("auto_term", F.col("resource_id"), 12),
+        id=row_id("auto_term", F.col("resource_id")),
         resource_id=F.col("resource_id"),
         contact=F.coalesce(F.nullif("owner", F.lit("")), F.lit("Contact cluster owner")),
         title=F.concat(F.lit("Give an idle limit to cluster "), _label("resource_name", "resource_id")),
@@ -152,7 +152,7 @@ def cluster_sizing(cluster_issues: DataFrame) -> DataFrame:
     fixed = recommend(
         cluster_issues.filter(F.col("type") == "no_autoscaling"),
         "autoscale",
-        id=short_id("autoscale", F.col("resource_id"), 12),
+        id=row_id("autoscale", F.col("resource_id")),
         resource_id=F.col("resource_id"),
         title=F.concat(F.lit("Let cluster "), _label("resource_name", "resource_id"), F.lit(" scale")),
         severity="medium",
@@ -163,7 +163,7 @@ def cluster_sizing(cluster_issues: DataFrame) -> DataFrame:
     large = recommend(
         cluster_issues.filter(F.col("type") == "oversized"),
         "rightsize",
-        id=short_id("rightsize", F.col("resource_id"), 12),
+        id=row_id("rightsize", F.col("resource_id")),
         resource_id=F.col("resource_id"),
         title=F.concat(F.lit("Review the size of cluster "), _label("resource_name", "resource_id")),
         severity=F.when(F.col("metric") >= 20, "high").otherwise("medium"),
@@ -192,17 +192,16 @@ def cluster_rightsizing(summary: DataFrame, classified: DataFrame, totals: DataF
         savings=F.lit(0.0),
         description=F.format_string("They used %.0f DBUs at high load.", "under_provisioned_dbus"),
     )
-    first_rows = classified.filter(
-        (F.col("metric_rank") <= 5)
-        & (F.col("overall_status") == OVER)
+    spare = classified.filter(
+        (F.col("overall_status") == OVER)
         & (F.col("component") == "worker")
         & (F.col("total_dbus") > 50)
         & (F.col("cpu_headroom_p50") > 0.5)
     )
     single = recommend(
-        first_rows,
+        spare,
         "rightsize_cluster",
-        id=short_id("rightsize", F.col("cluster_id"), 8),
+        id=row_id("rightsize", F.col("cluster_id")),
         resource_id=F.col("cluster_id"),
         title=F.concat(F.lit("Shrink cluster "), F.col("cluster_name")),
         severity="medium",
@@ -325,7 +324,7 @@ def warehouse_auto_stop(merged: DataFrame) -> DataFrame:
     never = recommend(
         paid.filter(limit == 0),
         "wh_auto_stop",
-        id=short_id("wh_auto_stop", F.col("warehouse_id"), 12),
+        id=row_id("wh_auto_stop", F.col("warehouse_id")),
         resource_id=F.col("warehouse_id"),
         contact=F.lit("Contact SQL warehouse admin"),
         title=F.concat(F.lit("Give an idle limit to warehouse "), F.col("label")),
@@ -337,7 +336,7 @@ def warehouse_auto_stop(merged: DataFrame) -> DataFrame:
     late = recommend(
         paid.filter(limit > 60),
         "wh_reduce_stop",
-        id=short_id("wh_reduce_stop", F.col("warehouse_id"), 12),
+        id=row_id("wh_reduce_stop", F.col("warehouse_id")),
         resource_id=F.col("warehouse_id"),
         title=F.concat(F.lit("Shorten the idle limit of warehouse "), F.col("label")),
         severity="medium",
@@ -353,7 +352,7 @@ def warehouse_sizing(merged: DataFrame) -> DataFrame:
     large = recommend(
         paid.filter(F.upper("warehouse_size").isin(*LARGE_SIZES)),
         "wh_size",
-        id=short_id("wh_size", F.col("warehouse_id"), 12),
+        id=row_id("wh_size", F.col("warehouse_id")),
         resource_id=F.col("warehouse_id"),
         title=F.concat(F.lit("Consider a smaller size for warehouse "), F.col("label")),
         severity="medium",
@@ -364,7 +363,7 @@ def warehouse_sizing(merged: DataFrame) -> DataFrame:
     always = recommend(
         paid.filter(F.col("min_clusters") > 1),
         "wh_min_clusters",
-        id=short_id("wh_min_clusters", F.col("warehouse_id"), 12),
+        id=row_id("wh_min_clusters", F.col("warehouse_id")),
         resource_id=F.col("warehouse_id"),
         title=F.concat(F.lit("Start warehouse "), F.col("label"), F.lit(" from one cluster")),
         severity="medium",
@@ -388,7 +387,7 @@ def long_running_warehouses(long_running: DataFrame) -> DataFrame:
     return recommend(
         long_running.filter((hours > 4) & ~is_starter(F.col("warehouse_name"))),
         "wh_long_run",
-        id=short_id("wh_long_run", F.col("warehouse_id"), 8),
+        id=row_id("wh_long_run", F.col("warehouse_id")),
         resource_id=F.col("warehouse_id"),
         title=F.concat(F.lit("Check the long run of warehouse "), F.col("warehouse_name")),
         severity=F.when(hours > 8, "high").otherwise("medium"),
@@ -403,7 +402,7 @@ def upscaled_warehouses(upscaled: DataFrame) -> DataFrame:
     return recommend(
         upscaled.filter(hours > 1),
         "wh_upscaled",
-        id=short_id("wh_upscaled", F.col("warehouse_id"), 8),
+        id=row_id("wh_upscaled", F.col("warehouse_id")),
         resource_id=F.col("warehouse_id"),
         title=F.concat(F.lit("Check the scale-up of warehouse "), F.col("warehouse_name")),
         severity="medium",
@@ -419,7 +418,7 @@ def idle_warehouses(idle: DataFrame) -> DataFrame:
     return recommend(
         idle.filter(~is_starter(F.col("warehouse_name"))),
         "wh_idle",
-        id=short_id("wh_idle", F.col("warehouse_id"), 8),
+        id=row_id("wh_idle", F.col("warehouse_id")),
         resource_id=F.col("warehouse_id"),
         title=F.concat(F.lit("Stop the idle warehouse "), F.col("warehouse_name")),
         severity=F.when(hours > 4, "high").otherwise("medium"),
@@ -433,7 +432,7 @@ def spill_upsizing(spill: DataFrame) -> DataFrame:
     return recommend(
         spill.filter("needs_upsize"),
         "disk_spill",
-        id=short_id("disk_spill", F.col("warehouse_id"), 8),
+        id=row_id("disk_spill", F.col("warehouse_id")),
         resource_id=F.col("warehouse_id"),
         title=F.concat(F.lit("Enlarge spilling warehouse "), F.col("warehouse_id")),
         severity="medium",
@@ -485,35 +484,32 @@ def model_scale_to_zero(rollup: DataFrame) -> DataFrame:
 
 
 # ---- jobs ---------------------------------------------------------------------
-def _first_job(jobs: DataFrame, among: int, condition: Column) -> DataFrame:
-    """The first job by cost that meets the condition, among the costliest few."""
-    return jobs.filter((F.col("job_rank") <= among) & condition).orderBy("job_rank").limit(1)
-
-
 def serverless_job(jobs: DataFrame) -> DataFrame:
     classic = ~F.coalesce(F.col("is_serverless"), F.lit(False))
     return recommend(
-        _first_job(jobs, 5, classic & (F.col("run_count") >= 3) & (F.col("total_cost") > 0.1)),
+        jobs.filter(classic & (F.col("run_count") >= 3) & (F.col("total_cost") > 0.1)),
         "serverless_job",
-        id=short_id("serverless_job", F.col("job_id"), 12),
+        id=row_id("serverless_job", F.col("job_id")),
         resource_id=F.col("job_id"),
         title=F.concat(F.lit("Try serverless for job "), _label("job_name", "job_id")),
         severity="low",
         savings=confident(F.col("total_cost") * 0.15),
         description=F.format_string("Starts classic compute for %d runs.", "run_count"),
+        seq=F.col("job_rank"),
     )
 
 
 def frequent_job(jobs: DataFrame) -> DataFrame:
     return recommend(
-        _first_job(jobs, 3, (F.col("run_count") >= 20) & (F.col("total_cost") > 0.5)),
+        jobs.filter((F.col("run_count") >= 20) & (F.col("total_cost") > 0.5)),
         "job_freq",
-        id=short_id("job_freq", F.col("job_id"), 12),
+        id=row_id("job_freq", F.col("job_id")),
         resource_id=F.col("job_id"),
         title=F.concat(F.lit("Review the schedule of job "), _label("job_name", "job_id")),
         severity="low",
         savings=confident(F.col("total_cost") * 0.3),
         description=F.format_string("Ran %d times.", "run_count"),
+        seq=F.col("job_rank"),
     )
 
 
@@ -538,7 +534,7 @@ def job_efficiency(job_issues: DataFrame) -> DataFrame:
     failing = recommend(
         job_issues.filter((F.col("type") == "high_failure_rate") & (F.col("estimated_savings") >= 1)),
         "job_failures",
-        id=short_id("job_failures", F.col("resource_id"), 12),
+        id=row_id("job_failures", F.col("resource_id")),
         resource_id=F.col("resource_id"),
         title=F.concat(F.lit("Fix the failing job "), F.col("resource_name")),
         severity="high",
@@ -549,7 +545,7 @@ def job_efficiency(job_issues: DataFrame) -> DataFrame:
     starting = recommend(
         job_issues.filter((F.col("type") == "startup_overhead") & (F.col("metric") >= 0.10)),
         "job_startup",
-        id=short_id("job_startup", F.col("resource_id"), 12),
+        id=row_id("job_startup", F.col("resource_id")),
         resource_id=F.col("resource_id"),
         title=F.concat(F.lit("Cut the starting cost of job "), F.col("resource_name")),
         severity="medium",
@@ -562,13 +558,13 @@ def job_efficiency(job_issues: DataFrame) -> DataFrame:
 
 # ---- queries ------------------------------------------------------------------
 def shuffle_findings(heavy: DataFrame) -> DataFrame:
-    worst = F.sort_array(
-        F.collect_list(F.struct(-F.col("shuffle_read_bytes"), "statement_id", "shuffle_gb"))
-    )
-    # At most SHUFFLE_CANDIDATES rows reach this aggregate.
-    found = heavy.agg(F.count("*").alias("n"), worst.alias("worst"))
+    few = heavy.orderBy(F.col("shuffle_read_bytes").desc(), "statement_id").limit(3)
+    worst = few.agg(
+        F.sort_array(F.collect_list(F.struct(-F.col("shuffle_read_bytes"), "statement_id", "shuffle_gb")))
+    ).scalar()
+    found = heavy.agg(F.count("*").alias("n")).withColumn("worst", worst)
     examples = F.array_join(
-        F.transform(F.slice("worst", 1, 3), lambda q: F.format_string("%s (%.1f GB)", q["statement_id"], q["shuffle_gb"])),
+        F.transform("worst", lambda q: F.format_string("%s (%.1f GB)", q["statement_id"], q["shuffle_gb"])),
         ", ",
     )
     return recommend(
@@ -583,17 +579,17 @@ def shuffle_findings(heavy: DataFrame) -> DataFrame:
 
 def unfiltered_queries(query_totals: DataFrame, rollup: DataFrame) -> DataFrame:
     sums = query_totals.withColumn("sql_cost", product_cost(rollup, "SQL").select("cost").scalar())
-    share = ratio(F.col("no_where_clause").cast("double"), F.col("query_count")) * 100
+    share = ratio(F.col("no_where_clause").cast("double"), F.col("select_count")) * 100
     return recommend(
         sums.filter(
-            (F.col("query_count") > 0) & (F.col("sql_cost") >= 1)
+            (F.col("select_count") > 0) & (F.col("sql_cost") >= 1)
             & (share > 30) & (F.col("no_where_clause") > 20)
         ),
         "sql_partitioning",
         title=F.lit("Consider partitioning tables that are read unfiltered"),
         severity="low",
         savings=confident(F.col("sql_cost") * 0.1),
-        description=F.format_string("%d of the sampled queries have no filter.", "no_where_clause"),
+        description=F.format_string("%d of the SELECT statements have no filter.", "no_where_clause"),
     )
 
 

@@ -20,6 +20,7 @@ from ..functions.expressions import (
 )
 from ..functions.joins import bounded
 from ..functions.percentiles import bucket_of, exact_percentiles
+from ..functions.ranking import with_place
 from ..sources.registry import AnalysisWindow
 from .pricing import usage_in_period
 from .versions import latest_clusters, latest_version
@@ -51,7 +52,6 @@ class Thresholds:
     swap_time_threshold: float = 0.05
 
 
-TOP_TARGETS = 20
 TARGET_MIN_DBUS = 10
 MIN_SAMPLES = 10
 IO_WAIT_PCT = 20
@@ -89,9 +89,7 @@ IDLE_CPU_PCT = 5
 IDLE_TIME_SHARE = 0.5
 IDLE_AVG_CPU_PCT = 10
 IDLE_WASTE_SHARE = 0.8
-TOP_IDLE = 20
 SCALING_MIN_HOURS = 10
-TOP_SCALING = 20
 SCALING_WASTE_SHARE = 0.15
 # -------------------------------------------------------------------------------
 
@@ -109,17 +107,18 @@ def cluster_usage(usage: DataFrame, window: AnalysisWindow) -> DataFrame:
     )
 
 
-def target_clusters(per_cluster: DataFrame, top_n: int = TOP_TARGETS) -> DataFrame:
-    """Costliest clusters by DBU that do not run serverless; at most ``top_n`` rows."""
-    return (
+def target_clusters(per_cluster: DataFrame, top_n: int | None = None) -> DataFrame:
+    """Clusters that do not run serverless, or the ``top_n`` costliest of them by DBU."""
+    found = (
         per_cluster.filter("classic")
         .groupBy("cluster_id")
         .agg(total("dbus").alias("dbus"), F.min("job_id").alias("job_id"))
         .filter(F.col("dbus") > TARGET_MIN_DBUS)
         .select("cluster_id", rounded(F.col("dbus"), 3).alias("total_dbus"), "job_id")
-        .orderBy(F.col("total_dbus").desc(), "cluster_id")
-        .limit(top_n)
     )
+    if top_n is None:
+        return found
+    return found.orderBy(F.col("total_dbus").desc(), "cluster_id").limit(top_n)
 
 
 def cluster_dbus(per_cluster: DataFrame) -> DataFrame:
@@ -127,7 +126,7 @@ def cluster_dbus(per_cluster: DataFrame) -> DataFrame:
 
 
 def node_samples(
-    node_timeline: DataFrame, targets: DataFrame, window: AnalysisWindow, top_n: int = TOP_TARGETS
+    node_timeline: DataFrame, targets: DataFrame, window: AnalysisWindow, top_n: int | None = None
 ) -> DataFrame:
     """Node metrics of the target clusters; missing readings count as zero."""
     reading = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -146,7 +145,7 @@ def node_samples(
 
 
 def utilization_profile(
-    samples: DataFrame, limits: Thresholds = Thresholds(), max_clusters: int | None = TOP_TARGETS
+    samples: DataFrame, limits: Thresholds = Thresholds(), max_clusters: int | None = None
 ) -> DataFrame:
     """Percentiles, spread and time above limits per cluster and component.
 
@@ -229,21 +228,18 @@ def cluster_metrics(
     targets: DataFrame,
     clusters: DataFrame,
     window: AnalysisWindow,
-    top_n: int = TOP_TARGETS,
+    top_n: int | None = None,
     limits: Thresholds = Thresholds(),
 ) -> DataFrame:
     """Profile of the target clusters with their configuration, ranked by DBU.
 
-    The profile has a row or two per target, so it is sent to the cluster versions,
-    and only versions of those clusters are compared.
+    The profile has a row or two per target; only versions of these clusters are compared.
     """
     keys = ["cluster_id", "component"]
     profile = utilization_profile(node_samples(node_timeline, targets, window, top_n), limits, top_n)
-    known = clusters.join(bounded(profile, top_n * COMPONENTS), "cluster_id")
+    known = clusters.join(bounded(profile, top_n and top_n * COMPONENTS), "cluster_id")
     capacity = latest_version(known, keys, "change_time", [F.col("cluster_name"), F.col("owned_by")])
-    by_dbus = Window.orderBy(F.col("total_dbus").desc(), *keys)
-    # At most two rows per target reach this window.
-    return (
+    ranked = (
         capacity.join(bounded(targets, top_n), "cluster_id")
         .select(
             *profile.columns,
@@ -259,8 +255,8 @@ def cluster_metrics(
             availability().alias("availability"),
             uses_spot().alias("uses_spot"),
         )
-        .withColumn("metric_rank", F.row_number().over(by_dbus))
     )
+    return with_place(ranked, "metric_rank", "total_dbus", *keys)
 
 
 def cpu_flags(limits: Thresholds) -> tuple[Column, Column]:
@@ -440,7 +436,7 @@ def worker_hours(node_timeline: DataFrame, window: AnalysisWindow) -> DataFrame:
 
 
 def idle_clusters(
-    hours: DataFrame, per_cluster: DataFrame, clusters: DataFrame, limit: int | None = TOP_IDLE
+    hours: DataFrame, per_cluster: DataFrame, clusters: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """Clusters whose workers do next to nothing for most of the time."""
     load = (
@@ -461,10 +457,9 @@ def idle_clusters(
     idle = (
         load.join(cluster_dbus(per_cluster), "cluster_id", "left")
         .join(names, "cluster_id", "left")
-        .orderBy(F.col("total_dbus").desc_nulls_last(), "cluster_id")
     )
     if limit is not None:
-        idle = idle.limit(limit)
+        idle = idle.orderBy(F.col("total_dbus").desc_nulls_last(), "cluster_id").limit(limit)
     dbus = F.coalesce("total_dbus", F.lit(0.0))
     return idle.select(
         "cluster_id",
@@ -488,9 +483,9 @@ def autoscaling_clusters(clusters: DataFrame) -> DataFrame:
 
 
 def autoscale_stats(
-    hours: DataFrame, per_cluster: DataFrame, clusters: DataFrame, limit: int | None = TOP_SCALING
+    hours: DataFrame, per_cluster: DataFrame, clusters: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """Observed against configured workers, for the costliest autoscaling clusters.
+    """Observed against configured workers of the autoscaling clusters.
 
     Hours are summed up per cluster before the configuration joins.
     """
@@ -508,10 +503,9 @@ def autoscale_stats(
     stats = (
         observed.join(autoscaling_clusters(clusters), "cluster_id")
         .join(cluster_dbus(per_cluster), "cluster_id", "left")
-        .orderBy(F.col("total_dbus").desc_nulls_last(), "cluster_id")
     )
     if limit is not None:
-        stats = stats.limit(limit)
+        stats = stats.orderBy(F.col("total_dbus").desc_nulls_last(), "cluster_id").limit(limit)
     span = F.nullif(F.col("max_autoscale_workers") - F.col("min_autoscale_workers"), F.lit(0))
     used = (F.col("avg_workers") - F.col("min_autoscale_workers")) / span * 100
     return stats.select(

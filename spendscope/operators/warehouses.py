@@ -23,7 +23,6 @@ from .clusters import issue, raise_issues
 from .versions import latest_version
 
 # ---- fixed values -------------------------------------------------------------
-TOP_EVENTS = 10_000
 LONG_AUTO_STOP_MINUTES = 30
 LARGE_SIZES = ("2X-LARGE", "3X-LARGE", "4X-LARGE")
 CLASSIC_MIN_COST = 5
@@ -105,13 +104,15 @@ def by_cost(merged: DataFrame) -> DataFrame:
     return merged.orderBy(F.col("total_cost").desc(), "warehouse_id")
 
 
-def recent_events(events: DataFrame, window: AnalysisWindow, limit: int = TOP_EVENTS) -> DataFrame:
-    """The latest events of the period.
+def recent_events(events: DataFrame, window: AnalysisWindow, limit: int | None = None) -> DataFrame:
+    """The events of the period, or the latest ``limit`` of them.
 
     Counts per hour tell how far back to read, so that the sort does not take
     ``limit`` rows from every input partition.
     """
     in_window = events.filter(in_period_times(F.col("event_time"), window))
+    if limit is None:
+        return in_window
     hours = in_window.groupBy(F.date_trunc("hour", "event_time").alias("hour")).agg(F.count("*").alias("n"))
     # One row per hour of the period reaches this window.
     later = Window.orderBy(F.col("hour").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -27,7 +27,7 @@ class Analysis:
         window: AnalysisWindow,
         *,
         reuse: bool = False,
-        top_n: int = utilization.TOP_TARGETS,
+        top_n: int | None = None,
         limits: utilization.Thresholds = utilization.Thresholds(),
     ):
         self.tables = tables
@@ -209,13 +209,17 @@ class Analysis:
     def user_stats(self) -> DataFrame:
         return self._keep(query_history.user_stats(self.tables["query_history"], self.window))
 
+    @cached_property
+    def select_totals(self) -> DataFrame:
+        return self._keep(query_history.select_totals(self.tables["query_history"], self.window))
+
     @cached_property
     def pattern_counts(self) -> DataFrame:
-        return self._keep(query_history.pattern_counts(self.tables["query_history"], self.window))
+        return query_history.pattern_counts(self.select_totals)
 
     @cached_property
     def query_totals(self) -> DataFrame:
-        return query_history.query_totals(self.user_stats, self.pattern_counts)
+        return query_history.query_totals(self.user_stats, self.select_totals)
 
     @cached_property
     def spill(self) -> DataFrame:

@@ -11,7 +11,6 @@ from .registry import SourceTables
 
 # ---- fixed values -------------------------------------------------------------
 SAMPLE_ROWS = 5
-DISTINCT_VALUES = 20
 # Column that dates the rows of a source.
 DATED_BY = {
     "usage": "usage_date",
@@ -38,8 +37,10 @@ def source_profile(tables: SourceTables) -> DataFrame:
     return reduce(DataFrame.unionByName, [profile(name) for name in tables.names()])
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = DISTINCT_VALUES) -> DataFrame:
-    return df.select(column).distinct().orderBy(column).limit(limit)
+def distinct_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """The values of a column, or the first ``limit`` of them."""
+    values = df.select(column).distinct()
+    return values if limit is None else values.orderBy(column).limit(limit)
 
 
 def sample_rows(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -19,8 +19,6 @@ from spendscope.sources import profile, sinks
 from spendscope.sources.registry import SourceTables
 from spendscope.sources.sample_tables import SAMPLE_WINDOW, contracted_prices, sample_tables
 
-# Every cluster of the sample data, for the operators that are not about the top list.
-ALL_CLUSTERS = 100_000
 # Windows that cut rows off on both sides, to exercise the bounds.
 INNER_WINDOW = replace(SAMPLE_WINDOW, start=date(2024, 1, 2), end=date(2024, 1, 29))
 HALF_LOOKBACK = replace(SAMPLE_WINDOW, lookback_days=15)
@@ -86,7 +84,7 @@ def names() -> list[str]:
 
 
 def _all_metrics(a: Analysis) -> DataFrame:
-    return Analysis(a.tables, a.window, top_n=ALL_CLUSTERS).metrics
+    return a.metrics
 
 
 # ---- sources and sinks --------------------------------------------------------
@@ -203,7 +201,7 @@ def _(a):
 
 @query("f9_long_statements")
 def _(a):
-    return query_history.longest_queries(a.tables["query_history"], a.window, limit=2**31 - 1).select(
+    return query_history.longest_queries(a.tables["query_history"], a.window, limit=None).select(
         "statement_id", "statement_type", "duration_seconds"
     )
 

@@ -110,7 +110,7 @@ FROM priced p LEFT JOIN clusters_latest c ON p.cluster_id = c.cluster_id
 WHERE p.cluster_id IS NOT NULL GROUP BY 1, 2, 3"""
 PARTS["cluster_costs"] = f"""
 SELECT * FROM cluster_cost_all WHERE cluster_name IS NULL OR NOT regexp_matches(cluster_name, {JOB_NAME})
-ORDER BY total_cost DESC, cluster_id LIMIT 50"""
+"""
 PARTS["configured"] = f"""
 SELECT c.*, COALESCE(k.total_cost, 0) AS cost, COALESCE(k.owner, c.owned_by) AS owner,
  CASE WHEN COALESCE(c.worker_count, 0) <> 0 THEN c.worker_count ELSE COALESCE(c.max_autoscale_workers, 0) END AS workers
@@ -150,8 +150,7 @@ SELECT p.job_id, {name} AS job_name, {owner} AS owner, p.sku_name, p.is_serverle
  COUNT(DISTINCT p.job_run_id) AS run_count,
  MIN(p.usage_end_time) - INTERVAL '1' HOUR AS first_run, MAX(p.usage_end_time) AS last_run
 FROM priced p {join} LEFT JOIN job_clusters jc ON jc.cluster_id = p.cluster_id
-WHERE p.job_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5
-ORDER BY total_cost DESC, p.job_id, p.sku_name, p.is_serverless NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST LIMIT 100"""
+WHERE p.job_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5"""
 
 
 PARTS["job_costs"] = _job_costs(
@@ -170,7 +169,8 @@ SELECT job_id, COALESCE(AVG(duration_seconds) FILTER (duration_seconds > 0), 0)
  COUNT(*) FILTER (result_state IN ('FAILED', 'TIMEDOUT', 'CANCELED')) AS failure_count
 FROM period_runs GROUP BY job_id"""
 PARTS["job_rows"] = f"""
-SELECT k.*, row_number() OVER (ORDER BY total_cost DESC, k.job_id, sku_name, is_serverless NULLS FIRST) AS job_rank,
+SELECT k.*, row_number() OVER (ORDER BY total_cost DESC, k.job_id, sku_name, is_serverless NULLS FIRST,
+  job_name NULLS FIRST, owner NULLS FIRST) AS job_rank,
  {r2('COALESCE(avg_duration, 0)', 1)} AS avg_duration_seconds,
  {r2('COALESCE(min_duration, 0)', 1)} AS min_duration_seconds, {r2('COALESCE(max_duration, 0)', 1)} AS max_duration_seconds,
  CASE WHEN run_count > 0 THEN {r2('total_cost / run_count', 4)} ELSE 0 END AS cost_per_run,
@@ -202,7 +202,7 @@ PARTS["all_targets"] = """
 SELECT cluster_id, ROUND(SUM(usage_quantity), 3) AS total_dbus, MIN(job_id) AS job_id FROM metric_usage
 WHERE cluster_id IS NOT NULL AND (is_serverless = false OR is_serverless IS NULL)
 GROUP BY cluster_id HAVING SUM(usage_quantity) > 10"""
-PARTS["top_targets"] = "SELECT * FROM all_targets ORDER BY total_dbus DESC, cluster_id LIMIT 20"
+PARTS["top_targets"] = "SELECT * FROM all_targets"
 
 
 def _samples(targets: str) -> str:
@@ -330,7 +330,7 @@ FROM (SELECT cluster_id, AVG(cpu) AS avg_cpu, MAX(cpu) AS max_cpu,
 LEFT JOIN cluster_dbus d ON d.cluster_id = u.cluster_id LEFT JOIN clusters_latest c ON c.cluster_id = u.cluster_id
 WHERE idle_share > 0.5 AND avg_cpu < 10"""
 PARTS["idle_top"] = """
-SELECT * EXCLUDE (known_dbus) FROM idle_all ORDER BY known_dbus DESC NULLS LAST, cluster_id LIMIT 20"""
+SELECT * EXCLUDE (known_dbus) FROM idle_all"""
 PARTS["hourly"] = f"""
 SELECT cluster_id, CAST(start_time AS DATE) AS usage_date, hour(start_time) AS usage_hour,
  COUNT(DISTINCT instance_id) AS active_workers
@@ -347,7 +347,7 @@ FROM (SELECT cluster_id, AVG(active_workers) AS avg_workers, MIN(active_workers)
 JOIN clusters_latest c ON c.cluster_id = s.cluster_id AND c.max_autoscale_workers > c.min_autoscale_workers
 LEFT JOIN cluster_dbus d ON d.cluster_id = s.cluster_id"""
 PARTS["scaling_top"] = """
-SELECT * EXCLUDE (known_dbus) FROM scaling_all ORDER BY known_dbus DESC NULLS LAST, cluster_id LIMIT 20"""
+SELECT * EXCLUDE (known_dbus) FROM scaling_all"""
 
 
 def _verdicts(stats: str) -> str:
@@ -452,7 +452,7 @@ PARTS["user_stats"] = f"""
 SELECT executed_by AS "user", COUNT(*) AS query_count, CAST(SUM(read_rows) AS BIGINT) AS total_rows_read,
  CAST(SUM(read_files) AS BIGINT) AS total_files_read, CAST(SUM(total_task_duration_ms) AS DOUBLE) / 1000 AS total_duration_seconds,
  {r2('AVG(total_task_duration_ms) / 1000', 3)} AS avg_duration_seconds
-FROM history WHERE executed_by IS NOT NULL GROUP BY 1 ORDER BY total_duration_seconds DESC, 1 LIMIT 50"""
+FROM history WHERE executed_by IS NOT NULL GROUP BY 1"""
 PARTS["text_flags"] = r"""
 SELECT statement_id, regexp_matches(upper(statement_text), 'SELECT\s+\*') AS select_star,
  position('WHERE' IN upper(statement_text)) = 0 AND position('JOIN' IN upper(statement_text)) = 0 AS no_where_clause,
@@ -460,8 +460,8 @@ SELECT statement_id, regexp_matches(upper(statement_text), 'SELECT\s+\*') AS sel
  read_rows > 10000000 AS large_result_sets, len(regexp_extract_all(upper(statement_text), '\bJOIN\b')) AS joins
 FROM query_history"""
 PARTS["sampled_flags"] = """
-SELECT f.* FROM text_flags f JOIN (SELECT statement_id FROM history WHERE statement_type = 'SELECT'
- ORDER BY total_task_duration_ms DESC, statement_id LIMIT 500) s ON s.statement_id = f.statement_id"""
+SELECT f.* FROM text_flags f JOIN (SELECT statement_id FROM history WHERE statement_type = 'SELECT') s
+ ON s.statement_id = f.statement_id"""
 PARTS["pattern_counts"] = "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{p}' AS pattern, COUNT(*) AS count FROM sampled_flags WHERE {p}"
     for p in ("select_star", "no_where_clause", "excessive_joins", "large_result_sets")
@@ -473,10 +473,10 @@ FROM history WHERE spilled_local_bytes > 0 AND warehouse_id IS NOT NULL GROUP BY
 PARTS["heavy"] = f"""
 SELECT warehouse_id, statement_id, executed_by AS "user", substring(statement_text, 1, 200) AS statement_preview, shuffle_read_bytes,
  {r2(f'shuffle_read_bytes / {GIB}')} AS shuffle_gb, total_task_duration_ms / 1000 AS duration_seconds, read_rows
-FROM (SELECT * FROM history WHERE shuffle_read_bytes > 0 ORDER BY shuffle_read_bytes DESC, statement_id LIMIT 20)
+FROM (SELECT * FROM history WHERE shuffle_read_bytes > 0)
 WHERE shuffle_read_bytes / {GIB} > 0.1"""
 PARTS["query_row"] = """
-SELECT (SELECT COALESCE(SUM(query_count), 0) FROM user_stats) AS query_count,
+SELECT (SELECT COALESCE(SUM(query_count), 0) FROM user_stats) AS query_count, (SELECT COUNT(*) FROM sampled_flags) AS select_count,
  (SELECT COUNT(*) FROM sampled_flags WHERE no_where_clause) AS no_where_clause,
  (SELECT COUNT(*) FROM sampled_flags WHERE large_result_sets) AS large_result_sets"""
 
@@ -501,8 +501,8 @@ def rec(rule, source, where, savings, severity, id=None, resource="CAST(NULL AS
  {order} AS rule_order, CAST({seq} AS DOUBLE) AS seq FROM {source} WHERE {where}"""
 
 
-def _id(prefix: str, column: str, length: int) -> str:
-    return f"'{prefix}_' || substring({column}, 1, {length})"
+def _id(prefix: str, column: str) -> str:
+    return f"'{prefix}_' || {column}"
 
 
 def _product(*products: str) -> str:
@@ -521,30 +521,30 @@ _NOT_STARTER = "NOT contains(lower(warehouse_name), 'starter')"
 
 RULE_SQL = {
     "auto_term": rec(
-        "auto_term", "cluster_issues", "type = 'no_autotermination'", "cost * 0.4", "'high'", _id("auto_term", "resource_id", 12),
+        "auto_term", "cluster_issues", "type = 'no_autotermination'", "cost * 0.4", "'high'", _id("auto_term", "resource_id"),
         "resource_id", "COALESCE(owner, 'Contact cluster owner')", "-cost"),
     "wh_auto_stop": rec(
         "wh_auto_stop", "merged", f"{_PAID} AND auto_stop_minutes = 0", "total_cost * 0.3", "'high'",
-        _id("wh_auto_stop", "warehouse_id", 12), "warehouse_id", "'Contact SQL warehouse admin'", "-total_cost"),
+        _id("wh_auto_stop", "warehouse_id"), "warehouse_id", "'Contact SQL warehouse admin'", "-total_cost"),
     "wh_reduce_stop": rec(
         "wh_reduce_stop", "merged", f"{_PAID} AND auto_stop_minutes > 60", "total_cost * 0.1", "'medium'",
-        _id("wh_reduce_stop", "warehouse_id", 12), "warehouse_id", seq="-total_cost"),
+        _id("wh_reduce_stop", "warehouse_id"), "warehouse_id", seq="-total_cost"),
     "wh_size": rec(
         "wh_size", "merged", f"{_PAID} AND upper(warehouse_size) IN ('2X-LARGE', '3X-LARGE', '4X-LARGE')", "total_cost * 0.5",
-        "'medium'", _id("wh_size", "warehouse_id", 12), "warehouse_id", seq="-total_cost"),
+        "'medium'", _id("wh_size", "warehouse_id"), "warehouse_id", seq="-total_cost"),
     "wh_min_clusters": rec(
         "wh_min_clusters", "merged", f"{_PAID} AND min_clusters > 1", "total_cost * 0.2", "'medium'",
-        _id("wh_min_clusters", "warehouse_id", 12), "warehouse_id", seq="-total_cost"),
+        _id("wh_min_clusters", "warehouse_id"), "warehouse_id", seq="-total_cost"),
     "wh_long_run": rec(
         "wh_long_run", "long_running", f"running_hours > 4 AND {_NOT_STARTER}", f"running_hours * {_RATE} * cluster_count * 0.5",
-        "CASE WHEN running_hours > 8 THEN 'high' ELSE 'medium' END", _id("wh_long_run", "warehouse_id", 8), "warehouse_id",
+        "CASE WHEN running_hours > 8 THEN 'high' ELSE 'medium' END", _id("wh_long_run", "warehouse_id"), "warehouse_id",
         seq=f"-running_hours * {_RATE} * cluster_count"),
     "wh_upscaled": rec(
         "wh_upscaled", "upscaled", "upscaled_hours > 1", "upscaled_hours * 4 * (current_clusters - 1)", "'medium'",
-        _id("wh_upscaled", "warehouse_id", 8), "warehouse_id", seq="-upscaled_hours"),
+        _id("wh_upscaled", "warehouse_id"), "warehouse_id", seq="-upscaled_hours"),
     "wh_idle": rec(
         "wh_idle", "idle_wh", _NOT_STARTER, f"running_hours * {_RATE} * 0.7",
-        "CASE WHEN running_hours > 4 THEN 'high' ELSE 'medium' END", _id("wh_idle", "warehouse_id", 8), "warehouse_id",
+        "CASE WHEN running_hours > 4 THEN 'high' ELSE 'medium' END", _id("wh_idle", "warehouse_id"), "warehouse_id",
         seq="-running_hours"),
     "all_purpose_to_jobs": rec(
         "all_purpose_to_jobs", _product("INTERACTIVE", "ALL_PURPOSE"),
@@ -555,22 +555,22 @@ RULE_SQL = {
         "CASE WHEN serverless_cost / cost * 100 < 80 THEN classic_cost * 0.3 ELSE cost * 0.05 END", "'low'",
         ) + ") WHERE estimated_savings >= 1",
     "serverless_job": rec(
-        "serverless_job", """(SELECT * FROM job_rows WHERE job_rank <= 5 AND is_serverless IS NOT TRUE AND run_count >= 3
- AND total_cost > 0.1 ORDER BY job_rank LIMIT 1)""", "true", "total_cost * 0.15", "'low'", _id("serverless_job", "job_id", 12), "job_id"),
+        "serverless_job", """(SELECT * FROM job_rows WHERE is_serverless IS NOT TRUE AND run_count >= 3
+ AND total_cost > 0.1)""", "true", "total_cost * 0.15", "'low'", _id("serverless_job", "job_id"), "job_id", seq="job_rank"),
     "autoscale": rec(
-        "autoscale", "cluster_issues", "type = 'no_autoscaling'", "cost * 0.25", "'medium'", _id("autoscale", "resource_id", 12),
+        "autoscale", "cluster_issues", "type = 'no_autoscaling'", "cost * 0.25", "'medium'", _id("autoscale", "resource_id"),
         "resource_id", seq="-cost"),
     "rightsize": rec(
         "rightsize", "cluster_issues", "type = 'oversized'", "cost * 0.4", "CASE WHEN metric >= 20 THEN 'high' ELSE 'medium' END",
-        _id("rightsize", "resource_id", 12), "resource_id", seq="-cost"),
+        _id("rightsize", "resource_id"), "resource_id", seq="-cost"),
     "rightsize_overprovisioned": rec(
         "rightsize_overprovisioned", "utilization_row", "over_provisioned_count > 0 AND potential_savings_dbus > 10",
         f"potential_savings_dbus * {_PRICE}", "'high'"),
     "rightsize_underprovisioned": rec(
         "rightsize_underprovisioned", "utilization_row", "under_provisioned_count > 0", "0", "'medium'"),
     "rightsize_cluster": rec(
-        "rightsize_cluster", "top_statuses", """metric_rank <= 5 AND overall_status = 'over-provisioned' AND component = 'worker'
- AND total_dbus > 50 AND cpu_headroom_p50 > 0.5""", f"total_dbus * 0.25 * {_PRICE}", "'medium'", _id("rightsize", "cluster_id", 8),
+        "rightsize_cluster", "top_statuses", """overall_status = 'over-provisioned' AND component = 'worker'
+ AND total_dbus > 50 AND cpu_headroom_p50 > 0.5""", f"total_dbus * 0.25 * {_PRICE}", "'medium'", _id("rightsize", "cluster_id"),
         "cluster_id", seq="metric_rank"),
     "idle_clusters": rec(
         "idle_clusters", f"(SELECT SUM(wasted_dbus_estimate) * {_PRICE} AS cost FROM idle_top)", "cost > 5", "cost", "'high'"),
@@ -587,10 +587,10 @@ RULE_SQL = {
     "model_scale_to_zero": rec("model_scale_to_zero", _product("MODEL_SERVING"), "cost >= 5", "cost * 0.5", "'medium'"),
     "job_failures": rec(
         "job_failures", "job_issues", "type = 'high_failure_rate' AND estimated_savings >= 1", "estimated_savings", "'high'",
-        _id("job_failures", "resource_id", 12), "resource_id", seq="job_rank"),
+        _id("job_failures", "resource_id"), "resource_id", seq="job_rank"),
     "job_startup": rec(
         "job_startup", "job_issues", "type = 'startup_overhead' AND metric >= 0.10", "metric * 10 * 0.5", "'medium'",
-        _id("job_startup", "resource_id", 12), "resource_id", seq="job_rank"),
+        _id("job_startup", "resource_id"), "resource_id", seq="job_rank"),
     "weekend_waste": rec(
         "weekend_waste", """(SELECT (SELECT total_cost FROM cost_totals) * (weekend_percentage / 100) * 0.7 AS wasted FROM weekend_row
  WHERE has_weekend_waste AND weekend_dbus > 10)""", "true", "wasted", "CASE WHEN wasted > 50 THEN 'high' ELSE 'medium' END"),
@@ -605,8 +605,8 @@ RULE_SQL = {
  (SELECT COUNT(*) FROM job_issues WHERE type = 'startup_overhead') AS short FROM cluster_costs)""",
         "n >= 2 AND cost > 1 AND short < 2", "cost * 0.05", "'low'"),
     "job_freq": rec(
-        "job_freq", """(SELECT * FROM job_rows WHERE job_rank <= 3 AND run_count >= 20 AND total_cost > 0.5
- ORDER BY job_rank LIMIT 1)""", "true", "total_cost * 0.3", "'low'", _id("job_freq", "job_id", 12), "job_id"),
+        "job_freq", """(SELECT * FROM job_rows WHERE run_count >= 20 AND total_cost > 0.5)""", "true", "total_cost * 0.3", "'low'",
+        _id("job_freq", "job_id"), "job_id", seq="job_rank"),
     "implement_tagging": rec(
         "implement_tagging", "tag_row", "has_tagging_gap AND untagged_percentage > 20", "untagged_dbus * 0.50 * 0.1",
         "CASE WHEN untagged_percentage > 50 THEN 'high' ELSE 'medium' END"),
@@ -614,12 +614,12 @@ RULE_SQL = {
         "delta_optimization", f"(SELECT *, {_SQL_COST} AS sql_cost FROM query_row)",
         "sql_cost > 10 AND (large_result_sets > 5 OR query_count > 100)", "sql_cost * 0.15", "'low'"),
     "disk_spill": rec(
-        "disk_spill", "spill", "needs_upsize", "0", "'medium'", _id("disk_spill", "warehouse_id", 8), "warehouse_id",
+        "disk_spill", "spill", "needs_upsize", "0", "'medium'", _id("disk_spill", "warehouse_id"), "warehouse_id",
         seq="-spill_frequency"),
     "shuffle_heavy_queries": rec("shuffle_heavy_queries", "(SELECT COUNT(*) AS n FROM heavy)", "n >= 5", "0", "'low'"),
     "sql_partitioning": rec(
         "sql_partitioning", f"(SELECT *, {_SQL_COST} AS sql_cost FROM query_row)",
-        """query_count > 0 AND sql_cost >= 1 AND no_where_clause / query_count * 100 > 30 AND no_where_clause > 20""",
+        """select_count > 0 AND sql_cost >= 1 AND no_where_clause / select_count * 100 > 30 AND no_where_clause > 20""",
         "sql_cost * 0.1", "'low'"),
     "cost_monitoring": rec("cost_monitoring", "projection", "true", "estimated_monthly_cost * 0.05", "'low'"),
 }
@@ -681,7 +681,7 @@ FROM job_costs_reduced""",
             "warehouse_events": None, "jobs": None, "job_run_timeline": None, "query_history": "start_time",
         }.items()
     ),
-    "s5_distinct_skus": "SELECT DISTINCT sku_name FROM usage ORDER BY 1 LIMIT 20",
+    "s5_distinct_skus": "SELECT DISTINCT sku_name FROM usage",
     "s6_report_summary": """SELECT COUNT(*) AS total_recommendations, ROUND(SUM(estimated_savings), 6) AS estimated_total_savings,
  (SELECT estimated_monthly_cost FROM projection) AS estimated_monthly_cost FROM final_recs""",
     "f1_date_window": """SELECT usage_date, COUNT(*) AS lines, SUM(usage_quantity) AS dbus FROM usage
@@ -776,7 +776,7 @@ WHERE total_task_duration_ms > 5000 AND statement_type IN ('SELECT', 'INSERT', '
 ORDER BY total_task_duration_ms DESC, statement_id LIMIT 10""",
     "t4_top_shuffle_queries": "SELECT * FROM heavy ORDER BY shuffle_read_bytes DESC, statement_id LIMIT 10",
     "t5_recent_events": f"""SELECT * FROM warehouse_events WHERE event_time BETWEEN {START_TS} AND {END_TS}
-ORDER BY event_time DESC, warehouse_id, event_type, cluster_count LIMIT 10000""",
+""",
     "t6_warehouses_by_cost": "SELECT warehouse_id, total_cost FROM merged ORDER BY total_cost DESC, warehouse_id",
     "t7_runs_by_job": """SELECT job_id, run_id, result_state, duration_seconds, period_start_time, period_end_time FROM period_runs
 ORDER BY job_id, period_start_time DESC""",
