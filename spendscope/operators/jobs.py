@@ -64,7 +64,11 @@ def with_job_names(per_run: DataFrame, tables: SourceTables) -> DataFrame:
 def job_costs(priced: DataFrame, tables: SourceTables) -> DataFrame:
     """Cost of each (job, SKU, compute type), with spot share and run count."""
     capacity = job_cluster_capacity(tables["clusters"]).select("cluster_id", "uses_spot")
-    per_run = job_usage(priced).join(capacity, "cluster_id", "left")
+    usage = job_usage(priced)
+    # Serverless runs have no cluster: as join keys, their nulls would all meet in one task.
+    unknown = usage.filter(F.col("cluster_id").isNull()).withColumn("uses_spot", F.lit(None).cast("boolean"))
+    known = usage.filter(F.col("cluster_id").isNotNull()).join(capacity, "cluster_id", "left")
+    per_run = known.unionByName(unknown)
     named = with_job_names(per_run, tables)
     spot = F.coalesce(F.col("uses_spot"), F.lit(False))
     return (

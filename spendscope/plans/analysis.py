@@ -298,7 +298,7 @@ class Analysis:
             "product_breakdown": report.product_breakdown(self.rollup, self.totals),
             "compute_breakdown": report.compute_breakdown(self.projection),
             "weekday_breakdown": report.weekday_breakdown(self.by_day),
-            "user_breakdown": report.user_breakdown(self.top, self.totals),
+            "user_breakdown": report.user_breakdown(self.top, self.rollup, self.totals),
             "tag_coverage": self.tag_coverage,
             "weekend_pattern": self.weekend,
             "cluster_costs": self.cluster_costs,

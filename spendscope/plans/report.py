@@ -23,6 +23,7 @@ NO_TIMELINE = "N/A (no optimization opportunities found)"
 TIMELINES = ((3, "2-3 weeks"), (1, "1-2 weeks"))
 SLOWEST_TIMELINE = "2-4 weeks"
 PHASES = {"high": 1, "medium": 2, "low": 3}
+OTHER_USERS = "(Other users)"
 UNATTRIBUTED = "(System/Unattributed)"
 UNATTRIBUTED_MIN = 0.01
 TOP_DRIVERS = 5
@@ -128,20 +129,27 @@ def weekday_breakdown(by_day: DataFrame) -> DataFrame:
     )
 
 
-def user_breakdown(top: DataFrame, totals: DataFrame) -> DataFrame:
-    """Cost of the top users and what remains besides them."""
+def user_breakdown(top: DataFrame, rollup: DataFrame, totals: DataFrame) -> DataFrame:
+    """Cost of the top users, of all others, and of what no user caused."""
     whole = totals.select("total_cost").scalar()
     users = top.filter(F.col("dim") == "user")
     share = lambda cost: rounded(ratio(cost, whole) * 100, 1).alias("percent_of_total")
     listed = users.select("rank", F.col("id").alias("user"), "dbus", "cost", share(F.col("cost")))
-    rest = users.agg(total("cost").alias("attributed")).select(
-        F.lit(None).cast("int").alias("rank"),
-        F.lit(UNATTRIBUTED).alias("user"),
-        F.lit(None).cast("double").alias("dbus"),
-        settled(whole - F.col("attributed")).alias("cost"),
-    )
-    remainder = rest.filter(F.col("cost") > UNATTRIBUTED_MIN).select("*", share(F.col("cost")))
-    return listed.unionByName(remainder)
+    shown = users.agg(total("cost").alias("shown"))
+    sums = rollup.filter(F.col("dim") == "user").agg(total("cost").alias("attributed"))
+    attributed = F.coalesce(sums.scalar(), F.lit(0.0))
+
+    def remainder(label: str, cost: Column) -> DataFrame:
+        row = shown.select(
+            F.lit(None).cast("int").alias("rank"),
+            F.lit(label).alias("user"),
+            F.lit(None).cast("double").alias("dbus"),
+            settled(cost).alias("cost"),
+        )
+        return row.filter(F.col("cost") > UNATTRIBUTED_MIN).select("*", share(F.col("cost")))
+
+    others = remainder(OTHER_USERS, attributed - F.coalesce("shown", F.lit(0.0)))
+    return listed.unionByName(others).unionByName(remainder(UNATTRIBUTED, whole - attributed))
 
 
 def status_distribution(statuses: DataFrame) -> DataFrame:

@@ -25,19 +25,19 @@ VIEWS = {
     "usage": """
 SELECT DATE '2024-01-01' + CAST(l_orderkey % 30 AS INT) AS usage_date,
  CAST(DATE '2024-01-01' + CAST(l_orderkey % 30 AS INT) AS TIMESTAMP) + INTERVAL '1' HOUR * (l_linenumber+1) AS usage_end_time,
- 'SKU_' || CAST(l_partkey % 25 AS VARCHAR(9)) AS sku_name,
+ CASE WHEN l_partkey % 25 = 24 THEN 'SKU_NEW_' || CAST(l_partkey % 7 AS VARCHAR(9)) WHEN l_partkey % 6 = 1 THEN 'SKU_' || CAST(l_partkey % 25 AS VARCHAR(9)) ELSE 'SKU_' || CAST(l_partkey AS VARCHAR(9)) END AS sku_name,
  CASE l_partkey % 6 WHEN 0 THEN 'ALL_PURPOSE' WHEN 1 THEN 'JOBS' WHEN 2 THEN 'SQL' WHEN 3 THEN 'INTERACTIVE' WHEN 4 THEN 'MODEL_SERVING' END AS billing_origin_product,
  l_suppkey % 3 AS workspace_id, l_quantity AS usage_quantity,
- CASE WHEN l_partkey % 6 IN (0,1,3) THEN 'cluster-' || CAST(l_suppkey AS VARCHAR(9)) END AS cluster_id,
- CASE WHEN l_partkey % 6 = 1 THEN 'job-' || CAST(l_suppkey % 40 AS VARCHAR(9)) END AS job_id,
+ CASE WHEN l_partkey % 6 IN (0,1,3) AND NOT (l_partkey % 6 = 1 AND l_orderkey % 4 = 1) THEN 'cluster-' || CAST(l_suppkey AS VARCHAR(9)) END AS cluster_id,
+ CASE WHEN l_partkey % 6 = 1 THEN 'job-' || CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS VARCHAR(9)) END AS job_id,
  CASE WHEN l_partkey % 6 = 1 THEN l_orderkey END AS job_run_id,
  CASE WHEN l_partkey % 6 = 2 THEN 'wh-' || CAST(l_suppkey % 27 AS VARCHAR(9)) END AS warehouse_id,
  CASE l_suppkey % 4 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS is_serverless,
- CASE WHEN l_returnflag <> 'N' THEN 'user-' || CAST(l_suppkey % 7 AS VARCHAR(9)) END AS run_as,
+ CASE WHEN l_returnflag <> 'N' THEN 'user-' || CAST(l_suppkey % 70 AS VARCHAR(9)) END AS run_as,
  CASE WHEN l_linestatus = 'O' OR l_returnflag = 'A' THEN 0 ELSE 1 END AS tag_count FROM {lineitem}
 """,
     "list_prices": """
-SELECT 'SKU_' || CAST(p_partkey AS VARCHAR(9)) AS sku_name, CASE n WHEN 0 THEN TIMESTAMP '2023-01-01 00:00:00' ELSE TIMESTAMP '2024-01-16 00:00:00' END AS price_start_time, CASE n WHEN 0 THEN TIMESTAMP '2024-01-16 00:00:00' END AS price_end_time, (p_size + 5*n)/100.0 AS price FROM {part_versions} WHERE p_partkey < 24
+SELECT 'SKU_' || CAST(p_partkey AS VARCHAR(9)) AS sku_name, CASE n WHEN 0 THEN TIMESTAMP '2023-01-01 00:00:00' ELSE TIMESTAMP '2024-01-16 00:00:00' END AS price_start_time, CASE n WHEN 0 THEN TIMESTAMP '2024-01-16 00:00:00' END AS price_end_time, (p_size + 5*n)/100.0 AS price FROM {part_versions}
 """,
     "clusters": """
 SELECT 'cluster-' || CAST(s_suppkey AS VARCHAR(9)) AS cluster_id, CASE WHEN s_suppkey % 5 = 0 THEN 'job-' || CAST(s_suppkey AS VARCHAR(9)) || '-run-1' ELSE s_name END AS cluster_name, s_name AS owned_by, TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * n AS change_time,
@@ -62,10 +62,10 @@ SELECT o_orderkey AS statement_id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED
  CASE WHEN o_orderkey % 9 = 0 THEN CAST(FLOOR(o_totalprice * 100) AS BIGINT) * (o_custkey % 13) * 10 ELSE 0 END AS spilled_local_bytes, CASE WHEN o_orderkey % 5 = 0 THEN CAST(FLOOR(o_totalprice * 2000) AS BIGINT) ELSE 0 END AS shuffle_read_bytes FROM {orders}
 """,
     "jobs": """
-SELECT 'job-' || CAST(c_custkey AS VARCHAR(9)) AS job_id, c_custkey % 3 AS workspace_id, c_name AS name, c_name AS creator_user_name, TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * n AS change_time FROM {customer_versions} WHERE c_custkey < 40
+SELECT 'job-' || CAST(c_custkey AS VARCHAR(9)) AS job_id, c_custkey % 3 AS workspace_id, c_name AS name, c_name AS creator_user_name, TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * n AS change_time FROM {customer_versions}
 """,
     "job_run_timeline": """
-SELECT 'job-' || CAST(o_custkey % 40 AS VARCHAR(9)) AS job_id, o_orderkey AS run_id, CASE WHEN o_orderkey % 17 = 3 THEN NULL WHEN o_orderkey % (4 + o_custkey % 40) = 0 THEN 'FAILED' WHEN o_orderkey % 53 = 5 THEN 'TIMEDOUT' WHEN o_orderkey % 59 = 5 THEN 'CANCELED' WHEN o_orderkey % 61 = 5 THEN 'SKIPPED' ELSE 'SUCCESS' END AS result_state, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (o_orderkey * 7 % 43200) AS period_start_time, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (o_orderkey * 7 % 43200) + INTERVAL '1' SECOND * (CASE WHEN o_custkey % 4 = 0 THEN 30 + o_orderkey % 20 ELSE o_orderkey % 2000 END) AS period_end_time FROM {orders}
+SELECT 'job-' || CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS VARCHAR(9)) AS job_id, o_orderkey AS run_id, CASE WHEN o_orderkey % 17 = 3 THEN NULL WHEN o_orderkey % (4 + o_custkey % 40) = 0 THEN 'FAILED' WHEN o_orderkey % 53 = 5 THEN 'TIMEDOUT' WHEN o_orderkey % 59 = 5 THEN 'CANCELED' WHEN o_orderkey % 61 = 5 THEN 'SKIPPED' ELSE 'SUCCESS' END AS result_state, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (o_orderkey * 7 % 43200) AS period_start_time, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (o_orderkey * 7 % 43200) + INTERVAL '1' SECOND * (CASE WHEN o_custkey % 4 = 0 THEN 30 + o_orderkey % 20 ELSE o_orderkey % 2000 END) AS period_end_time FROM {orders}
 """,
 }
 

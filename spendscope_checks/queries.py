@@ -821,7 +821,7 @@ def _(a):
 
 @query("p5_user_breakdown")
 def _(a):
-    return report.user_breakdown(a.top, a.totals)
+    return report.user_breakdown(a.top, a.rollup, a.totals)
 
 
 @query("p6_status_distribution")

@@ -66,6 +66,7 @@ PARTS["cost_rollup"] = " UNION ALL ".join(
 FROM priced WHERE {key} IS NOT NULL GROUP BY {key}"""
     for dim, key in _DIMS.items()
 )
+PARTS["user_cost"] = "SELECT COALESCE(SUM(cost), 0) AS of_users FROM cost_rollup WHERE dim = 'user'"
 PARTS["top_ten"] = """
 SELECT dim, row_number() OVER (PARTITION BY dim ORDER BY cost DESC, key) AS rank, key AS id, dbus, cost
 FROM cost_rollup WHERE dim <> 'workspace' QUALIFY rank <= 10"""
@@ -885,8 +886,9 @@ UNION ALL SELECT 'classic', classic_dbus, classic_cost, {r2('100 - serverless_pe
  {r2('total_dbus / (SELECT SUM(total_dbus) FROM dow_usage) * 100', 1)} AS percent_of_total FROM dow_usage""",
     "p5_user_breakdown": f"""SELECT rank, id AS "user", dbus, cost, {r2('cost / (SELECT total_cost FROM cost_totals) * 100', 1)} AS percent_of_total
 FROM top_ten WHERE dim = 'user'
-UNION ALL SELECT NULL, '(System/Unattributed)', NULL, cost, {r2('cost / (SELECT total_cost FROM cost_totals) * 100', 1)}
-FROM (SELECT ROUND((SELECT total_cost FROM cost_totals) - SUM(cost), 6) AS cost FROM top_ten WHERE dim = 'user') WHERE cost > 0.01""",
+UNION ALL SELECT NULL, label, NULL, cost, {r2('cost / (SELECT total_cost FROM cost_totals) * 100', 1)}
+FROM (SELECT '(Other users)' AS label, ROUND(of_users - (SELECT SUM(cost) FROM top_ten WHERE dim = 'user'), 6) AS cost FROM user_cost
+ UNION ALL SELECT '(System/Unattributed)', ROUND((SELECT total_cost FROM cost_totals) - of_users, 6) FROM user_cost) WHERE cost > 0.01""",
     "p6_status_distribution": f"""SELECT overall_status, COUNT(*) AS clusters,
  {r2('COUNT(*) / (SELECT COUNT(*) FROM top_cluster_status) * 100', 1)} AS percent, ROUND(SUM(total_dbus), 2) AS dbus
 FROM top_cluster_status GROUP BY 1""",
