@@ -12,7 +12,7 @@ _OFFSET = 20_000
 
 def _step(value: Column) -> Column:
     """A number that grows with the value, equal for values within a few parts in a hundred."""
-    size = F.floor(F.log2(F.abs(value)) * _STEPS).cast("int")
+    size = F.floor(F.least(F.log2(F.abs(value)), F.lit(1100.0)) * _STEPS).cast("int")
     return F.when(value > 0, size + _OFFSET).when(value < 0, -size - _OFFSET).when(value == 0, 0).otherwise(-4 * _OFFSET)
 
 

@@ -134,7 +134,8 @@ def job_efficiency(costs: DataFrame, metrics: DataFrame) -> DataFrame:
     ``job_rank`` is the place of the row by cost.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    first = [F.col(c).asc_nulls_first() for c in ("is_serverless", "job_name", "owner")]
+    last_ties = [c for c in ("is_serverless", "job_name", "owner") if c in costs.columns]
+    first = [F.col(c).asc_nulls_first() for c in last_ties]
     ranked = with_place(costs, "job_rank", "total_cost", "job_id", "sku_name", *first)
     joined = ranked.join(metrics, "job_id", "left")
     average = zero("avg_duration")

@@ -6,8 +6,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ..operators import clusters, costs, jobs, pricing, query_history, rules, usage, utilization, warehouses
+from ..operators import clusters, costs, jobs, pricing, query_history, rules, usage, utilization, versions, warehouses
 from ..session import cut_lineage
+from ..sources import profile
 from ..sources.registry import AnalysisWindow, SourceTables
 from . import report
 
@@ -299,13 +300,17 @@ class Analysis:
             "compute_breakdown": report.compute_breakdown(self.projection),
             "weekday_breakdown": report.weekday_breakdown(self.by_day),
             "user_breakdown": report.user_breakdown(self.top, self.rollup, self.totals),
+            "tag_usage": usage.tag_usage(self.tables["usage"], self.window),
             "tag_coverage": self.tag_coverage,
             "weekend_pattern": self.weekend,
+            "clusters": versions.cluster_listing(self.tables["clusters"]),
             "cluster_costs": self.cluster_costs,
             "cluster_issues": self.cluster_issues,
             "jobs": self.jobs,
             "job_issues": self.job_issues,
             "job_totals": self.job_totals,
+            "high_cost_jobs": jobs.high_cost_jobs(self.jobs),
+            "job_runs": jobs.job_runs(self.tables["job_run_timeline"], self.window),
             "top_jobs": report.top_jobs(self.named_top, self.jobs),
             "top_interactive_clusters": report.top_interactive_clusters(self.named_top),
             "cluster_metrics": self.metrics,
@@ -316,15 +321,20 @@ class Analysis:
             "autoscale": self.autoscale,
             "warehouses": self.warehouses,
             "warehouse_issues": self.warehouse_issues,
+            "warehouse_events": warehouses.recent_events(self.tables["warehouse_events"], self.window),
+            "expected_savings": costs.expected_savings(self.warehouse_issues),
             "long_running_warehouses": self.long_running,
             "upscaled_warehouses": self.upscaled,
             "idle_warehouses": self.idle_warehouses,
             "user_stats": self.user_stats,
             "longest_queries": query_history.longest_queries(history, self.window),
             "query_patterns": query_history.pattern_findings(self.pattern_counts),
+            "query_totals": self.query_totals,
             "disk_spill": self.spill,
+            "spill_summary": query_history.spill_summary(self.spill),
             "shuffle_queries": query_history.top_shuffle(self.shuffle_heavy),
             "shuffle_by_warehouse": query_history.shuffle_by_warehouse(self.shuffle_heavy),
             "recommendations": self.recommendations,
             "roadmap": report.roadmap(self.recommendations),
+            "source_profile": profile.source_profile(self.tables),
         }

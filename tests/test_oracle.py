@@ -33,8 +33,10 @@ def test_same_rows_as_duckdb(spark, con, name):
 
 
 def test_every_query_has_a_statement():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
-    assert set(CHOSEN) <= set(queries.names())
+    own = set(queries.names())
+    # Other packages may register more queries, some of which no statement can express.
+    assert own <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
+    assert set(CHOSEN) <= own
 
 
 def test_flagship(spark):

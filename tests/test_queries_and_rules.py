@@ -125,12 +125,19 @@ def test_pools_prefer_short_jobs(frame):
         ("use_cluster_pools", 0.75)]
 
 
-def test_only_the_first_matching_job_is_named(frame):
+def test_every_matching_job_is_named(frame):
     ddl = "job_id string, job_name string, is_serverless boolean, total_cost double, run_count bigint, job_rank int"
     rows = [("a", "A", True, 9.0, 50, 1), ("b", None, None, 8.0, 3, 2), ("c", "C", False, 7.0, 30, 3), ("d", "D", False, 6.0, 90, 4)]
-    assert [r.id for r in rules.serverless_job(frame(ddl, rows)).collect()] == ["serverless_job_b"]
-    assert [r.id for r in rules.frequent_job(frame(ddl, rows)).collect()] == ["job_freq_a"]
-    assert rules.frequent_job(frame(ddl, rows[3:])).count() == 0
+    assert [r.id for r in rules.serverless_job(frame(ddl, rows)).collect()] == [
+        "serverless_job_b", "serverless_job_c", "serverless_job_d"]
+    assert [r.id for r in rules.frequent_job(frame(ddl, rows)).collect()] == ["job_freq_a", "job_freq_c", "job_freq_d"]
+    assert rules.frequent_job(frame(ddl, rows[1:2])).count() == 0
+
+
+def test_ids_hold_the_whole_resource(frame):
+    ddl = "job_id string, job_name string, is_serverless boolean, total_cost double, run_count bigint, job_rank int"
+    rows = [(f"same-first-12-characters-{k}", None, False, 9.0, 50, k) for k in (1, 2)]
+    assert len({r.id for r in rules.frequent_job(frame(ddl, rows)).collect()}) == 2
 
 
 @pytest.mark.parametrize("spot, on_demand, expected", [(0.0, 10.0, 4.5), (8.0, 2.0, 0.9), (8.1, 1.9, None), (0.0, 0.5, None)])

@@ -76,7 +76,8 @@ def test_profile(sample):
     assert rows["usage"].row_count == sample["usage"].count()
     assert str(rows["usage"].min_date) == "2024-01-01"
     assert profile.sample_rows(sample["usage"]).count() == 5
-    assert profile.distinct_values(sample["usage"], "sku_name").count() == 20
+    assert profile.distinct_values(sample["usage"], "sku_name", 20).count() == 20
+    assert profile.distinct_values(sample["usage"], "sku_name").count() == sample["usage"].select("sku_name").distinct().count()
 
 
 def test_results_are_written(sample, tmp_path):
