@@ -110,9 +110,24 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=4)
+def _letter_tokenizer(path: str):
+    """The same merges for texts of normalised letters and blanks, where white space alone splits."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.normalizer = None
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    return tokenizer
+
+
 # Marks that end a word's last piece, whatever follows them; an apostrophe may open a piece.
 _MARKS = bytes(sorted(set(range(0x21, 0x7F)) - {ord("'")} - set(b"0123456789") - {*range(65, 91), *range(97, 123)}))
 _JOINED = 1024
+# Up to here all letters are those of every Unicode version in use.
+_LAST_LATIN = "\u024f"
 
 
 class WordIds:
@@ -125,6 +140,7 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.of_letters = _letter_tokenizer(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
@@ -133,10 +149,11 @@ class WordIds:
 
     @staticmethod
     def _split(word: bytes) -> tuple[bytes, bytes]:
+        if word.isalnum():  # of ASCII only
+            return word.lower(), b""
         core = word.rstrip(_MARKS)
-        if core.isalnum():  # of ASCII only
-            low = core.lower()
-            return word if low == word else low, word[len(core) :]
+        if core.isalnum():
+            return core.lower(), word[len(core) :]
         if core and core.decode()[-1].isalpha():
             return core, word[len(core) :]
         return word, b""
@@ -146,25 +163,34 @@ class WordIds:
         return np.array(encoded[0].ids, np.uint32).tobytes()
 
     def _encoded(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """Parts of letters only are one piece each; many are encoded in one go and cut at their ends."""
-        letters, found = [], {}
+        """Parts of Latin letters are one piece each; many are encoded in one go and cut at their ends."""
+        plain, accented, found = [], [], {}
         for part in parts:
-            if part.isalpha() or part.decode().isalpha():
-                letters.append(part)
+            if part.isalpha():
+                plain.append(part)
+            elif (text := part.decode()).isalpha() and max(text) <= _LAST_LATIN:
+                accented.append(part)
             else:
                 found[part] = self._alone(part)
-        for k in range(0, len(letters), _JOINED):
-            some = letters[k : k + _JOINED]
-            text = b" ".join(some).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cuts) == len(some):
-                data, ends = ids.tobytes(), (4 * cuts).tolist()
-                found.update((p, data[a:b]) for p, a, b in zip(some, [0, *ends], ends))
-            else:
-                found.update((part, self._alone(part)) for part in some)
+        for letters in (plain, accented):
+            for k in range(0, len(letters), _JOINED):
+                found.update(self._of_letters(letters[k : k + _JOINED], normal=letters is plain))
         return found
 
+    def _of_letters(self, some: list[bytes], normal: bool) -> Iterable[tuple[bytes, bytes]]:
+        """Ids of parts of letters; normal: they are lower case ASCII, which the normaliser leaves alone."""
+        text = b" ".join(some).decode()
+        if not normal and self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+            if not text.replace(" ", "").isalpha():  # a letter has become a letter and a mark
+                return [(part, self._alone(part)) for part in some]
+        ids = np.array(self.of_letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+        if len(ends) != len(some):
+            return [(part, self._alone(part)) for part in some]
+        data = ids.tobytes()
+        return ((p, data[a:b]) for p, a, b in zip(some, [0, *ends], ends))
+
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
         split = [self._split(word) for word in words]
         parts = dict.fromkeys(part for pair in split for part in pair if part and part not in self.parts)
@@ -180,22 +206,22 @@ class WordIds:
         """The ids of each text; about a megabyte of texts is looked up at a time."""
         at = 0
         while at < len(texts):
-            words, size = [], 0
+            words, ends, size = [], [], 0
             while at < len(texts) and size < 1 << 20:
-                words.append(texts[at].split())
+                words.extend(texts[at].split())
+                ends.append(len(words))
                 size += len(texts[at])
                 at += 1
-            known = self.words
-            new = self._new(list(set().union(*words).difference(known)))
-            if len(known) < CACHED_WORDS:
-                known.update(new)
-                new = {}
-            for ws in words:
-                if new:
-                    joined = b"".join([new[w] if w in new else known[w] for w in ws])
-                else:
-                    joined = b"".join(map(known.__getitem__, ws))
-                yield np.frombuffer(joined, np.uint32)
+            found = list(map(self.words.get, words))
+            gaps = [k for k, ids in enumerate(found) if ids is None]
+            if gaps:
+                new = self._new(list({words[k] for k in gaps}))
+                if len(self.words) < CACHED_WORDS:
+                    self.words.update(new)
+                for k in gaps:
+                    found[k] = new[words[k]]
+            for first, end in zip([0, *ends], ends):
+                yield np.frombuffer(b"".join(found[first:end]), np.uint32)
 
 
 @lru_cache(maxsize=2)
