@@ -26,18 +26,23 @@ EFFORT_DEFAULT_MINUTES = 30.0
 # -------------------------------------------------------------------------------
 
 GIB = 1024**3
+# Amounts are added as decimals: the sum is then the same in any order.
+AMOUNT = "decimal(28,12)"
 
 
 # ---- numbers ------------------------------------------------------------------
 def settled(col: Column) -> Column:
-    """Drop the last digits of a float sum, which depend on the order of addition."""
+    """Drop the last digits of a float result."""
     return F.round(col, 6)
 
 
 def total(col: Column | str) -> Column:
-    """Sum as a double; no rows and NULLs count as zero."""
+    """Exact sum of amounts, at six digits as a double; no rows and NULLs count as zero.
+
+    Each amount counts with 12 digits and may have 16 before the point.
+    """
     col = F.col(col) if isinstance(col, str) else col
-    return settled(F.coalesce(F.sum(col).cast("double"), F.lit(0.0)))
+    return F.coalesce(F.round(F.sum(col.cast(AMOUNT)), 6).cast("double"), F.lit(0.0))
 
 
 def total_if(condition: Column, col: Column | str) -> Column:

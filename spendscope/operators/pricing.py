@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.expressions import in_period, total, total_if
 from ..sources.registry import AnalysisWindow, SourceTables
 
+# Billed quantities; times a price of 18 digits they leave 25 before and 13 after the point.
+QUANTITY = "decimal(24,12)"
+
 
 def usage_lines(usage: DataFrame) -> DataFrame:
     """Usage with the nested attribution fields as plain columns."""
@@ -54,7 +57,7 @@ def account_price_book(account_prices: DataFrame) -> DataFrame:
 
 
 def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Join usage lines with the price valid at their end.
+    """Join usage lines with the price valid at their end; ``dollar_cost`` is a decimal.
 
     Usage without a valid price drops out. No join hint: Spark broadcasts the price
     book while its measured size is below ``spark.sql.autoBroadcastJoinThreshold``;
@@ -69,7 +72,7 @@ def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
             | (F.col("u.usage_end_time") < F.col("p.price_end_time"))
         )
     )
-    cost = (F.col("u.usage_quantity") * F.col("p.unit_price")).cast("double")
+    cost = F.col("u.usage_quantity").cast(QUANTITY) * F.col("p.unit_price")
     return u.join(p, valid, "inner").select("u.*", cost.alias("dollar_cost"))
 
 
@@ -92,7 +95,7 @@ def priced_usage(tables: SourceTables, window: AnalysisWindow) -> DataFrame:
 
 def newest_first(priced: DataFrame) -> DataFrame:
     """Priced usage by day and cost; sort only where the rows leave the engine."""
-    return priced.orderBy(
+    return priced.withColumn("dollar_cost", F.col("dollar_cost").cast("double")).orderBy(
         F.col("usage_date").desc(),
         F.col("dollar_cost").desc(),
         "sku_name",

@@ -215,7 +215,8 @@ def _(a):
 @query("j1_temporal_price_join")
 def _(a):
     return a.list_priced.select(
-        "usage_date", "sku_name", "usage_end_time", "workspace_id", "usage_quantity", "dollar_cost"
+        "usage_date", "sku_name", "usage_end_time", "workspace_id", "usage_quantity",
+        F.col("dollar_cost").cast("double").alias("dollar_cost"),
     )
 
 
@@ -295,7 +296,7 @@ def _(a):
 @query("a1_priced_usage")
 def _(a):
     return a.priced.groupBy("usage_date", "billing_origin_product").agg(
-        F.count("*").alias("lines"), F.sum("usage_quantity").alias("dbus"), F.sum("dollar_cost").alias("cost")
+        F.count("*").alias("lines"), ex.total("usage_quantity").alias("dbus"), ex.total("dollar_cost").alias("cost")
     )
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from spendscope.functions.expressions import total
 from spendscope.operators import costs, pricing, usage
 from spendscope.plans.analysis import Analysis
 from spendscope.sources.registry import SourceTables
@@ -169,3 +171,26 @@ def test_configured_cluster_name_wins(frame):
     houses = frame("warehouse_id string, warehouse_name string", [("w", "x")])
     found = {(r.dim, r.id): r.name for r in costs.name_top_items(top, jobs, cost_names, configs, houses).collect()}
     assert found == {("cluster", "c1"): "new", ("cluster", "c2"): "from cost", ("job", "j1"): "last", ("sku", "c1"): None}
+
+
+def test_sums_of_millions_do_not_depend_on_partitions(spark):
+    n = 2_000_000
+    amounts = spark.range(n).select("id", (((F.col("id") * 7919) % 1_000_003) / 997.0).alias("amount"))
+    found = {
+        parts: amounts.repartition(parts, F.xxhash64("id", F.lit(parts))).agg(total("amount").alias("sum")).first()[0]
+        for parts in (1, 3, 37)
+    }
+    assert len(set(found.values())) == 1
+    exact = sum((Decimal(repr(k * 7919 % 1_000_003 / 997.0)).quantize(Decimal("1e-12"), ROUND_HALF_UP) for k in range(n)), Decimal(0))
+    assert found[1] == float(exact.quantize(Decimal("1e-6"), ROUND_HALF_UP))
+
+
+def test_amounts_are_priced_as_decimals(frame):
+    usage = frame("sku_name string, usage_quantity double, usage_end_time timestamp_ntz",
+                  [("S", 0.1, datetime(2024, 1, 2))] * 3 + [("S", None, datetime(2024, 1, 2))])
+    prices = frame("sku_name string, price_start_time timestamp_ntz, price_end_time timestamp_ntz, unit_price decimal(18,6)",
+                   [("S", datetime(2024, 1, 1), None, Decimal("0.7"))])
+    priced = pricing.price_usage(usage, prices)
+    assert priced.schema["dollar_cost"].dataType.simpleString().startswith("decimal")
+    assert sorted(str(r.dollar_cost.normalize()) for r in priced.filter("dollar_cost is not null").collect()) == ["0.07"] * 3
+    assert priced.agg(total("dollar_cost")).first()[0] == 0.21
