@@ -2,8 +2,8 @@
 
 A word is a match of the splitting pattern. Its bytes are folded: each step joins the leftmost
 pair of pieces whose joined bytes have the lowest rank, and looks up the two pairs that this
-changes. The ranks are a constant of the plan: an array of small maps, found by a checksum of
-the bytes, as a large map would be searched from its beginning.
+changes. The ranks are a constant of the plan: a table found by a checksum of the bytes, as a
+large map would be searched from its beginning.
 
 Words that many documents hold are folded once each; their ids are a second constant of the
 same kind, of HOT_WORDS words at most. Other words are folded where they occur, so results don't
@@ -15,7 +15,9 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,47 +39,78 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def _constant(values: list, ddl: str) -> Column:
+def _constant(values: list | dict, ddl: str) -> Column:
     """A constant of a nested type, which Spark builds once, when it plans."""
     return F.from_json(F.lit(json.dumps(values, ensure_ascii=False, separators=(",", ":"))), ddl)
 
 
-def _dealt(entries: Iterable[tuple[bytes, object]], size: int) -> list[list[tuple[bytes, object]]]:
-    """Entries by the checksum of their keys."""
-    buckets: list[list[tuple[bytes, object]]] = [[] for _ in range(1 << max(8, size.bit_length()))]
-    for key, value in entries:
-        buckets[zlib.crc32(key) % len(buckets)].append((key, value))
-    return buckets
+class _Table:
+    """A constant map from byte strings to lists of numbers, in flat arrays.
 
+    Keys are ordered by their checksums modulo ``size``; ``s`` has where each remainder begins, ``k``
+    the keys, ``f`` where the numbers of each key begin and ``v`` these. Every task reads the
+    constant anew, and a few flat arrays are read many times faster than one object for each key.
+    """
+
+    def __init__(self, entries: Iterable[tuple[bytes, list[int]]]):
+        entries = list(entries)
+        self.size = 1 << max(8, len(entries).bit_length())
+        entries.sort(key=lambda e: zlib.crc32(e[0]) % self.size)
+        counts = Counter(zlib.crc32(key) % self.size for key, _ in entries)
+        flat = {
+            "s": [*accumulate((counts[k] for k in range(self.size)), initial=1)],
+            "k": [base64.b64encode(key).decode() for key, _ in entries],
+            "f": [*accumulate((len(values) for _, values in entries), initial=1)],
+            "v": [v for _, values in entries for v in values],
+        }
+        self.constant = _constant(flat, "struct<s:array<int>,k:array<binary>,f:array<int>,v:array<int>>")
+
+    def _place(self, constant: Column, key: Column, found) -> Column:
+        """``found`` of the place of a key among all, or null."""
+
+        def among(h: Column) -> Column:
+            first = F.element_at(constant["s"], h)
+            here = F.slice(constant["k"], first, F.element_at(constant["s"], h + 1) - first)
+            return _let(F.struct(first.alias("first"), F.array_position(here, key).cast("int").alias("at")), place)
+
+        def place(p: Column) -> Column:
+            return F.when(p["at"] > 0, found(p["first"] + p["at"] - 1))
+
+        return _let((F.crc32(key) % self.size + 1).cast("int"), among)
 
-class _Ranks:
-    """Ranks as a constant: for each checksum, the tokens and their ranks."""
+    def first(self, constant: Column, key: Column) -> Column:
+        """The number of a key that has one, or null; all keys of the table have one each."""
+        return self._place(constant, key, lambda at: F.element_at(constant["v"], at))
+
+    def all(self, constant: Column, key: Column) -> Column:
+        """The numbers of a key, or null."""
+
+        def numbers(at: Column) -> Column:
+            first = F.element_at(constant["f"], at)
+            return F.slice(constant["v"], first, F.element_at(constant["f"], at + 1) - first)
+
+        return self._place(constant, key, numbers)
+
+
+class _Ranks(_Table):
+    """Ranks of tokens."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        buckets = _dealt(ranks.items(), len(ranks))
-        self.size = len(buckets)
-        self.constant = _constant(
-            [{"k": [base64.b64encode(k).decode() for k, _ in b], "v": [v for _, v in b]} for b in buckets],
-            "array<struct<k:array<binary>,v:array<int>>>",
-        )
+        super().__init__((token, [rank]) for token, rank in ranks.items())
 
     def of(self, constant: Column, piece: Column) -> Column:
         """The rank of a piece, or a number above all ranks."""
-        bucket = F.element_at(constant, (F.crc32(piece) % self.size + 1).cast("int"))
-        found = _let(bucket, lambda b: F.get(b["v"], (F.array_position(b["k"], piece) - 1).cast("int")))
-        return F.coalesce(found, F.lit(_NO_RANK))
+        return F.coalesce(self.first(constant, piece), F.lit(_NO_RANK))
 
 
-class _Hot:
-    """Ids of words as a constant: a small map for each checksum."""
+class _Hot(_Table):
+    """Ids of words."""
 
     def __init__(self, words: list[tuple[str, list[int]]]):
-        buckets = _dealt(((w.encode(), ids) for w, ids in words), len(words))
-        self.size = len(buckets)
-        self.constant = _constant([{k.decode(): v for k, v in b} for b in buckets], "array<map<string,array<int>>>")
+        super().__init__((word.encode(), ids) for word, ids in words)
 
     def of(self, constant: Column, word: Column) -> Column:
-        return F.element_at(F.element_at(constant, (F.crc32(word.cast("binary")) % self.size + 1).cast("int")), word)
+        return self.all(constant, word.cast("binary"))
 
 
 def _let(value: Column, body) -> Column:
