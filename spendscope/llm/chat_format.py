@@ -5,14 +5,18 @@ rendered; where an output continues the one before it, what it adds is the span
 turn, and where it does not, the template rewrites history. The part of a span that holds the
 turn's text is found by rendering the same prefix with one unused character as that text.
 
-Conversations of more than SEGMENT_TURNS turns are formatted as successive conversations of
-that many turns, so the work per turn and the memory of a task are bounded.
+A template is rendered on the true prefixes of the whole conversation, so its work grows with
+the square of the turns. Only a ``PerTurn`` template, whose output is by construction that of
+its turns one after the other, is rendered in segments of SEGMENT_TURNS turns: what it adds for
+a turn is the same with and without the turns before, so the segments' outputs one after the
+other are the conversation's, and the work per turn and the memory of a task are bounded.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import partial
 from typing import NamedTuple
 
@@ -46,6 +50,17 @@ class Rendered(NamedTuple):
 
 Template = Callable[[list[Turn]], str]
 
+
+@dataclass(frozen=True)
+class PerTurn:
+    """The template that shows each turn by ``shown``, whatever turns are around it."""
+
+    shown: Callable[[Turn], str]
+
+    def __call__(self, turns: list[Turn]) -> str:
+        return "".join(map(self.shown, turns))
+
+
 _OPEN, _CLOSE = "<|im_start|>", "<|im_end|>"
 # A line end in a role; escaped texts hold no "<|".
 _LINE_END = "<|n|>"
@@ -72,9 +87,12 @@ def _role(role: str) -> str:
     return escaped(role).replace("\n", _LINE_END)
 
 
-def marked_turns(turns: list[Turn]) -> str:
-    """The template of the query: each turn between control strings, its role on the first line."""
-    return "".join(f"{_OPEN}{_role(t.role)}\n{escaped(t.text)}{_CLOSE}\n" for t in turns)
+def _marked(turn: Turn) -> str:
+    return f"{_OPEN}{_role(turn.role)}\n{escaped(turn.text)}{_CLOSE}\n"
+
+
+# The template of the query: each turn between control strings, its role on the first line.
+marked_turns = PerTurn(_marked)
 
 
 def _unused(turns: list[Turn]) -> str:
@@ -122,7 +140,7 @@ def _common(a: str, b: str) -> int:
 
 
 _FORMATTED = (
-    "conv_id long, segment long, formatted string, rewrites_history boolean, "
+    "conv_id long, segment long, offset long, formatted string, rewrites_history boolean, "
     "spans array<struct<role:string,start:long,end:long,text_start:long,text_end:long,in_loss:boolean>>"
 )
 _SPAN = pa.struct(
@@ -134,6 +152,7 @@ _FIELDS = pa.schema(
     [
         ("conv_id", pa.int64()),
         ("segment", pa.int64()),
+        ("offset", pa.int64()),
         ("formatted", pa.string()),
         ("rewrites_history", pa.bool_()),
         ("spans", pa.list_(_SPAN)),
@@ -142,25 +161,26 @@ _FIELDS = pa.schema(
 
 
 def _format(
-    batches: Iterable[pa.RecordBatch], template: Template, loss_roles: tuple[str, ...], segment_turns: int
+    batches: Iterable[pa.RecordBatch], template: Template, loss_roles: tuple[str, ...], segment_turns: int | None
 ) -> Iterator[pa.RecordBatch]:
-    """Turns in order as segments; holds the turns of one segment."""
+    """Turns in order as segments, or as whole conversations if segment_turns is None; holds the turns of one."""
     held: list[Turn] = []
-    key, segment, out = None, 0, []
+    key, segment, offset, out = None, 0, 0, []
 
     def closed() -> dict:
         rendered = render_incrementally(template, held)
         spans = [
             dict(role=t.role, in_loss=t.role in loss_roles, **s._asdict()) for t, s in zip(held, rendered.spans)
         ]
-        return dict(zip(_FIELDS.names, (key[0], segment, rendered.text, rendered.rewrites_history, spans)))
+        return dict(zip(_FIELDS.names, (key[0], segment, offset, rendered.text, rendered.rewrites_history, spans)))
 
     for batch in batches:
         for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
             if key != (conv,) or len(held) == segment_turns:
                 if held:
                     out.append(closed())
-                segment = segment + 1 if key == (conv,) else 0
+                    offset += len(out[-1]["formatted"])
+                segment, offset = (segment + 1, offset) if key == (conv,) else (0, 0)
                 key, held = (conv,), []
             held.append(Turn(role, text))
         if len(out) >= ROWS_OUT:
@@ -178,13 +198,17 @@ def formatted(
     loss_roles: tuple[str, ...] = ("assistant",),
     segment_turns: int = SEGMENT_TURNS,
 ) -> DataFrame:
-    """(conv_id, segment, formatted, rewrites_history, spans) of rows (conv_id, turn, role, text).
+    """(conv_id, segment, offset, formatted, rewrites_history, spans) of rows (conv_id, turn, role, text).
 
     Turns are in the order of ``turn``, null first; rows that repeat one follow by role and text,
     so repeated rows are repeated turns. A null role or text is an empty one; rows without a
     conv_id are one conversation without an id. An empty table has no rows; other columns don't
-    matter. The text of a span with in_loss is what training learns. A conversation's segments
-    are consecutive rows of one partition, in order.
+    matter. The text of a span with in_loss is what training learns.
+
+    A conversation is one row, segment 0. Only that of a ``PerTurn`` template with more than
+    ``segment_turns`` turns is several, consecutive rows of one partition, in order: formatted,
+    one after the other, is the conversation's text, and a span counts from the segment, whose
+    first code point is number ``offset`` of the conversation.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -193,7 +217,8 @@ def formatted(
         F.coalesce("text", F.lit("")).alias("text"),
     )
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    work = partial(_format, template=template, loss_roles=loss_roles, segment_turns=segment_turns)
+    most = segment_turns if isinstance(template, PerTurn) else None
+    work = partial(_format, template=template, loss_roles=loss_roles, segment_turns=most)
     return ordered.select("conv_id", "role", "text").mapInArrow(work, _FORMATTED)
 
 

@@ -127,6 +127,32 @@ def test_chat_rows(spark):
     assert chat_format.digests(chat_format.formatted(table.limit(0))).count() == 0
 
 
+def _with_prefix(turns):
+    return "<s>" + "".join(f"{t.role}:{t.text};" for t in turns)
+
+
+def _thoughts_since_user(turns):
+    last = max((k for k, t in enumerate(turns) if t.role == "user"), default=-1)
+    return "".join(f"{t.role}:{t.text if k >= last else t.text.split('#')[-1]};" for k, t in enumerate(turns))
+
+
+@pytest.mark.parametrize("template", [_with_prefix, _thoughts_since_user, chat_format.marked_turns])
+def test_long_conversations_are_rendered_whole(spark, template):
+    # The turns around number 256 are the assistant's: what rewrites them is the user's, after it.
+    turns = [Turn("user" if k % 8 == 2 else "assistant", f"think{k}#say{k}") for k in range(261)]
+    table = spark.createDataFrame([(c, k, *t) for c in (1, 2) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    outputs = [template(turns[:k]) for k in range(len(turns) + 1)]
+    rewrites = any(not b.startswith(a) for a, b in zip(outputs, outputs[1:]))
+    for segment_turns in (2, 256):
+        found = chat_format.formatted(table, template, segment_turns=segment_turns).collect()
+        for conv in (1, 2):
+            parts = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.segment)
+            assert len(parts) == 1 or not rewrites
+            assert "".join(p.formatted for p in parts) == outputs[-1] and any(p.rewrites_history for p in parts) == rewrites
+            ends = [p.offset + s.end for p in parts for s in p.spans]
+            assert ends == [len(x) for x in outputs[1:]]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_duckdb(spark, name):
     assert differences(QUERIES[name](spark, SF_DIR), duck(SF_DIR), ORACLE_SQL[name]) == []
