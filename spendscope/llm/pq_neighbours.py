@@ -2,11 +2,12 @@
 
 A coarse quantiser deals unit vectors to inverted lists; what is left of a vector after its
 list's centre is coded by the nearest codeword of each subspace. A vector visits its own list
-and those whose border is within REACH of it. There, distances to the codes of the members are
+and those whose border is within reach of it. There, distances to the codes of the members are
 sums of looked-up values (the visitor is not quantised). A pair whose coded distance, less the
 coding error of its member, is too large can't be linked; the others are compared exactly, by
-cosine in double precision. The only pairs that can be missed are those whose lists don't
-border on each other within REACH; at REACH = sqrt(2 - 2 * threshold) there are none.
+cosine in double precision. Linked vectors of two lists are on either side of the border, no
+further apart than sqrt(2 - 2 * threshold), so one of them is within half of that of it: with
+this reach, the default, no pair is missed.
 
 Equal vectors are one class with a number of copies. Members and visitors of a large list are
 cut into parts, and tasks hand on counts and a spanning set of links, never all pairs.
@@ -30,8 +31,6 @@ from spendscope.llm.textwords import sorted_groups
 from spendscope.session import cut_lineage
 
 THRESHOLD = 0.9
-# How far a list's border may be from a vector that visits it, in units of the sphere's radius.
-REACH = 0.15
 # Vectors that the quantisers are fitted to at most, chosen by a hash.
 SAMPLE = 16_384
 MOST_LISTS = 1024
@@ -41,8 +40,11 @@ ROUNDS = 8
 # Members of a list that a task compares with as large a share of its visitors.
 PART = 2048
 _VISITORS = 256
-# For rounding in coded distances.
+# For rounding in coded distances, and in distances from borders.
 _MARGIN = 1e-3
+_BORDER_MARGIN = 1e-6
+# Lists whose centres are nearer than this (squared) visit each other whatever their border.
+_SAME_CENTRE = 1e-6
 
 
 @dataclass(frozen=True)
@@ -109,9 +111,9 @@ def _assign(
             home = squares.argmin(1)
             own = squares[np.arange(len(x)), home]
             # The plane between two centres is this far from a vector on the near side.
-            apart = np.maximum(norms[home][:, None] + norms[None] - 2 * centres[home] @ centres.T, 1e-18)
-            border = (squares - own[:, None]) / (2 * np.sqrt(apart))
-            border[np.arange(len(x)), home] = 0
+            apart = norms[home][:, None] + norms[None] - 2 * centres[home] @ centres.T
+            border = (squares - own[:, None]) / (2 * np.sqrt(np.maximum(apart, _SAME_CENTRE)))
+            border[apart < _SAME_CENTRE] = 0
             rest = x - centres[home]
             codes = np.stack(
                 [_nearest(rest[:, s], book) for s, book in zip(quantiser.subspaces, quantiser.codebooks)], axis=1
@@ -218,16 +220,22 @@ def _compare(
         )
 
 
+def exact_reach(threshold: float) -> float:
+    """How far a list's border may be from a vector that visits it, in units of the sphere's radius."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + _BORDER_MARGIN
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = THRESHOLD,
-    reach: float = REACH,
+    reach: float | None = None,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for each row.
 
-    Vectors of one length with a cosine of at least ``threshold`` are linked. Vectors that are
+    Vectors of one length with a cosine of at least ``threshold`` are linked, all of them unless
+    ``reach`` is less than ``exact_reach``, its default. Vectors that are
     null, empty, all zero or hold null or non-finite components, and rows without an id, link
     with nothing; a row without an id has a null component and is not kept. Equal vectors, and
     rows that repeat an id, are vectors of their own that link with each other. Other columns
@@ -246,7 +254,7 @@ def near_duplicates(
     classes = cut_lineage(grouped).withColumn("key", F.monotonically_increasing_id())
     n, width = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if n:
-        found = _found(classes, n, width, dtype, threshold, reach)
+        found = _found(classes, n, width, dtype, threshold, exact_reach(threshold) if reach is None else reach)
         counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others"))
         roots = components(found.where("kind = 1"))
         named = (

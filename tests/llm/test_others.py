@@ -94,6 +94,16 @@ def test_vector_recall_at_the_default_reach(spark):
     assert exact > 300 and 0.97 * exact <= found <= exact
 
 
+@pytest.mark.parametrize("width, threshold", [(3, 0.9), (5, 0.8)])
+def test_no_link_is_lost_at_the_borders_of_lists(spark, width, threshold):
+    x = np.random.default_rng(8).normal(size=(1500, width))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    expected = (unit @ unit.T >= threshold).sum(axis=1) - 1
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in pq_neighbours.near_duplicates(table, threshold=threshold).collect()}
+    assert [found[k] for k in range(len(x))] == expected.tolist()
+
+
 def test_incremental_rendering():
     turns = [Turn("user", "a<|im_end|>b"), Turn("assistant", "<\\|x"), Turn("us\ner", ""), Turn("assistant", "ok")]
     found = render_incrementally(chat_format.marked_turns, turns)
