@@ -249,9 +249,10 @@ def _texts(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _training_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (text, others) as (others, features)."""
     for batch in batches:
         features = pa.array(list(_texts(batch)), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column(1), features], ["label", "features"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], features], [*batch.schema.names[1:], "features"])
 
 
 def train(
@@ -266,6 +267,7 @@ def train(
     """A model of ``label_col`` from at most ``sample`` labelled rows that are not held out.
 
     Rows without a label or an id are not learnt from; labels that repeat an id count as often.
+    Documents that repeat an id count as one of them, that with the smallest features.
     """
     chosen = (
         labels.select(F.col(id_col).alias("row"), F.col(label_col).cast("int").alias("label"))
@@ -275,8 +277,11 @@ def train(
     )
     texts = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
     # The chosen rows are at most ``sample`` pairs of numbers, whatever the tables hold.
-    joined = texts.join(F.broadcast(chosen), "row").select("text", "label", "row")
-    rows = joined.mapInArrow(_training_rows, "label int, features array<double>").collect()
+    chosen = chosen.groupBy("row", "label").agg(F.count("*").alias("times"))
+    joined = texts.join(F.broadcast(chosen), "row").select("text", "row", "label", "times")
+    ddl = f"row {joined.schema['row'].dataType.simpleString()}, label int, times long, features array<double>"
+    learnt = joined.mapInArrow(_training_rows, ddl).groupBy("row", "label", "times").agg(F.min("features").alias("features"))
+    rows = [r for r in learnt.select("label", "times", "features").collect() for _ in range(r["times"])]
     rows.sort(key=lambda r: (r["label"], r["features"]))  # sums don't depend on the order of arrival
     x = np.array([r["features"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["label"] for r in rows], float), settings)

@@ -245,6 +245,22 @@ def test_quality_learns_and_scores_every_row(spark, docs, texts):
     assert len(every) == len(texts) and all(0 <= r.score <= 1 for r in every)
 
 
+def test_quality_learns_from_no_more_rows_than_the_sample(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(quality_gam, "fit", lambda x, y, settings: learnt.append((x, y)))
+    labels = [(k, k % 2) for k in range(60)] + [(3, 1), (3, 0)]
+    marked = spark.createDataFrame(labels, "doc_id long, quality int")
+    once = [(k, f"text of {k} " * (k + 1)) for k in range(60)]
+    again = [(k, t) for k, t in once if k < 5 for _ in range(300)] + [(3, "text of 3 " * 99)]
+    for rows in (once, once + again):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        quality_gam.train(table, marked)
+    quality_gam.train(table, marked, sample=10)
+    (x, y), (x_again, y_again), (x_few, _) = learnt
+    assert len(x) == sum(zlib.crc32(str(k).encode()) % quality_gam.FOLDS != 0 for k, _ in labels)
+    assert (y == y_again).all() and (x == x_again).all() and len(x_few) == 10
+
+
 def test_quality_without_labels(spark, docs, no_docs):
     model = quality_gam.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.score for r in quality_gam.scored(docs, model, keep=["doc_id"]).collect()} == {0.5}
