@@ -14,9 +14,11 @@ from spendscope.llm import (
     bm25_search,
     byte_bpe,
     chat_format,
+    merkle,
     packing,
     pq_neighbours,
     quality_gam,
+    secret_scan,
     signature_tree,
     unigram_count,
     window_dedup,
@@ -105,6 +107,14 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.secrets(_table(spark, sf_dir, "documents")))
+
+
+def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.row_proofs(_table(spark, sf_dir, "documents"), changed=merkle.tampered())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe,
     "op2_archive_conversion": archive_conversion,
@@ -116,4 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat,
     "op9_packing": pack,
     "op10_substring_dedup": substring_dedup,
+    "op12_secret_scan": secret_spans,
+    "op13_merkle_manifest": dataset_manifest,
 }

@@ -119,6 +119,123 @@ SELECT conv_id, count(*) AS n_turns,
 FROM s GROUP BY conv_id
 """
 
+# The CRC-32 of an ASCII text, bit by bit.
+def _crc(text: str) -> str:
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)"
+    fold = f"list_reduce({codes}, lambda c, b: list_reduce(range(8), lambda x, k: {bit}, xor(c, b)), 4294967295)"
+    return f"xor({fold}, 4294967295)"
+
+
+def _row_digest(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    coded = [f"coalesce(octet_length(encode({f}::VARCHAR)) || ':' || {f}, '-')" for f in fields]
+    return f"sha256({' || '.join(coded)})"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_GROUP = "n.tree = c.tree AND n.level = c.level AND n.position // 8 = c.position // 8"
+
+
+def _grown(name: str, leaves: str) -> str:
+    """All nodes above some leaves (tree, size, position, digest)."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, size, position, digest FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, (any_value(size) + 7) // 8, position // 8, sha256(string_agg(digest, '' ORDER BY position))
+  FROM {name} WHERE size > 1 GROUP BY tree, level, position // 8
+)"""
+
+
+def _climbed(name: str, starts: str, nodes: str) -> str:
+    """Rows (r, tree, position, now, proof) at their own level and all above."""
+    return f"""{name} AS (
+  SELECT r, tree, 0 AS level, position, now, proof FROM {starts}
+  UNION ALL
+  SELECT c.r, c.tree, c.level + 1, c.position // 8,
+    sha256(string_agg(CASE WHEN n.position = c.position THEN c.now ELSE n.digest END, '' ORDER BY n.position)),
+    c.proof || coalesce(string_agg(n.digest, '' ORDER BY n.position) FILTER (n.position <> c.position), '')
+  FROM {name} c JOIN {nodes} n ON {_GROUP} AND n.size > 1 GROUP BY c.r, c.tree, c.level, c.position, c.proof
+)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE numbered AS (SELECT row_number() OVER () AS r, doc_id::VARCHAR AS s, * FROM documents),
+hashed AS (
+  SELECT r, doc_id, lang, {_row_digest("text")} AS leaf,
+    CASE WHEN {_crc("s")} % 3 = 0 THEN {_row_digest(_LOWER)} ELSE {_row_digest("text")} END AS other FROM numbered
+), leaves AS (
+  SELECT r, doc_id, leaf AS digest, other AS now, '' AS proof, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS position,
+    count(*) OVER (PARTITION BY lang) AS size FROM hashed
+), {_grown("lower_nodes", "leaves")},
+subroots AS (
+  SELECT -1 AS tree, count(*) OVER () AS size, tree AS position, digest FROM lower_nodes WHERE size = 1
+), {_grown("upper_nodes", "subroots")},
+{_climbed("lower_path", "leaves", "lower_nodes")},
+arrived AS (
+  SELECT c.r, -1 AS tree, c.tree AS position, c.now, c.proof, n.digest AS subroot
+  FROM lower_path c JOIN lower_nodes n ON n.tree = c.tree AND n.level = c.level AND n.size = 1
+), {_climbed("upper_path", "arrived", "upper_nodes")}
+SELECT l.doc_id, l.digest AS leaf, a.subroot, n.digest AS root, sha256(c.proof) AS proof_sha256,
+  c.now AS folded_root, c.now = n.digest AS verified
+FROM upper_path c JOIN upper_nodes n ON n.level = c.level AND n.size = 1
+JOIN leaves l ON l.r = c.r JOIN arrived a ON a.r = c.r
+"""
+
+_ASSIGNED = (
+    r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+    r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+_TOKEN = (
+    "length(m) = 40 AND list_reduce(list_transform(substr(m, 35, 6).string_split(''), "
+    "lambda d: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', d)::BIGINT - 1), "
+    "lambda a, b: 62 * a + b, 0::BIGINT) = " + _crc("substr(m, 5, 30)")
+)
+# Bech32: digits shift into a remainder of 30 bits, whose five highest choose among the generators.
+_BECH32 = """length(m) = 74 AND list_reduce(list_concat(
+    list_transform(string_split('age-secret-key-', ''), lambda d: ascii(d)::BIGINT >> 5), [0::BIGINT],
+    list_transform(string_split('age-secret-key-', ''), lambda d: ascii(d)::BIGINT & 31),
+    list_transform(string_split(lower(substr(m, 17)), ''), lambda d: strpos('qpzry9x8gf2tvdw0s3jn54khce6mua7l', d)::BIGINT - 1)),
+    lambda a, b: xor(xor((a & 33554431) << 5, b), list_reduce([996825010, 642813549, 513874426, 1027748829, 705979059],
+      lambda x, g, k: CASE WHEN (a >> 25 >> (k - 1)) & 1 = 1 THEN xor(x, g) ELSE x END, 0::BIGINT)), 1::BIGINT) = 1
+    AND NOT regexp_matches(lower(substr(m, 17)), '[^qpzry9x8gf2tvdw0s3jn54khce6mua7l]')"""
+_KINDS = [
+    ("assign", _ASSIGNED, f"length(regexp_extract(m, '{_ASSIGNED}', 2)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ("github", "gh[pousr]_[0-9A-Za-z]+", _TOKEN),
+    ("npm", "npm_[0-9A-Za-z]+", _TOKEN),
+    ("age", "AGE-SECRET-KEY-1[0-9A-Z]+", _BECH32),
+]
+
+
+def _matches(number: int, kind: str, pattern: str, valid: str) -> str:
+    """Places of a kind's matches: each lies behind the pieces between matches and the matches before it."""
+    return f"""
+  SELECT r, {number} AS number, '{kind}' AS kind, first, first + length(m) AS past FROM (
+    SELECT r, m, sum(length(gap)) OVER (PARTITION BY r ORDER BY k) + sum(length(m)) OVER (PARTITION BY r ORDER BY k) - length(m) AS first
+    FROM (
+      SELECT r, unnest(found) AS m, unnest(gaps[:len(found)]) AS gap, generate_subscripts(found, 1) AS k
+      FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS gaps FROM d)
+    )
+  ) WHERE {valid}"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_matches(k, *kind) for k, kind in enumerate(_KINDS))}),
+lists AS (
+  SELECT r, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
+    string_agg(kind || ':' || first::BIGINT || ':' || past::BIGINT, ',' ORDER BY first, number) FILTER (number < 3) AS base,
+    string_agg(kind || ':' || first::BIGINT || ':' || past::BIGINT, ',' ORDER BY first, number) AS spans
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN lists l ON l.r = d.r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_archive_conversion": ARCHIVES,
     "op4_vector_dedup": VECTORS,
@@ -126,4 +243,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_bm25_search": SEARCH,
     "op8_chat_format": CHAT,
     "op10_substring_dedup": SUBSTRINGS,
+    "op12_secret_scan": SECRETS,
+    "op13_merkle_manifest": MERKLE,
 }
