@@ -18,6 +18,7 @@ from . import queries, sql
 
 # Spark type -> DuckDB types that hold the same values.
 SAME_TYPES = {
+    "int": {"INTEGER"},
     "bigint": {"BIGINT", "INTEGER", "HUGEINT", "SMALLINT"},
     "double": {"DOUBLE"},
     "string": {"VARCHAR"},
