@@ -6,6 +6,7 @@ slices of about a megabyte, whatever the size of the Arrow batches they come in.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -15,13 +16,19 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Bytes that belong to words.
+WORD_BYTES = np.ones(256, bool)
+WORD_BYTES[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-# An odd base has an inverse modulo 2**64, so sums over a range can be moved to position 0.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+# Longer words are hashed one by one.
+LONG_WORD = 256
+# Windows are polynomials modulo this prime; modulo 2**64 some sequences clash whatever the base.
+PRIME = (1 << 61) - 1
+_BASE = 0x1E3779B97F4A7C15
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+# Keeps as many of the first bytes of eight as its number says.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Slice(NamedTuple):
@@ -41,25 +48,36 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-_BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
+def _residue(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo PRIME."""
+    prime = np.uint64(PRIME)
+    x = (x & prime) + (x >> np.uint64(61))
+    return np.where(x >= prime, x - prime, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of residues modulo PRIME, by halves of 30 and 31 bits; 2**61 counts as 1."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    high = (a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30))
+    return _residue(high + ((middle & _LOW30) << np.uint64(31)) + a0 * b0)
 
 
 class _Powers:
-    """Powers of an odd base modulo 2**64, extended when a longer range asks for them."""
+    """Powers of a base modulo PRIME, extended when a longer range asks for them."""
 
     def __init__(self, base: int):
-        self.base = np.uint64(base)
+        self.base = base
         self.values = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> np.ndarray:
-        if len(self.values) < n:
-            steps = np.full(max(n, 1 << 16), self.base, np.uint64)
-            steps[0] = 1
-            self.values = np.multiply.accumulate(steps)
+        while len(self.values) < n:
+            step = np.uint64(pow(self.base, len(self.values), PRIME))
+            self.values = np.concatenate([self.values, _product(self.values, step)])
         return self.values[:n]
 
 
-_FORWARD, _BACKWARD = _Powers(_BASE), _Powers(_INVERSE)
+_FORWARD, _BACKWARD = _Powers(_BASE), _Powers(pow(_BASE, -1, PRIME))
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[Slice]:
@@ -79,13 +97,13 @@ def text_slices(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Itera
             first = last
 
 
-def word_spans(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(part: Slice, word_bytes: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte and end of each word, and the number of the first word of each text (and the end)."""
     n = len(part.buffer)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(part.offsets), np.int64)
-    word = ~_SPACE[part.buffer]
+    word = word_bytes[part.buffer]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
     closes = word.copy()
@@ -100,33 +118,48 @@ def word_spans(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_hashes(part: Slice, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; lower: A to Z count as a to z."""
-    buffer = _LOWER[part.buffer] if lower else part.buffer
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, "right")))
-        lo, hi = int(starts[at]), int(ends[stop - 1])
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[buffer[lo:hi]] * _FORWARD.upto(hi - lo), out=sums[1:])
-        s, e = starts[at:stop] - lo, ends[at:stop] - lo
-        out[at:stop] = (sums[e] - sums[s]) * _BACKWARD.upto(hi - lo)[s]
-        at = stop
-    return mixed(out)
+    """A 64-bit hash of each word's bytes; lower: A to Z count as a to z.
+
+    Eight bytes after the other are mixed in, starting from the length.
+    """
+    n = len(part.buffer)
+    data = np.zeros(n + 8, np.uint8)
+    data[:n] = _LOWER[part.buffer] if lower else part.buffer
+    eights = np.ndarray((n + 1,), "<u8", data, strides=(1,))
+    left = ends - starts
+    out = mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(left > LONG_WORD)
+    which, at = np.arange(len(starts)), starts
+    if len(long):
+        which = np.flatnonzero(left <= LONG_WORD)
+        at, left = at[which], left[which]
+    while len(which):
+        out[which] = mixed(out[which] ^ (eights[at] & _HEAD[np.minimum(left, 8)]))
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    for k in long.tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
 
 
 def rolling_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """Rabin-Karp hash of every ``length`` consecutive word hashes, in order.
 
     The polynomial of a window is a difference of prefix sums, moved to position 0 by the
-    inverse of the base: the rolling update of all positions at once.
+    inverse of the base: the rolling update of all positions at once. The sums are kept in
+    two halves, so that none overflows.
     """
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * _FORWARD.upto(len(words)), out=sums[1:])
-    return mixed((sums[length:] - sums[:n]) * _BACKWARD.upto(n) + np.uint64(length))
+    terms = _product(_residue(words), _FORWARD.upto(len(words)))
+    high, low = np.zeros((2, len(words) + 1), np.uint64)
+    np.cumsum(terms >> np.uint64(31), out=high[1:])
+    np.cumsum(terms & _LOW31, out=low[1:])
+    high, low = high[length:] - high[:n], low[length:] - low[:n]
+    sums = _residue((high >> np.uint64(30)) + ((high & _LOW30) << np.uint64(31)) + low)
+    return mixed(_product(sums, _BACKWARD.upto(n)) + np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
 def window_owners(bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
