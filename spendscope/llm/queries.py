@@ -14,6 +14,7 @@ from spendscope.llm import (
     bm25_search,
     byte_bpe,
     chat_format,
+    k2_search,
     merkle,
     packing,
     pq_neighbours,
@@ -107,6 +108,10 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k2_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.secrets(_table(spark, sf_dir, "documents")))
 
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat,
     "op9_packing": pack,
     "op10_substring_dedup": substring_dedup,
+    "op11_k2_search": ranked_search,
     "op12_secret_scan": secret_spans,
     "op13_merkle_manifest": dataset_manifest,
 }

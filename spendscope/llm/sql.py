@@ -99,6 +99,25 @@ SELECT query_id, row_number() OVER best AS rank, doc_id, score FROM scores
 WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY rank <= 10
 """
 
+RANKED = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), stats AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM words WHERE len(w) > 0),
+tf AS (SELECT doc_id, len(w) AS length, t AS term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM words) GROUP BY ALL),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, stats GROUP BY term
+), scores AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * length * n) // l))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term), stats GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 10
+"""
+
 # A turn adds its marks, two line ends and a mark for each "<" that a "|" or a backslash follows.
 CHAT = r"""
 WITH t AS (
@@ -243,6 +262,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_bm25_search": SEARCH,
     "op8_chat_format": CHAT,
     "op10_substring_dedup": SUBSTRINGS,
+    "op11_k2_search": RANKED,
     "op12_secret_scan": SECRETS,
     "op13_merkle_manifest": MERKLE,
 }
