@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ EFFORT_DEFAULT_MINUTES = 30.0
 # -------------------------------------------------------------------------------
 
 GIB = 1024**3
-# Amounts are added as decimals: the sum is then the same in any order.
+# Amounts have 12 digits. They are added in two whole numbers, millionths and the millionths of
+# these, so that the sum is the same in any order and no decimal is in the way.
 AMOUNT = "decimal(28,12)"
+_MILLION = 10**6
 
 
 # ---- numbers ------------------------------------------------------------------
@@ -36,13 +39,47 @@ def settled(col: Column) -> Column:
     return F.round(col, 6)
 
 
+def _split(col: Column) -> tuple[Column, Column]:
+    """An amount's millionths, cut off, and what is left of it, in millionths of these."""
+    scaled = col.cast(AMOUNT) * F.lit(_MILLION)
+    high = scaled.cast("bigint")
+    return high, ((scaled - high) * F.lit(_MILLION)).cast("bigint")
+
+
+def _joined(high: Column, low: Column) -> Column:
+    """The sum that two summed parts stand for, at six digits as a double; NULL counts as zero."""
+    unit = F.lit(Decimal(1).scaleb(-6))
+    whole = "decimal(20,0)"
+    exact = high.cast(whole) * unit + low.cast(whole) * unit * unit
+    return F.coalesce(F.round(exact, 6).cast("double"), F.lit(0.0))
+
+
 def total(col: Column | str) -> Column:
     """Exact sum of amounts, at six digits as a double; no rows and NULLs count as zero.
 
-    Each amount counts with 12 digits and may have 16 before the point.
+    Each amount counts with 12 digits. Amounts and sums stay below 9.2e12: beyond, the session's
+    ANSI mode raises an error.
     """
-    col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.round(F.sum(col.cast(AMOUNT)), 6).cast("double"), F.lit(0.0))
+    high, low = _split(F.col(col) if isinstance(col, str) else col)
+    return _joined(F.sum(high), F.sum(low))
+
+
+def amount_parts(*names: str) -> list[Column]:
+    """The parts of amounts, ``<name>_high`` and ``<name>_low``, to be added by ``part_sums``."""
+    return [
+        part.alias(f"{name}_{side}") for name in names for side, part in zip(("high", "low"), _split(F.col(name)))
+    ]
+
+
+def part_sums(*names: str) -> list[Column]:
+    """Sums of parts, which are parts again."""
+    return [F.sum(f"{name}_{side}").alias(f"{name}_{side}") for name in names for side in ("high", "low")]
+
+
+def total_parts(name: str, condition: Column | None = None) -> Column:
+    """What ``total`` gives, from the parts."""
+    sides = [F.col(f"{name}_{side}") for side in ("high", "low")]
+    return _joined(*[F.sum(s if condition is None else F.when(condition, s)) for s in sides])
 
 
 def total_if(condition: Column, col: Column | str) -> Column:

@@ -5,27 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Steps per power of two. All doubles fall into less than 70,000 steps.
-_STEPS = 16
-_OFFSET = 20_000
+from ..session import cut_lineage
 
+# Spark numbers the rows of a partition in the low bits, the partitions in those above.
+_ROW_BITS = 33
 
-def _step(value: Column) -> Column:
-    """A number that grows with the value, equal for values within a few parts in a hundred."""
-    size = F.floor(F.least(F.log2(F.abs(value)), F.lit(1100.0)) * _STEPS).cast("int")
-    return F.when(value > 0, size + _OFFSET).when(value < 0, -size - _OFFSET).when(value == 0, 0).otherwise(-4 * _OFFSET)
+
+def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` stored once, in partitions that hold one range of the order after the other, with ``_at``.
+
+    ``_at`` has the number of the partition above the number of the row in it. Splitters are
+    sampled over all columns of the order and a row number behind them, so neither equal
+    values nor equal rows fill one partition.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Sampling reads the rows once more than dealing does: they are computed only once before.
+    kept = cut_lineage(df).withColumn("_number", F.monotonically_increasing_id())
+    dealt = kept.repartitionByRange(parts, *order, "_number").sortWithinPartitions(*order, "_number")
+    return cut_lineage(dealt.drop("_number").withColumn("_at", F.monotonically_increasing_id()))
 
 
 def with_place(df: DataFrame, name: str, value: str, *ties: Column | str) -> DataFrame:
     """Add the 1-based place by ``value``, largest first and null last; equal values go by ``ties``.
 
-    Rows are dealt by steps of the value; a place is the place within the step and the number
-    of rows in higher ones. Only the counts of the steps meet in one task.
+    Rows are dealt by ranges; a place is that within the range and the number of rows in the
+    ranges before. Only one count per partition meets in one task.
     """
-    stepped = df.withColumn("_step", _step(F.col(value)))
-    higher = Window.orderBy(F.col("_step").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = stepped.groupBy("_step").agg(F.count("*").alias("_n"))
-    before = counts.select("_step", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_step").orderBy(F.col(value).desc_nulls_last(), *ties)
-    placed = stepped.withColumn("_place", F.row_number().over(inside)).join(F.broadcast(before), "_step")
-    return placed.select(*df.columns, (F.col("_before") + F.col("_place")).cast("int").alias(name))
+    dealt = in_ranges(df, F.col(value).desc_nulls_last(), *ties).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
+    # One row per partition.
+    placed = dealt.join(F.broadcast(before), "_part")
+    return placed.select(*df.columns, (F.col("_before") + within).cast("int").alias(name))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio, rounded, total
-from ..functions.joins import bounded
 from ..sources.registry import AnalysisWindow
 from .usage import TOP_ITEMS
 from .versions import latest_clusters
@@ -44,7 +43,7 @@ def name_top_items(
 
     def wanted(df: DataFrame, dim: str, key: str) -> DataFrame:
         ids = top.filter(F.col("dim") == dim).select(F.col("id").alias(key))
-        return df.join(bounded(ids, TOP_ITEMS), key, "left_semi")
+        return df.join(ids, key, "left_semi")
 
     def named(df: DataFrame, key: str, name: str, source: int) -> DataFrame:
         given = F.col(name).isNotNull() & (F.col(name) != "")

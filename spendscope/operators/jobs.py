@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import moment, ratio, rounded, total, total_if, whole_units
+from ..functions.expressions import (
+    amount_parts,
+    moment,
+    part_sums,
+    ratio,
+    rounded,
+    total,
+    total_parts,
+    whole_units,
+)
 from ..functions.ranking import with_place
 from ..sources.registry import AnalysisWindow, SourceTables
 from .clusters import issue, raise_issues
@@ -29,15 +38,16 @@ EFFICIENCY_ISSUES = ("high_failure_rate", "startup_overhead", "variable_duration
 
 
 def job_usage(priced: DataFrame) -> DataFrame:
-    """Priced job usage summed per run, the grain at which names and capacity join."""
+    """Priced job usage per run, the grain at which names and capacity join; amounts as parts of sums."""
     return (
         priced.filter(F.col("job_id").isNotNull())
+        .withColumns({"dbus": F.col("usage_quantity"), "cost": F.col("dollar_cost")})
+        .select("*", *amount_parts("dbus", "cost"))
         .groupBy(
             "workspace_id", "job_id", "job_name", "job_run_id", "cluster_id", "sku_name", "is_serverless"
         )
         .agg(
-            total("usage_quantity").alias("dbus"),
-            total("dollar_cost").alias("cost"),
+            *part_sums("dbus", "cost"),
             F.min("usage_start_time").alias("first_run"),
             F.max("usage_end_time").alias("last_run"),
         )
@@ -63,22 +73,26 @@ def with_job_names(per_run: DataFrame, tables: SourceTables) -> DataFrame:
 
 def job_costs(priced: DataFrame, tables: SourceTables) -> DataFrame:
     """Cost of each (job, SKU, compute type), with spot share and run count."""
-    capacity = job_cluster_capacity(tables["clusters"]).select("cluster_id", "uses_spot")
-    usage = job_usage(priced)
-    # Serverless runs have no cluster: as join keys, their nulls would all meet in one task.
-    unknown = usage.filter(F.col("cluster_id").isNull()).withColumn("uses_spot", F.lit(None).cast("boolean"))
-    known = usage.filter(F.col("cluster_id").isNotNull()).join(capacity, "cluster_id", "left")
-    per_run = known.unionByName(unknown)
+    capacity = job_cluster_capacity(tables["clusters"]).select(F.col("cluster_id").alias("_cluster"), "uses_spot")
+    # Serverless runs have no cluster: as join keys, their nulls would all meet in one task, so
+    # they are dealt by run and match nothing.
+    spread = F.coalesce("cluster_id", F.xxhash64("job_id", "job_run_id", "sku_name").cast("string"))
+    per_run = (
+        job_usage(priced)
+        .withColumn("_key", spread)
+        .join(capacity, (F.col("_key") == F.col("_cluster")) & F.col("cluster_id").isNotNull(), "left")
+        .drop("_key", "_cluster")
+    )
     named = with_job_names(per_run, tables)
     spot = F.coalesce(F.col("uses_spot"), F.lit(False))
     return (
         named.groupBy("job_id", "job_name", "owner", "sku_name", "is_serverless")
         .agg(
             F.max("uses_spot").alias("uses_spot"),
-            total("dbus").alias("total_dbus"),
-            total("cost").alias("total_cost"),
-            total_if(spot, "cost").alias("spot_cost"),
-            total_if(~spot, "cost").alias("on_demand_cost"),
+            total_parts("dbus").alias("total_dbus"),
+            total_parts("cost").alias("total_cost"),
+            total_parts("cost", spot).alias("spot_cost"),
+            total_parts("cost", ~spot).alias("on_demand_cost"),
             F.count_distinct("job_run_id").alias("run_count"),
             F.min("first_run").alias("first_run"),
             F.max("last_run").alias("last_run"),

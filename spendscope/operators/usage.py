@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import in_period, known, ratio, rounded, total, total_if
+from ..functions.expressions import (
+    amount_parts,
+    in_period,
+    known,
+    part_sums,
+    ratio,
+    rounded,
+    total,
+    total_if,
+    total_parts,
+)
 from ..sources.registry import AnalysisWindow
 
 # ---- fixed values -------------------------------------------------------------
@@ -31,49 +41,53 @@ DIMENSIONS = {
 ALWAYS_KNOWN = ("product", "sku", "workspace")
 
 
+def _cuboid(lines: DataFrame, dims: list[str]) -> DataFrame:
+    """Sums by some dimensions and compute type, which are parts of sums again."""
+    return lines.groupBy(*dims, "serverless").agg(*part_sums("dbus", "cost"))
+
+
+def _edges(cuboid: DataFrame, dims: list[str]) -> DataFrame:
+    """A cuboid's sums once for each of its dimensions that has a value."""
+    entries = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("key")) for d in dims])
+    named = F.filter(entries, lambda e: (e["key"] != "") & ~((e["dim"] == "user") & (e["key"] == "UNKNOWN")))
+    parts = [f"{name}_{side}" for name in ("dbus", "cost") for side in ("high", "low")]
+    return cuboid.select(F.explode(named).alias("entry"), "serverless", *parts).select("entry.*", "serverless", *parts)
+
+
 def cost_by_dimension(lines: DataFrame) -> DataFrame:
     """Cost by each dimension, as (dim, key, dbus, cost, serverless_cost, classic_cost,
     serverless_dbus).
 
-    One pass over the lines for all dimensions. Every task first sums up its own lines
-    per key, so only these sums are shuffled, and a key with very many lines is no
-    different from others.
+    A lattice of sums, each from the smallest parent: the lines give the sums by all dimensions,
+    in which the lines of a resource over the period are one row; these give the small cuboid
+    of the dimensions that come from catalogs, which has few rows. Single dimensions come from
+    one of the two. Every task first sums up its own rows per key, so only sums are shuffled,
+    and a key with very many lines is no different from others.
     """
-    dims = list(DIMENSIONS)
     keyed = lines.select(
         *[
             (known(F.col(c)) if d in ALWAYS_KNOWN else F.col(c).cast("string")).alias(d)
             for d, c in DIMENSIONS.items()
         ],
-        "dbus",
-        "cost",
         "serverless",
+        *amount_parts("dbus", "cost"),
     )
-    sums = keyed.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims]).agg(
-        total("dbus").alias("dbus"),
-        total("cost").alias("cost"),
-        total_if(F.col("serverless"), "cost").alias("serverless_cost"),
-        total_if(~F.col("serverless"), "cost").alias("classic_cost"),
-        total_if(F.col("serverless"), "dbus").alias("serverless_dbus"),
-        F.grouping_id().alias("grouping"),
-    )
-    # grouping_id has one bit per dimension, first one highest, cleared where it is the key.
-    everything = 2 ** len(dims) - 1
-    dim = F.lit(None).cast("string")
-    for i, d in enumerate(dims):
-        dim = F.when(F.col("grouping") == everything - 2 ** (len(dims) - 1 - i), F.lit(d)).otherwise(dim)
-    # Columns that are not the key of a row are NULL in it.
-    rollup = sums.select(
-        dim.alias("dim"),
-        F.coalesce(*dims).alias("key"),
-        "dbus",
-        "cost",
-        "serverless_cost",
-        "classic_cost",
-        "serverless_dbus",
+    finest = _cuboid(keyed, list(DIMENSIONS))
+    small = _cuboid(finest, list(ALWAYS_KNOWN))
+    resources = [d for d in DIMENSIONS if d not in ALWAYS_KNOWN]
+    serverless = F.col("serverless")
+    return (
+        _edges(small, list(ALWAYS_KNOWN))
+        .unionAll(_edges(finest, resources))
+        .groupBy("dim", "key")
+        .agg(
+            total_parts("dbus").alias("dbus"),
+            total_parts("cost").alias("cost"),
+            total_parts("cost", serverless).alias("serverless_cost"),
+            total_parts("cost", ~serverless).alias("classic_cost"),
+            total_parts("dbus", serverless).alias("serverless_dbus"),
+        )
     )
-    named = F.col("key").isNotNull() & (F.col("key") != "")
-    return rollup.filter(named & ~((F.col("dim") == "user") & (F.col("key") == "UNKNOWN")))
 
 
 def totals_of(rollup: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ from ..functions.expressions import (
     total_if,
     uses_spot,
 )
-from ..functions.joins import bounded
-from ..functions.percentiles import bucket_of, exact_percentiles
+from ..functions.percentiles import exact_percentiles, sketch
 from ..functions.ranking import with_place
+from ..session import cut_lineage
 from ..sources.registry import AnalysisWindow
 from .pricing import usage_in_period
 from .versions import latest_clusters, latest_version
@@ -93,11 +93,6 @@ SCALING_MIN_HOURS = 10
 SCALING_WASTE_SHARE = 0.15
 # -------------------------------------------------------------------------------
 
-# Histogram step in percent points; 100 % is a thousand buckets.
-BUCKET_WIDTH = 0.1
-# Metrics are profiled per cluster and component.
-COMPONENTS = 2
-
 
 def cluster_usage(usage: DataFrame, window: AnalysisWindow) -> DataFrame:
     """DBUs per cluster, job and compute type over the days of the node metrics."""
@@ -125,14 +120,12 @@ def cluster_dbus(per_cluster: DataFrame) -> DataFrame:
     return per_cluster.groupBy("cluster_id").agg(total("dbus").alias("total_dbus"))
 
 
-def node_samples(
-    node_timeline: DataFrame, targets: DataFrame, window: AnalysisWindow, top_n: int | None = None
-) -> DataFrame:
+def node_samples(node_timeline: DataFrame, targets: DataFrame, window: AnalysisWindow) -> DataFrame:
     """Node metrics of the target clusters; missing readings count as zero."""
-    reading = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    reading = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
     return (
         node_timeline.filter(since(F.col("start_time"), window.metrics_start))
-        .join(bounded(targets.select("cluster_id"), top_n), "cluster_id", "left_semi")
+        .join(targets.select("cluster_id"), "cluster_id", "left_semi")
         .select(
             "cluster_id",
             F.when(F.col("driver"), "driver").otherwise("worker").alias("component"),
@@ -144,83 +137,44 @@ def node_samples(
     )
 
 
-def utilization_profile(
-    samples: DataFrame, limits: Thresholds = Thresholds(), max_clusters: int | None = None
-) -> DataFrame:
+def utilization_profile(samples: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """Percentiles, spread and time above limits per cluster and component.
 
-    Reads the samples twice: once into a histogram that also carries the sums, once
-    for the values in the few buckets that hold the wanted ranks.
+    Reads the samples twice: once into the moments and a sketch per metric, which is stored with
+    one row per component, and once for the values near the wanted ranks.
     """
     keys = ["cluster_id", "component"]
-    values = samples.unpivot(
-        keys, ["cpu", "mem", "io_wait", "swap"], "metric", "value"
-    ).withColumn("bucket", bucket_of(F.col("value"), BUCKET_WIDTH))
-    metric, value = F.col("metric"), F.col("value")
-    hot = (
-        F.when(metric == "cpu", value >= limits.cpu_hot_pct)
-        .when(metric == "mem", value >= limits.mem_hot_pct)
-        .when(metric == "io_wait", value >= IO_WAIT_PCT)
-        .otherwise(value > 0)
-    )
-    very_hot = (
-        F.when(metric == "cpu", value >= limits.cpu_very_hot_pct)
-        .when(metric == "mem", value >= limits.mem_very_hot_pct)
-    )
-    histogram = values.groupBy(*keys, "metric", "bucket").agg(
-        F.count("*").alias("n"),
-        F.sum(value).alias("sum"),
-        F.sum(value * value).alias("squares"),
-        F.max(value).alias("max"),
-        F.count_if(hot).alias("hot"),
-        F.count_if(very_hot).alias("very_hot"),
-    )
-
-    # The moments are sums over a group's buckets, of which there are few.
-    whole = Window.partitionBy(*keys)
 
-    def over(function, name: str, column: str) -> Column:
-        return function(F.when(metric == name, F.col(column))).over(whole)
+    def time_share(condition: Column) -> Column:
+        return rounded(F.count_if(condition) / F.count("*"), 4)
 
-    def time_share(name: str, column: str) -> Column:
-        return rounded(over(F.sum, name, column) / over(F.sum, name, "n"), 4)
-
-    # Sample variance from the sums; noise can push a constant series below zero, and
-    # a single sample has none.
-    mem_n, mem_sum = over(F.sum, "mem", "n"), over(F.sum, "mem", "sum")
-    mem_variance = F.greatest(
-        (over(F.sum, "mem", "squares") - mem_sum * mem_sum / mem_n) / F.nullif(mem_n - 1, F.lit(0)),
-        F.lit(0.0),
-    )
+    cpu, mem = F.col("cpu"), F.col("mem")
     moments = {
-        "sample_count": mem_n,
-        "mem_max": rounded(over(F.max, "mem", "max") / 100, 4),
-        "mem_stddev": rounded(F.sqrt(mem_variance) / 100, 4),
-        "io_wait_time_above_20pct": time_share("io_wait", "hot"),
-        "swap_max": rounded(over(F.max, "swap", "max") / 100, 4),
-        "swap_time_fraction": time_share("swap", "hot"),
-        "cpu_time_above_80pct": time_share("cpu", "hot"),
-        "cpu_time_above_90pct": time_share("cpu", "very_hot"),
-        "mem_time_above_90pct": time_share("mem", "hot"),
-        "mem_time_above_95pct": time_share("mem", "very_hot"),
+        "sample_count": F.count("*"),
+        "mem_max": rounded(F.max("mem") / 100, 4),
+        # Variances of parts are merged, not taken from sums of squares.
+        "mem_stddev": rounded(F.stddev_samp("mem") / 100, 4),
+        "io_wait_time_above_20pct": time_share(F.col("io_wait") >= IO_WAIT_PCT),
+        "swap_max": rounded(F.max("swap") / 100, 4),
+        "swap_time_fraction": time_share(F.col("swap") > 0),
+        "cpu_time_above_80pct": time_share(cpu >= limits.cpu_hot_pct),
+        "cpu_time_above_90pct": time_share(cpu >= limits.cpu_very_hot_pct),
+        "mem_time_above_90pct": time_share(mem >= limits.mem_hot_pct),
+        "mem_time_above_95pct": time_share(mem >= limits.mem_very_hot_pct),
     }
-    profiled = histogram.select(
-        *keys, "metric", "bucket", "n", *[m.alias(name) for name, m in moments.items()]
-    ).filter(F.col("sample_count") >= MIN_SAMPLES)
-    percentiles = exact_percentiles(
-        values,
-        profiled,
-        keys,
-        PERCENTILES,
-        carry=list(moments),
-        max_groups=None if max_clusters is None else max_clusters * COMPONENTS,
+    profiled = cut_lineage(
+        samples.groupBy(*keys)
+        .agg(*[m.alias(name) for name, m in moments.items()], *map(sketch, PERCENTILES))
+        .filter(F.col("sample_count") >= MIN_SAMPLES)
+        .withColumn("n", F.col("sample_count"))
     )
+    percentiles = exact_percentiles(samples, profiled, keys, PERCENTILES)
     scaled = [
         rounded(F.col(f"{m}_p{round(p * 100)}") / 100, 4).alias(f"{m}_p{round(p * 100)}")
         for m, points in PERCENTILES.items()
         for p in points
     ]
-    return percentiles.select(*keys, *moments, *scaled)
+    return profiled.select(*keys, *moments).join(percentiles, keys).select(*keys, *moments, *scaled)
 
 
 def cluster_metrics(
@@ -228,19 +182,20 @@ def cluster_metrics(
     targets: DataFrame,
     clusters: DataFrame,
     window: AnalysisWindow,
-    top_n: int | None = None,
     limits: Thresholds = Thresholds(),
 ) -> DataFrame:
     """Profile of the target clusters with their configuration, ranked by DBU.
 
-    The profile has a row or two per target; only versions of these clusters are compared.
+    The profile has a row or two per target; only versions of these clusters are compared. Targets
+    and profile are stored: each is read several times.
     """
     keys = ["cluster_id", "component"]
-    profile = utilization_profile(node_samples(node_timeline, targets, window, top_n), limits, top_n)
-    known = clusters.join(bounded(profile, top_n and top_n * COMPONENTS), "cluster_id")
+    targets = cut_lineage(targets)
+    profile = cut_lineage(utilization_profile(node_samples(node_timeline, targets, window), limits))
+    known = clusters.join(profile, "cluster_id")
     capacity = latest_version(known, keys, "change_time", [F.col("cluster_name"), F.col("owned_by")])
     ranked = (
-        capacity.join(bounded(targets, top_n), "cluster_id")
+        capacity.join(targets, "cluster_id")
         .select(
             *profile.columns,
             F.coalesce("cluster_name", F.lit("Unknown")).alias("cluster_name"),

@@ -138,7 +138,7 @@ class Analysis:
     @cached_property
     def metrics(self) -> DataFrame:
         profiled = utilization.cluster_metrics(
-            self.node_timeline, self.targets, self.tables["clusters"], self.window, self.top_n, self.limits
+            self.node_timeline, self.targets, self.tables["clusters"], self.window, self.limits
         )
         return self._keep(utilization.classify(profiled, self.limits))
 

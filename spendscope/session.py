@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.timestampType": "TIMESTAMP_NTZ",
+    # Sums that overflow are errors.
+    "spark.sql.ansi.enabled": "true",
 }
 
 

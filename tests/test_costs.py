@@ -6,9 +6,10 @@ from datetime import date, datetime
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
-from spendscope.functions.expressions import total
+from spendscope.functions.expressions import amount_parts, part_sums, total, total_parts
 from spendscope.operators import costs, pricing, usage
 from spendscope.plans.analysis import Analysis
 from spendscope.sources.registry import SourceTables
@@ -194,3 +195,47 @@ def test_amounts_are_priced_as_decimals(frame):
     assert priced.schema["dollar_cost"].dataType.simpleString().startswith("decimal")
     assert sorted(str(r.dollar_cost.normalize()) for r in priced.filter("dollar_cost is not null").collect()) == ["0.07"] * 3
     assert priced.agg(total("dollar_cost")).first()[0] == 0.21
+
+
+def test_parts_add_up_to_the_exact_sum(frame):
+    values = [0.1, 1e9 + 0.123456789012, -0.000000000001, 12345.678901234567, -7.5, 1 / 3, None, 1e11] * 50
+    exact = sum((Decimal(repr(v)).quantize(Decimal("1e-12"), ROUND_HALF_UP) for v in values if v is not None), Decimal(0))
+    expected = float(exact.quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    for parts in (1, 3, 37):
+        table = frame("k int, v double", [(n % 7, v) for n, v in enumerate(values)]).repartition(parts)
+        assert table.agg(total("v").alias("t")).first().t == expected
+        per_key = table.select("k", *amount_parts("v")).groupBy("k").agg(*part_sums("v"))
+        assert per_key.agg(total_parts("v").alias("t")).first().t == expected
+    assert frame("v double", []).agg(total("v").alias("t")).first().t == 0.0
+
+
+@pytest.mark.parametrize("values", [[1e13], [9e12, 9e12]])
+def test_sums_past_the_limit_are_errors(frame, values):
+    with pytest.raises(ArithmeticException):
+        frame("v double", [(v,) for v in values]).agg(total("v")).collect()
+
+
+def _scans(df, table):
+    """How often the plan reads a sample table."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(f"{table}.parquet" in line for line in plan.splitlines() if "FileScan" in line)
+
+
+def test_dimensions_come_from_one_pass_without_expand(sample, spark):
+    rollup = Analysis(sample, SAMPLE_WINDOW).rollup
+    plan = rollup._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    rollup.collect()
+    final = rollup._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+
+
+def test_job_costs_read_usage_once(sample):
+    assert _scans(Analysis(sample, SAMPLE_WINDOW).job_costs, "lineitem") == 1
+
+
+def test_runs_without_cluster_match_no_capacity(sample):
+    """Their spread keys name no cluster, even one whose id looks like a key."""
+    found = Analysis(sample, SAMPLE_WINDOW).job_costs
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "isnotnull(cluster_id" in plan
