@@ -21,8 +21,9 @@ from ..session import cut_lineage
 # is off by 0.4 % in one of a hundred cases.
 SKETCH_SIZE = 800
 RANK_ERROR = 0.006
-# Of groups up to this size all values are ranked.
-SMALL_GROUP = 400
+# Bounds are the wider, the smaller a group is, and the smallest and largest value below these sizes.
+# A sketch keeps all values of a group that is smaller than itself.
+GROUP_SIZES = (25, 50, 100, 200, 400, SKETCH_SIZE)
 # Parts of the range between two bounds; the values of one of them are ranked in one task.
 STEPS = 1024
 _SMALLER = -1
@@ -43,18 +44,20 @@ def _bounds(profile: DataFrame, keys: Sequence[str], points: Sequence[tuple[str,
     for metric, p in points:
         by_metric.setdefault(metric, []).append(p)
 
-    def bounds(slack: float) -> Column:
+    def near(slack: float) -> Column:
+        """The values at ranks that are so far off; a sketch takes ranks as constants only."""
         ranks = {m: F.array(*[F.lit(min(max(p + slack, 0.0), 1.0)) for p in ps]) for m, ps in by_metric.items()}
-        near = F.flatten(F.array(*[F.kll_sketch_get_quantile_double(f"{m}_sketch", r) for m, r in ranks.items()]))
-        end = F.lit(float(slack > 0))
-        ends = F.flatten(
-            F.array(*[F.array_repeat(F.kll_sketch_get_quantile_double(f"{m}_sketch", end), len(r)) for m, r in by_metric.items()])
-        )
-        return F.when(F.col("n") > SMALL_GROUP, near).otherwise(ends)
-
-    # Ranks count rows, and interpolation looks at two neighbours.
-    slack = error + 2 / SMALL_GROUP
-    return profile.select(*keys, bounds(-slack).alias("lows"), bounds(slack).alias("highs"))
+        return F.flatten(F.array(*[F.kll_sketch_get_quantile_double(f"{m}_sketch", r) for m, r in ranks.items()]))
+
+    def bounds(side: int) -> Column:
+        # Ranks count rows, and interpolation looks at two neighbours.
+        found = near(float(side))
+        for size in GROUP_SIZES:
+            slack = 2 / size + (error if size >= SKETCH_SIZE else 0.0)
+            found = F.when(F.col("n") >= size, near(side * slack)).otherwise(found)
+        return found
+
+    return profile.select(*keys, bounds(-1).alias("lows"), bounds(1).alias("highs"))
 
 
 def _counted(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], points: Sequence[tuple[str, float]]) -> DataFrame:
