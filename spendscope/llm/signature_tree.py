@@ -1,8 +1,11 @@
 """N-gram Jaccard join: which texts share at least a given part of their word shingles.
 
 1. Each text becomes a class key, a hash of its set of shingles; equal sets are one class.
-2. Shingles meet by hash; only those of two or more classes can be in an intersection. A class
-   with fewer shared shingles than the threshold needs links with nothing and leaves here.
+2. Shingles meet by hash; only those of two or more classes can be in an intersection. What meets
+   is one entry for each part of a task that has the shingle, with the number of classes there, so
+   one that a third of all texts hold fills no task; the answers, how many classes have it in
+   all, go back to the parts. A class with fewer shared shingles than the threshold needs links
+   with nothing and leaves here.
 3. The rest is split into blocks by its rarest shared shingles: linked classes have one of
    them in common (prefix filter), so they meet in the block that this shingle leads to.
 4. In each block a signature tree finds the linked pairs. Its nodes hold the OR of their
@@ -19,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +53,7 @@ FLUSH_ROWS = 1 << 19
 # enough between two texts, and what goes through the shuffle is a third smaller.
 DROPPED_BITS = 16
 # Bytes of text whose shingles are compared at once, and those that a task compares one after the other.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 TASK_BYTES = 16 << 20
 # Classes whose sets are compared in one task; larger blocks are cut into pairs of such parts.
 BLOCK_CLASSES = 4096
@@ -92,30 +96,61 @@ def _classes(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         )
 
 
-_SHARD = "bucket int, classes binary, sizes binary, owner binary, shingles binary"
+# A flush is what one task gathers between two hand-overs; its classes have local numbers. Rows are
+# of three kinds: shingles of a flush for a bucket (what a shingle's local class is, or the number
+# of classes for "several", with their count), answers to a flush (counts of all flushes in place
+# of its own), and what a flush keeps for itself: its class table, and the classes of the shingles that
+# several of them hold. The latter pass the first shuffle in buckets behind the others.
+_SHARD = "bucket int, flush long, n_classes long, keys binary, sizes binary, owner binary, shingles binary, counts binary"
+
+
+def _distinct(shingles: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (shingle, owner) in order, and where each shingle begins (and the end)."""
+    order = np.lexsort((owner, shingles))
+    shingles, owner = shingles[order], owner[order]
+    change = np.r_[True, shingles[1:] != shingles[:-1]]
+    new = change | np.r_[True, owner[1:] != owner[:-1]]
+    shingles, owner = shingles[new], owner[new]
+    return shingles, owner, np.r_[np.flatnonzero(change[new]), len(shingles)]
 
 
 def _shards(batches: Iterable[pa.RecordBatch], words: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Shingles by bucket, packed: each class once for each task's share of the texts."""
+    """Shingles by bucket, packed: one entry for each flush that has a shingle, however many classes there."""
+    number = TaskContext.get().partitionId() << 32
 
     def packed() -> pa.RecordBatch:
-        shingles = np.concatenate(sets) >> np.uint64(DROPPED_BITS)
-        owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+        n = len(sets)
+        owner = np.repeat(np.arange(n), [len(s) for s in sets])
+        shingles, owner, first = _distinct(np.concatenate(sets) >> np.uint64(DROPPED_BITS), owner)
+        counts = np.diff(first)
+        several = counts > 1
+        local = np.where(several, n, owner[first[:-1]])
+        shingles_once = shingles[first[:-1]]
+        base = {"flush": number, "n_classes": n}
         rows = []
-        for bucket, at in by_bucket(shingles, buckets):
-            own, local = np.unique(owner[at], return_inverse=True)
+        for bucket, at in by_bucket(shingles_once, buckets):
+            marked = counts[at][several[at]]
             rows.append(
-                (
-                    bucket,
-                    np.array(list(held), np.int64)[own].tobytes(),
-                    np.array([len(sets[k]) for k in own], np.int32).tobytes(),
-                    small_index(local, len(own)),
-                    planes(shingles[at] // np.uint64(buckets)),  # the bucket is the remainder
-                )
+                base
+                | {
+                    "bucket": bucket,
+                    "owner": small_index(local[at], n + 1),
+                    "shingles": planes(shingles_once[at] // np.uint64(buckets)),  # the bucket is the remainder
+                    "counts": marked.astype(np.uint32).tobytes(),
+                }
             )
-        return pa.RecordBatch.from_pylist(
-            [dict(zip(("bucket", "classes", "sizes", "owner", "shingles"), r)) for r in rows], _schema(_SHARD)
+        rows.append(
+            base
+            | {
+                "bucket": buckets + int(mixed(np.array([number], np.uint64))[0] % np.uint64(buckets)),
+                "keys": np.array(list(held), np.int64).tobytes(),
+                "sizes": np.array([len(s) for s in sets], np.int32).tobytes(),
+                "owner": small_index(owner[np.repeat(several, counts)], n),
+                "shingles": planes(shingles_once[several]),
+                "counts": counts[several].astype(np.uint32).tobytes(),
+            }
         )
+        return pa.RecordBatch.from_pylist(rows, _schema(_SHARD))
 
     held: dict[int, None] = {}
     sets: list[np.ndarray] = []
@@ -128,7 +163,7 @@ def _shards(batches: Iterable[pa.RecordBatch], words: int, buckets: int) -> Iter
                 rows += len(shingles)
         if rows >= FLUSH_ROWS:
             yield packed()
-            held, sets, rows = {}, [], 0
+            number, held, sets, rows = number + 1, {}, [], 0
     if sets:
         yield packed()
 
@@ -140,87 +175,102 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _TYPES[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
 
 
-_SHARED = "bucket int, classes binary, sizes binary, owner binary, shingles binary, spread binary"
-
-
 def _shared(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The shingles that several classes have, dealt anew by class."""
+    """Of each bucket the shingles that several classes have, as answers to the flushes."""
     for (bucket,), table in sorted_groups(batches):
-        classes, sizes, shingles = [], [], []
-        for row in table.to_pylist():
-            own = np.frombuffer(row["classes"], np.int64)
-            local = from_small_index(row["owner"], len(own))
-            classes.append(own[local])
-            sizes.append(np.frombuffer(row["sizes"], np.int32)[local])
-            shingles.append(unplanes(row["shingles"]) * np.uint64(buckets) + np.uint64(bucket))
-        key, size, value = np.concatenate(classes), np.concatenate(sizes), np.concatenate(shingles)
+        if bucket >= buckets:
+            yield from table.to_batches()
+            continue
+        rows = table.to_pylist()
+        locals_, values, counts = [], [], []
+        for row in rows:
+            local = from_small_index(row["owner"], row["n_classes"] + 1).astype(np.uint32)
+            count = np.ones(len(local), np.uint32)
+            count[local == row["n_classes"]] = np.frombuffer(row["counts"], np.uint32)
+            locals_.append(local)
+            counts.append(count)
+            values.append(unplanes(row["shingles"]) * np.uint64(buckets) + np.uint64(bucket))
+        source = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(v) for v in values])
+        local, value, count = map(np.concatenate, (locals_, values, counts))
         order = np.argsort(value, kind="stable")
-        key, size, value = key[order], size[order], value[order]
-        changes = np.r_[True, value[1:] != value[:-1]]
-        group = np.cumsum(changes) - 1
-        several = np.bincount(group)[group] > 1
-        key, size, value, group = key[several], size[several], value[several], group[several]
-        # A class that several tasks met is here once for each; one row of it counts.
-        order = np.lexsort((key, group))
-        key, size, value, group = key[order], size[order], value[order], group[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])] if len(key) else np.zeros(0, bool)
-        key, size, value, group = key[new], size[new], value[new], group[new]
-        spread = np.bincount(group)[group] if len(group) else group
+        first = np.flatnonzero(np.r_[True, np.diff(value[order]) != 0])
+        total = np.add.reduceat(count[order].astype(np.int64), first)
+        spread = np.empty(len(order), np.int64)
+        spread[order] = np.repeat(total, np.diff(np.r_[first, len(order)]))
         keep = spread > 1
-        key, size, value, spread = key[keep], size[keep], value[keep], spread[keep]
-        rows = []
-        for bucket, at in by_bucket(mixed(key.view(np.uint64)), buckets):
-            own, first, local = np.unique(key[at], return_index=True, return_inverse=True)
-            rows.append(
-                {
-                    "bucket": bucket,
-                    "classes": own.tobytes(),
-                    "sizes": size[at][first].tobytes(),
-                    "owner": small_index(local, len(own)),
-                    "shingles": planes(value[at]),
-                    # Only the order matters, and that all tasks see the same number.
-                    "spread": np.minimum(spread[at], np.iinfo(np.uint16).max).astype(np.uint16).tobytes(),
-                }
-            )
-        yield pa.RecordBatch.from_pylist(rows, _schema(_SHARED))
+        local, value, source, spread = local[keep], value[keep], source[keep], spread[keep]
+        cuts = np.searchsorted(source, np.arange(len(rows) + 1))
+        answers = [
+            {
+                "bucket": bucket,
+                "flush": row["flush"],
+                "n_classes": row["n_classes"],
+                "owner": small_index(local[lo:hi], row["n_classes"] + 1),
+                "shingles": planes(value[lo:hi]),
+                # Only the order matters, and that all flushes see the same number.
+                "counts": np.minimum(spread[lo:hi], np.iinfo(np.uint16).max).astype(np.uint16).tobytes(),
+            }
+            for row, lo, hi in zip(rows, cuts[:-1], cuts[1:])
+            if hi > lo
+        ]
+        yield pa.RecordBatch.from_pylist(answers, _schema(_SHARD))
 
 
 _CANDIDATE = "class_key long, n_shingles long, shingles binary, prefix array<long>"
 
 
 def _candidates(batches: Iterable[pa.RecordBatch], numerator: int, denominator: int) -> Iterator[pa.RecordBatch]:
-    """Classes with enough shared shingles: these, sorted, and the rarest of them.
+    """Classes of a flush with enough shared shingles: these, sorted, and the rarest of them.
 
     A linked class shares at least ``need`` of ``n`` shingles, so at least one of any n - need + 1.
     The rarest are taken; the shingles of no other class come first and need no row.
     """
     for _, table in sorted_groups(batches):
-        key, size, value, spread = [], [], [], []
-        for row in table.to_pylist():
-            own = np.frombuffer(row["classes"], np.int64)
-            local = from_small_index(row["owner"], len(own))
-            key.append(own[local])
-            size.append(np.frombuffer(row["sizes"], np.int32)[local])
-            value.append(unplanes(row["shingles"]))
-            spread.append(np.frombuffer(row["spread"], np.uint16))
-        key, size, value, spread = map(np.concatenate, (key, size, value, spread))
-        order = np.lexsort((value, spread, key))
-        key, size, value, spread = key[order], size[order].astype(np.int64), value[order], spread[order]
-        cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-        rows = []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            n, shared = int(size[lo]), int(hi - lo)
-            need = -(-numerator * n // denominator)
+        rows = table.to_pylist()
+        own = next(row for row in rows if row["keys"] is not None)
+        keys, sizes, n = np.frombuffer(own["keys"], np.int64), np.frombuffer(own["sizes"], np.int32), own["n_classes"]
+        local, value, spread = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+        for row in rows:
+            if row["keys"] is None:
+                local.append(from_small_index(row["owner"], n + 1).astype(np.int64))
+                value.append(unplanes(row["shingles"]))
+                spread.append(np.frombuffer(row["counts"], np.uint16))
+        local, value, spread = map(np.concatenate, (local, value, spread))
+        # Where several classes of the flush have the shingle, the flush kept which.
+        several = local == n
+        kept, counts = unplanes(own["shingles"]), np.frombuffer(own["counts"], np.uint32).astype(np.int64)
+        at = np.searchsorted(kept, value[several])
+        ends = np.cumsum(counts)
+        inside, group = _ranges(ends[at] - counts[at], ends[at])
+        owner = from_small_index(own["owner"], n).astype(np.int64)
+        local = np.concatenate([local[~several], owner[inside]])
+        value = np.concatenate([value[~several], value[several][group]])
+        spread = np.concatenate([spread[~several], spread[several][group]])
+        order = np.lexsort((value, spread, local))
+        local, value = local[order], value[order]
+        found = []
+        cuts = np.searchsorted(local, np.arange(n + 1))
+        for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            size, shared = int(sizes[k]), hi - lo
+            need = -(-numerator * size // denominator)
             if shared >= need:
-                rows.append(
+                found.append(
                     {
-                        "class_key": int(key[lo]),
-                        "n_shingles": n,
+                        "class_key": int(keys[k]),
+                        "n_shingles": size,
                         "shingles": np.sort(value[lo:hi]).tobytes(),
                         "prefix": value[lo : lo + shared - need + 1].view(np.int64).tolist(),
                     }
                 )
-        yield pa.RecordBatch.from_pylist(rows, _schema(_CANDIDATE))
+        for at in range(0, len(found), 256):
+            yield pa.RecordBatch.from_pylist(found[at : at + 256], _schema(_CANDIDATE))
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in the ranges, and the range of each."""
+    sizes = last - first
+    owner = np.repeat(np.arange(len(first)), sizes)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner], owner
 
 
 class SignatureTree:
@@ -434,12 +484,15 @@ def jaccard_components(
     shared = (
         shards.repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(partial(_shared, buckets=buckets), _SHARED)
+        .mapInArrow(partial(_shared, buckets=buckets), _SHARD)
+        .select("flush", "n_classes", "keys", "sizes", "owner", "shingles", "counts")
     )
+    # A class that several flushes met is found by each, with the same shingles.
     candidates = cut_lineage(
-        shared.repartition(tasks, "bucket")
-        .sortWithinPartitions("bucket")
+        shared.repartition(tasks, "flush")
+        .sortWithinPartitions("flush")
         .mapInArrow(partial(_candidates, numerator=numerator, denominator=denominator), _CANDIDATE)
+        .dropDuplicates(["class_key"])
     )
     where = ["leader", "i", "j"]
     links = (
@@ -457,8 +510,12 @@ def jaccard_components(
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("class_key", "component_id")
-    result = rows.join(named, "class_key", "left").select(
-        F.col("row").alias(id_col), "n_shingles", F.coalesce("component_id", "row").alias("component_id")
+    # Texts without words have no class: as join keys, their nulls would all meet in one task.
+    alone = rows.where("class_key is null").withColumn("component_id", F.col("row"))
+    result = (
+        rows.join(named, "class_key")
+        .unionByName(alone)
+        .select(F.col("row").alias(id_col), "n_shingles", "component_id")
     )
     unknown = texts.where("row is null").select(F.lit(0).cast("long").alias("row"), "text")
     counted = unknown.mapInArrow(partial(_classes, words=words), "row long, n_shingles long, class_key long")

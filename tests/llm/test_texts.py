@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +21,7 @@ from spendscope.llm import (
     packing,
     quality_gam,
     signature_tree,
+    textwords,
     unigram_count,
     window_dedup,
 )
@@ -283,3 +286,29 @@ def test_empty_tables(spark, no_docs):
     ):
         assert found.count() == 0
 
+
+
+def test_a_passage_in_a_third_of_the_texts_fills_no_bucket(spark, monkeypatch):
+    """Each part of a task has one entry for a shingle, and all links are found."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"{passage} " * (k % 3 == 0) + " ".join(f"w{rng.randrange(10**6)}" for _ in range(25))) for k in range(900)]
+    rows += [(1000 + k, passage + f" x{k}") for k in range(5)] + [(2000 + k, t) for k, t in rows[:100]]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    texts = table.selectExpr("doc_id AS row", "text")
+    shards = texts.mapInArrow(partial(signature_tree._shards, words=5, buckets=3), signature_tree._SHARD).collect()
+    flushes = {r.flush for r in shards}
+    entries = [textwords.unplanes(r.shingles) * np.uint64(3) + np.uint64(r.bucket) for r in shards if r.keys is None]
+    most = max(Counter(np.concatenate(entries).tolist()).values())
+    assert len(flushes) == 7 and most == 7
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        found = {r.doc_id: r.component_id for r in signature_tree.jaccard_components(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    root = groups([shingles(t) for _, t in rows])
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(i, least.get(r, i))
+    assert found == {i: least[r] for (i, _), r in zip(rows, root)}
