@@ -96,9 +96,17 @@ marked_turns = PerTurn(_marked)
 
 
 def _unused(turns: list[Turn]) -> str:
-    """A character of the private use area that no turn holds."""
-    held = set().union(*(set(x) for t in turns for x in t)) if turns else set()
-    return next(c for c in map(chr, range(0xE000, 0xF900)) if c not in held)
+    """A text of one or more characters of the private use area that no turn holds."""
+    texts = [x for t in turns for x in t]
+    held = set().union(*map(set, texts)) if texts else set()
+    for c in map(chr, range(0xE000, 0xF900)):
+        if c not in held:
+            return c
+    # All of them occur: a run that is longer than any in a turn, and an end that shows where it stands.
+    length = 2
+    while any("\ue000" * length in x for x in texts):
+        length *= 2
+    return "\ue000" * length + "\ue001"
 
 
 def render_incrementally(template: Template, turns: list[Turn]) -> Rendered:

@@ -287,20 +287,24 @@ def train(
     return fit(x, np.array([r["label"] for r in rows], float), settings)
 
 
-def _scored(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterable[pa.RecordBatch], model: Model, name: str) -> Iterator[pa.RecordBatch]:
     """Rows of (text, others) as (others, score)."""
     for batch in batches:
         score = pa.array(model.scores(_texts(batch)), pa.float64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], [*batch.schema.names[1:], "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], [*batch.schema.names[1:], name])
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of each row, and ``score``, the estimate that its label is 1.
+def scored(
+    docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, score_col: str = "score"
+) -> DataFrame:
+    """The columns ``keep`` (default: all) of each row, and the estimate that its label is 1.
 
-    The score depends on the whole text only; a null text is an empty one. A column of ``docs``
-    called score can't be kept.
+    The score depends on the whole text only; a null text is an empty one. It takes the place of
+    a column of ``docs`` that is called ``score_col``.
     """
-    keep = docs.columns if keep is None else keep
-    kept = docs.select(F.col(text_col).alias("_text"), *(docs[c] for c in keep))
+    keep = [c for c in (docs.columns if keep is None else keep) if c != score_col]
+    text = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so another one
+    kept = docs.select(F.col(text_col).alias(text), *(docs[c] for c in keep))
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return kept.mapInArrow(partial(_scored, model=model), f"{ddl}, score double")
+    added = f"`{score_col}` double"
+    return kept.mapInArrow(partial(_scored, model=model, name=score_col), f"{ddl}, {added}" if ddl else added)

@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this package's own, wherever Spark keeps it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let local Python workers import this package, from wherever the session was started."""
     root = str(Path(__file__).resolve().parents[2])

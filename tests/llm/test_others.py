@@ -168,14 +168,10 @@ def test_against_duckdb(spark, name):
     assert differences(QUERIES[name](spark, SF_DIR), duck(SF_DIR), ORACLE_SQL[name]) == []
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, SF_DIR)
-        assert kept.columns == list(corpus_pipeline.DOCUMENT_COLUMNS), name
-    left = {r.doc_id for r in kept.collect()}
-    rows = corpus_pipeline.run(spark, SF_DIR).collect()
-    assert left and {r.doc_id for r in rows} == left < {r.doc_id for r in docs.collect()}
+def test_conversations_with_all_private_characters():
+    every = "".join(map(chr, range(0xE000, 0xF900)))
+    turns = [Turn("user", every), Turn("assistant", "\ue000" * 5), Turn("user", "\ue000"), Turn("assistant", "x")]
+    for template in (chat_format.marked_turns, lambda some: "".join(t.text for t in some)):
+        found = render_incrementally(template, turns)
+        shown = [found.text[s.text_start : s.text_end] for s in found.spans]
+        assert shown == [t.text for t in turns] and not found.rewrites_history

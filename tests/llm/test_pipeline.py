@@ -132,3 +132,18 @@ def test_query_op7_against_a_unigram_tokenizer(spark, planted, tables):
 
 def test_query_op9_against_the_tokenizer(spark, planted, tables):
     assert_packed(QUERIES["op9_packing"](spark, tables).collect(), {k: t for k, (t, _) in planted.items()})
+
+
+def test_stages_keep_other_columns_and_odd_rows(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    odd = spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "web", 0), (None, "a b", "en", "web", 3)], docs.schema)
+    wide = docs.unionByName(odd).selectExpr("*", "doc_id AS score", "lang AS row", "1 AS hashes", "'x' AS component_id", "2 AS n_words")
+    for docs_in in (wide, wide.limit(0)):
+        kept = docs_in
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, tables)
+            assert kept.schema.names == wide.schema.names, name
+        rows = kept.collect()
+        assert all(r.score == r.doc_id and r.row == r.lang and r.hashes == 1 and r.component_id == "x" for r in rows)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, kept, tables).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in rows}

@@ -244,7 +244,8 @@ def test_quality_learns_and_scores_every_row(spark, docs, texts):
     held = [k for k, r in found.items() if r.held]
     assert held and all(zlib.crc32(str(k).encode()) % 5 == 0 for k in held)
     assert np.mean([(found[k].score >= 0.3) == bool(k % 4) for k in held]) > 0.95
-    every = quality_gam.scored(docs.drop("score"), model).collect()
+    every = quality_gam.scored(docs, model).collect()
+    assert quality_gam.scored(docs, model, score_col="text").columns == [c for c in docs.columns if c != "text"] + ["text"]
     assert len(every) == len(texts) and all(0 <= r.score <= 1 for r in every)
 
 
