@@ -34,6 +34,10 @@ THRESHOLD = 0.9
 # Vectors that the quantisers are fitted to at most, chosen by a hash.
 SAMPLE = 16_384
 MOST_LISTS = 1024
+# The share of lists that a vector must visit hardly depends on their number, so what is compared
+# does not either; fewer, longer lists are visited less often, at the same work in each pair.
+LIST_LENGTH = 2048
+LEAST_LISTS = 16
 SUBSPACES = 8
 CODEWORDS = 64
 ROUNDS = 8
@@ -283,7 +287,7 @@ def _found(classes: DataFrame, n: int, width: int, dtype: str, threshold: float,
     fitted = np.zeros((len(sample), width), dtype)
     for one, row in zip(fitted, sample):
         one[: len(row[0])] = row[0]
-    lists = min(max(1, math.isqrt(n)), MOST_LISTS)
+    lists = min(max(1, math.isqrt(n)), max(LEAST_LISTS, n // LIST_LENGTH), MOST_LISTS)
     quantiser = fit(_units(fitted), lists)
     assign = partial(_assign, quantiser=quantiser, width=width, dtype=dtype, reach=reach)
     assigned = cut_lineage(classes.select("key", "copies", "embedding").mapInArrow(assign, _ASSIGNED))
