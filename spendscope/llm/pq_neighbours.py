@@ -36,14 +36,14 @@ SAMPLE = 16_384
 MOST_LISTS = 1024
 # The share of lists that a vector must visit hardly depends on their number, so what is compared
 # does not either; fewer, longer lists are visited less often, at the same work in each pair.
-LIST_LENGTH = 2048
+LIST_LENGTH = 3072
 LEAST_LISTS = 16
 SUBSPACES = 8
-CODEWORDS = 64
+CODEWORDS = 256
 ROUNDS = 8
 # Members of a list that a task compares with as large a share of its visitors.
-PART = 2048
-_VISITORS = 256
+PART = 4096
+_VISITORS = 512
 # For rounding in coded distances, and in distances from borders.
 _MARGIN = 1e-3
 _BORDER_MARGIN = 1e-6
@@ -94,6 +94,17 @@ def _matrix(vectors: list[bytes], dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), dtype).reshape(len(vectors), -1)
 
 
+def _borders(x: np.ndarray, home: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """How far each vector is from the planes between its list's centre and the others."""
+    norms = (centres**2).sum(1)
+    squares = norms - 2 * x @ centres.T
+    own = np.take_along_axis(squares, home[:, None], axis=1)
+    apart = norms[home][:, None] + norms[None] - 2 * centres[home] @ centres.T
+    found = (squares - own) / (2 * np.sqrt(np.maximum(apart, _SAME_CENTRE)))
+    found[apart < _SAME_CENTRE] = 0
+    return found
+
+
 _ASSIGNED = "key long, size int, copies long, home int, vector binary, codes binary, error double, probes array<int>"
 
 
@@ -111,13 +122,8 @@ def _assign(
             for one, values in zip(raw, rows):
                 one[: len(values)] = values
             x = _units(raw)
-            squares = np.maximum(1 + norms - 2 * x @ centres.T, 0)
-            home = squares.argmin(1)
-            own = squares[np.arange(len(x)), home]
-            # The plane between two centres is this far from a vector on the near side.
-            apart = norms[home][:, None] + norms[None] - 2 * centres[home] @ centres.T
-            border = (squares - own[:, None]) / (2 * np.sqrt(np.maximum(apart, _SAME_CENTRE)))
-            border[apart < _SAME_CENTRE] = 0
+            home = np.maximum(1 + norms - 2 * x @ centres.T, 0).argmin(1)
+            border = _borders(x, home, centres)
             rest = x - centres[home]
             codes = np.stack(
                 [_nearest(rest[:, s], book) for s, book in zip(quantiser.subspaces, quantiser.codebooks)], axis=1
@@ -180,28 +186,43 @@ def _compare(
         visited = np.zeros((len(members), len(quantiser.centres)), bool)
         for row, r in zip(visited, members):
             row[r["probes"]] = True
-        furthest = ((limit + error + _MARGIN) ** 2).astype(np.float32)[None]
+        border = _borders(unit, np.full(len(members), at_list), quantiser.centres)
+        furthest = ((limit + error + _MARGIN) ** 2).astype(np.float32)
         counts = np.zeros(len(members), np.int64)
         out: list[tuple[int, int, int]] = []
-        for k in range(0, len(visitors), _VISITORS):
-            some = visitors[k : k + _VISITORS]
-            there = _matrix([r["vector"] for r in some], dtype).astype(float)
-            their_unit = _units(there)
-            rest = their_unit - quantiser.centres[at_list]
-            # Single precision is off by far less than the margin below.
-            squares = np.zeros((len(some), len(members)), np.float32)
+        there = _units(_matrix([r["vector"] for r in visitors], dtype).astype(float))
+        homes, their_key, their_copies, their_size = (
+            np.array([r[c] for r in visitors], np.int64) for c in ("home", "key", "copies", "size")
+        )
+        off = _borders(there, homes, quantiser.centres)[:, at_list]
+        order = np.lexsort((off, homes))
+        cuts = np.flatnonzero(np.diff(homes[order])) + 1
+        for some in (part[k : k + _VISITORS] for part in np.split(order, cuts) for k in range(0, len(part), _VISITORS)):
+            home = int(homes[some[0]])
+            # Two vectors on either side of a border are at least as far apart as both are from it.
+            close = border[:, home] <= limit - off[some[0]] + _BORDER_MARGIN
+            if home > at_list:  # where both visit the other's list, they are compared in the later one
+                close &= ~visited[:, home]
+            found = np.flatnonzero(close | (home == at_list))
+            if not len(found):
+                continue
+            rest = there[some] - quantiser.centres[at_list]
+            # Single precision is off by far less than the margin above. A row for each member: its
+            # codes look up values of all visitors, which lie side by side.
+            squares = np.zeros((len(found), len(some)), np.float32)
             for j, (s, book) in enumerate(zip(quantiser.subspaces, quantiser.codebooks)):
-                looked_up = ((rest[:, s][:, None] - book[None]) ** 2).sum(2).astype(np.float32)
-                squares += np.take(looked_up, codes[:, j], axis=1)
-            their_key = np.array([r["key"] for r in some], np.int64)
-            their_size = np.array([r["size"] for r in some], np.int64)
-            near = squares <= furthest
-            near &= (their_key[:, None] != key[None]) & (their_size[:, None] == size[None])
-            u, v = np.nonzero(near)
+                own = rest[:, s]
+                looked_up = (book**2).sum(1)[:, None] + (own**2).sum(1) - 2 * book @ own.T
+                squares += looked_up.astype(np.float32)[codes[found, j]]
+            v, u = np.nonzero(squares <= furthest[found][:, None])
+            u, v = some[u], found[v]
+            same = (their_key[u] < key[v]) if home == at_list else (their_key[u] != key[v])
+            same &= their_size[u] == size[v]
+            u, v = u[same], v[same]
             cosine = np.zeros(len(u))
             for lo in range(0, len(u), 1 << 16):
                 part = slice(lo, lo + (1 << 16))
-                cosine[part] = np.einsum("ij,ij->i", their_unit[u[part]], unit[v[part]])
+                cosine[part] = np.einsum("ij,ij->i", there[u[part]], unit[v[part]])
             u, v = u[cosine >= threshold], v[cosine >= threshold]
             if not len(u):
                 continue
@@ -210,11 +231,8 @@ def _compare(
             columns_in, v = np.unique(v, return_inverse=True)
             linked = np.zeros((len(rows_in), len(columns_in)), bool)
             linked[u, v] = True
-            # A member that does not visit the visitor's list learns of the link here.
-            homes = np.array([r["home"] for r in some])[rows_in]
-            missed = linked & ~visited[columns_in][:, homes].T
-            their_copies = np.array([r["copies"] for r in some], np.int64)[rows_in]
-            counts[columns_in] += their_copies @ missed
+            # Each pair is compared once, so both learn of the link here.
+            counts[columns_in] += their_copies[rows_in] @ linked
             out += [(0, a, n) for a, n in zip(their_key[rows_in].tolist(), (linked @ copies[columns_in]).tolist())]
             out += [(1, a, b) for a, b in _component_links(linked, their_key[rows_in], key[columns_in])]
         out += [(0, a, n) for a, n in zip(key.tolist(), counts.tolist()) if n]
