@@ -140,6 +140,15 @@ def effort_minutes(effort: Column) -> Column:
     return result
 
 
+def preview(text: Column | str, chars: int) -> Column:
+    return F.substring(text, 1, chars)
+
+
+def tag_count(tags: Column) -> Column:
+    """Tags of a line; NULL without a map."""
+    return F.when(tags.isNotNull(), F.size(tags))
+
+
 # ---- query text ---------------------------------------------------------------
 def _statement(text: Column) -> Column:
     return F.upper(F.coalesce(text, F.lit("")))
@@ -176,6 +185,19 @@ def in_period_times(at: Column, window: AnalysisWindow) -> Column:
     return (at >= moment(window.start)) & (at <= moment(window.end))
 
 
+def day_of(at: Column) -> Column:
+    return F.to_date(at)
+
+
+def hour_of(at: Column) -> Column:
+    return F.hour(at)
+
+
+def weekday_of(day: Column) -> Column:
+    """The day of the week, from 1 for Sunday."""
+    return F.dayofweek(day)
+
+
 def since(at: Column, start: datetime) -> Column:
     return at >= moment(start)
 
@@ -191,6 +213,11 @@ def hours_running(start: Column, as_of: datetime) -> Column:
 
 
 # ---- compute ------------------------------------------------------------------
+def worker_span() -> Column:
+    """Workers between the limits of autoscaling; NULL where there is nothing to scale."""
+    return F.nullif(F.col("max_autoscale_workers") - F.col("min_autoscale_workers"), F.lit(0))
+
+
 def is_classic(serverless: Column) -> Column:
     """Not serverless; unknown counts as classic."""
     return (serverless == F.lit(False)) | serverless.isNull()

@@ -28,6 +28,21 @@ def monthly_projection(totals: DataFrame, window: AnalysisWindow) -> DataFrame:
     )
 
 
+def _named(df: DataFrame, key: str, name: str, source: int) -> DataFrame:
+    given = F.col(name).isNotNull() & (F.col(name) != "")
+    return df.filter(given).select(F.col(key).alias("id"), F.col(name).alias("name"), F.lit(source).alias("source"))
+
+
+def cluster_names(clusters: DataFrame, cluster_costs: DataFrame) -> DataFrame:
+    """(id, name) of clusters; a configured name wins over one from costs."""
+    configured = _named(latest_clusters(clusters), "cluster_id", "cluster_name", 1)
+    return (
+        configured.unionByName(_named(cluster_costs, "cluster_id", "cluster_name", 2))
+        .groupBy("id")
+        .agg(F.min_by("name", "source").alias("name"))
+    )
+
+
 def name_top_items(
     top: DataFrame,
     jobs: DataFrame,
@@ -45,10 +60,6 @@ def name_top_items(
         ids = top.filter(F.col("dim") == dim).select(F.col("id").alias(key))
         return df.join(ids, key, "left_semi")
 
-    def named(df: DataFrame, key: str, name: str, source: int) -> DataFrame:
-        given = F.col(name).isNotNull() & (F.col(name) != "")
-        return df.filter(given).select(F.col(key).alias("id"), F.col(name).alias("name"), F.lit(source).alias("source"))
-
     # Of several names of a job, that of the last row by cost counts.
     by_job = (
         wanted(jobs, "job", "job_id")
@@ -57,14 +68,10 @@ def name_top_items(
         .agg(F.max_by("job_name", "job_rank").alias("name"))
         .select(F.lit("job").alias("dim"), F.col("job_id").alias("id"), "name")
     )
-    by_cluster = (
-        named(latest_clusters(wanted(clusters, "cluster", "cluster_id")), "cluster_id", "cluster_name", 1)
-        .unionByName(named(wanted(cluster_costs, "cluster", "cluster_id"), "cluster_id", "cluster_name", 2))
-        .groupBy("id")
-        .agg(F.min_by("name", "source").alias("name"))
-        .select(F.lit("cluster").alias("dim"), "id", "name")
-    )
-    by_warehouse = named(
+    by_cluster = cluster_names(
+        wanted(clusters, "cluster", "cluster_id"), wanted(cluster_costs, "cluster", "cluster_id")
+    ).select(F.lit("cluster").alias("dim"), "id", "name")
+    by_warehouse = _named(
         wanted(warehouses, "warehouse", "warehouse_id"), "warehouse_id", "warehouse_name", 1
     ).select(F.lit("warehouse").alias("dim"), "id", "name")
     names = by_job.unionByName(by_cluster).unionByName(by_warehouse)

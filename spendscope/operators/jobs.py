@@ -120,8 +120,8 @@ def job_runs(runs: DataFrame, window: AnalysisWindow) -> DataFrame:
     )
 
 
-def runs_by_job(runs: DataFrame) -> DataFrame:
-    return runs.orderBy("job_id", F.col("period_start_time").desc(), "run_id")
+# The order in which runs are listed, for ``write_results``.
+RUNS_BY_JOB = ("job_id", "-period_start_time", "run_id")
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:

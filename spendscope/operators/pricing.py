@@ -83,26 +83,28 @@ def list_priced_usage(tables: SourceTables, window: AnalysisWindow) -> DataFrame
 
 
 def priced_usage(tables: SourceTables, window: AnalysisWindow) -> DataFrame:
-    """Usage at contract prices if there are any for it, else at list prices."""
-    if tables.has("account_prices"):
-        contracted = price_usage(
-            usage_in_period(tables["usage"], window), account_price_book(tables["account_prices"])
-        )
-        if not contracted.isEmpty():
-            return contracted
-    return list_priced_usage(tables, window)
+    """Usage at contract prices if there are any for it, else at list prices.
 
+    One plan: whether a line has a contract price decides, as a scalar subquery that stops at
+    the first such line, which of the two price books joins.
+    """
+    listed = list_price_book(tables["list_prices"])
+    usage = usage_in_period(tables["usage"], window)
+    if not tables.has("account_prices"):
+        return price_usage(usage, listed)
+    contracted = account_price_book(tables["account_prices"])
+    found = price_usage(usage, contracted).limit(1).agg((F.count("*") > 0).alias("found")).scalar()
+    book = contracted.withColumn("of_contract", F.lit(True)).unionByName(listed.withColumn("of_contract", F.lit(False)))
+    return price_usage(usage, book.filter(F.col("of_contract") == found).drop("of_contract"))
 
-def newest_first(priced: DataFrame) -> DataFrame:
-    """Priced usage by day and cost; sort only where the rows leave the engine."""
-    return priced.withColumn("dollar_cost", F.col("dollar_cost").cast("double")).orderBy(
-        F.col("usage_date").desc(),
-        F.col("dollar_cost").desc(),
-        "sku_name",
-        "usage_end_time",
-        "workspace_id",
-        "usage_quantity",
-    )
+
+# The order in which priced usage is listed, for ``write_results``.
+NEWEST_FIRST = ("-usage_date", "-dollar_cost", "sku_name", "usage_end_time", "workspace_id", "usage_quantity")
+
+
+def listed_usage(priced: DataFrame) -> DataFrame:
+    """Priced usage as it is listed; the order is that of the files it is written to."""
+    return priced.withColumn("dollar_cost", F.col("dollar_cost").cast("double"))
 
 
 def cost_lines(priced: DataFrame) -> DataFrame:

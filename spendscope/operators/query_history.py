@@ -10,6 +10,7 @@ from ..functions.expressions import (
     in_period_times,
     join_count,
     lacks_filter,
+    preview,
     rounded,
     seconds,
     selects_star,
@@ -151,7 +152,7 @@ def shuffle_heavy(history: DataFrame, window: AnalysisWindow) -> DataFrame:
         F.col("compute.warehouse_id").alias("warehouse_id"),
         "statement_id",
         F.col("executed_by").alias("user"),
-        F.substring("statement_text", 1, PREVIEW_CHARS).alias("statement_preview"),
+        preview("statement_text", PREVIEW_CHARS).alias("statement_preview"),
         "shuffle_read_bytes",
         rounded(gb, 2).alias("shuffle_gb"),
         F.coalesce(seconds(F.col("total_task_duration_ms")), F.lit(0.0)).alias("duration_seconds"),

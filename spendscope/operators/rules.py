@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,8 +111,21 @@ def recommend(
     )
 
 
-def confident(savings: Column, factor: float = CONFIDENCE) -> Column:
-    return rounded(savings * factor, 2)
+_confidence: ContextVar[float] = ContextVar("confidence", default=CONFIDENCE)
+
+
+@contextmanager
+def confidence_factor(factor: float) -> Iterator[None]:
+    """Rules that are built inside count this part of their estimated savings."""
+    token = _confidence.set(factor)
+    try:
+        yield
+    finally:
+        _confidence.reset(token)
+
+
+def confident(savings: Column) -> Column:
+    return rounded(savings * _confidence.get(), 2)
 
 
 def product_cost(rollup: DataFrame, *products: str) -> DataFrame:
@@ -655,8 +671,7 @@ def union_rules(rules: list[DataFrame], totals: DataFrame) -> DataFrame:
 def keep_first(candidates: DataFrame, by_id: bool = False) -> DataFrame:
     """Drop repeated recommendations, keeping the first in rule order.
 
-    Rows repeat when rule and resource are the same. With ``by_id`` they already
-    repeat when their ids are, and these hold a shortened resource id only.
+    Rows repeat when rule and resource are the same, or, with ``by_id``, when their ids are.
     """
     same = [F.col("id")] if by_id else [F.col("rule"), F.coalesce("resource_id", "id")]
     order = Window.partitionBy(*same).orderBy("rule_order", "seq", F.col("resource_id").asc_nulls_first())

@@ -12,9 +12,11 @@ from ..functions.expressions import (
     part_sums,
     ratio,
     rounded,
+    tag_count,
     total,
     total_if,
     total_parts,
+    weekday_of,
 )
 from ..sources.registry import AnalysisWindow
 
@@ -114,7 +116,7 @@ def top_items(rollup: DataFrame, limit: int = TOP_ITEMS) -> DataFrame:
 
 
 def _tag_status() -> Column:
-    untagged = F.col("custom_tags").isNull() | (F.size("custom_tags") == 0)
+    untagged = F.coalesce(tag_count(F.col("custom_tags")), F.lit(0)) == 0
     return F.when(untagged, "untagged").otherwise("tagged").alias("tag_status")
 
 
@@ -164,7 +166,7 @@ def weekday_usage(daily: DataFrame) -> DataFrame:
     """DBUs by day of the week (1 is Sunday)."""
     day_name = F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), F.col("day_of_week"))
     return (
-        daily.groupBy(F.dayofweek("usage_date").alias("day_of_week"))
+        daily.groupBy(weekday_of(F.col("usage_date")).alias("day_of_week"))
         .agg(total("total_dbus").alias("total_dbus"))
         .select("day_of_week", day_name.alias("day_name"), "total_dbus")
     )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import (
     availability,
+    day_of,
+    hour_of,
     is_classic,
     rounded,
     settled,
@@ -17,6 +19,7 @@ from ..functions.expressions import (
     total,
     total_if,
     uses_spot,
+    worker_span,
 )
 from ..functions.percentiles import exact_percentiles, sketch
 from ..functions.ranking import with_place
@@ -377,8 +380,8 @@ def worker_hours(node_timeline: DataFrame, window: AnalysisWindow) -> DataFrame:
         node_timeline.filter(since(F.col("start_time"), window.metrics_start) & ~F.col("driver"))
         .groupBy(
             "cluster_id",
-            F.to_date("start_time").alias("usage_date"),
-            F.hour("start_time").alias("usage_hour"),
+            day_of(F.col("start_time")).alias("usage_date"),
+            hour_of(F.col("start_time")).alias("usage_hour"),
         )
         .agg(
             F.count_distinct("instance_id").alias("active_workers"),
@@ -461,8 +464,7 @@ def autoscale_stats(
     )
     if limit is not None:
         stats = stats.orderBy(F.col("total_dbus").desc_nulls_last(), "cluster_id").limit(limit)
-    span = F.nullif(F.col("max_autoscale_workers") - F.col("min_autoscale_workers"), F.lit(0))
-    used = (F.col("avg_workers") - F.col("min_autoscale_workers")) / span * 100
+    used = (F.col("avg_workers") - F.col("min_autoscale_workers")) / worker_span() * 100
     return stats.select(
         "cluster_id",
         "cluster_name",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 
@@ -11,6 +12,14 @@ from ..session import cut_lineage
 from ..sources import profile
 from ..sources.registry import AnalysisWindow, SourceTables
 from . import report
+from .store import ResultStore
+
+# Results that several others read, in waves: each depends on earlier waves only.
+SHARED = (
+    ("rollup", "cluster_usage", "worker_hours", "jobs", "user_stats", "select_totals", "daily"),
+    ("metrics", "totals", "top", "cluster_costs", "warehouses", "job_issues", "idle_clusters", "autoscale"),
+    ("cluster_issues", "utilization_summary"),
+)
 
 
 class Analysis:
@@ -19,7 +28,9 @@ class Analysis:
     With ``reuse`` the results that several others read are computed once and stored
     (see ``cut_lineage``): usage is then read four times, node metrics three times for
     the whole report. What is stored is sums per resource, per cluster and hour, or top
-    lists. Without ``reuse`` every result is one plain plan over the sources.
+    lists; with a ``store`` it is kept there under its name. Without ``reuse`` every result is
+    a plain plan over the sources, but for ranks over all rows and percentiles, which store
+    what they read more than once. ``confidence`` is the part of estimated savings that counts.
     """
 
     def __init__(
@@ -28,18 +39,34 @@ class Analysis:
         window: AnalysisWindow,
         *,
         reuse: bool = False,
+        store: ResultStore | None = None,
         top_n: int | None = None,
         limits: utilization.Thresholds = utilization.Thresholds(),
+        confidence: float = rules.CONFIDENCE,
     ):
         self.tables = tables
         self.window = window
-        self.reuse = reuse
+        self.reuse = reuse or store is not None
+        self.store = store
+        self.confidence = confidence
         self.top_n = top_n
         self.limits = limits
 
-    def _keep(self, df: DataFrame) -> DataFrame:
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        if self.store:
+            return self.store.keep(name, df)
         return cut_lineage(df) if self.reuse else df
 
+    def _stored(self, name: str) -> DataFrame | None:
+        """A result of an earlier run, before anything of it is computed."""
+        return self.store.get(name) if self.store else None
+
+    def prepare(self, at_once: int = 4) -> None:
+        """Compute the results that several others read, those that don't depend on each other together."""
+        with ThreadPoolExecutor(at_once) as pool:
+            for wave in SHARED:
+                list(pool.map(partial(getattr, self), wave))
+
     # ---- usage ----------------------------------------------------------------
     @cached_property
     def priced(self) -> DataFrame:
@@ -53,16 +80,16 @@ class Analysis:
     @cached_property
     def totals(self) -> DataFrame:
         if self.reuse:
-            return self._keep(usage.totals_of(self.rollup))
+            return self._keep("totals", usage.totals_of(self.rollup))
         return pricing.cost_totals(pricing.cost_lines(self.priced))
 
     @cached_property
     def rollup(self) -> DataFrame:
-        return self._keep(usage.cost_by_dimension(pricing.cost_lines(self.priced)))
+        return self._keep("rollup", usage.cost_by_dimension(pricing.cost_lines(self.priced)))
 
     @cached_property
     def top(self) -> DataFrame:
-        return self._keep(usage.top_items(self.rollup))
+        return self._keep("top", usage.top_items(self.rollup))
 
     @cached_property
     def projection(self) -> DataFrame:
@@ -70,7 +97,7 @@ class Analysis:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return self._keep(usage.daily_usage(self.tables["usage"], self.window))
+        return self._keep("daily", usage.daily_usage(self.tables["usage"], self.window))
 
     @cached_property
     def tag_coverage(self) -> DataFrame:
@@ -91,11 +118,11 @@ class Analysis:
             per_cluster = clusters.cluster_costs_of(self.rollup)
         else:
             per_cluster = clusters.cluster_usage_cost(self.list_priced)
-        return self._keep(clusters.interactive_cluster_costs(per_cluster, self.tables["clusters"]))
+        return self._keep("cluster_costs", clusters.interactive_cluster_costs(per_cluster, self.tables["clusters"]))
 
     @cached_property
     def cluster_issues(self) -> DataFrame:
-        return self._keep(clusters.cluster_issues(self.tables["clusters"], self.cluster_costs))
+        return self._keep("cluster_issues", clusters.cluster_issues(self.tables["clusters"], self.cluster_costs))
 
     @cached_property
     def job_costs(self) -> DataFrame:
@@ -107,11 +134,11 @@ class Analysis:
 
     @cached_property
     def jobs(self) -> DataFrame:
-        return self._keep(jobs.job_efficiency(self.job_costs, self.run_metrics))
+        return self._stored("jobs") or self._keep("jobs", jobs.job_efficiency(self.job_costs, self.run_metrics))
 
     @cached_property
     def job_issues(self) -> DataFrame:
-        return self._keep(jobs.job_issues(self.jobs))
+        return self._keep("job_issues", jobs.job_issues(self.jobs))
 
     @cached_property
     def job_totals(self) -> DataFrame:
@@ -129,18 +156,20 @@ class Analysis:
 
     @cached_property
     def cluster_usage(self) -> DataFrame:
-        return self._keep(utilization.cluster_usage(self.tables["usage"], self.window))
+        return self._keep("cluster_usage", utilization.cluster_usage(self.tables["usage"], self.window))
 
     @cached_property
     def targets(self) -> DataFrame:
-        return self._keep(utilization.target_clusters(self.cluster_usage, self.top_n))
+        return self._keep("targets", utilization.target_clusters(self.cluster_usage, self.top_n))
 
     @cached_property
     def metrics(self) -> DataFrame:
+        if stored := self._stored("metrics"):
+            return stored
         profiled = utilization.cluster_metrics(
             self.node_timeline, self.targets, self.tables["clusters"], self.window, self.limits
         )
-        return self._keep(utilization.classify(profiled, self.limits))
+        return self._keep("metrics", utilization.classify(profiled, self.limits))
 
     @cached_property
     def cluster_status(self) -> DataFrame:
@@ -148,7 +177,7 @@ class Analysis:
 
     @cached_property
     def utilization_summary(self) -> DataFrame:
-        return self._keep(utilization.utilization_summary(self.cluster_status))
+        return self._keep("utilization_summary", utilization.utilization_summary(self.cluster_status))
 
     @cached_property
     def imbalance(self) -> DataFrame:
@@ -156,18 +185,18 @@ class Analysis:
 
     @cached_property
     def worker_hours(self) -> DataFrame:
-        return self._keep(utilization.worker_hours(self.node_timeline, self.window))
+        return self._keep("worker_hours", utilization.worker_hours(self.node_timeline, self.window))
 
     @cached_property
     def idle_clusters(self) -> DataFrame:
         return self._keep(
-            utilization.idle_clusters(self.worker_hours, self.cluster_usage, self.tables["clusters"])
+            "idle_clusters", utilization.idle_clusters(self.worker_hours, self.cluster_usage, self.tables["clusters"])
         )
 
     @cached_property
     def autoscale(self) -> DataFrame:
         stats = utilization.autoscale_stats(self.worker_hours, self.cluster_usage, self.tables["clusters"])
-        return self._keep(utilization.autoscale_verdicts(stats))
+        return self._keep("autoscale", utilization.autoscale_verdicts(stats))
 
     # ---- warehouses -----------------------------------------------------------
     @cached_property
@@ -180,7 +209,7 @@ class Analysis:
             rollup = warehouses.warehouse_costs_of(self.rollup)
         else:
             rollup = warehouses.warehouse_cost_rollup(warehouses.warehouse_costs(self.priced))
-        return self._keep(warehouses.merge_costs(self.warehouse_configs, rollup))
+        return self._keep("warehouses", warehouses.merge_costs(self.warehouse_configs, rollup))
 
     @cached_property
     def warehouse_issues(self) -> DataFrame:
@@ -208,11 +237,11 @@ class Analysis:
     # ---- queries --------------------------------------------------------------
     @cached_property
     def user_stats(self) -> DataFrame:
-        return self._keep(query_history.user_stats(self.tables["query_history"], self.window))
+        return self._keep("user_stats", query_history.user_stats(self.tables["query_history"], self.window))
 
     @cached_property
     def select_totals(self) -> DataFrame:
-        return self._keep(query_history.select_totals(self.tables["query_history"], self.window))
+        return self._keep("select_totals", query_history.select_totals(self.tables["query_history"], self.window))
 
     @cached_property
     def pattern_counts(self) -> DataFrame:
@@ -237,10 +266,25 @@ class Analysis:
             self.top, self.jobs, self.cluster_costs, self.tables["clusters"], self.warehouses
         )
 
+    @cached_property
+    def top_interactive_clusters(self) -> DataFrame:
+        return report.top_interactive_clusters(self.rollup, self.tables["clusters"], self.cluster_costs)
+
+    @cached_property
+    def governance(self) -> DataFrame:
+        return report.governance(self.tag_coverage, self.weekend, self.projection)
+
     # ---- recommendations ------------------------------------------------------
     @cached_property
     def candidates(self) -> DataFrame:
         """Rows of all rules, in rule order."""
+        if self.reuse:
+            self.prepare()
+        with rules.confidence_factor(self.confidence):
+            found = self._rule_rows()
+        return self._keep("candidates", rules.union_rules(found, self.totals))
+
+    def _rule_rows(self) -> list[DataFrame]:
         found = [
             rules.auto_termination(self.cluster_issues),
             rules.warehouse_auto_stop(self.warehouses),
@@ -274,17 +318,18 @@ class Analysis:
             rules.unfiltered_queries(self.query_totals, self.rollup),
             rules.cost_monitoring(self.projection),
         ]
-        return self._keep(rules.union_rules(found, self.totals))
+        return found
 
     @cached_property
     def recommendations(self) -> DataFrame:
         """Distinct worthwhile recommendations, the severest first."""
-        return self._keep(rules.in_order(rules.worthwhile(rules.keep_first(self.candidates))))
+        found = self._keep("recommendations", rules.worthwhile(rules.keep_first(self.candidates)))
+        return rules.in_order(found)
 
     # ---- report ---------------------------------------------------------------
     @cached_property
     def summary(self) -> DataFrame:
-        return self._keep(report.executive_summary(self.recommendations, self.projection))
+        return self._keep("summary", report.executive_summary(self.recommendations, self.projection))
 
     def report_tables(self) -> dict[str, DataFrame]:
         """Every table of the report, by name."""
@@ -312,7 +357,8 @@ class Analysis:
             "high_cost_jobs": jobs.high_cost_jobs(self.jobs),
             "job_runs": jobs.job_runs(self.tables["job_run_timeline"], self.window),
             "top_jobs": report.top_jobs(self.named_top, self.jobs),
-            "top_interactive_clusters": report.top_interactive_clusters(self.named_top),
+            "top_interactive_clusters": self.top_interactive_clusters,
+            "governance": self.governance,
             "cluster_metrics": self.metrics,
             "utilization_summary": self.utilization_summary,
             "status_distribution": report.status_distribution(self.cluster_status),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import effort_minutes, ratio, rounded, settled, total
+from ..operators.costs import cluster_names
 
 # ---- fixed values -------------------------------------------------------------
 MAX_SAVINGS_SHARE = 0.95
@@ -206,13 +207,38 @@ def top_jobs(named_top: DataFrame, jobs: DataFrame, limit: int = TOP_DRIVERS) ->
     )
 
 
-def top_interactive_clusters(named_top: DataFrame, limit: int = TOP_DRIVERS) -> DataFrame:
-    """Costliest clusters that no job run started, out of the top list."""
+def top_interactive_clusters(
+    rollup: DataFrame, clusters: DataFrame, cluster_costs: DataFrame, limit: int = TOP_DRIVERS
+) -> DataFrame:
+    """The costliest of all clusters that no job run started; ``rank`` is the place among these."""
     name = F.coalesce("name", F.lit(""))
     job_run = name.startswith("job-") & name.contains("-run-")
-    return (
-        named_top.filter((F.col("dim") == "cluster") & ~job_run)
-        .orderBy("rank")
+    listed = (
+        rollup.filter(F.col("dim") == "cluster")
+        .select(F.col("key").alias("id"), "dbus", "cost")
+        .join(cluster_names(clusters, cluster_costs), "id", "left")
+        .filter(~job_run)
+        .orderBy(F.col("cost").desc(), "id")
         .limit(limit)
-        .select("rank", "id", "name", "dbus", "cost")
+    )
+    rank = F.row_number().over(Window.orderBy(F.col("cost").desc(), "id"))
+    return listed.select(rank.alias("rank"), "id", "name", "dbus", "cost")
+
+
+def governance(tag_coverage: DataFrame, weekend: DataFrame, projection: DataFrame) -> DataFrame:
+    """One row: what untagged and weekend usage cost a month, by their parts of the DBUs."""
+    monthly = projection.select("estimated_monthly_cost").scalar()
+    days = weekend.select(F.struct("weekend_dbus", "weekend_percentage", "weekend_to_weekday_ratio").alias("w")).scalar()
+    share = F.col("untagged_percentage")
+    return tag_coverage.withColumns({"monthly_cost": monthly, "w": days}).select(
+        "monthly_cost",
+        "untagged_dbus",
+        settled(F.col("tagged_dbus") + F.col("untagged_dbus")).alias("total_dbus"),
+        settled(100 - share).alias("tagged_percentage"),
+        share.alias("untagged_percentage"),
+        rounded(F.col("monthly_cost") * share / 100, 2).alias("untagged_monthly_cost"),
+        "w.weekend_dbus",
+        "w.weekend_percentage",
+        "w.weekend_to_weekday_ratio",
+        rounded(F.col("monthly_cost") * F.col("w.weekend_percentage") / 100, 2).alias("weekend_monthly_cost"),
     )

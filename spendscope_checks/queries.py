@@ -503,7 +503,7 @@ def _(a):
 
 @query("t2_priced_newest_first")
 def _(a):
-    return pricing.newest_first(a.priced).select(
+    return pricing.listed_usage(a.priced).select(
         "usage_date", "dollar_cost", "sku_name", "billing_origin_product", "cluster_id", "warehouse_id",
         "run_as_user", "is_serverless", "usage_unit",
     )
@@ -531,7 +531,7 @@ def _(a):
 
 @query("t7_runs_by_job")
 def _(a):
-    return jobs.runs_by_job(jobs.job_runs(a.tables["job_run_timeline"], a.window)).drop("compute_ids", "run_name")
+    return jobs.job_runs(a.tables["job_run_timeline"], a.window).drop("compute_ids", "run_name")
 
 
 @query("t8_idle_by_dbus")
@@ -600,7 +600,7 @@ def _(a):
     return a.tables["clusters"].select(
         "cluster_id", "change_time",
         F.coalesce("worker_count", high, F.lit(0)).alias("workers"),
-        F.nullif(high - low, F.lit(0)).alias("span"),
+        ex.worker_span().alias("span"),
         F.when(low.isNull(), "fixed").when(high.between(3, 6), "small").otherwise("large").alias("kind"),
         F.col("auto_termination_minutes").isin(0, 15).alias("listed"),
     )
@@ -610,7 +610,7 @@ def _(a):
 def _(a):
     at = F.col("start_time")
     return a.tables["node_timeline"].groupBy(
-        F.to_date(at).alias("day"), F.hour(at).alias("hour"), F.dayofweek(at).alias("day_of_week")
+        ex.day_of(at).alias("day"), ex.hour_of(at).alias("hour"), ex.weekday_of(at).alias("day_of_week")
     ).agg(F.count("*").alias("samples"))
 
 
@@ -628,7 +628,7 @@ def _(a):
 def _(a):
     text = F.col("statement_text")
     return a.tables["query_history"].select(
-        "statement_id", F.substring(text, 1, 12).alias("preview"), F.upper(text).alias("upper_text"),
+        "statement_id", ex.preview(text, 12).alias("preview"), F.upper(text).alias("upper_text"),
         text.rlike("^select").alias("lower_select"),
     )
 
@@ -646,7 +646,7 @@ def _(a):
 def _(a):
     tags = F.col("custom_tags")
     return a.tables["usage"].groupBy(
-        tags.isNull().alias("no_map"), F.when(tags.isNotNull(), F.size(tags)).alias("tags"),
+        ex.tag_count(tags).isNull().alias("no_map"), ex.tag_count(tags).alias("tags"),
         F.col("product_features.is_serverless").alias("is_serverless"),
     ).agg(F.count("*").alias("lines"))
 
@@ -842,4 +842,9 @@ def _(a):
 
 @query("p8_top_interactive_clusters", shared=True)
 def _(a):
-    return report.top_interactive_clusters(a.named_top)
+    return a.top_interactive_clusters
+
+
+@query("p9_governance")
+def _(a):
+    return a.governance

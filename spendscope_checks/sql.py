@@ -904,8 +904,15 @@ FROM (SELECT *, CASE
 FROM named_top t LEFT JOIN (SELECT job_id, run_count, cost_per_run FROM job_rows
  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY job_rank DESC) = 1) d ON d.job_id = t.id
 WHERE t.dim = 'job' AND t.rank <= 5""",
-    "p8_top_interactive_clusters": """SELECT rank, id, name, dbus, cost FROM named_top
-WHERE dim = 'cluster' AND NOT (COALESCE(name, '') LIKE 'job-%' AND COALESCE(name, '') LIKE '%-run-%') ORDER BY rank LIMIT 5""",
+    "p8_top_interactive_clusters": """SELECT row_number() OVER (ORDER BY cost DESC, id) AS rank, id, name, dbus, cost FROM (
+ SELECT key AS id, dbus, cost, COALESCE((SELECT MAX(cluster_name) FROM clusters_latest c WHERE c.cluster_id = key),
+  (SELECT MAX(cluster_name) FROM cluster_costs k WHERE k.cluster_id = key)) AS name FROM cost_rollup WHERE dim = 'cluster')
+WHERE NOT (COALESCE(name, '') LIKE 'job-%' AND COALESCE(name, '') LIKE '%-run-%') QUALIFY rank <= 5""",
+    "p9_governance": f"""SELECT monthly AS monthly_cost, untagged_dbus, ROUND(tagged_dbus + untagged_dbus, 6) AS total_dbus,
+ ROUND(100 - untagged_percentage, 6) AS tagged_percentage, untagged_percentage,
+ {r2('monthly * untagged_percentage / 100')} AS untagged_monthly_cost, weekend_dbus, weekend_percentage, weekend_to_weekday_ratio,
+ {r2('monthly * weekend_percentage / 100')} AS weekend_monthly_cost
+FROM tag_row, weekend_row, (SELECT estimated_monthly_cost AS monthly FROM projection)""",
 }
 
 

@@ -7,10 +7,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from spendscope.operators import jobs, pricing
 from spendscope.plans.analysis import Analysis
+from spendscope.plans.store import ResultStore
 from spendscope.sources import profile, sinks
 from spendscope.sources.registry import MissingSource, SchemaMismatch, SourceTables
-from spendscope.sources.sample_tables import SAMPLE_WINDOW
+from spendscope.sources.sample_tables import SAMPLE_WINDOW, contracted_prices
 
 
 def test_schema_is_checked(spark, sample):
@@ -91,3 +93,59 @@ def test_results_are_written(sample, tmp_path):
     assert json.loads(line)["total_recommendations"] == analysis.recommendations.count()
     sinks.write_results({"top": tables["top_items"]}, str(tmp_path / "out"), fmt="parquet")
     assert sample.spark.read.parquet(str(tmp_path / "out" / "top")).count() == tables["top_items"].count()
+
+
+def test_files_in_order_give_the_order(spark, sample, tmp_path):
+    priced = pricing.listed_usage(Analysis(sample, SAMPLE_WINDOW).priced)
+    runs = jobs.job_runs(sample["job_run_timeline"], SAMPLE_WINDOW)
+    assert "rangepartitioning" not in priced._jdf.queryExecution().executedPlan().toString()
+    orders = {"priced": pricing.NEWEST_FIRST, "runs": jobs.RUNS_BY_JOB}
+    sinks.write_results({"priced": priced, "runs": runs}, str(tmp_path), fmt="parquet", orders=orders)
+    for name, df in (("priced", priced), ("runs", runs)):
+        files = sorted((tmp_path / name).glob("part-*.parquet"))
+        assert len(files) > 1
+        rows = [r for f in files for r in spark.read.parquet(str(f)).select(*[c.lstrip("-") for c in orders[name]]).collect()]
+        expected = df.orderBy(*map(sinks.sort_key, orders[name])).select(*[c.lstrip("-") for c in orders[name]]).collect()
+        assert rows == expected
+    bounds = {r.file: r for r in sinks.file_bounds(spark, str(tmp_path / "priced"), "usage_date").collect()}
+    in_order = [bounds[f.name] for f in sorted((tmp_path / "priced").glob("part-*.parquet"))]
+    assert all(a.least >= b.greatest for a, b in zip(in_order, in_order[1:])) and sum(r.rows for r in in_order) == priced.count()
+
+
+def test_results_are_taken_up_again_and_removed(spark, sample, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "results"))
+    first = Analysis(sample, SAMPLE_WINDOW, store=store)
+    expected = [tuple(r) for r in first.recommendations.collect()]
+    names = set(store.names())
+    assert {"rollup", "metrics", "jobs", "candidates", "recommendations"} <= names and expected
+    # A result that broke off is computed again, the others are read.
+    (tmp_path / "results" / "user_stats" / "_SUCCESS").unlink()
+    kept = {n: (tmp_path / "results" / n / "_SUCCESS").stat().st_mtime_ns for n in names - {"user_stats"}}
+    again = Analysis(sample, SAMPLE_WINDOW, store=store)
+    assert [tuple(r) for r in again.recommendations.collect()] == expected and set(store.names()) == names
+    assert kept == {n: (tmp_path / "results" / n / "_SUCCESS").stat().st_mtime_ns for n in kept}
+    plain = Analysis(sample, SAMPLE_WINDOW, reuse=True)
+    assert [tuple(r) for r in plain.recommendations.collect()] == expected
+    store.remove()
+    assert store.names() == [] and not (tmp_path / "results").exists()
+
+
+def test_confidence_scales_the_savings(sample):
+    half = Analysis(sample, SAMPLE_WINDOW, reuse=True, confidence=0.375)
+    whole = Analysis(sample, SAMPLE_WINDOW, reuse=True)
+    of = lambda a: {r.id: r.estimated_savings for r in a.candidates.where("rule = 'cost_monitoring'").collect()}
+    found, usual = of(half), of(whole)
+    assert found.keys() == usual.keys() and all(abs(2 * found[k] - usual[k]) <= 0.01 for k in usual) and any(usual.values())
+
+
+def test_contract_prices_are_chosen_without_a_job(spark, sample):
+    tables = sample.with_table("account_prices", contracted_prices(sample["list_prices"]))
+    tracker, before = spark.sparkContext.statusTracker(), spark.sparkContext.statusTracker().getJobIdsForGroup("built")
+    spark.sparkContext.setJobGroup("built", "definition")
+    try:
+        totals = Analysis(tables, SAMPLE_WINDOW).totals
+        assert list(tracker.getJobIdsForGroup("built")) == list(before)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plain = Analysis(sample, SAMPLE_WINDOW).totals.first()
+    assert totals.first().total_cost == pytest.approx(0.9 * plain.total_cost)
