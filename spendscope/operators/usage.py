@@ -50,8 +50,14 @@ def _cuboid(lines: DataFrame, dims: list[str]) -> DataFrame:
 
 def _edges(cuboid: DataFrame, dims: list[str]) -> DataFrame:
     """A cuboid's sums once for each of its dimensions that has a value."""
-    entries = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("key")) for d in dims])
-    named = F.filter(entries, lambda e: (e["key"] != "") & ~((e["dim"] == "user") & (e["key"] == "UNKNOWN")))
+
+    def entry(dim: str) -> Column:
+        named = F.col(dim) != ""
+        if dim == "user":
+            named &= F.col(dim) != "UNKNOWN"
+        return F.when(named, F.struct(F.lit(dim).alias("dim"), F.col(dim).alias("key")))
+
+    named = F.array_compact(F.array(*map(entry, dims)))
     parts = [f"{name}_{side}" for name in ("dbus", "cost") for side in ("high", "low")]
     return cuboid.select(F.explode(named).alias("entry"), "serverless", *parts).select("entry.*", "serverless", *parts)
 
