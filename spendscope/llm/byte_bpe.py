@@ -7,12 +7,14 @@ large map would be searched from its beginning.
 
 Words that many documents hold are folded once each; their ids are a second constant of the
 same kind, of HOT_WORDS words at most. Other words are folded where they occur, so results don't
-depend on that number.
+depend on that number. A fold takes time by the square of a word's length; words of more than
+LONG_BYTES are encoded in Python workers, by a heap of pairs, which gives the same ids.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
 from collections import Counter
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 HOT_WORDS = 1 << 17
 # Longer words are folded where they occur.
 HOT_BYTES = 64
+LONG_BYTES = 512
 _NO_RANK = 2**31 - 1
 # Pieces that are joined before they are added to what is decoded.
 _RUN = 256
@@ -174,6 +177,49 @@ def _join(s: Column, rank) -> Column:
     return _let(joined, rest)
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word's bytes, in time by its length: the pair of lowest rank, leftmost first, joins next."""
+    end = len(word)
+    after, before = list(range(1, end + 1)), list(range(-1, end - 1))  # where pieces begin, as a list in both directions
+    heap = [(ranks[word[k : k + 2]], k, k + 2) for k in range(end - 1) if word[k : k + 2] in ranks]
+    heapq.heapify(heap)
+    alive = bytearray(b"\1") * end
+
+    def offer(start: int) -> None:
+        middle = after[start]
+        if middle < end and (rank := ranks.get(word[start : after[middle]])) is not None:
+            heapq.heappush(heap, (rank, start, after[middle]))
+
+    while heap:
+        _, start, stop = heapq.heappop(heap)
+        middle = after[start]
+        # Entries of pieces that have grown or gone since are passed over.
+        if not alive[start] or middle >= end or after[middle] != stop:
+            continue
+        alive[middle] = 0
+        after[start] = stop
+        if stop < end:
+            before[stop] = start
+        offer(start)
+        if before[start] >= 0:
+            offer(before[start])
+    ids, at = [], 0
+    while at < end:
+        ids.append(ranks[word[at : after[at]]])
+        at = after[at]
+    return ids
+
+
+def _long_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """(word, ids) of the distinct long ones among some words."""
+
+    def encode(long: list[str]) -> list[tuple[str, list[int]]]:
+        return [(word, merged(word.encode(), ranks)) for word in long]
+
+    encoder = F.udf(encode, "array<struct<word:string,ids:array<int>>>", useArrow=False)
+    return encoder(F.array_distinct(F.filter(words, lambda w: F.octet_length(w) > LONG_BYTES)))
+
+
 def words_of(text: Column, pattern: str) -> Column:
     """The matches of the pattern, with the character classes of Unicode."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
@@ -206,14 +252,25 @@ def encoded(
     # At most hot_words words of HOT_BYTES bytes.
     hot = _Hot([(word, ids) for word, ids in folded.collect()])
 
+    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so another one
+    split, long = f"{own}split", f"{own}long"
+
+    def folded_ids(w: Column, constants: Column) -> Column:
+        return F.coalesce(hot.of(constants["hot"], w), _fold(w, known, constants["ranks"]))
+
+    def long_ids(w: Column) -> Column:
+        return F.filter(F.col(long), lambda entry: entry["word"] == w)[0]["ids"]
+
     def ids_of(constants: Column) -> Column:
         return F.flatten(
             F.transform(
-                words, lambda w: F.coalesce(hot.of(constants["hot"], w), _fold(w, known, constants["ranks"]))
+                split, lambda w: F.when(F.octet_length(w) > LONG_BYTES, long_ids(w)).otherwise(folded_ids(w, constants))
             )
         )
 
-    return docs.withColumn("ids", _let(F.struct(hot.constant.alias("hot"), known.constant.alias("ranks")), ids_of))
+    constants = F.struct(hot.constant.alias("hot"), known.constant.alias("ranks"))
+    pieces = docs.withColumn(split, words).withColumn(long, _long_words(F.col(split), ranks))
+    return pieces.withColumn("ids", _let(constants, ids_of)).drop(split, long)
 
 
 def decoded(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

@@ -176,6 +176,9 @@ def test_byte_bpe_is_that_of_tiktoken(spark, docs, texts):
     ranks = byte_bpe.read_ranks(RANKS)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = [(i, t) for i, t in texts if t is None or len(t) < 3000] + [(-1, ODD), (-2, "x" * 300 + "abcd" * 80), (-3, " ")]
+    rng = random.Random(5)
+    blob = "".join(rng.choice("ABCDEFabcdefghij") for _ in range(100_000))
+    rows += [(-4, "x" * 100_000), (-5, f"a {blob} b {blob}"), (-6, "é" * 300 + "abc" * 200 + " " + "xy" * 256), (41, "x" * 5000)]
     some = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash"))
     for hot_words in (0, 50):
         found = byte_bpe.decoded(byte_bpe.encoded(some, ranks, public_tokenizers.PATTERN, hot_words=hot_words), ranks)
