@@ -152,7 +152,7 @@ class Analysis:
     @cached_property
     def node_timeline(self) -> DataFrame:
         """Node metrics; without them the utilization results have no rows."""
-        return self.tables.get_or_empty("node_timeline")
+        return self.tables.within("node_timeline", "start_time", self.window.metrics_start)
 
     @cached_property
     def cluster_usage(self) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
     BooleanType,
@@ -60,10 +61,21 @@ class AnalysisWindow:
 
 
 class SourceTables:
-    """Binds DataFrames to logical names, checking each schema when it is bound."""
+    """Binds DataFrames to logical names, checking each schema when it is bound.
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame]):
+    ``layout`` tells, by table, which partition columns hold the date of a time stamp, as
+    ``{"node_timeline": {"day": "start_time"}}``: Spark cannot know that a filter on the time stamp
+    leaves out whole days.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        tables: Mapping[str, DataFrame],
+        layout: Mapping[str, Mapping[str, str]] | None = None,
+    ):
         self.spark = spark
+        self.layout = dict(layout or {})
         self._tables: dict[str, DataFrame] = {}
         for name, df in tables.items():
             if name not in SOURCE_DDL:
@@ -71,10 +83,15 @@ class SourceTables:
             problems = list(_mismatches(schema_of(name), df.schema, name))
             if problems:
                 raise SchemaMismatch("; ".join(problems))
+            days = self.layout.get(name, {})
+            if absent := {*days, *days.values()} - set(df.columns):
+                raise SchemaMismatch(f"{name} has no {', '.join(sorted(absent))}")
             self._tables[name] = df
 
     @classmethod
-    def from_catalog(cls, spark: SparkSession, names: Mapping[str, str]) -> SourceTables:
+    def from_catalog(
+        cls, spark: SparkSession, names: Mapping[str, str], layout: Mapping[str, Mapping[str, str]] | None = None
+    ) -> SourceTables:
         """Bind catalog tables; those that do not exist stay unbound."""
         return cls(
             spark,
@@ -83,11 +100,14 @@ class SourceTables:
                 for logical, table in names.items()
                 if spark.catalog.tableExists(table)
             },
+            layout,
         )
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, paths: Mapping[str, str]) -> SourceTables:
-        return cls(spark, {name: spark.read.parquet(path) for name, path in paths.items()})
+    def from_parquet(
+        cls, spark: SparkSession, paths: Mapping[str, str], layout: Mapping[str, Mapping[str, str]] | None = None
+    ) -> SourceTables:
+        return cls(spark, {name: spark.read.parquet(path) for name, path in paths.items()}, layout)
 
     def has(self, name: str) -> bool:
         return name in self._tables
@@ -103,16 +123,33 @@ class SourceTables:
             return self._tables[name]
         return self.spark.createDataFrame([], schema_of(name))
 
+    def within(self, name: str, column: str, start: datetime, end: datetime | None = None) -> DataFrame:
+        """The table, without partitions that hold no ``column`` from ``start`` (to ``end``, both included).
+
+        Partitions are days, so the caller still filters the time stamps. Partitions of null stay.
+        """
+        df = self.get_or_empty(name)
+        for day, stamp in self.layout.get(name, {}).items() if self.has(name) else ():
+            if stamp == column:
+                wanted = F.to_date(day) >= F.lit(start.date())
+                if end is not None:
+                    wanted &= F.to_date(day) <= F.lit(end.date())
+                df = df.filter(wanted | F.col(day).isNull())
+        return df
+
     def names(self) -> list[str]:
         return [name for name in SOURCE_DDL if name in self._tables]
 
     def without(self, *names: str) -> SourceTables:
         return SourceTables(
-            self.spark, {n: df for n, df in self._tables.items() if n not in names}
+            self.spark,
+            {n: df for n, df in self._tables.items() if n not in names},
+            {n: days for n, days in self.layout.items() if n not in names},
         )
 
     def with_table(self, name: str, df: DataFrame) -> SourceTables:
-        return SourceTables(self.spark, {**self._tables, name: df})
+        layout = {n: days for n, days in self.layout.items() if n != name}
+        return SourceTables(self.spark, {**self._tables, name: df}, layout)
 
 
 def _family(dtype: DataType) -> str:

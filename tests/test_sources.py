@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,21 @@ def test_contract_prices_are_chosen_without_a_job(spark, sample):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     plain = Analysis(sample, SAMPLE_WINDOW).totals.first()
     assert totals.first().total_cost == pytest.approx(0.9 * plain.total_cost)
+
+
+def test_days_without_samples_of_the_period_are_not_read(spark, sample, tmp_path):
+    path = str(tmp_path / "nodes")
+    sample["node_timeline"].withColumn("day", F.to_date("start_time")).write.partitionBy("day").parquet(path)
+    layout = {"node_timeline": {"day": "start_time"}}
+    bound = SourceTables.from_parquet(spark, {"node_timeline": path}, layout)
+    late = replace(SAMPLE_WINDOW, lookback_days=10)
+    less = Analysis(bound, late).worker_hours
+    plan = less._jdf.queryExecution().executedPlan().toString()
+    [filters] = {line.partition("PartitionFilters: [")[2].partition("]")[0] for line in plan.splitlines() if "FileScan" in line}
+    assert "day" in filters and "2024-01-21" in filters
+    plain = Analysis(SourceTables(spark, {"node_timeline": sample["node_timeline"]}), late).worker_hours
+    key = ["cluster_id", "usage_date", "usage_hour", "active_workers", "samples"]
+    assert less.select(key).exceptAll(plain.select(key)).count() == 0 == plain.select(key).exceptAll(less.select(key)).count()
+    assert less.count() > 0 and "node_timeline" in bound.layout and not bound.without("node_timeline").layout
+    with pytest.raises(SchemaMismatch, match="node_timeline has no month"):
+        SourceTables(spark, {"node_timeline": sample["node_timeline"]}, {"node_timeline": {"month": "start_time"}})
