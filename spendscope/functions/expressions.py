@@ -76,6 +76,11 @@ def part_sums(*names: str) -> list[Column]:
     return [F.sum(f"{name}_{side}").alias(f"{name}_{side}") for name in names for side in ("high", "low")]
 
 
+def amount(name: str) -> Column:
+    """The amount that one row's parts stand for."""
+    return _joined(F.col(f"{name}_high"), F.col(f"{name}_low"))
+
+
 def total_parts(name: str, condition: Column | None = None) -> Column:
     """What ``total`` gives, from the parts."""
     sides = [F.col(f"{name}_{side}") for side in ("high", "low")]

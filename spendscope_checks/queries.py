@@ -224,7 +224,7 @@ def _(a):
 def _(a):
     return jobs.with_job_names(jobs.job_usage(a.list_priced), a.tables).select(
         "workspace_id", "job_id", "job_run_id", "cluster_id", "sku_name", "is_serverless",
-        "job_name", "owner", "dbus", "cost", "first_run", "last_run",
+        "job_name", "owner", ex.amount("dbus").alias("dbus"), ex.amount("cost").alias("cost"), "first_run", "last_run",
     )
 
 
