@@ -39,6 +39,11 @@ def local_session(cores: int | str = "*", app: str = "spendscope") -> SparkSessi
     return configure(spark)
 
 
+def own_folder(master: str) -> bool:
+    """Whether driver and executors are one process, so that a folder of this machine is shared."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute a result once and keep it in reliable storage.
 
@@ -49,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not own_folder(context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spendscope-")
         context.setCheckpointDir(folder)
