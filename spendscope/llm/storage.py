@@ -7,12 +7,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from spendscope.session import own_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only a local master may do without, with a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not own_folder(spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spendscope-")
         spark.sparkContext.setCheckpointDir(folder)
