@@ -23,7 +23,7 @@ SKETCH_SIZE = 800
 RANK_ERROR = 0.006
 # Bounds are the wider, the smaller a group is, and the smallest and largest value below these sizes.
 # A sketch keeps all values of a group that is smaller than itself.
-GROUP_SIZES = (25, 50, 100, 200, 400, SKETCH_SIZE)
+GROUP_SIZES = (25, 100, 400, SKETCH_SIZE)
 # Parts of the range between two bounds; the values of one of them are ranked in one task.
 STEPS = 1024
 _SMALLER = -1
@@ -123,7 +123,8 @@ def exact_percentiles(
     than ``error``; what lies between the bounds is stored on the way.
     """
     points = _points(fractions)
-    bounds = _bounds(profile, keys, points, error)
+    # Stored, so that sketches are read once for a group and not where it meets its rows.
+    bounds = cut_lineage(_bounds(profile, keys, points, error))
     counted = _counted(rows, bounds, keys, points)
     ranks = _ranks(counted, profile, keys, points)
     outside = cut_lineage(_outside(counted, ranks, keys))
