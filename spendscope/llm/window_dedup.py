@@ -16,7 +16,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.llm.textwords import (
@@ -207,6 +207,15 @@ def _cut(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], *added], names)
 
 
+def _spread(id_col: str) -> Column:
+    """A join key in place of the id: rows without one are spread, as all nulls would meet in one task."""
+    return F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id())
+
+
+def _same(id_col: str, key: str, found: str) -> Column:
+    return (F.col(key) == F.col(found)) & F.col(id_col).isNotNull()
+
+
 def cut_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_WORDS
 ) -> DataFrame:
@@ -221,7 +230,9 @@ def cut_repeats(
     """
     found = repeated_windows(docs, id_col, text_col, length)
     texts = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
-    joined = texts.join(found, "row", "left").select("text", "hashes", "row")
+    found = found.withColumnRenamed("row", "_found")
+    joined = texts.withColumn("_key", _spread("row")).join(found, _same("row", "_key", "_found"), "left")
+    joined = joined.select("text", "hashes", "row")
     ddl = "row long, n_words long, n_removed long, removed_spans array<struct<first:long,last:long>>, kept_text string"
     return joined.mapInArrow(partial(_cut, length=length), ddl).withColumnRenamed("row", id_col)
 
@@ -234,7 +245,8 @@ def with_cut_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = repeated_windows(docs, id_col, text_col).select(
         F.col("row").alias(f"{own}row"), F.col("hashes").alias(f"{own}hashes")
     )
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col(f"{own}row"), "left")
+    keyed = docs.withColumn(f"{own}key", _spread(id_col))
+    joined = keyed.join(found, _same(id_col, f"{own}key", f"{own}row"), "left")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in _cut(batches, WINDOW_WORDS):  # the columns of docs, then the four results
