@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import in_period, total, total_if
+from ..functions.expressions import day_of, in_period, total, total_if
 from ..sources.registry import AnalysisWindow, SourceTables
 
 # Billed quantities; times a price of 18 digits they leave 25 before and 13 after the point.
 QUANTITY = "decimal(24,12)"
+# Slots that the period is cut into for pricing, unless it has fewer days.
+PERIOD_SLOTS = 16
 
 
 def usage_lines(usage: DataFrame) -> DataFrame:
@@ -56,16 +58,32 @@ def account_price_book(account_prices: DataFrame) -> DataFrame:
     )
 
 
-def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
+def _slot(at: Column, window: AnalysisWindow) -> Column:
+    """The part of the period that a moment lies in; what is before it or after it has a slot, too."""
+    days = window.period_days + 1
+    day = F.datediff(day_of(at), F.lit(window.start))
+    inside = F.greatest(F.lit(-1), F.least(F.lit(days), day))
+    return F.floor(inside * min(days, PERIOD_SLOTS) / days)
+
+
+def price_usage(usage: DataFrame, prices: DataFrame, window: AnalysisWindow) -> DataFrame:
     """Join usage lines with the price valid at their end; ``dollar_cost`` is a decimal.
 
-    Usage without a valid price drops out. No join hint: Spark broadcasts the price
-    book while its measured size is below ``spark.sql.autoBroadcastJoinThreshold``;
+    Usage without a valid price drops out. Lines meet the prices of their SKU and slot of the
+    period, so a SKU with a long history of prices neither compares every line with all of it nor
+    is one join key. A line lies in one slot and a price in all that it reaches, 18 at most, so no
+    pair is found twice. No join hint: Spark broadcasts the price
+    book while its measured size, before it is cut, is below ``spark.sql.autoBroadcastJoinThreshold``;
     past that it sorts and merges, and splits the partition of a very frequent SKU.
     """
-    u, p = usage.alias("u"), prices.alias("p")
+    after = F.lit(min(window.period_days + 1, PERIOD_SLOTS)).cast("long")
+    first = _slot(F.col("price_start_time"), window)
+    last = F.greatest(first, F.coalesce(_slot(F.col("price_end_time"), window), after))
+    u = usage.withColumn("_slot", _slot(F.col("usage_end_time"), window)).alias("u")
+    p = prices.withColumn("_slot", F.explode(F.sequence(first, last, F.lit(1).cast("long")))).alias("p")
     valid = (
         (F.col("u.sku_name") == F.col("p.sku_name"))
+        & (F.col("u._slot") == F.col("p._slot"))
         & (F.col("u.usage_end_time") >= F.col("p.price_start_time"))
         & (
             F.col("p.price_end_time").isNull()
@@ -73,12 +91,12 @@ def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
         )
     )
     cost = F.col("u.usage_quantity").cast(QUANTITY) * F.col("p.unit_price")
-    return u.join(p, valid, "inner").select("u.*", cost.alias("dollar_cost"))
+    return u.join(p, valid, "inner").select(*[F.col(f"u.{c}") for c in usage.columns], cost.alias("dollar_cost"))
 
 
 def list_priced_usage(tables: SourceTables, window: AnalysisWindow) -> DataFrame:
     return price_usage(
-        usage_in_period(tables["usage"], window), list_price_book(tables["list_prices"])
+        usage_in_period(tables["usage"], window), list_price_book(tables["list_prices"]), window
     )
 
 
@@ -91,11 +109,11 @@ def priced_usage(tables: SourceTables, window: AnalysisWindow) -> DataFrame:
     listed = list_price_book(tables["list_prices"])
     usage = usage_in_period(tables["usage"], window)
     if not tables.has("account_prices"):
-        return price_usage(usage, listed)
+        return price_usage(usage, listed, window)
     contracted = account_price_book(tables["account_prices"])
-    found = price_usage(usage, contracted).limit(1).agg((F.count("*") > 0).alias("found")).scalar()
+    found = price_usage(usage, contracted, window).limit(1).agg((F.count("*") > 0).alias("found")).scalar()
     book = contracted.withColumn("of_contract", F.lit(True)).unionByName(listed.withColumn("of_contract", F.lit(False)))
-    return price_usage(usage, book.filter(F.col("of_contract") == found).drop("of_contract"))
+    return price_usage(usage, book.filter(F.col("of_contract") == found).drop("of_contract"), window)
 
 
 # The order in which priced usage is listed, for ``write_results``.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spendscope.functions.expressions import amount_parts, part_sums, total, total_parts
 from spendscope.operators import costs, pricing, usage
 from spendscope.plans.analysis import Analysis
-from spendscope.sources.registry import SourceTables
+from spendscope.sources.registry import AnalysisWindow, SourceTables
 from spendscope.sources.sample_tables import SAMPLE_WINDOW, contracted_prices
 
 OPEN = datetime(2025, 1, 1)
@@ -186,12 +186,47 @@ def test_sums_of_millions_do_not_depend_on_partitions(spark):
     assert found[1] == float(exact.quantize(Decimal("1e-6"), ROUND_HALF_UP))
 
 
-def test_amounts_are_priced_as_decimals(frame):
+def test_many_prices_of_one_sku_meet_lines_by_slot(frame, window):
+    """A thousand prices of a SKU, some of them overlapping, open or ending before they begin."""
+    begin, hours = datetime(2025, 11, 10), 110 * 24
+    moments = [begin + timedelta(hours=h * 2.64) for h in range(1000)]
+    book = [("S", a, b, Decimal(k % 97 + 1)) for k, (a, b) in enumerate(zip(moments, moments[1:]))]
+    book += [("S", moments[500], None, Decimal(1000)), ("S", moments[9], moments[3], Decimal(2000)), ("S", None, None, Decimal(3000)),
+             ("T", moments[0], moments[-1], Decimal(5)), (None, moments[0], None, Decimal(6))]
+    lines = [(sku, 1.0, begin + timedelta(hours=h, minutes=30 * (h % 2))) for h in range(-50, hours + 50, 7) for sku in ("S", "T")]
+    lines += [("S", 1.0, m) for m in moments[::13]] + [("S", 1.0, None), (None, 1.0, moments[0]), ("U", 1.0, moments[0])]
+    usage = frame("sku_name string, usage_quantity double, usage_end_time timestamp_ntz", lines)
+    prices = frame("sku_name string, price_start_time timestamp_ntz, price_end_time timestamp_ntz, unit_price decimal(18,6)", book)
+    expected = sorted(
+        (sku, end, price) for sku, _, end in lines for of, a, b, price in book
+        if sku is not None and sku == of and end and a and a <= end and (b is None or end < b)
+    )
+    found = pricing.price_usage(usage, prices, window)
+    assert found.columns == [*usage.columns, "dollar_cost"]
+    assert sorted((r.sku_name, r.usage_end_time, r.dollar_cost) for r in found.collect()) == expected
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert any("_slot" in x.partition("Inner")[0] for x in joins)  # a key of the join, not a filter after it
+
+
+def test_slots_follow_the_days(spark, window):
+    """Slots never go back, hold some days each, and keep what is outside of the period apart."""
+    days = spark.sql("SELECT explode(sequence(date'2025-11-01', date'2026-03-01')) AS day")
+    for start, end, most in ((window.start, window.end, 6), (date(2025, 12, 1), date(2025, 12, 8), 1), (date(2025, 12, 1),) * 2 + (1,)):
+        period = AnalysisWindow(start, end, datetime(2026, 3, 1))
+        rows = days.select("day", pricing._slot(F.col("day").cast("timestamp_ntz"), period).alias("slot")).orderBy("day").collect()
+        slots = [r.slot for r in rows]
+        inside = [r.slot for r in rows if start <= r.day <= end]
+        assert slots == sorted(slots) and set(inside) == set(range(min(16, len(inside))))
+        assert max(map(inside.count, inside)) <= most
+        assert {r.slot for r in rows if r.day < start} == {-1} and {r.slot for r in rows if r.day > end} == {max(inside) + 1}
+
+
+def test_amounts_are_priced_as_decimals(frame, window):
     usage = frame("sku_name string, usage_quantity double, usage_end_time timestamp_ntz",
                   [("S", 0.1, datetime(2024, 1, 2))] * 3 + [("S", None, datetime(2024, 1, 2))])
     prices = frame("sku_name string, price_start_time timestamp_ntz, price_end_time timestamp_ntz, unit_price decimal(18,6)",
                    [("S", datetime(2024, 1, 1), None, Decimal("0.7"))])
-    priced = pricing.price_usage(usage, prices)
+    priced = pricing.price_usage(usage, prices, window)
     assert priced.schema["dollar_cost"].dataType.simpleString().startswith("decimal")
     assert sorted(str(r.dollar_cost.normalize()) for r in priced.filter("dollar_cost is not null").collect()) == ["0.07"] * 3
     assert priced.agg(total("dollar_cost")).first()[0] == 0.21
