@@ -10,8 +10,10 @@ from ..sources.registry import AnalysisWindow, SourceTables
 
 # Billed quantities; times a price of 18 digits they leave 25 before and 13 after the point.
 QUANTITY = "decimal(24,12)"
-# Slots that the period is cut into for pricing, unless it has fewer days.
-PERIOD_SLOTS = 16
+# A SKU with more prices than these is priced by the day, if it is among the DAILY_SKUS with the most.
+FEW_PRICES = 16
+DAILY_SKUS = 4096
+UNCUT = -2
 
 
 def usage_lines(usage: DataFrame) -> DataFrame:
@@ -58,32 +60,47 @@ def account_price_book(account_prices: DataFrame) -> DataFrame:
     )
 
 
-def _slot(at: Column, window: AnalysisWindow) -> Column:
-    """The part of the period that a moment lies in; what is before it or after it has a slot, too."""
-    days = window.period_days + 1
-    day = F.datediff(day_of(at), F.lit(window.start))
-    inside = F.greatest(F.lit(-1), F.least(F.lit(days), day))
-    return F.floor(inside * min(days, PERIOD_SLOTS) / days)
+def _daily_skus(prices: DataFrame) -> DataFrame:
+    """SKUs that change their price often, a bounded number of them."""
+    counts = prices.groupBy("sku_name").agg(F.count("*").alias("versions")).filter(F.col("versions") > FEW_PRICES)
+    return counts.orderBy(F.col("versions").desc(), "sku_name").limit(DAILY_SKUS).select("sku_name")
+
+
+def _day(at: Column, window: AnalysisWindow) -> Column:
+    """Day of the period, from 0; -1 is all time before it, and one day more all time after it, or no time at all."""
+    return F.greatest(F.lit(-1), F.least(F.lit(window.period_days + 1), F.datediff(day_of(at), F.lit(window.start))))
+
+
+def _by_day(prices: DataFrame, daily: DataFrame, window: AnalysisWindow) -> DataFrame:
+    """The price book, in which SKUs that change their price often have a row for each day of a price."""
+    first = _day(F.col("price_start_time"), window)
+    last = F.greatest(first, _day(F.col("price_end_time"), window))
+    cut = prices.join(F.broadcast(daily), "sku_name", "left_semi")
+    whole = prices.join(F.broadcast(daily), "sku_name", "left_anti")
+    return cut.withColumn("_day", F.explode(F.sequence(first, last, F.lit(1)))).unionByName(
+        whole.withColumn("_day", F.lit(UNCUT))
+    )
 
 
 def price_usage(usage: DataFrame, prices: DataFrame, window: AnalysisWindow) -> DataFrame:
     """Join usage lines with the price valid at their end; ``dollar_cost`` is a decimal.
 
-    Usage without a valid price drops out. Lines meet the prices of their SKU and slot of the
-    period, so a SKU with a long history of prices neither compares every line with all of it nor
-    is one join key. A line lies in one slot and a price in all that it reaches, 18 at most, so no
-    pair is found twice. No join hint: Spark broadcasts the price
-    book while its measured size, before it is cut, is below ``spark.sql.autoBroadcastJoinThreshold``;
+    Usage without a valid price drops out. Lines of a SKU with a long history of prices meet its
+    prices by day, so they are not all compared with all of it and the SKU is not one join key; a
+    line lies in one day and a price in all that it reaches, so no pair is found twice. Other SKUs
+    are joined whole. The broadcast hint is for ``DAILY_SKUS`` names at most. There is none for prices:
+    Spark broadcasts the price
+    book while its measured size is below ``spark.sql.autoBroadcastJoinThreshold``;
     past that it sorts and merges, and splits the partition of a very frequent SKU.
     """
-    after = F.lit(min(window.period_days + 1, PERIOD_SLOTS)).cast("long")
-    first = _slot(F.col("price_start_time"), window)
-    last = F.greatest(first, F.coalesce(_slot(F.col("price_end_time"), window), after))
-    u = usage.withColumn("_slot", _slot(F.col("usage_end_time"), window)).alias("u")
-    p = prices.withColumn("_slot", F.explode(F.sequence(first, last, F.lit(1).cast("long")))).alias("p")
+    daily = _daily_skus(prices)
+    flag = F.broadcast(daily.select(F.col("sku_name").alias("_daily")))
+    day = F.when(F.col("_daily").isNotNull(), _day(F.col("usage_end_time"), window)).otherwise(F.lit(UNCUT))
+    u = usage.join(flag, usage["sku_name"] == F.col("_daily"), "left").withColumn("_day", day).alias("u")
+    p = _by_day(prices, daily, window).alias("p")
     valid = (
         (F.col("u.sku_name") == F.col("p.sku_name"))
-        & (F.col("u._slot") == F.col("p._slot"))
+        & (F.col("u._day") == F.col("p._day"))
         & (F.col("u.usage_end_time") >= F.col("p.price_start_time"))
         & (
             F.col("p.price_end_time").isNull()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spendscope.functions.expressions import amount_parts, part_sums, total, total_parts
 from spendscope.operators import costs, pricing, usage
 from spendscope.plans.analysis import Analysis
-from spendscope.sources.registry import AnalysisWindow, SourceTables
+from spendscope.sources.registry import SourceTables
 from spendscope.sources.sample_tables import SAMPLE_WINDOW, contracted_prices
 
 OPEN = datetime(2025, 1, 1)
@@ -186,7 +186,7 @@ def test_sums_of_millions_do_not_depend_on_partitions(spark):
     assert found[1] == float(exact.quantize(Decimal("1e-6"), ROUND_HALF_UP))
 
 
-def test_many_prices_of_one_sku_meet_lines_by_slot(frame, window):
+def test_many_prices_of_one_sku_meet_lines_by_day(frame, window):
     """A thousand prices of a SKU, some of them overlapping, open or ending before they begin."""
     begin, hours = datetime(2025, 11, 10), 110 * 24
     moments = [begin + timedelta(hours=h * 2.64) for h in range(1000)]
@@ -205,20 +205,27 @@ def test_many_prices_of_one_sku_meet_lines_by_slot(frame, window):
     assert found.columns == [*usage.columns, "dollar_cost"]
     assert sorted((r.sku_name, r.usage_end_time, r.dollar_cost) for r in found.collect()) == expected
     joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
-    assert any("_slot" in x.partition("Inner")[0] for x in joins)  # a key of the join, not a filter after it
-
-
-def test_slots_follow_the_days(spark, window):
-    """Slots never go back, hold some days each, and keep what is outside of the period apart."""
-    days = spark.sql("SELECT explode(sequence(date'2025-11-01', date'2026-03-01')) AS day")
-    for start, end, most in ((window.start, window.end, 6), (date(2025, 12, 1), date(2025, 12, 8), 1), (date(2025, 12, 1),) * 2 + (1,)):
-        period = AnalysisWindow(start, end, datetime(2026, 3, 1))
-        rows = days.select("day", pricing._slot(F.col("day").cast("timestamp_ntz"), period).alias("slot")).orderBy("day").collect()
-        slots = [r.slot for r in rows]
-        inside = [r.slot for r in rows if start <= r.day <= end]
-        assert slots == sorted(slots) and set(inside) == set(range(min(16, len(inside))))
-        assert max(map(inside.count, inside)) <= most
-        assert {r.slot for r in rows if r.day < start} == {-1} and {r.slot for r in rows if r.day > end} == {max(inside) + 1}
+    assert any("_day" in x.partition("Inner")[0] for x in joins)  # a key of the join, not a filter after it
+
+
+def test_only_long_histories_are_cut(frame, window):
+    schema = "sku_name string, price_start_time timestamp_ntz, price_end_time timestamp_ntz, unit_price decimal(18,6)"
+    days = [OPEN + timedelta(days=330 + k) for k in range(31)]  # from November 27 on
+    often = [("often", a, b, Decimal(1)) for a, b in zip(days, days[1:])]
+    seldom = [("seldom", OPEN, None, Decimal(k)) for k in range(pricing.FEW_PRICES)]
+    book = frame(schema, often + seldom + [("often", OPEN, None, Decimal(2)), ("often", None, None, Decimal(2)), (None, OPEN, None, Decimal(2))])
+    daily = pricing._daily_skus(book)
+    assert [r.sku_name for r in daily.collect()] == ["often"]
+    found = [(r.sku_name, r._day) for r in pricing._by_day(book, daily, window).collect()]
+    assert sorted(d for sku, d in found if sku == "seldom") == [pricing.UNCUT] * len(seldom)
+    reached = sorted(d for sku, d in found if sku == "often")
+    # Each day's price reaches into the next day's midnight; the open one is in all days, before and after too.
+    # One without a start has a row that no line can match.
+    expected = [d for k in range(30) for d in (9 + k, 10 + k)] + [*range(-1, window.period_days + 2), window.period_days + 1]
+    assert reached == sorted(expected)
+    usage = frame("sku_name string, usage_quantity double, usage_end_time timestamp_ntz", [("seldom", 1.0, days[0])])
+    assert pricing.price_usage(usage, book, window).count() == len(seldom)
+    assert pricing.price_usage(usage, frame(schema, []), window).count() == 0
 
 
 def test_amounts_are_priced_as_decimals(frame, window):
