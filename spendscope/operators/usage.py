@@ -48,6 +48,17 @@ def _cuboid(lines: DataFrame, dims: list[str]) -> DataFrame:
     return lines.groupBy(*dims, "serverless").agg(*part_sums("dbus", "cost"))
 
 
+def _two_cuboids(lines: DataFrame, *groups: list[str]) -> DataFrame:
+    """The sums by each group of dimensions in one table, in which the other dimensions are NULL."""
+
+    def filled(group: list[str]) -> Column:
+        return F.struct(*[(F.col(d) if d in group else F.lit(None).cast("string")).alias(d) for d in DIMENSIONS])
+
+    rest = [c for c in lines.columns if c not in DIMENSIONS]
+    each = lines.select(F.explode(F.array(*map(filled, groups))).alias("of"), *rest).select("of.*", *rest)
+    return _cuboid(each, list(DIMENSIONS))
+
+
 def _edges(cuboid: DataFrame, dims: list[str]) -> DataFrame:
     """A cuboid's sums once for each of its dimensions that has a value."""
 
@@ -66,11 +77,11 @@ def cost_by_dimension(lines: DataFrame) -> DataFrame:
     """Cost by each dimension, as (dim, key, dbus, cost, serverless_cost, classic_cost,
     serverless_dbus).
 
-    A lattice of sums, each from the smallest parent: the lines give the sums by all dimensions,
-    in which the lines of a resource over the period are one row; these give the small cuboid
-    of the dimensions that come from catalogs, which has few rows. Single dimensions come from
-    one of the two. Every task first sums up its own rows per key, so only sums are shuffled,
-    and a key with very many lines is no different from others.
+    A lattice of sums, each from the smallest parent: the lines give two cuboids in one pass, that
+    of the dimensions that come from catalogs and that of the resources. A line counts once in each,
+    so their rows are combinations that occur, not lines, as they would be by all dimensions
+    together. Single dimensions come from one of the two. Every task first sums up its own rows per
+    key, so only sums are shuffled, and a key with very many lines is no different from others.
     """
     keyed = lines.select(
         *[
@@ -80,13 +91,13 @@ def cost_by_dimension(lines: DataFrame) -> DataFrame:
         "serverless",
         *amount_parts("dbus", "cost"),
     )
-    finest = _cuboid(keyed, list(DIMENSIONS))
-    small = _cuboid(finest, list(ALWAYS_KNOWN))
     resources = [d for d in DIMENSIONS if d not in ALWAYS_KNOWN]
+    both = _two_cuboids(keyed, list(ALWAYS_KNOWN), resources)
+    small = _cuboid(both, list(ALWAYS_KNOWN))
     serverless = F.col("serverless")
     return (
         _edges(small, list(ALWAYS_KNOWN))
-        .unionAll(_edges(finest, resources))
+        .unionAll(_edges(both, resources))
         .groupBy("dim", "key")
         .agg(
             total_parts("dbus").alias("dbus"),

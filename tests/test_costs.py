@@ -272,6 +272,20 @@ def test_dimensions_come_from_one_pass_without_expand(sample, spark):
     assert "ReusedExchange" in final
 
 
+def test_combinations_of_catalogs_and_resources_are_not_kept(frame):
+    """Every line is a combination of its own, but SKUs and clusters are few."""
+    n = 40
+    ddl = "product string, sku string, workspace string, cluster string, job string, warehouse string, user string, serverless boolean"
+    rows = [("P", f"s{i}", "1", f"c{j}", None, None, None, False, 1, 0, 2, 0) for i in range(n) for j in range(n)]
+    lines = frame(ddl + ", dbus_high long, dbus_low long, cost_high long, cost_low long", rows)
+    resources = [d for d in usage.DIMENSIONS if d not in usage.ALWAYS_KNOWN]
+    found = usage._two_cuboids(lines, list(usage.ALWAYS_KNOWN), resources).collect()
+    assert len(found) == 2 * n
+    assert {(r.sku, r.cluster, r.dbus_high, r.cost_high) for r in found} == {
+        *((f"s{i}", None, n, 2 * n) for i in range(n)), *((None, f"c{i}", n, 2 * n) for i in range(n))
+    }
+
+
 def test_job_costs_read_usage_once(sample):
     assert _scans(Analysis(sample, SAMPLE_WINDOW).job_costs, "lineitem") == 1
 
