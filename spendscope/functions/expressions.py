@@ -31,6 +31,7 @@ GIB = 1024**3
 # these, so that the sum is the same in any order and no decimal is in the way.
 AMOUNT = "decimal(28,12)"
 _MILLION = 10**6
+_FEW_DIGITS = 1e15
 
 
 # ---- numbers ------------------------------------------------------------------
@@ -40,10 +41,17 @@ def settled(col: Column) -> Column:
 
 
 def _split(col: Column) -> tuple[Column, Column]:
-    """An amount's millionths, cut off, and what is left of it, in millionths of these."""
+    """An amount's millionths, cut off, and what is left of it, in millionths of these.
+
+    Doubles of up to 15 digits, six of them after the point, are whole millionths and need no
+    decimal: no other number of so few digits has the same double.
+    """
     scaled = col.cast(AMOUNT) * F.lit(_MILLION)
     high = scaled.cast("bigint")
-    return high, ((scaled - high) * F.lit(_MILLION)).cast("bigint")
+    low = ((scaled - high) * F.lit(_MILLION)).cast("bigint")
+    near = F.rint(col.cast("double") * F.lit(float(_MILLION)))
+    plain = (F.typeof(col) == "double") & (F.abs(near) < _FEW_DIGITS) & (near / F.lit(float(_MILLION)) == col.cast("double"))
+    return F.when(plain, near.cast("bigint")).otherwise(high), F.when(plain, F.lit(0).cast("bigint")).otherwise(low)
 
 
 def _joined(high: Column, low: Column) -> Column:

@@ -286,6 +286,23 @@ def test_combinations_of_catalogs_and_resources_are_not_kept(frame):
     }
 
 
+def test_short_doubles_are_added_without_decimals(frame):
+    values = [0.1, 0.7, 12.5, -3.000001, 1e8 + 0.25, 999999999.999999, 0.0000005, 1 / 3, -0.0, 0.0, None, 5e11, 123456.1234567]
+    table = frame("k int, v double", list(enumerate(values)))
+    found = table.select("v", *amount_parts("v")).collect()
+    for r in found:
+        if r.v is None:
+            assert (r.v_high, r.v_low) == (None, None)
+        else:
+            exact = Decimal(repr(r.v)).quantize(Decimal("1e-12"), ROUND_HALF_UP).scaleb(12)
+            assert r.v_high * 10**6 + r.v_low == exact
+    plan = table.select(*amount_parts("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rint" in plan.lower()
+    decimals = table.select(F.col("v").cast("decimal(28,12)").alias("v")).select(*amount_parts("v"))
+    assert "rint" not in decimals._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [tuple(r) for r in decimals.collect()] == [(r.v_high, r.v_low) for r in found]
+
+
 def test_job_costs_read_usage_once(sample):
     assert _scans(Analysis(sample, SAMPLE_WINDOW).job_costs, "lineitem") == 1
 
