@@ -12,6 +12,11 @@ SESSION_SETTINGS = {
     "spark.sql.timestampType": "TIMESTAMP_NTZ",
     # Sums that overflow are errors.
     "spark.sql.ansi.enabled": "true",
+    # What one task reads, and so what it sums up in memory, does not grow with the tables.
+    "spark.sql.files.maxPartitionBytes": "16MB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32MB",
+    # A side whose partitions are all that small is hashed, and the other one, such as all usage, is not sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "32MB",
 }
 
 

@@ -303,6 +303,10 @@ def test_short_doubles_are_added_without_decimals(frame):
     assert [tuple(r) for r in decimals.collect()] == [(r.v_high, r.v_low) for r in found]
 
 
+def test_what_a_task_reads_is_bounded(spark):
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16MB"
+
+
 def test_job_costs_read_usage_once(sample):
     assert _scans(Analysis(sample, SAMPLE_WINDOW).job_costs, "lineitem") == 1
 
