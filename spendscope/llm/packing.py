@@ -29,9 +29,11 @@ OPEN_SEQUENCES = 64
 SMALLEST_CUT = 16
 END_ID = 2
 MERGED = 256
-# Words, and parts of words, whose ids a Python worker remembers.
-CACHED_WORDS = 1 << 20
-CACHED_PARTS = 1 << 20
+# Words, and parts of words, whose ids a Python worker remembers, about; longer ones it doesn't.
+# Some 120 bytes each, in every worker of an executor.
+CACHED_WORDS = 1 << 18
+CACHED_PARTS = 1 << 18
+CACHED_BYTES = 64
 # Rows that are tokenized at once.
 ROWS = 512
 
@@ -130,12 +132,16 @@ _JOINED = 1024
 _LAST_LATIN = "\u024f"
 
 
+def _short(found: dict[bytes, bytes]) -> Iterable[tuple[bytes, bytes]]:
+    return ((part, ids) for part, ids in found.items() if len(part) <= CACHED_BYTES)
+
+
 class WordIds:
     """Ids of words by a tokenizer that drops white space between words and marks their ends.
 
     Its normalisation and its splitting never reach over ASCII white space, nor from a letter to
     the marks behind it, so the ids of a text are those of such parts, one after the other. Each
-    is encoded once; the first ones are remembered.
+    is encoded once in a slice of texts; the first short ones are remembered.
     """
 
     def __init__(self, path: str):
@@ -196,7 +202,7 @@ class WordIds:
         parts = dict.fromkeys(part for pair in split for part in pair if part and part not in self.parts)
         found = self._encoded(list(parts))
         if len(self.parts) < CACHED_PARTS:
-            self.parts.update(found)
+            self.parts.update(_short(found))
         known = self.parts
         return {
             word: b"".join([found[p] if p in found else known[p] for p in pair if p]) for word, pair in zip(words, split)
@@ -217,7 +223,7 @@ class WordIds:
             if gaps:
                 new = self._new(list({words[k] for k in gaps}))
                 if len(self.words) < CACHED_WORDS:
-                    self.words.update(new)
+                    self.words.update(_short(new))
                 for k in gaps:
                     found[k] = new[words[k]]
             for first, end in zip([0, *ends], ends):

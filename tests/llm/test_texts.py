@@ -163,6 +163,22 @@ def test_word_ids_are_those_of_the_tokenizer(texts):
     assert [f.tolist() for f in found] == [e.ids for e in tokenizer.encode_batch(samples, add_special_tokens=False)]
 
 
+def test_a_worker_remembers_a_bounded_number_of_short_words():
+    ids = packing.WordIds(WORDS)
+    few, long = [f"w{k:x}" for k in range(1000)], [f"{k}{'x' * 100_000}" for k in range(10)]
+    texts = [*(" ".join(f"w{k:x}" for k in range(at, at + 1000)).encode() for at in range(0, 600_000, 1000)), " ".join(long).encode()]
+    for found in ids.ids(texts):
+        pass
+    assert len(ids.words) + len(ids.parts) < 900_000
+    again = packing.WordIds(WORDS)
+    list(again.ids([" ".join([*long, *few]).encode()]))
+    for known in (again.words, again.parts):
+        assert len(known) >= 1000 and sum(map(len, known)) < 1 << 20
+    samples = [" ".join([*few, *long[:2], *few[::-1]])]
+    expected = Tokenizer.from_file(WORDS).encode(samples[0], add_special_tokens=False).ids
+    assert next(iter(ids.ids([samples[0].encode()]))).tolist() == next(iter(again.ids([samples[0].encode()]))).tolist() == expected
+
+
 def test_packer_fills_and_merges():
     packer = packing.Packer(length=10, open_sequences=2, smallest_cut=3)
     for k, n in enumerate([25, 6, 5, 9, 4, 1, 10]):
