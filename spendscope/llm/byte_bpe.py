@@ -1,36 +1,34 @@
-"""Byte-level BPE, encoding and decoding, with DataFrame functions only.
+"""Byte-level BPE, encoding and decoding.
 
-A word is a match of the splitting pattern. Its bytes are folded: each step joins the leftmost
-pair of pieces whose joined bytes have the lowest rank, and looks up the two pairs that this
-changes. The ranks are a constant of the plan: a table found by a checksum of the bytes, as a
-large map would be searched from its beginning.
+A word is a match of the splitting pattern, found by Spark. Its bytes are folded: each step joins
+the leftmost pair of pieces whose joined bytes have the lowest rank, and looks up the two pairs
+that this changes. Tasks fold in Arrow batches, each distinct word of a slice of texts once, and
+put the ids back in the places of the words; nothing is collected or shuffled.
 
-Words that many documents hold are folded once each; their ids are a second constant of the
-same kind, of HOT_WORDS words at most. Other words are folded where they occur, so results don't
-depend on that number. A fold takes time by the square of a word's length; words of more than
-LONG_BYTES are encoded in Python workers, by a heap of pairs, which gives the same ids.
+A task remembers the first HOT_WORDS words of up to HOT_BYTES bytes, so results don't depend on
+that number. A fold takes time by the square of a word's length; words of more than LONG_BYTES
+are encoded by a heap of pairs, which gives the same ids.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import json
-import zlib
-from collections import Counter
-from collections.abc import Iterable
-from itertools import accumulate
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_WORDS = 1 << 17
-# Longer words are folded where they occur.
+# Longer words are folded wherever they occur.
 HOT_BYTES = 64
-LONG_BYTES = 512
+LONG_BYTES = 64
 _NO_RANK = 2**31 - 1
-# Pieces that are joined before they are added to what is decoded.
-_RUN = 256
+# Words of texts that are folded together, about.
+_SLICE_WORDS = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,139 +40,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def _constant(values: list | dict, ddl: str) -> Column:
-    """A constant of a nested type, which Spark builds once, when it plans."""
-    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False, separators=(",", ":"))), ddl)
-
-
-class _Table:
-    """A constant map from byte strings to lists of numbers, in flat arrays.
-
-    Keys are ordered by their checksums modulo ``size``; ``s`` has where each remainder begins, ``k``
-    the keys, ``f`` where the numbers of each key begin and ``v`` these. Every task reads the
-    constant anew, and a few flat arrays are read many times faster than one object for each key.
-    """
-
-    def __init__(self, entries: Iterable[tuple[bytes, list[int]]]):
-        entries = list(entries)
-        self.size = 1 << max(8, len(entries).bit_length())
-        entries.sort(key=lambda e: zlib.crc32(e[0]) % self.size)
-        counts = Counter(zlib.crc32(key) % self.size for key, _ in entries)
-        flat = {
-            "s": [*accumulate((counts[k] for k in range(self.size)), initial=1)],
-            "k": [base64.b64encode(key).decode() for key, _ in entries],
-            "f": [*accumulate((len(values) for _, values in entries), initial=1)],
-            "v": [v for _, values in entries for v in values],
-        }
-        self.constant = _constant(flat, "struct<s:array<int>,k:array<binary>,f:array<int>,v:array<int>>")
-
-    def _place(self, constant: Column, key: Column, found) -> Column:
-        """``found`` of the place of a key among all, or null."""
-
-        def among(h: Column) -> Column:
-            first = F.element_at(constant["s"], h)
-            here = F.slice(constant["k"], first, F.element_at(constant["s"], h + 1) - first)
-            return _let(F.struct(first.alias("first"), F.array_position(here, key).cast("int").alias("at")), place)
-
-        def place(p: Column) -> Column:
-            return F.when(p["at"] > 0, found(p["first"] + p["at"] - 1))
-
-        return _let((F.crc32(key) % self.size + 1).cast("int"), among)
-
-    def first(self, constant: Column, key: Column) -> Column:
-        """The number of a key that has one, or null; all keys of the table have one each."""
-        return self._place(constant, key, lambda at: F.element_at(constant["v"], at))
-
-    def all(self, constant: Column, key: Column) -> Column:
-        """The numbers of a key, or null."""
-
-        def numbers(at: Column) -> Column:
-            first = F.element_at(constant["f"], at)
-            return F.slice(constant["v"], first, F.element_at(constant["f"], at + 1) - first)
-
-        return self._place(constant, key, numbers)
-
-
-class _Ranks(_Table):
-    """Ranks of tokens."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__((token, [rank]) for token, rank in ranks.items())
-
-    def of(self, constant: Column, piece: Column) -> Column:
-        """The rank of a piece, or a number above all ranks."""
-        return F.coalesce(self.first(constant, piece), F.lit(_NO_RANK))
-
-
-class _Hot(_Table):
-    """Ids of words."""
-
-    def __init__(self, words: list[tuple[str, list[int]]]):
-        super().__init__((word.encode(), ids) for word, ids in words)
-
-    def of(self, constant: Column, word: Column) -> Column:
-        return self.all(constant, word.cast("binary"))
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once for a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _fold(word: Column, ranks: _Ranks, constant: Column) -> Column:
-    """Ids of a word's bytes."""
-
-    def rank(piece: Column) -> Column:
-        return ranks.of(constant, piece)
-
-    size = F.octet_length(word)
-    data = word.cast("binary")
-    pieces = F.transform(F.sequence(F.lit(1), size), lambda k: F.substring(data, k, F.lit(1)))
-    pairs = F.when(
-        size > 1, F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: rank(F.substring(data, k, F.lit(2))))
-    ).otherwise(F.array().cast("array<int>"))
-
-    def step(state: Column, _: Column) -> Column:
-        return F.when(F.array_min(state["pairs"]) < _NO_RANK, _let(_place(state), lambda s: _join(s, rank))).otherwise(state)
-
-    start = F.struct(pieces.alias("pieces"), pairs.alias("pairs"))
-    steps = F.when(size > 1, F.sequence(F.lit(2), F.greatest(size, F.lit(2)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda s: F.transform(s["pieces"], rank))
-
-
-def _place(state: Column) -> Column:
-    lowest = F.array_position(state["pairs"], F.array_min(state["pairs"])).cast("int")
-    return F.struct(state["pieces"].alias("pieces"), state["pairs"].alias("pairs"), lowest.alias("at"))
-
-
-def _join(s: Column, rank) -> Column:
-    """The state after joining the pieces ``at`` and after it."""
-    pieces, pairs, at = s["pieces"], s["pairs"], s["at"]
-    size = F.size(pieces)
-    joined = F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1))
-
-    def rest(joined: Column) -> Column:
-        none = F.array().cast("array<int>")
-        left = F.when(
-            at > 1,
-            F.concat(
-                F.slice(pairs, F.lit(1), at - 2 + F.when(at < 2, 2).otherwise(0)),
-                F.array(rank(F.concat(F.element_at(pieces, F.greatest(at - 1, F.lit(1))), joined))),
-            ),
-        ).otherwise(none)
-        right = F.when(
-            at + 2 <= size,
-            F.concat(
-                F.array(rank(F.concat(joined, F.element_at(pieces, F.least(at + 2, size))))),
-                F.slice(pairs, at + 2, size),
-            ),
-        ).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(joined), F.slice(pieces, at + 2, size)).alias("pieces"),
-            F.concat(left, right).alias("pairs"),
-        )
-
-    return _let(joined, rest)
+def folded(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word's bytes, in time by the square of its length."""
+    rank = ranks.get
+    pieces = [word[k : k + 1] for k in range(len(word))]
+    pairs = [rank(word[k : k + 2], _NO_RANK) for k in range(len(word) - 1)]
+    while pairs:
+        lowest = min(pairs)
+        if lowest == _NO_RANK:
+            break
+        at = pairs.index(lowest)
+        joined = pieces[at] + pieces[at + 1]
+        pieces[at : at + 2] = [joined]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = rank(pieces[at - 1] + joined, _NO_RANK)
+        if at < len(pairs):
+            pairs[at] = rank(joined + pieces[at + 1], _NO_RANK)
+    return [ranks[piece] for piece in pieces]
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -210,21 +93,51 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _long_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """(word, ids) of the distinct long ones among some words."""
-
-    def encode(long: list[str]) -> list[tuple[str, list[int]]]:
-        return [(word, merged(word.encode(), ranks)) for word in long]
-
-    encoder = F.udf(encode, "array<struct<word:string,ids:array<int>>>", useArrow=False)
-    return encoder(F.array_distinct(F.filter(words, lambda w: F.octet_length(w) > LONG_BYTES)))
-
-
 def words_of(text: Column, pattern: str) -> Column:
     """The matches of the pattern, with the character classes of Unicode."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
 
 
+class _Encoder:
+    """Ids of lists of words; the first words are remembered."""
+
+    def __init__(self, ranks: dict[bytes, int], hot_words: int):
+        self.ranks, self.hot_words = ranks, hot_words
+        self.hot: dict[bytes, list[int]] = {}
+
+    def _ids(self, word: bytes) -> list[int]:
+        ids = self.hot.get(word)
+        if ids is None:
+            ids = folded(word, self.ranks) if len(word) <= LONG_BYTES else merged(word, self.ranks)
+            if len(word) <= HOT_BYTES and len(self.hot) < self.hot_words:
+                self.hot[word] = ids
+        return ids
+
+    def encode(self, words: pa.ListArray) -> pa.ListArray:
+        distinct = words.flatten().cast(pa.large_binary()).dictionary_encode()
+        known = [self._ids(word) for word in distinct.dictionary.to_pylist()]
+        sizes = np.array([len(ids) for ids in known], np.int64)
+        values = np.array([i for ids in known for i in ids], np.int32)
+        word = distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes[word])])
+        # Ids of the distinct words, in the places of the words.
+        shift = (np.cumsum(sizes) - sizes)[word] - ends[:-1]
+        ids = values[np.arange(ends[-1]) + np.repeat(shift, sizes[word])]
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]].astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def _slices(lists: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Consecutive lists of about _SLICE_WORDS values each."""
+    bounds = lists.offsets.to_numpy()
+    first = 0
+    while first < len(lists):
+        last = int(np.searchsorted(bounds, bounds[first] + _SLICE_WORDS, "right")) - 1
+        last = min(max(last, first + 1), len(lists))
+        yield lists.slice(first, last - first)
+        first = last
+
+
 def encoded(
     docs: DataFrame,
     ranks: dict[bytes, int],
@@ -237,55 +150,40 @@ def encoded(
     A null or empty text has no ids. All columns stay, a column ids is replaced; rows may repeat.
     The pattern's character classes are those of the Java version that Spark runs on.
     """
-    known = _Ranks(ranks)
-    words = words_of(F.col(text_col), pattern)
-    common = (
-        docs.select(F.explode(F.array_distinct(words)).alias("word"))
-        .where(F.octet_length("word") <= HOT_BYTES)
-        .groupBy("word")
-        .count()
-        .where("count > 1")
-        .orderBy(F.desc("count"), "word")
-        .limit(hot_words)
-    )
-    folded = common.select("word", _let(known.constant, lambda r: _fold(F.col("word"), known, r)).alias("ids"))
-    # At most hot_words words of HOT_BYTES bytes.
-    hot = _Hot([(word, ids) for word, ids in folded.collect()])
-
-    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so another one
-    split, long = f"{own}split", f"{own}long"
-
-    def folded_ids(w: Column, constants: Column) -> Column:
-        return F.coalesce(hot.of(constants["hot"], w), _fold(w, known, constants["ranks"]))
-
-    def long_ids(w: Column) -> Column:
-        return F.filter(F.col(long), lambda entry: entry["word"] == w)[0]["ids"]
-
-    def ids_of(constants: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                split, lambda w: F.when(F.octet_length(w) > LONG_BYTES, long_ids(w)).otherwise(folded_ids(w, constants))
-            )
-        )
-
-    constants = F.struct(hot.constant.alias("hot"), known.constant.alias("ranks"))
-    pieces = docs.withColumn(split, words).withColumn(long, _long_words(F.col(split), ranks))
-    return pieces.withColumn("ids", _let(constants, ids_of)).drop(split, long)
+
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _Encoder(ranks, hot_words)
+        for words in batches:
+            yield pa.concat_arrays([encoder.encode(some) for some in _slices(words)] or [pa.array([], pa.list_(pa.int32()))])
+
+    return docs.withColumn("ids", ids_of(words_of(F.col(text_col), pattern)))
 
 
 def decoded(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """``rows`` with ``decoded`` (binary): the bytes of the ids, joined. Null ids give null, unknown ids fail."""
-    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
+    pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = base64.b64encode(piece).decode()
-    ids = F.col(ids_col)
-    empty = F.lit(b"")
-
-    def joined(known: Column) -> Column:
-        def run(start: Column) -> Column:
-            return F.aggregate(F.slice(ids, start, F.lit(_RUN)), empty, lambda a, i: F.concat(a, F.element_at(known, i + 1)))
-
-        starts = F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1)), F.lit(_RUN))
-        return F.aggregate(starts, empty, lambda a, k: F.concat(a, run(k)))
-
-    return rows.withColumn("decoded", _let(_constant(pieces, "array<binary>"), joined))
+        pieces[rank] = piece
+
+    @F.arrow_udf("binary")
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pa.array(pieces, pa.binary())
+        for lists in batches:
+            yield pa.concat_arrays([_joined(some, known) for some in _slices(lists)] or [pa.array([], pa.binary())])
+
+    return rows.withColumn("decoded", joined(F.col(ids_col)))
+
+
+def _joined(lists: pa.ListArray, known: pa.Array) -> pa.Array:
+    """The pieces of each list of ids, joined; null for a null list or one with a null."""
+    bounds = lists.offsets.to_numpy()
+    taken = known.take(lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
+    bounds = bounds - bounds[0]
+    nulls = np.concatenate([[0], np.cumsum(pc.is_null(taken).to_numpy(zero_copy_only=False))])
+    none = (nulls[bounds[1:]] > nulls[bounds[:-1]]) | pc.is_null(lists).to_numpy(zero_copy_only=False)
+    _, where, data = pc.fill_null(taken, b"").buffers()
+    # The pieces lie one after the other, so a text is what lies between its first and last one.
+    ends = np.frombuffer(where, np.int32)[: len(taken) + 1][bounds] if len(taken) else np.zeros(len(bounds), np.int32)
+    texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), data])
+    return pc.if_else(pa.array(none), pa.scalar(None, pa.binary()), texts)

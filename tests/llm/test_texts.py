@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from functools import partial
@@ -202,6 +203,30 @@ def test_byte_bpe_is_that_of_tiktoken(spark, docs, texts):
         assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in found.collect()) == expected
 
 
+def test_rare_words_are_encoded_in_time(spark):
+    """Words that no other document has take some microseconds each, not hundreds."""
+    ranks = byte_bpe.read_ranks(RANKS)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    rows = [(k, " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(2500))) for k in range(200)]
+    rare = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    rare.count()
+    began = time.monotonic()
+    found = byte_bpe.decoded(byte_bpe.encoded(rare, ranks, public_tokenizers.PATTERN), ranks).collect()
+    assert time.monotonic() - began < 20
+    assert {r.doc_id: (r.ids, r.decoded) for r in found} == {k: (own.encode_ordinary(t), t.encode()) for k, t in rows}
+
+
+def test_decoding_keeps_nulls(spark):
+    ranks = byte_bpe.read_ranks(RANKS)
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [0, 1]), (4, [0, None])], "k long, ids array<int>").coalesce(1)
+    by_rank = {rank: piece for piece, rank in ranks.items()}
+    found = {r.k: r.decoded for r in byte_bpe.decoded(rows, ranks).collect()}
+    assert found == {1: None, 2: b"", 3: by_rank[0] + by_rank[1], 4: None}
+    with pytest.raises(Exception, match="(?i)index"):
+        byte_bpe.decoded(spark.createDataFrame([(1, [10**6])], "k long, ids array<int>"), ranks).collect()
+
+
 def test_token_counts_are_those_of_a_unigram_tokenizer(spark, docs, texts):
     import sentencepiece
 
