@@ -9,6 +9,10 @@ documents, so scores of different shards compare. Per shard and query:
    bound of a block is its largest sum from step 1 and the largest scores of the other terms.
 3. Blocks are taken in the order of their bounds. Those whose bound is below the k-th best
    score so far are left out; none of their documents can be among the best k.
+
+A task has a block of queries and reads the shards one after the other from reliable storage.
+It keeps the best of each query, whose last score is where the next shard's pruning begins, and
+hands on the best of all shards. So neither what is shuffled nor the rows grow with the shards.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from spendscope.llm.textwords import (
     Slice,
     from_small_index,
     small_index,
-    task_count,
+    sorted_groups,
     text_slices,
     word_hashes,
     word_spans,
@@ -43,6 +47,9 @@ BLOCK = 32
 # Terms that at least this part of a shard's documents hold are kept by document.
 FREQUENT = 0.25
 QUERIES_AT_ONCE = 64
+# Queries of a task; fewer if cores would be idle, but each task reads the whole index.
+TASK_QUERIES = 1 << 11
+LEAST_QUERIES = 1 << 8
 FIRST_BLOCKS = 16
 _MARGIN = 2 * 10.0**-DIGITS
 
@@ -177,8 +184,13 @@ def best_of(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
     return order[scores[order] > 0]
 
 
-def search(shard: Shard, queries: list[tuple[np.ndarray, np.ndarray]], top: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of the best documents of a shard for each query (terms, weights)."""
+def search(
+    shard: Shard, queries: list[tuple[np.ndarray, np.ndarray]], top: int, limits: np.ndarray | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of the best documents of a shard for each query (terms, weights).
+
+    ``limits``: documents whose scores are below these may be left out.
+    """
     found = [shard.find(terms) for terms, _ in queries]
     weights = np.zeros((len(queries), len(shard.by_doc)))
     for row, (_, weight), (of_query, here) in zip(weights, queries, found):
@@ -188,15 +200,17 @@ def search(shard: Shard, queries: list[tuple[np.ndarray, np.ndarray]], top: int)
     peaks = sums.reshape(len(queries), shard.blocks, BLOCK).max(axis=2)
     results = []
     n = len(shard.docs)
-    for total, bound, (_, weight), (of_query, here) in zip(sums, peaks, queries, found):
+    limits = np.zeros(len(queries)) if limits is None else limits
+    for total, bound, limit, (_, weight), (of_query, here) in zip(sums, peaks, limits.tolist(), queries, found):
         rare = shard.row_of[here] < 0
         weight, here = weight[of_query[rare]], here[rare]
         entries, term = _ranges(shard.entries[here], shard.entries[here + 1])
         blocks = shard.entry_block[entries]
         bound = bound + np.bincount(blocks, shard.entry_best[entries] * weight[term], shard.blocks)
-        order = np.argsort(-bound, kind="stable")
+        order = np.flatnonzero(bound >= limit - _MARGIN)
+        order = order[np.argsort(-bound[order], kind="stable")]
         scored: list[np.ndarray] = []
-        limit, at, step = 0.0, 0, FIRST_BLOCKS
+        at, step = 0, FIRST_BLOCKS
         while at < len(order):
             some = order[at : at + step]
             some = some[bound[some] >= limit - _MARGIN]
@@ -206,9 +220,10 @@ def search(shard: Shard, queries: list[tuple[np.ndarray, np.ndarray]], top: int)
             chosen[some] = True
             inside = np.flatnonzero(chosen[blocks])
             postings, entry = _ranges(shard.entry_first[entries[inside]], shard.entry_last[entries[inside]])
-            np.add.at(total, shard.postings[postings], shard.scores[postings] * weight[term[inside][entry]])
+            total += np.bincount(shard.postings[postings], shard.scores[postings] * weight[term[inside][entry]], len(total))
             docs = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            scored.append(docs[docs < n])
+            docs = docs[docs < n]
+            scored.append(docs[total[docs] >= limit - _MARGIN])
             seen = np.concatenate(scored)
             if len(seen) >= top:
                 limit = max(limit, float(np.partition(total[seen], len(seen) - top)[len(seen) - top]))
@@ -219,33 +234,68 @@ def search(shard: Shard, queries: list[tuple[np.ndarray, np.ndarray]], top: int)
     return results
 
 
+class _Best:
+    """The best documents of some queries (terms, weights) in the shards so far."""
+
+    def __init__(self, names: np.ndarray, queries: list[tuple[np.ndarray, np.ndarray]], top: int):
+        self.names, self.queries, self.top = names, queries, top
+        self.hits = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        self.limits = np.zeros(len(queries))
+
+    def add(self, shard: Shard) -> None:
+        for at in range(0, len(self.queries), QUERIES_AT_ONCE):
+            some = slice(at, at + QUERIES_AT_ONCE)
+            for k, (ids, scores) in enumerate(search(shard, self.queries[some], self.top, self.limits[some]), at):
+                if not len(ids):
+                    continue
+                ids, scores = (np.concatenate(both) for both in zip(self.hits[k], (ids, scores)))
+                best = best_of(ids, scores, self.top)
+                self.hits[k] = ids[best], scores[best]
+                if len(best) == self.top:
+                    self.limits[k] = scores[best[-1]]
+
+    def rows(self) -> pa.RecordBatch:
+        ids, scores = (np.concatenate(column) for column in zip(*self.hits))
+        names = np.repeat(self.names, [len(ids) for ids, _ in self.hits])
+        columns = [pa.array(names, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["query", "doc_id", "score"])
+
+
 _HIT = "query long, doc_id long, score double"
 
 
 def _search(batches: Iterable[pa.RecordBatch], mean_length: float, top: int) -> Iterator[pa.RecordBatch]:
-    """A shard's row, then the queries, shard after shard."""
-    shard: Shard | None = None
-    for batch in (b.slice(at, QUERIES_AT_ONCE) for b in batches for at in range(0, b.num_rows, QUERIES_AT_ONCE)):
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for row in [*batch.to_pylist(), None]:
-            if held and (row is None or row["docs"] is not None):
-                found = search(shard, [(t, w) for _, t, w in held], top)
-                sizes = [len(ids) for ids, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([q for q, _, _ in held], sizes), pa.int64()),
-                        pa.array(np.concatenate([ids for ids, _ in found]), pa.int64()),
-                        pa.array(np.concatenate([scores for _, scores in found]), pa.float64()),
-                    ],
-                    ["query", "doc_id", "score"],
-                )
-                held = []
-            if row is None:
-                break
-            if row["docs"] is not None:
-                shard = Shard(row, mean_length)
-            else:
-                held.append((row["query"], np.array(row["query_terms"], np.int64), np.array(row["weights"], float)))
+    """Pairs of a shard and a block of queries, shard after shard."""
+    best: dict[int, _Best] = {}
+    number = shard = None
+    for row in (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
+        if row["block"] not in best:
+            best[row["block"]] = _Best(*_unpacked(row), top)
+        if shard is None or row["shard"] != number:
+            number, shard = row["shard"], Shard(row, mean_length)
+        best[row["block"]].add(shard)
+    yield from (b.rows() for b in best.values())
+
+
+_BLOCK = "block long, queries binary, asked binary, query_terms binary, weights binary"
+_BLOCK_FIELDS = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("queries", "asked", "query_terms", "weights")])
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The queries of each block as one row."""
+    for (block,), table in sorted_groups(batches):
+        table = table.combine_chunks()
+        sizes = np.array([len(terms) for terms in table["query_terms"]], np.int64)
+        terms, weights = (table[c].combine_chunks().flatten().to_numpy() for c in ("query_terms", "weights"))
+        columns = (table["query"].to_numpy(), sizes, terms.astype(np.int64), weights.astype(float))
+        yield pa.RecordBatch.from_pylist([dict(zip(_BLOCK_FIELDS.names, (block, *(c.tobytes() for c in columns))))], _BLOCK_FIELDS)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    sizes = np.frombuffer(row["asked"], np.int64)
+    terms, weights = np.frombuffer(row["query_terms"], np.int64), np.frombuffer(row["weights"], float)
+    ends = np.cumsum(sizes).tolist()
+    return np.frombuffer(row["queries"], np.int64), [(terms[a:b], weights[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 def top_documents(
@@ -287,23 +337,21 @@ def top_documents(
         .select("query", F.col("t.term").alias("query_terms"), F.col("t.weight").alias("weights"))
     )
     weighted = cut_lineage(weighted)
-    numbers = [row[0] for row in shards.select("shard").collect()]
-    if not numbers:
+    if not n:
         return spark.createDataFrame([], "query_id long, rank long, doc_id long, score double")
-    index = shards.select("*", *(F.lit(None).cast(t).alias(c) for c, t in _QUERY_COLUMNS))
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in _SHARD_COLUMNS[1:]]
-    everywhere = weighted.select(F.explode(F.array(*map(F.lit, numbers))).alias("shard"), *none, *(c for c, _ in _QUERY_COLUMNS))
-    dealt = index.unionAll(everywhere).repartition(task_count(spark, len(numbers), 1), "shard")
-    ordered = dealt.sortWithinPartitions("shard", F.col("docs").isNull(), "query")
-    hits = ordered.mapInArrow(partial(_search, mean_length=mean_length, top=top), _HIT)
+    asked_for = weighted.count()
+    tasks = max(-(-asked_for // TASK_QUERIES), min(spark.sparkContext.defaultParallelism, -(-asked_for // LEAST_QUERIES)), 1)
+    block = F.expr(f"pmod(xxhash64(query), {tasks})")
+    dealt = weighted.select(block.alias("block"), "*").repartitionByRange(tasks, "block").sortWithinPartitions("block", "query")
+    blocks = cut_lineage(dealt.mapInArrow(_blocks, _BLOCK))
+    # Every pair of a shard and a block; all shards in the task of each block.
+    pairs = shards.coalesce(1).hint("shuffle_replicate_nl").crossJoin(blocks)
+    hits = pairs.mapInArrow(partial(_search, mean_length=mean_length, top=top), _HIT)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     ranked = hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
     return ranked.select(F.col("query").alias(query_col), "rank", "doc_id", "score")
 
 
-_QUERY_COLUMNS = (("query", "long"), ("query_terms", "array<long>"), ("weights", "array<double>"))
-
-
 def _lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths = [np.frombuffer(data, np.int64) for data in batch.column(0).to_pylist()]
