@@ -18,12 +18,13 @@ hands on the best of all shards. So neither what is shuffled nor the rows grow w
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendscope.llm.textwords import (
@@ -50,6 +51,9 @@ QUERIES_AT_ONCE = 64
 # Queries of a task; fewer if cores would be idle, but each task reads the whole index.
 TASK_QUERIES = 1 << 11
 LEAST_QUERIES = 1 << 8
+# Pairs of shards and queries that a task gets at a time; one pair at least.
+PAIR_BYTES = 1 << 23
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 FIRST_BLOCKS = 16
 _MARGIN = 2 * 10.0**-DIGITS
 
@@ -268,12 +272,15 @@ def _search(batches: Iterable[pa.RecordBatch], mean_length: float, top: int) ->
     """Pairs of a shard and a block of queries, shard after shard."""
     best: dict[int, _Best] = {}
     number = shard = None
-    for row in (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
-        if row["block"] not in best:
-            best[row["block"]] = _Best(*_unpacked(row), top)
-        if shard is None or row["shard"] != number:
-            number, shard = row["shard"], Shard(row, mean_length)
-        best[row["block"]].add(shard)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {c: v[k].as_buffer() if pa.types.is_binary(v.type) else v[k].as_py() for c, v in zip(batch.schema.names, batch.columns)}
+            if row["block"] not in best:
+                best[row["block"]] = _Best(*_unpacked(row), top)
+            if shard is None or row["shard"] != number:
+                shard = None  # one at a time in memory
+                number, shard = row["shard"], Shard(row, mean_length)
+            best[row["block"]].add(shard)
     yield from (b.rows() for b in best.values())
 
 
@@ -295,7 +302,19 @@ def _unpacked(row: dict) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]
     sizes = np.frombuffer(row["asked"], np.int64)
     terms, weights = np.frombuffer(row["query_terms"], np.int64), np.frombuffer(row["weights"], float)
     ends = np.cumsum(sizes).tolist()
-    return np.frombuffer(row["queries"], np.int64), [(terms[a:b], weights[a:b]) for a, b in zip([0, *ends], ends)]
+    terms, weights = terms.copy(), weights.copy()  # not the whole batch, which has a shard
+    return np.frombuffer(row["queries"], np.int64).copy(), [(terms[a:b], weights[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+@contextmanager
+def _few_at_once(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows, as each has a whole shard; for what runs in the block."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(PAIR_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
 
 
 def top_documents(
@@ -346,7 +365,8 @@ def top_documents(
     blocks = cut_lineage(dealt.mapInArrow(_blocks, _BLOCK))
     # Every pair of a shard and a block; all shards in the task of each block.
     pairs = shards.coalesce(1).hint("shuffle_replicate_nl").crossJoin(blocks)
-    hits = pairs.mapInArrow(partial(_search, mean_length=mean_length, top=top), _HIT)
+    with _few_at_once(spark):
+        hits = cut_lineage(pairs.mapInArrow(partial(_search, mean_length=mean_length, top=top), _HIT))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     ranked = hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
     return ranked.select(F.col("query").alias(query_col), "rank", "doc_id", "score")
