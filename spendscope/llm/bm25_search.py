@@ -4,22 +4,25 @@ A shard is the index of some thousand consecutive documents. Statistics are thos
 documents, so scores of different shards compare. Per shard and query:
 
 1. The lists of terms that a large part of the shard holds are kept by document; their sum is
-   one matrix product for many queries.
-2. Other terms have postings and, for each block of documents, the largest score in it. The
-   bound of a block is its largest sum from step 1 and the largest scores of the other terms.
-3. Blocks are taken in the order of their bounds. Those whose bound is below the k-th best
-   score so far are left out; none of their documents can be among the best k.
+   one matrix product for many queries. Lists of rare terms are shorter than their block maxima
+   would be; their postings are added for the same queries in one pass.
+2. Terms in between have postings and, for each block of documents, the largest score in it. The
+   bound of a block is its largest sum from step 1 and the largest scores of these terms, by
+   another matrix product.
+3. Blocks whose bound is below the k-th best score so far are left out; none of their documents
+   can be among the best k. For the others the postings of the terms in between are added.
 
 A task has a block of queries and reads the shards one after the other from reliable storage.
 It keeps the best of each query, whose last score is where the next shard's pruning begins, and
 hands on the best of all shards. So neither what is shuffled nor the rows grow with the shards.
+The work still grows with documents times queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +47,23 @@ TOP = 10
 DIGITS = 6
 SHARD_DOCS = 1 << 13
 SHARD_POSTINGS = 1 << 21
-BLOCK = 32
+BLOCK = 8
 # Terms that at least this part of a shard's documents hold are kept by document.
-FREQUENT = 0.25
+FREQUENT = 1 / 16
+# Others that at least this part of them hold have the largest score of each block.
+MIDDLE = 1 / 32
+# Numbers by document, and by block, at most; then fewer terms are frequent, or middle.
+DOC_CELLS, BLOCK_CELLS = 1 << 23, 1 << 22
+# Below this part of the blocks, their postings are looked up one by one.
+FEW_BLOCKS = 1 / 16
+POSTINGS_AT_ONCE = 1 << 15
 QUERIES_AT_ONCE = 64
 # Queries of a task; fewer if cores would be idle, but each task reads the whole index.
-TASK_QUERIES = 1 << 11
+TASK_QUERIES = 1 << 12
 LEAST_QUERIES = 1 << 8
-# Pairs of shards and queries that a task gets at a time; one pair at least.
+# Shards that a task gets at a time; one at least.
 PAIR_BYTES = 1 << 23
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-FIRST_BLOCKS = 16
 _MARGIN = 2 * 10.0**-DIGITS
 
 
@@ -132,53 +141,71 @@ def _query_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in the ranges, and the range of each."""
+    sizes = last - first
+    owner = np.repeat(np.arange(len(first)), sizes)
+    return np.arange(len(owner)) + (first - np.cumsum(sizes) + sizes)[owner], owner
+
+
 class Shard:
-    """The index of one shard, with scores in place of counts (but for the terms' weights)."""
+    """The index of one shard, with scores in place of counts (but for the terms' weights).
+
+    ``row_of``: the rows of frequent terms in ``by_doc``, of middle ones in ``block_best`` (after
+    the frequent ones), -1 of others.
+    """
 
     def __init__(self, row: dict, mean_length: float):
         self.docs = np.frombuffer(row["docs"], np.int64)
-        self.terms = np.frombuffer(row["terms"], np.int64)
-        firsts = np.frombuffer(row["firsts"], np.int64)
-        postings = from_small_index(row["postings"], len(self.docs)).astype(np.int32)
+        self.terms = np.frombuffer(row["terms"], np.uint64)
+        self.firsts = np.frombuffer(row["firsts"], np.int64)
+        self.postings = from_small_index(row["postings"], len(self.docs)).astype(np.int64)
         counts = from_small_index(row["counts"], row["most"] + 1).astype(float)
         lengths = np.frombuffer(row["lengths"], np.int64)
         norm = K1 * (1 - B + B * lengths / mean_length)
-        scores = counts * (K1 + 1) / (counts + norm[postings])
+        self.scores = counts * (K1 + 1) / (counts + norm[self.postings])
         n = len(self.docs)
         self.blocks = -(-n // BLOCK)
-        sizes = np.diff(firsts)
-        frequent = np.flatnonzero(sizes >= max(FREQUENT * n, BLOCK))
+        self.width = self.blocks * BLOCK
+        sizes = np.diff(self.firsts)
+        often = np.flatnonzero(sizes >= max(MIDDLE * n, BLOCK))
+        often = often[np.argsort(-sizes[often], kind="stable")]
+        frequent = min(int((sizes[often] >= FREQUENT * n).sum()), DOC_CELLS // max(self.width, 1))
+        middle = often[frequent : frequent + BLOCK_CELLS // max(self.blocks, 1)]
+        often = often[: frequent + len(middle)]
+        self.frequent = frequent
         self.row_of = np.full(len(self.terms), -1)
-        self.row_of[frequent] = np.arange(len(frequent))
-        self.by_doc = np.zeros((len(frequent), self.blocks * BLOCK))
-        for k, t in enumerate(frequent.tolist()):
-            at = slice(firsts[t], firsts[t + 1])
-            self.by_doc[k, postings[at]] = scores[at]
-        self.firsts, self.postings, self.scores = firsts, postings, scores
-        # For each term, the blocks with postings, where these begin, and the largest score of each.
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes)
-        block = postings // BLOCK
-        new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(postings) else np.zeros(0, bool)
-        self.entry_first = np.flatnonzero(new)
-        self.entry_block = block[self.entry_first]
-        self.entry_best = np.maximum.reduceat(scores, self.entry_first) if len(postings) else scores
-        self.entry_last = np.r_[self.entry_first[1:], len(postings)].astype(np.int64)
-        self.entries = np.searchsorted(term[self.entry_first], np.arange(len(self.terms) + 1))
+        self.row_of[often] = np.arange(len(often))
+        self.by_doc = np.zeros((frequent, self.width))
+        for k, t in enumerate(often[:frequent].tolist()):
+            at = slice(self.firsts[t], self.firsts[t + 1])
+            self.by_doc[k, self.postings[at]] = self.scores[at]
+        # For each middle term and block, where its postings begin, and the largest score.
+        at, owner = _ranges(self.firsts[middle], self.firsts[middle + 1])
+        cell = owner * self.blocks + self.postings[at] // BLOCK
+        found = np.bincount(cell, minlength=len(middle) * self.blocks).reshape(len(middle), self.blocks)
+        self.block_first = np.zeros((len(middle), self.blocks + 1), np.int32)
+        np.cumsum(found, axis=1, out=self.block_first[:, 1:])
+        self.block_first += self.firsts[middle, None].astype(np.int32)
+        self.block_best = np.zeros((len(middle), self.blocks), np.float32)
+        if len(cell):
+            new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            self.block_best.ravel()[cell[new]] = np.maximum.reduceat(self.scores[at], new)
 
     def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the query's terms that the shard has: in the query, and here."""
-        # Terms are in the order of unsigned numbers.
-        mine, theirs = self.terms.view(np.uint64), terms.view(np.uint64)
-        at = np.minimum(np.searchsorted(mine, theirs), max(len(mine) - 1, 0))
-        found = np.flatnonzero(mine[at] == theirs) if len(mine) else np.zeros(0, np.int64)
+        """Positions of the terms that the shard has: in ``terms``, and here."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
+        found = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
         return found, at[found]
 
-
-def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers in the ranges, and the range of each."""
-    sizes = last - first
-    owner = np.repeat(np.arange(len(first)), sizes)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner], owner
+    def add(self, sums: np.ndarray, query: np.ndarray, first: np.ndarray, last: np.ndarray, weight: np.ndarray) -> None:
+        """Add postings from ``first`` to ``last`` to the sums of their queries and documents."""
+        ends = np.cumsum(last - first)
+        cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, POSTINGS_AT_ONCE))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ends)]):
+            at, owner = _ranges(first[a:b], last[a:b])
+            cells = (query[a:b] * self.width)[owner] + self.postings[at]
+            np.add.at(sums.ravel(), cells, self.scores[at] * weight[a:b][owner])
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
@@ -188,70 +215,82 @@ def best_of(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
     return order[scores[order] > 0]
 
 
-def search(
-    shard: Shard, queries: list[tuple[np.ndarray, np.ndarray]], top: int, limits: np.ndarray | None = None
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of the best documents of a shard for each query (terms, weights).
+class Asked:
+    """Some queries (terms, weights) as one list of their terms, in the order of unsigned numbers."""
+
+    def __init__(self, queries: list[tuple[np.ndarray, np.ndarray]]):
+        self.queries = len(queries)
+        terms = np.concatenate([terms for terms, _ in queries]).view(np.uint64)
+        order = np.argsort(terms, kind="stable")
+        self.terms = terms[order]
+        self.query = np.repeat(np.arange(len(queries)), [len(terms) for terms, _ in queries])[order]
+        self.weights = np.concatenate([weights for _, weights in queries])[order]
+
+
+def sums_of(shard: Shard, asked: Asked, limits: np.ndarray) -> np.ndarray:
+    """The score of each document for each query; too low a number for some that are below the query's limit."""
+    found, here = shard.find(asked.terms)
+    query, weight, row = asked.query[found], asked.weights[found], shard.row_of[here]
+    first, last = shard.firsts[here], shard.firsts[here + 1]
+    frequent, middle, rare = (np.flatnonzero(x) for x in ((row >= 0) & (row < shard.frequent), row >= shard.frequent, row < 0))
+    weights = np.zeros((asked.queries, shard.frequent))
+    weights[query[frequent], row[frequent]] = weight[frequent]
+    sums = weights @ shard.by_doc
+    shard.add(sums, query[rare], first[rare], last[rare], weight[rare])
+    weights = np.zeros((asked.queries, len(shard.block_best)), np.float32)
+    row = row - shard.frequent
+    weights[query[middle], row[middle]] = weight[middle]
+    # Sums of 32-bit numbers may be too low by so much of themselves.
+    more = (weights @ shard.block_best) * (1 + (weights.shape[1] + 8) * 2.0**-23)
+    best = sums.reshape(asked.queries, shard.blocks, BLOCK)
+    bound = reduce(np.maximum, (best[:, :, k] for k in range(BLOCK))) + more
+    left = bound >= limits[:, None] - _MARGIN
+    # Of queries with few blocks left, the postings of these blocks; of others, the lists.
+    few = left.mean(axis=1) < FEW_BLOCKS
+    whole, some = middle[~few[query[middle]]], middle[few[query[middle]]]
+    shard.add(sums, query[whole], first[whole], last[whole], weight[whole])
+    _, blocks = np.nonzero(left & few[:, None])
+    ends = np.cumsum(np.where(few, left.sum(axis=1), 0))
+    begins = np.r_[0, ends[:-1]]
+    at, owner = _ranges(begins[query[some]], ends[query[some]])
+    term, block = row[some][owner], blocks[at]
+    first, last = shard.block_first[term, block], shard.block_first[term, block + 1]
+    held = np.flatnonzero(last > first)
+    shard.add(sums, query[some][owner[held]], first[held].astype(np.int64), last[held].astype(np.int64), weight[some][owner[held]])
+    return sums
+
+
+def search(shard: Shard, asked: Asked, top: int, limits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, scores) of the best documents of a shard for each query that has some.
 
     ``limits``: documents whose scores are below these may be left out.
     """
-    found = [shard.find(terms) for terms, _ in queries]
-    weights = np.zeros((len(queries), len(shard.by_doc)))
-    for row, (_, weight), (of_query, here) in zip(weights, queries, found):
-        frequent = shard.row_of[here] >= 0
-        row[shard.row_of[here[frequent]]] = weight[of_query[frequent]]
-    sums = weights @ shard.by_doc
-    peaks = sums.reshape(len(queries), shard.blocks, BLOCK).max(axis=2)
-    results = []
-    n = len(shard.docs)
-    limits = np.zeros(len(queries)) if limits is None else limits
-    for total, bound, limit, (_, weight), (of_query, here) in zip(sums, peaks, limits.tolist(), queries, found):
-        rare = shard.row_of[here] < 0
-        weight, here = weight[of_query[rare]], here[rare]
-        entries, term = _ranges(shard.entries[here], shard.entries[here + 1])
-        blocks = shard.entry_block[entries]
-        bound = bound + np.bincount(blocks, shard.entry_best[entries] * weight[term], shard.blocks)
-        order = np.flatnonzero(bound >= limit - _MARGIN)
-        order = order[np.argsort(-bound[order], kind="stable")]
-        scored: list[np.ndarray] = []
-        at, step = 0, FIRST_BLOCKS
-        while at < len(order):
-            some = order[at : at + step]
-            some = some[bound[some] >= limit - _MARGIN]
-            if not len(some):
-                break
-            chosen = np.zeros(shard.blocks, bool)
-            chosen[some] = True
-            inside = np.flatnonzero(chosen[blocks])
-            postings, entry = _ranges(shard.entry_first[entries[inside]], shard.entry_last[entries[inside]])
-            total += np.bincount(shard.postings[postings], shard.scores[postings] * weight[term[inside][entry]], len(total))
-            docs = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            docs = docs[docs < n]
-            scored.append(docs[total[docs] >= limit - _MARGIN])
-            seen = np.concatenate(scored)
-            if len(seen) >= top:
-                limit = max(limit, float(np.partition(total[seen], len(seen) - top)[len(seen) - top]))
-            at, step = at + step, step * 2
-        seen = np.concatenate(scored) if scored else np.zeros(0, np.int64)
-        best = seen[best_of(shard.docs[seen], total[seen], top)]
-        results.append((shard.docs[best], np.round(total[best], DIGITS)))
-    return results
+    sums = sums_of(shard, asked, limits)[:, : len(shard.docs)]
+    good = sums >= np.maximum(limits - _MARGIN, 10.0**-DIGITS / 4)[:, None]
+    for k in np.flatnonzero(good.any(axis=1)).tolist():
+        seen = np.flatnonzero(good[k])
+        scores = sums[k, seen]
+        if len(seen) > top:
+            enough = scores >= np.partition(scores, len(seen) - top)[len(seen) - top] - _MARGIN
+            seen, scores = seen[enough], scores[enough]
+        best = best_of(shard.docs[seen], scores, top)
+        yield k, shard.docs[seen[best]], np.round(scores[best], DIGITS)
 
 
 class _Best:
     """The best documents of some queries (terms, weights) in the shards so far."""
 
     def __init__(self, names: np.ndarray, queries: list[tuple[np.ndarray, np.ndarray]], top: int):
-        self.names, self.queries, self.top = names, queries, top
+        self.names, self.top = names, top
+        self.asked = [Asked(queries[at : at + QUERIES_AT_ONCE]) for at in range(0, len(queries), QUERIES_AT_ONCE)]
         self.hits = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         self.limits = np.zeros(len(queries))
 
     def add(self, shard: Shard) -> None:
-        for at in range(0, len(self.queries), QUERIES_AT_ONCE):
-            some = slice(at, at + QUERIES_AT_ONCE)
-            for k, (ids, scores) in enumerate(search(shard, self.queries[some], self.top, self.limits[some]), at):
-                if not len(ids):
-                    continue
+        for at, asked in enumerate(self.asked):
+            at *= QUERIES_AT_ONCE
+            for k, ids, scores in search(shard, asked, self.top, self.limits[at : at + asked.queries]):
+                k += at
                 ids, scores = (np.concatenate(both) for both in zip(self.hits[k], (ids, scores)))
                 best = best_of(ids, scores, self.top)
                 self.hits[k] = ids[best], scores[best]
@@ -269,7 +308,7 @@ _HIT = "query long, doc_id long, score double"
 
 
 def _search(batches: Iterable[pa.RecordBatch], mean_length: float, top: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a shard and a block of queries, shard after shard."""
+    """Pairs of a shard and a block of queries, shard after shard; the first of a block has its queries."""
     best: dict[int, _Best] = {}
     number = shard = None
     for batch in batches:
@@ -306,6 +345,21 @@ def _unpacked(row: dict) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]
     return np.frombuffer(row["queries"], np.int64).copy(), [(terms[a:b], weights[a:b]) for a, b in zip([0, *ends], ends)]
 
 
+def _dealt(weighted: DataFrame, tasks: int) -> DataFrame:
+    """Blocks of queries, each in a partition of its own."""
+    block = F.expr(f"int(pmod(xxhash64(query), {tasks}))")
+    dealt = weighted.select(block.alias("block"), "*").repartitionById(tasks, "block")
+    return dealt.sortWithinPartitions("block", "query").mapInArrow(_blocks, _BLOCK)
+
+
+def _pairs(shards: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every pair of a shard and a block, all shards in the task of each block; queries are in its first pair only."""
+    numbered = shards.coalesce(1).withColumn("nth", F.monotonically_increasing_id())
+    pairs = numbered.hint("shuffle_replicate_nl").crossJoin(blocks)
+    once = [F.when(F.col("nth") == 0, F.col(c)).alias(c) for c in _BLOCK_FIELDS.names if c != "block"]
+    return pairs.select(*_SHARD_FIELDS.names, "block", *once)
+
+
 @contextmanager
 def _few_at_once(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of few rows, as each has a whole shard; for what runs in the block."""
@@ -360,13 +414,9 @@ def top_documents(
         return spark.createDataFrame([], "query_id long, rank long, doc_id long, score double")
     asked_for = weighted.count()
     tasks = max(-(-asked_for // TASK_QUERIES), min(spark.sparkContext.defaultParallelism, -(-asked_for // LEAST_QUERIES)), 1)
-    block = F.expr(f"pmod(xxhash64(query), {tasks})")
-    dealt = weighted.select(block.alias("block"), "*").repartitionByRange(tasks, "block").sortWithinPartitions("block", "query")
-    blocks = cut_lineage(dealt.mapInArrow(_blocks, _BLOCK))
-    # Every pair of a shard and a block; all shards in the task of each block.
-    pairs = shards.coalesce(1).hint("shuffle_replicate_nl").crossJoin(blocks)
+    blocks = cut_lineage(_dealt(weighted, tasks))
     with _few_at_once(spark):
-        hits = cut_lineage(pairs.mapInArrow(partial(_search, mean_length=mean_length, top=top), _HIT))
+        hits = cut_lineage(_pairs(shards, blocks).mapInArrow(partial(_search, mean_length=mean_length, top=top), _HIT))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     ranked = hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
     return ranked.select(F.col("query").alias(query_col), "rank", "doc_id", "score")

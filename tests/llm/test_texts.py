@@ -286,6 +286,79 @@ def test_search_hands_on_the_best_of_all_shards_only(spark, docs, monkeypatch):
     assert found[1] == found[9] and found[1]
 
 
+def test_each_search_task_has_one_block_of_queries_and_gets_it_once(spark):
+    weighted = spark.range(0, 20_000, 50).selectExpr("id AS query", "array(id, id + 1) AS query_terms", "array(1.0D, 2.0D) AS weights")
+    blocks = bm25_search._dealt(weighted, 16).localCheckpoint()
+    found = blocks.select("block", F.spark_partition_id().alias("part"), F.octet_length("queries").alias("bytes")).collect()
+    assert len(found) == 16 == len({r.part for r in found}) and sum(r.bytes for r in found) == 8 * 400
+    shards = spark.range(5, numPartitions=3).selectExpr("id AS shard", "0L AS most", *(f"X'00' AS {c}" for c in ("docs", "lengths", "terms", "firsts", "postings", "counts")))
+    pairs = bm25_search._pairs(shards, blocks).select("shard", "block", "queries", "weights", F.spark_partition_id().alias("part")).collect()
+    assert {(r.shard, r.block) for r in pairs} == {(s, b) for s in range(5) for b in range(16)} and len(pairs) == 80
+    assert len({(r.block, r.part) for r in pairs}) == 16
+    handed = [r.block for r in pairs if r.queries is not None]
+    assert sorted(handed) == list(range(16)) and handed == [r.block for r in pairs if r.weights is not None]
+
+
+@pytest.mark.parametrize("few", [0, 1 / 16, 2])
+def test_a_shard_is_searched_exactly_whatever_the_class_of_its_terms(monkeypatch, few):
+    rng = np.random.default_rng(7)
+    n, mean = 700, 60.0
+    sets = [np.unique(np.minimum(rng.zipf(1.25, 60), 3000)) for _ in range(n)]
+    owner, terms = np.repeat(np.arange(n), [len(x) for x in sets]), np.concatenate(sets)
+    order = np.lexsort((owner, terms))
+    owner, terms, counts = owner[order], terms[order], rng.integers(1, 9, len(terms))
+    at = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
+    ids = rng.permutation(n) + 1000
+    row = {
+        "docs": ids.astype(np.int64).tobytes(),
+        "lengths": np.bincount(owner, counts).astype(np.int64).tobytes(),
+        "terms": terms[at].astype(np.uint64).tobytes(),
+        "firsts": np.r_[at, len(terms)].astype(np.int64).tobytes(),
+        "postings": textwords.small_index(owner, n),
+        "most": int(counts.max()),
+        "counts": textwords.small_index(counts, int(counts.max()) + 1),
+    }
+    monkeypatch.setattr(bm25_search, "FEW_BLOCKS", few)
+    monkeypatch.setattr(bm25_search, "POSTINGS_AT_ONCE", 100)
+    shard = bm25_search.Shard(row, mean)
+    assert shard.frequent and len(shard.block_best) and (shard.row_of < 0).any()
+    queries = [(sets[k], rng.random(len(sets[k])) * 5) for k in range(0, n, 10)] + [(np.array([5000]), np.ones(1))]
+    norm = bm25_search.K1 * (1 - bm25_search.B + bm25_search.B * np.bincount(owner, counts) / mean)
+    scores = np.zeros((len(queries), n))
+    for k, (asked, weights) in enumerate(queries):
+        for t, w in zip(asked, weights):
+            of = terms == t
+            scores[k, owner[of]] += w * counts[of] * 2.2 / (counts[of] + norm[owner[of]])
+    best = np.sort(scores)[:, ::-1]
+    monkeypatch.setattr(bm25_search.Shard, "add", counted := Counted(bm25_search.Shard.add))
+    postings = []
+    for limits in (np.zeros(len(queries)), best[:, 9], best[:, 0], best[:, 0] + 1):
+        counted.postings = 0
+        found = {k: (ids, s) for k, ids, s in bm25_search.search(shard, bm25_search.Asked([(t.astype(np.int64), w) for t, w in queries]), 10, limits)}
+        postings.append(counted.postings)
+        for k, limit in enumerate(limits):
+            expected = sorted((-round(s, 6), i) for s, i in zip(scores[k], ids.tolist()) if s and s >= limit)[:10]
+            got = [(i, s) for i, s in zip(*found.get(k, ((), ()))) if s >= limit - 1e-6]
+            assert [i for i, _ in got] == [i for _, i in expected]
+            assert [s for _, s in got] == pytest.approx([-s for s, _ in expected], abs=2e-6)
+    # The higher the limit, the fewer blocks are looked at.
+    assert postings == sorted(postings, reverse=True) and (postings[-1] < postings[0]) == bool(few)
+
+
+class Counted:
+    """A method that notes how many postings it is given."""
+
+    def __init__(self, method):
+        self.method, self.postings = method, 0
+
+    def __get__(self, shard, kind):
+        def call(sums, query, first, last, weight):
+            self.postings += int((last - first).sum())
+            return self.method(shard, sums, query, first, last, weight)
+
+        return call
+
+
 def test_quality_learns_and_scores_every_row(spark, docs, texts):
     rng = np.random.default_rng(2)
     rows, labels = [], []
