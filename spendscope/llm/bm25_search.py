@@ -46,17 +46,19 @@ TOP = 10
 # Scores are equal when they are at this many digits; the smaller id is then the better one.
 DIGITS = 6
 SHARD_DOCS = 1 << 13
-SHARD_POSTINGS = 1 << 21
+SHARD_POSTINGS = 1 << 20
 BLOCK = 8
 # Terms that at least this part of a shard's documents hold are kept by document.
 FREQUENT = 1 / 16
 # Others that at least this part of them hold have the largest score of each block.
 MIDDLE = 1 / 32
+# Terms with fewer postings are rare in any shard.
+LEAST_POSTINGS = 32
 # Numbers by document, and by block, at most; then fewer terms are frequent, or middle.
 DOC_CELLS, BLOCK_CELLS = 1 << 23, 1 << 22
 # Below this part of the blocks, their postings are looked up one by one.
 FEW_BLOCKS = 1 / 16
-POSTINGS_AT_ONCE = 1 << 15
+NUMBERS_AT_ONCE = 1 << 15
 QUERIES_AT_ONCE = 64
 # Queries of a task; fewer if cores would be idle, but each task reads the whole index.
 TASK_QUERIES = 1 << 12
@@ -72,7 +74,9 @@ def _term_counts(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     starts, ends, bounds = word_spans(part)
     terms = word_hashes(part, starts, ends, lower=True)
     owner = np.repeat(np.arange(len(part.ids)), np.diff(bounds))
-    order = np.lexsort((terms, owner))
+    # By terms, then by documents, whose numbers are sorted faster in 16 bits.
+    order = np.argsort(terms)
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(part.ids) <= 1 << 16 else np.int64), kind="stable")]
     terms, owner = terms[order], owner[order]
     new = np.r_[True, (terms[1:] != terms[:-1]) | (owner[1:] != owner[:-1])] if len(terms) else np.zeros(0, bool)
     at = np.flatnonzero(new)
@@ -93,17 +97,15 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs = postings = 0
 
     def closed() -> pa.RecordBatch:
-        ids = np.concatenate([h[0] for h in held])
-        first = np.cumsum([0, *(len(h[0]) for h in held)])[:-1]
-        owner = np.concatenate([h[1] + f for h, f in zip(held, first)])
-        terms, counts = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-        order = np.lexsort((owner, terms))
+        ids, owner, terms, counts, lengths = (np.concatenate(column) for column in zip(*held))
+        held.clear()  # in memory once
+        order = np.argsort(terms, kind="stable")  # documents are in order already
         terms, owner, counts = terms[order], owner[order], counts[order]
         at = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.int64)
         row = {
             "shard": number,
             "docs": ids.astype(np.int64).tobytes(),
-            "lengths": np.concatenate([h[4] for h in held]).astype(np.int64).tobytes(),
+            "lengths": lengths.astype(np.int64).tobytes(),
             "terms": terms[at].tobytes(),
             "firsts": np.r_[at, len(terms)].astype(np.int64).tobytes(),
             "postings": small_index(owner, len(ids)),
@@ -113,8 +115,9 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist([row], _SHARD_FIELDS)
 
     for part in text_slices(batches):
-        held.append((part.ids, *_term_counts(part)))
-        docs, postings = docs + len(part.ids), postings + len(held[-1][1])
+        owner, terms, counts, lengths = _term_counts(part)
+        held.append((part.ids, (owner + docs).astype(np.int32), terms, counts.astype(np.int32), lengths))
+        docs, postings = docs + len(part.ids), postings + len(terms)
         if docs >= SHARD_DOCS or postings >= SHARD_POSTINGS:
             yield closed()
             number, held, docs, postings = number + 1, [], 0, 0
@@ -148,6 +151,15 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) + (first - np.cumsum(sizes) + sizes)[owner], owner
 
 
+def _parts_of_ranges(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same in parts of about NUMBERS_AT_ONCE, whole ranges each."""
+    ends = np.cumsum(last - first)
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, NUMBERS_AT_ONCE))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ends)]):
+        at, owner = _ranges(first[a:b], last[a:b])
+        yield at, owner + a
+
+
 class Shard:
     """The index of one shard, with scores in place of counts (but for the terms' weights).
 
@@ -168,7 +180,7 @@ class Shard:
         self.blocks = -(-n // BLOCK)
         self.width = self.blocks * BLOCK
         sizes = np.diff(self.firsts)
-        often = np.flatnonzero(sizes >= max(MIDDLE * n, BLOCK))
+        often = np.flatnonzero(sizes >= max(MIDDLE * n, LEAST_POSTINGS))
         often = often[np.argsort(-sizes[often], kind="stable")]
         frequent = min(int((sizes[often] >= FREQUENT * n).sum()), DOC_CELLS // max(self.width, 1))
         middle = often[frequent : frequent + BLOCK_CELLS // max(self.blocks, 1)]
@@ -200,12 +212,9 @@ class Shard:
 
     def add(self, sums: np.ndarray, query: np.ndarray, first: np.ndarray, last: np.ndarray, weight: np.ndarray) -> None:
         """Add postings from ``first`` to ``last`` to the sums of their queries and documents."""
-        ends = np.cumsum(last - first)
-        cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, POSTINGS_AT_ONCE))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ends)]):
-            at, owner = _ranges(first[a:b], last[a:b])
-            cells = (query[a:b] * self.width)[owner] + self.postings[at]
-            np.add.at(sums.ravel(), cells, self.scores[at] * weight[a:b][owner])
+        start = query * self.width
+        for at, owner in _parts_of_ranges(first, last):
+            np.add.at(sums.ravel(), start[owner] + self.postings[at], self.scores[at] * weight[owner])
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
@@ -252,11 +261,12 @@ def sums_of(shard: Shard, asked: Asked, limits: np.ndarray) -> np.ndarray:
     _, blocks = np.nonzero(left & few[:, None])
     ends = np.cumsum(np.where(few, left.sum(axis=1), 0))
     begins = np.r_[0, ends[:-1]]
-    at, owner = _ranges(begins[query[some]], ends[query[some]])
-    term, block = row[some][owner], blocks[at]
-    first, last = shard.block_first[term, block], shard.block_first[term, block + 1]
-    held = np.flatnonzero(last > first)
-    shard.add(sums, query[some][owner[held]], first[held].astype(np.int64), last[held].astype(np.int64), weight[some][owner[held]])
+    for at, owner in _parts_of_ranges(begins[query[some]], ends[query[some]]):
+        term, block = row[some][owner], blocks[at]
+        first, last = shard.block_first[term, block], shard.block_first[term, block + 1]
+        held = np.flatnonzero(last > first)
+        pair = some[owner[held]]
+        shard.add(sums, query[pair], first[held].astype(np.int64), last[held].astype(np.int64), weight[pair])
     return sums
 
 

@@ -319,7 +319,8 @@ def test_a_shard_is_searched_exactly_whatever_the_class_of_its_terms(monkeypatch
         "counts": textwords.small_index(counts, int(counts.max()) + 1),
     }
     monkeypatch.setattr(bm25_search, "FEW_BLOCKS", few)
-    monkeypatch.setattr(bm25_search, "POSTINGS_AT_ONCE", 100)
+    monkeypatch.setattr(bm25_search, "NUMBERS_AT_ONCE", 100)
+    monkeypatch.setattr(bm25_search, "LEAST_POSTINGS", 8)
     shard = bm25_search.Shard(row, mean)
     assert shard.frequent and len(shard.block_best) and (shard.row_of < 0).any()
     queries = [(sets[k], rng.random(len(sets[k])) * 5) for k in range(0, n, 10)] + [(np.array([5000]), np.ones(1))]
