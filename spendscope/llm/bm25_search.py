@@ -21,13 +21,12 @@ The work still grows with documents times queries.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendscope.llm.textwords import (
@@ -39,7 +38,7 @@ from spendscope.llm.textwords import (
     word_hashes,
     word_spans,
 )
-from spendscope.session import cut_lineage
+from spendscope.session import cut_lineage, few_at_once
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -65,7 +64,6 @@ TASK_QUERIES = 1 << 12
 LEAST_QUERIES = 1 << 8
 # Shards that a task gets at a time; one at least.
 PAIR_BYTES = 1 << 23
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MARGIN = 2 * 10.0**-DIGITS
 
 
@@ -370,17 +368,6 @@ def _pairs(shards: DataFrame, blocks: DataFrame) -> DataFrame:
     return pairs.select(*_SHARD_FIELDS.names, "block", *once)
 
 
-@contextmanager
-def _few_at_once(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of few rows, as each has a whole shard; for what runs in the block."""
-    before = spark.conf.get(_BATCH_SETTING)
-    spark.conf.set(_BATCH_SETTING, str(PAIR_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_SETTING, before)
-
-
 def top_documents(
     docs: DataFrame,
     queries: DataFrame,
@@ -425,7 +412,7 @@ def top_documents(
     asked_for = weighted.count()
     tasks = max(-(-asked_for // TASK_QUERIES), min(spark.sparkContext.defaultParallelism, -(-asked_for // LEAST_QUERIES)), 1)
     blocks = cut_lineage(_dealt(weighted, tasks))
-    with _few_at_once(spark):
+    with few_at_once(spark, PAIR_BYTES):
         hits = cut_lineage(_pairs(shards, blocks).mapInArrow(partial(_search, mean_length=mean_length, top=top), _HIT))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     ranked = hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spendscope-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def few_at_once(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of so many bytes, for large rows; for what runs in the block."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)

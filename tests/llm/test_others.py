@@ -104,6 +104,41 @@ def test_no_link_is_lost_at_the_borders_of_lists(spark, width, threshold):
     assert [found[k] for k in range(len(x))] == expected.tolist()
 
 
+def test_vectors_in_many_parts_and_groups_link_as_in_one(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(400, 6)), rng.normal(size=6) + 0.05 * rng.normal(size=(150, 6))])
+    x = np.concatenate([x, x[:20], x[-5:]])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    expected = (unit @ unit.T >= 0.9 - 1e-12).sum(axis=1) - 1
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(pq_neighbours, "PART", 16)
+    monkeypatch.setattr(pq_neighbours, "GROUP_BYTES", 64 * 6 * 8)
+    held, dealt = [], pq_neighbours._groups
+    monkeypatch.setattr(pq_neighbours, "_groups", lambda *a: held.append(dealt(*a)) or held[-1])
+    found = {r.vec_id: (r.n_links, r.component_id) for r in pq_neighbours.near_duplicates(table).collect()}
+    assert [found[k][0] for k in range(len(x))] == expected.tolist()
+    assert len({found[k][1] for k in range(400, 550)}) == 1
+    # A task holds its group and one part, however many lists its vectors visit.
+    groups = [[len(v.keys) // 8 for v in r.visitors] for r in held[0].collect()]
+    assert len(groups) >= 9 and max(map(sum, groups)) <= 64 + 16 and max(map(max, groups)) <= 16
+    assert sum(map(sum, groups)) == 550
+
+
+def test_each_pair_of_parts_is_compared_once_and_half_of_them_in_each_group():
+    led = [[pq_neighbours._lead(a, b) for b in range(200)] for a in range(200)]
+    assert all(led[a][b] != led[b][a] for a in range(200) for b in range(a))
+    assert all(70 < sum(row) < 130 for row in led)
+
+
+def test_products_of_at_least_zero():
+    rng = np.random.default_rng(3)
+    space = np.ones(600, np.float32), np.ones(600, bool)
+    for n, m in ((7, 11), (8, 8), (1, 1), (9, 64)):
+        x, y = (rng.normal(size=(k, 3)).astype(np.float32) for k in (n, m))
+        expected = np.nonzero(x @ y.T >= 0)
+        assert [a.tolist() for a in pq_neighbours._products(x, y, space)] == [a.tolist() for a in expected]
+
+
 def test_incremental_rendering():
     turns = [Turn("user", "a<|im_end|>b"), Turn("assistant", "<\\|x"), Turn("us\ner", ""), Turn("assistant", "ok")]
     found = render_incrementally(chat_format.marked_turns, turns)
