@@ -11,6 +11,8 @@ documents, so scores of different shards compare. Per shard and query:
    another matrix product.
 3. Blocks whose bound is below the k-th best score so far are left out; none of their documents
    can be among the best k. For the others the postings of the terms in between are added.
+4. All this is in single precision. Documents whose sum, with what it may be off, can be among the
+   best k are scored again from their counts, in double precision; these scores are the result.
 
 A task has a block of queries and reads the shards one after the other from reliable storage.
 It keeps the best of each query, whose last score is where the next shard's pruning begins, and
@@ -20,8 +22,9 @@ The work still grows with documents times queries.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +61,15 @@ DOC_CELLS, BLOCK_CELLS = 1 << 23, 1 << 22
 # Below this part of the blocks, their postings are looked up one by one.
 FEW_BLOCKS = 1 / 16
 NUMBERS_AT_ONCE = 1 << 15
-QUERIES_AT_ONCE = 64
+QUERIES_AT_ONCE = 256
 # Queries of a task; fewer if cores would be idle, but each task reads the whole index.
-TASK_QUERIES = 1 << 12
+TASK_QUERIES = 1 << 13
 LEAST_QUERIES = 1 << 8
 # Shards that a task gets at a time; one at least.
 PAIR_BYTES = 1 << 23
 _MARGIN = 2 * 10.0**-DIGITS
+# Which 32-bit half of a 64-bit number is the low one.
+_LOW = int(sys.byteorder == "big")
 
 
 def _term_counts(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,11 +154,15 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) + (first - np.cumsum(sizes) + sizes)[owner], owner
 
 
+def _cuts(ends: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges with these ends, one behind the other, in groups of about NUMBERS_AT_ONCE numbers."""
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, NUMBERS_AT_ONCE)))
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(ends)]))
+
+
 def _parts_of_ranges(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same in parts of about NUMBERS_AT_ONCE, whole ranges each."""
-    ends = np.cumsum(last - first)
-    cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, NUMBERS_AT_ONCE))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ends)]):
+    """All numbers in the ranges, and the range of each, in parts of whole ranges."""
+    for a, b in _cuts(np.cumsum(last - first)):
         at, owner = _ranges(first[a:b], last[a:b])
         yield at, owner + a
 
@@ -162,21 +171,32 @@ class Shard:
     """The index of one shard, with scores in place of counts (but for the terms' weights).
 
     ``row_of``: the rows of frequent terms in ``by_doc``, of middle ones in ``block_best`` (after
-    the frequent ones), -1 of others.
+    the frequent ones), -1 of others. Documents are at places of their own, so that those of one
+    block are ``blocks`` apart; at some places there is none. ``packed`` has the place of each
+    posting above 32 bits of its score, so that both are read at once.
     """
 
     def __init__(self, row: dict, mean_length: float):
-        self.docs = np.frombuffer(row["docs"], np.int64)
+        docs = np.frombuffer(row["docs"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.firsts = np.frombuffer(row["firsts"], np.int64)
-        self.postings = from_small_index(row["postings"], len(self.docs)).astype(np.int64)
-        counts = from_small_index(row["counts"], row["most"] + 1).astype(float)
-        lengths = np.frombuffer(row["lengths"], np.int64)
-        norm = K1 * (1 - B + B * lengths / mean_length)
-        self.scores = counts * (K1 + 1) / (counts + norm[self.postings])
-        n = len(self.docs)
+        self.counts = from_small_index(row["counts"], row["most"] + 1)
+        n = len(docs)
         self.blocks = -(-n // BLOCK)
         self.width = self.blocks * BLOCK
+        place = np.arange(self.width).reshape(BLOCK, self.blocks).T.ravel()[:n]
+        self.docs, self.norm = np.full(self.width, -1), np.ones(self.width)
+        self.docs[place] = docs
+        self.norm[place] = K1 * (1 - B + B * np.frombuffer(row["lengths"], np.int64) / mean_length)
+        held = from_small_index(row["postings"], n)
+        places = place[held]
+        scores = self.counts.astype(np.float32)
+        norm = self.norm.astype(np.float32)[places]
+        norm += scores
+        scores *= K1 + 1
+        scores /= norm
+        self.packed = places << 32
+        self.packed |= scores.view(np.uint32)
         sizes = np.diff(self.firsts)
         often = np.flatnonzero(sizes >= max(MIDDLE * n, LEAST_POSTINGS))
         often = often[np.argsort(-sizes[often], kind="stable")]
@@ -186,13 +206,15 @@ class Shard:
         self.frequent = frequent
         self.row_of = np.full(len(self.terms), -1)
         self.row_of[often] = np.arange(len(often))
-        self.by_doc = np.zeros((frequent, self.width))
+        self.by_doc = np.zeros((frequent, self.width), np.float32)
+        self.count_by_doc = np.zeros((frequent, self.width), self.counts.dtype)
         for k, t in enumerate(often[:frequent].tolist()):
             at = slice(self.firsts[t], self.firsts[t + 1])
-            self.by_doc[k, self.postings[at]] = self.scores[at]
+            self.by_doc[k, places[at]] = scores[at]
+            self.count_by_doc[k, places[at]] = self.counts[at]
         # For each middle term and block, where its postings begin, and the largest score.
         at, owner = _ranges(self.firsts[middle], self.firsts[middle + 1])
-        cell = owner * self.blocks + self.postings[at] // BLOCK
+        cell = owner * self.blocks + held[at] // BLOCK
         found = np.bincount(cell, minlength=len(middle) * self.blocks).reshape(len(middle), self.blocks)
         self.block_first = np.zeros((len(middle), self.blocks + 1), np.int32)
         np.cumsum(found, axis=1, out=self.block_first[:, 1:])
@@ -200,19 +222,55 @@ class Shard:
         self.block_best = np.zeros((len(middle), self.blocks), np.float32)
         if len(cell):
             new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            self.block_best.ravel()[cell[new]] = np.maximum.reduceat(self.scores[at], new)
-
-    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the terms that the shard has: in ``terms``, and here."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
-        found = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
-        return found, at[found]
+            self.block_best.ravel()[cell[new]] = np.maximum.reduceat(scores[at], new)
+        self._found: tuple[np.ndarray, np.ndarray] | None = None
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """Where the shard has the terms, -1 for those it has not; looked for once if they are the same array again."""
+        if self._found is None or self._found[0] is not terms:
+            at = np.searchsorted(self.terms, terms)
+            at[at == len(self.terms)] = 0
+            if len(self.terms):
+                at[self.terms[at] != terms] = -1
+            else:
+                at[:] = -1
+            self._found = terms, at
+        return self._found[1]
 
     def add(self, sums: np.ndarray, query: np.ndarray, first: np.ndarray, last: np.ndarray, weight: np.ndarray) -> None:
         """Add postings from ``first`` to ``last`` to the sums of their queries and documents."""
-        start = query * self.width
-        for at, owner in _parts_of_ranges(first, last):
-            np.add.at(sums.ravel(), start[owner] + self.postings[at], self.scores[at] * weight[owner])
+        start, weight, sizes = query * self.width, weight.astype(np.float32), last - first
+        ends = np.cumsum(sizes)
+        shift = first - ends + sizes
+        for a, b in _cuts(ends):
+            some = sizes[a:b]
+            at = np.repeat(shift[a:b], some)
+            at += np.arange(ends[a] - sizes[a], ends[b - 1])
+            cells = self.packed.take(at)
+            scores = cells.view(np.float32)[_LOW::2] * np.repeat(weight[a:b], some)
+            cells >>= 32
+            cells += np.repeat(start[a:b], some)
+            np.add.at(sums.ravel(), cells, scores)
+
+    def exact(self, seen: np.ndarray, here: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The scores of the documents at some places, in order, for the terms ``here``, in double precision."""
+        row = self.row_of[here]
+        often = (row >= 0) & (row < self.frequent)
+        counts = self.count_by_doc[row[often, None], seen].astype(float)
+        scores = weight[often] @ (counts * (K1 + 1) / (counts + self.norm[seen]))
+        here, weight = here[~often], weight[~often]
+        first, last = self.firsts[here], self.firsts[here + 1]
+        ends = np.cumsum(last - first)
+        at = np.repeat(first - ends + last - first, last - first)
+        at += np.arange(len(at))
+        asked = np.zeros(self.width, bool)
+        asked[seen] = True
+        place = self.packed.take(at)
+        place >>= 32
+        held = np.flatnonzero(asked.take(place))
+        number, counts = np.searchsorted(seen, place[held]), self.counts[at[held]].astype(float)
+        parts = weight[np.searchsorted(ends, held, side="right")] * (counts * (K1 + 1) / (counts + self.norm[seen][number]))
+        return scores + np.bincount(number, parts, minlength=len(seen))
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
@@ -223,35 +281,54 @@ def best_of(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
 
 
 class Asked:
-    """Some queries (terms, weights) as one list of their terms, in the order of unsigned numbers."""
+    """Some queries (terms, weights) as one list of their terms, in the order of unsigned numbers.
+
+    ``terms``: distinct terms in the order of unsigned numbers, with those of the queries among
+    them; the same array for all queries of a task.
+    """
 
-    def __init__(self, queries: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, queries: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray | None = None):
         self.queries = len(queries)
-        terms = np.concatenate([terms for terms, _ in queries]).view(np.uint64)
-        order = np.argsort(terms, kind="stable")
-        self.terms = terms[order]
-        self.query = np.repeat(np.arange(len(queries)), [len(terms) for terms, _ in queries])[order]
+        self.terms = distinct_terms(queries) if terms is None else terms
+        sizes = [len(terms) for terms, _ in queries]
+        self.most = max(sizes, default=0)
+        term = np.searchsorted(self.terms, np.concatenate([terms for terms, _ in queries]).view(np.uint64)).astype(np.int32)
+        order = np.argsort(term, kind="stable")
+        self.term = term[order]
+        self.query = np.repeat(np.arange(len(queries), dtype=np.int32), sizes)[order]
         self.weights = np.concatenate([weights for _, weights in queries])[order]
+        # The pairs of query k end at ends[k] in by_query.
+        self.ends = np.cumsum(sizes)
+        self.by_query = np.argsort(self.query, kind="stable").astype(np.int32)
+
+
+def distinct_terms(queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.unique(np.concatenate([terms for terms, _ in queries] or [np.zeros(0, np.int64)]).view(np.uint64))
+
+
+def _off(asked: Asked) -> float:
+    """By what part of itself a sum in single precision may be off, of a query's terms, none of them below zero."""
+    return (asked.most + 16) * 2.0**-23
 
 
 def sums_of(shard: Shard, asked: Asked, limits: np.ndarray) -> np.ndarray:
-    """The score of each document for each query; too low a number for some that are below the query's limit."""
-    found, here = shard.find(asked.terms)
-    query, weight, row = asked.query[found], asked.weights[found], shard.row_of[here]
+    """The score of each document for each query, about; too low a number for some that are below the query's limit."""
+    here = shard.find(asked.terms)[asked.term]
+    found = np.flatnonzero(here >= 0)
+    here = here[found]
+    query, weight, row = asked.query[found].astype(np.int64), asked.weights[found], shard.row_of[here]
     first, last = shard.firsts[here], shard.firsts[here + 1]
     frequent, middle, rare = (np.flatnonzero(x) for x in ((row >= 0) & (row < shard.frequent), row >= shard.frequent, row < 0))
-    weights = np.zeros((asked.queries, shard.frequent))
+    weights = np.zeros((asked.queries, shard.frequent), np.float32)
     weights[query[frequent], row[frequent]] = weight[frequent]
     sums = weights @ shard.by_doc
     shard.add(sums, query[rare], first[rare], last[rare], weight[rare])
     weights = np.zeros((asked.queries, len(shard.block_best)), np.float32)
     row = row - shard.frequent
     weights[query[middle], row[middle]] = weight[middle]
-    # Sums of 32-bit numbers may be too low by so much of themselves.
-    more = (weights @ shard.block_best) * (1 + (weights.shape[1] + 8) * 2.0**-23)
-    best = sums.reshape(asked.queries, shard.blocks, BLOCK)
-    bound = reduce(np.maximum, (best[:, :, k] for k in range(BLOCK))) + more
-    left = bound >= limits[:, None] - _MARGIN
+    bound = weights @ shard.block_best
+    bound += sums.reshape(asked.queries, BLOCK, shard.blocks).max(axis=1)
+    left = bound >= ((limits - _MARGIN) * (1 - 2 * _off(asked)))[:, None]
     # Of queries with few blocks left, the postings of these blocks; of others, the lists.
     few = left.mean(axis=1) < FEW_BLOCKS
     whole, some = middle[~few[query[middle]]], middle[few[query[middle]]]
@@ -273,16 +350,21 @@ def search(shard: Shard, asked: Asked, top: int, limits: np.ndarray) -> Iterator
 
     ``limits``: documents whose scores are below these may be left out.
     """
-    sums = sums_of(shard, asked, limits)[:, : len(shard.docs)]
-    good = sums >= np.maximum(limits - _MARGIN, 10.0**-DIGITS / 4)[:, None]
-    for k in np.flatnonzero(good.any(axis=1)).tolist():
-        seen = np.flatnonzero(good[k])
-        scores = sums[k, seen]
+    sums = sums_of(shard, asked, limits)
+    less = 1 - 2 * _off(asked)
+    least = np.maximum(limits - _MARGIN, 10.0**-DIGITS / 4) * less
+    here = shard.find(asked.terms)
+    for k in np.flatnonzero(sums.max(axis=1, initial=0) >= least).tolist():
+        seen = np.flatnonzero(sums[k] >= least[k])
         if len(seen) > top:
-            enough = scores >= np.partition(scores, len(seen) - top)[len(seen) - top] - _MARGIN
-            seen, scores = seen[enough], scores[enough]
+            about = sums[k, seen].astype(float)
+            seen = seen[about >= (np.partition(about, len(seen) - top)[len(seen) - top] * less - _MARGIN) * less]
+        pairs = asked.by_query[asked.ends[k - 1] if k else 0 : asked.ends[k]]
+        terms, weights = here[asked.term[pairs]], asked.weights[pairs]
+        scores = shard.exact(seen, terms[terms >= 0], weights[terms >= 0])
         best = best_of(shard.docs[seen], scores, top)
-        yield k, shard.docs[seen[best]], np.round(scores[best], DIGITS)
+        if len(best):
+            yield k, shard.docs[seen[best]], np.round(scores[best], DIGITS)
 
 
 class _Best:
@@ -290,7 +372,8 @@ class _Best:
 
     def __init__(self, names: np.ndarray, queries: list[tuple[np.ndarray, np.ndarray]], top: int):
         self.names, self.top = names, top
-        self.asked = [Asked(queries[at : at + QUERIES_AT_ONCE]) for at in range(0, len(queries), QUERIES_AT_ONCE)]
+        terms = distinct_terms(queries)
+        self.asked = [Asked(queries[at : at + QUERIES_AT_ONCE], terms) for at in range(0, len(queries), QUERIES_AT_ONCE)]
         self.hits = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         self.limits = np.zeros(len(queries))
 
@@ -410,7 +493,9 @@ def top_documents(
     if not n:
         return spark.createDataFrame([], "query_id long, rank long, doc_id long, score double")
     asked_for = weighted.count()
-    tasks = max(-(-asked_for // TASK_QUERIES), min(spark.sparkContext.defaultParallelism, -(-asked_for // LEAST_QUERIES)), 1)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = -(-asked_for // TASK_QUERIES)
+    tasks = max(min(-(-tasks // cores) * cores, -(-asked_for // LEAST_QUERIES)), 1)  # as many for each core
     blocks = cut_lineage(_dealt(weighted, tasks))
     with few_at_once(spark, PAIR_BYTES):
         hits = cut_lineage(_pairs(shards, blocks).mapInArrow(partial(_search, mean_length=mean_length, top=top), _HIT))

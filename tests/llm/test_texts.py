@@ -346,6 +346,43 @@ def test_a_shard_is_searched_exactly_whatever_the_class_of_its_terms(monkeypatch
     assert postings == sorted(postings, reverse=True) and (postings[-1] < postings[0]) == bool(few)
 
 
+def test_only_documents_that_may_be_among_the_best_are_scored_exactly(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, vocabulary = 900, 4000
+    held = [np.unique(np.minimum(rng.zipf(1.3, 80), vocabulary)) for _ in range(n)]
+    held[7] = held[3]  # equal scores: the smaller id is the better one
+    owner, terms = np.repeat(np.arange(n), [len(x) for x in held]), np.concatenate(held)
+    order = np.lexsort((owner, terms))
+    owner, terms = owner[order], terms[order]
+    at = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
+    row = {
+        "docs": np.arange(n, dtype=np.int64).tobytes(),
+        "lengths": np.array([len(x) for x in held], np.int64).tobytes(),
+        "terms": terms[at].astype(np.uint64).tobytes(),
+        "firsts": np.r_[at, len(terms)].astype(np.int64).tobytes(),
+        "postings": textwords.small_index(owner, n),
+        "most": 1,
+        "counts": textwords.small_index(np.ones(len(terms), int), 2),
+    }
+    shard = bm25_search.Shard(row, 30.0)
+    queries = [(held[k].astype(np.int64), rng.random(len(held[k])) + 1e-3) for k in range(300)]
+    norm = bm25_search.K1 * (1 - bm25_search.B + bm25_search.B * np.array([len(x) for x in held]) / 30.0)
+    scores = np.array([[w[np.isin(t, x)].sum() for x in held] for t, w in queries]) * 2.2 / (1 + norm)
+    scored = []
+    exact = bm25_search.Shard.exact
+    monkeypatch.setattr(bm25_search.Shard, "exact", lambda s, seen, *a: scored.append(len(seen)) or exact(s, seen, *a))
+    limits = np.sort(scores)[:, -3]
+    for some in (np.zeros(len(queries)), limits):
+        scored.clear()
+        found = {k: (i.tolist(), s) for k, i, s in bm25_search.search(shard, bm25_search.Asked(queries), 10, some)}
+        for k, limit in enumerate(some):
+            expected = sorted((-round(s, 6), i) for i, s in enumerate(scores[k]) if round(s, 6) >= max(round(limit, 6), 1e-6))[:10]
+            ids, got = found[k]
+            assert ids[: len(expected)] == [i for _, i in expected]
+            assert got[: len(expected)] == pytest.approx([-s for s, _ in expected], abs=1e-9)
+    assert len(scored) == len(queries) and np.mean(scored) < 5
+
+
 class Counted:
     """A method that notes how many postings it is given."""
 
